@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from palaver.llm import jaccard
+from palaver.llm import decontaminate, jaccard
 
 
 def queries() -> dict:
     return {
+        "op2_prefix_filtered_decontamination": decontaminate.op2_prefix_filtered_decontamination,
         "op6_parity_sketch_join": jaccard.op6_parity_sketch_join,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op2_prefix_filtered_decontamination": decontaminate.ORACLE,
+    }
