@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from palaver.llm import decontaminate, jaccard
+from palaver.llm import decontaminate, jaccard, langid
 
 
 def queries() -> dict:
     return {
+        "op1_byte_network_language_id": langid.op1_byte_network_language_id,
         "op2_prefix_filtered_decontamination": decontaminate.op2_prefix_filtered_decontamination,
         "op6_parity_sketch_join": jaccard.op6_parity_sketch_join,
     }
