@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from palaver.llm import decontaminate, jaccard, langid
+from palaver.llm import decontaminate, jaccard, langid, linededup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_byte_network_language_id": langid.op1_byte_network_language_id,
         "op2_prefix_filtered_decontamination": decontaminate.op2_prefix_filtered_decontamination,
+        "op3_gated_network_toxicity": toxicity.op3_gated_network_toxicity,
+        "op4_site_spread_line_dedup": linededup.op4_site_spread_line_dedup,
         "op6_parity_sketch_join": jaccard.op6_parity_sketch_join,
     }
 
@@ -18,4 +20,5 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_prefix_filtered_decontamination": decontaminate.ORACLE,
+        "op4_site_spread_line_dedup": linededup.ORACLE,
     }
