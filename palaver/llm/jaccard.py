@@ -14,10 +14,11 @@ Shape of the job:
 * a block is shipped as a 64-bit fingerprint. Blocks that fewer than two shingles fall into are
   common to unrelated texts; each band has some blocks more than the bound asks for, and a text
   leaves such blocks out while the pigeonhole still holds without them (else it ships them all);
-* within a bucket of equal blocks the members are paired with one hub, not with each other. Links
-  are merged into components, the hub leaves the bucket, and the round is repeated on what is left
-  in buckets that still span components, until none does: no link between different sets is lost
-  and no group is expanded into all pairs.
+* within a bucket of equal blocks the members are first paired with one hub, not with each other,
+  and the links found are merged into components. Only in buckets that still span components are the
+  other members compared, in memory, on sizes and folded sketches; pairs within a component are
+  never made, and what passes is verified. So no link between different components is lost and no
+  group of near copies is expanded into all pairs.
 
 Empty, null and word-less texts have an empty set and link with nothing. A null id takes no part in
 links and keeps a null component. Repeated rows give repeated rows.
@@ -38,8 +39,8 @@ from palaver.session import cut
 SKETCH_BITS = 2048
 #: Growth of the set sizes from one band to the next.
 BAND_RATIO = 1.5
-#: Buckets of at most so many texts have all their open pairs tested at once.
-SMALL_BUCKET = 6
+#: Members of a bucket that are held in memory against as many others.
+CHUNK = 1024
 
 
 def bands(top: int = 1 << 40) -> list[int]:
@@ -169,6 +170,40 @@ def near(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return map_batches(wide.select("a", "b", "na", "nb", "bits_a", "bits_b"), each, "a long, b long")
 
 
+def open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that size and Hamming distance leave open.
+
+    The hubs' pairs are done, so buckets of two and buckets within one component are closed. The
+    others are compared in memory, CHUNK members against CHUNK members; a larger bucket is dealt out
+    in chunks by the members' hash, one task row for each pair of chunks.
+    """
+    of = buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    stats = of.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("m > 2 and r0 <> r1")
+    live = of.join(stats.select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "key")
+    live = live.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).join(sets.select("id", "n", "bits"), "id")
+    live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cell = [F.col("key"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")]
+    cells = live.groupBy(*cell).agg(F.collect_list(F.struct("id", "root", "n", "bits", "mine")).alias("rows"))
+
+    def each(batch):
+        for i, j, rows in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("rows"), strict=True):
+            flat = rows.values
+            ids, root, n, mine = (np.asarray(flat.field(c), np.int64) for c in ("id", "root", "n", "mine"))
+            bits = np.frombuffer(b"".join(flat.field("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
+            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+            made = []
+            for x in left:
+                y = right[(root[right] != root[x]) & (q * np.minimum(n[right], n[x]) >= p * np.maximum(n[right], n[x]))]
+                y = y[ids[y] > ids[x]] if i == j else y
+                apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
+                made.append((x, y[(q + p) * apart <= (q - p) * (n[y] + n[x])]))
+            a = np.concatenate([np.full(len(y), ids[x]) for x, y in made]) if made else np.zeros(0, np.int64)
+            b = np.concatenate([ids[y] for _, y in made]) if made else np.zeros(0, np.int64)
+            yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+
+    return map_batches(cells.select("i", "j", "rows"), each, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, width: int, p: int, q: int) -> DataFrame:
     """Of pairs (a, b), those whose shingle sets are similar enough."""
 
@@ -196,22 +231,23 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     until no edge changes; the number of edges never grows.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    before = fingerprint(edges)
     for _ in range(limit):
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select("b", "m").where("b <> m").union(low.select("a", "m")).toDF("a", "b").distinct()
-        after = cut(small)
-        total = lambda e: e.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        same = total(after) == total(edges)
-        edges = after
-        if same:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        edges = cut(small.where("a <> b").distinct())
+        after = fingerprint(edges)
+        if after == before:
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        before = after
+    raise RuntimeError("components did not settle")
+
+
+def fingerprint(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 
 
 def link_components(spark: SparkSession, docs: DataFrame, width: int = 4, p: int = 85, q: int = 100) -> DataFrame:
@@ -228,30 +264,14 @@ def link_components(spark: SparkSession, docs: DataFrame, width: int = 4, p: int
     shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     buckets = cut(keys.join(shared, "key"))
     sets = cut(sketches(texts.join(buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), width))
-    roots = None
-    links = spark.createDataFrame([], "a long, b long")
-    while True:
-        open_ = buckets
-        if roots is not None:
-            open_ = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        else:
-            open_ = buckets.withColumn("root", F.col("id"))
-        stats = open_.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("id").alias("hub"), F.min_by("root", "id").alias("hub_root")).where("m > 1 and r0 <> r1")
-        live = cut(open_.join(stats.select("key", "m", "hub", "hub_root"), "key"))
-        if live.isEmpty():
-            break
-        star = live.where(f"m > {SMALL_BUCKET} and root <> hub_root").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        few = live.where(f"m <= {SMALL_BUCKET}").select("key", "id", "root")
-        other = few.toDF("key", "id2", "root2")
-        inside = few.join(other, "key").where("id < id2 and root <> root2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        pairs = star.union(inside).distinct()
-        found = verified(cut(near(pairs, sets, p, q)), sets, width, p, q)
-        links = cut(links.union(found).union(roots.toDF("a", "b") if roots is not None else found.limit(0)))
-        roots = components(links)
-        links = links.limit(0)
-        buckets = live.where(f"m > {SMALL_BUCKET} and id <> hub").select("key", "id")
-    if roots is None:
-        roots = spark.createDataFrame([], "id long, root long")
+    star = buckets.join(buckets.groupBy("key").agg(F.min("id").alias("hub")), "key").where("id <> hub")
+    pairs = near(star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets, p, q)
+    links = cut(verified(pairs, sets, width, p, q))
+    roots = components(links)
+    pairs = cut(open_pairs(buckets, roots, sets, p, q))
+    if not pairs.isEmpty():
+        more = verified(pairs, sets, width, p, q)
+        roots = components(more.union(roots.toDF("a", "b")))
     named = groups.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", "n_shingles", F.coalesce("root", "rep").alias("root"))
     out = rows.join(named, ["hi", "lo", "n_shingles"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
