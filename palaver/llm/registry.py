@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from palaver.llm import decontaminate, jaccard, langid, linededup, toxicity
+from palaver.llm import decontaminate, jaccard, langid, linededup, quality, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op3_gated_network_toxicity": toxicity.op3_gated_network_toxicity,
         "op4_site_spread_line_dedup": linededup.op4_site_spread_line_dedup,
         "op6_parity_sketch_join": jaccard.op6_parity_sketch_join,
+        "op7_weak_supervision_quality": quality.op7_weak_supervision_quality,
     }
 
 
