@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from palaver.llm import decontaminate, jaccard, langid, linededup, quality, toxicity
+from palaver.llm import chat, decontaminate, jaccard, langid, linededup, mixing, quality, toxicity
 
 
 def queries() -> dict:
@@ -13,8 +13,10 @@ def queries() -> dict:
         "op2_prefix_filtered_decontamination": decontaminate.op2_prefix_filtered_decontamination,
         "op3_gated_network_toxicity": toxicity.op3_gated_network_toxicity,
         "op4_site_spread_line_dedup": linededup.op4_site_spread_line_dedup,
+        "op5_sainte_lague_mixing": mixing.op5_sainte_lague_mixing,
         "op6_parity_sketch_join": jaccard.op6_parity_sketch_join,
         "op7_weak_supervision_quality": quality.op7_weak_supervision_quality,
+        "op10_snapshot_collapse_chat": chat.op10_snapshot_collapse_chat,
     }
 
 
@@ -22,4 +24,5 @@ def oracle_sql() -> dict:
     return {
         "op2_prefix_filtered_decontamination": decontaminate.ORACLE,
         "op4_site_spread_line_dedup": linededup.ORACLE,
+        "op10_snapshot_collapse_chat": chat.ORACLE,
     }
