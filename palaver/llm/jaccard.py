@@ -29,10 +29,10 @@ from __future__ import annotations
 from math import ceil
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.blocks import NOT_SPACE, Words, cut_blocks, map_batches, mix, runs_hash, utf8
+from palaver.llm.blocks import BASE, NOT_SPACE, Words, cut_blocks, map_batches, mix, runs_hash, utf8
 from palaver.session import cut
 
 #: Bits of the folded sketch that is compared before texts are.
@@ -107,50 +107,44 @@ def folded(own: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n and a 128-bit print of the shingle set, for every row."""
+    """doc_id, n, a 128-bit print of the shingle set and its folded sketch, for every row."""
 
     def each(batch):
         data, offsets = utf8(batch.column("text"))
-        n, hi, lo = [], [], []
+        n, hi, lo, bits = [], [], [], []
         for i, j in cut_blocks(offsets):
             for own in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width):
                 n.append(len(own))
-                hi.append(int(np.bitwise_xor.reduce(mix(own), initial=np.uint64(0)).view(np.int64)) if len(own) else 0)
-                lo.append(int(np.add.reduce(mix(own ^ np.uint64(0xA5A5))).view(np.int64)) if len(own) else 0)
-        return {"doc_id": batch.column("doc_id"), "n_shingles": n, "hi": hi, "lo": lo}
+                hi.append(int(np.bitwise_xor.reduce(mix(own), initial=np.uint64(0)).view(np.int64)))
+                lo.append(set_print(own))
+                bits.append(folded(own))
+        return {"doc_id": batch.column("doc_id"), "n_shingles": n, "hi": hi, "lo": lo, "bits": bits}
 
-    return map_batches(docs, each, "doc_id long, n_shingles long, hi long, lo long")
+    return map_batches(docs, each, "doc_id long, n_shingles long, hi long, lo long, bits binary")
 
 
-def bucket_rows(reps: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """(key, id) of every representative's shipped blocks."""
+def set_print(own: np.ndarray) -> int:
+    return int(np.add.reduce(own * BASE, dtype=np.uint64).view(np.int64))
 
-    def each(batch):
-        data, offsets = utf8(batch.column("text"))
-        ids = np.asarray(batch.column("doc_id"), np.int64)
-        for i, j in cut_blocks(offsets):
-            keys, owners = [], []
-            for k, own in enumerate(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)):
-                if len(own):
-                    keys.append(signatures(own, p, q))
-                    owners.append(np.full(len(keys[-1]), ids[i + k]))
-            if keys:
-                yield {"key": np.concatenate(keys), "id": np.concatenate(owners)}
 
-    return map_batches(reps, each, "key long, id long")
+def bucket_rows(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """(key, lo) of the shipped blocks of every set; copies within a batch ship theirs once."""
 
-
-def sketches(reps: DataFrame, width: int) -> DataFrame:
     def each(batch):
         data, offsets = utf8(batch.column("text"))
-        n, bits = [], []
+        seen: set[int] = set()
         for i, j in cut_blocks(offsets):
+            keys, owners = [], []
             for own in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width):
-                n.append(len(own))
-                bits.append(folded(own))
-        return {"id": batch.column("doc_id"), "n": n, "bits": bits, "text": batch.column("text")}
+                lo = set_print(own)
+                if len(own) and lo not in seen:
+                    seen.add(lo)
+                    keys.append(signatures(own, p, q))
+                    owners.append(np.full(len(keys[-1]), lo))
+            if keys:
+                yield {"key": np.concatenate(keys), "lo": np.concatenate(owners)}
 
-    return map_batches(reps, each, "id long, n long, bits binary, text string")
+    return map_batches(docs.select("text"), each, "key long, lo long")
 
 
 def near(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -165,7 +159,7 @@ def near(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
         open_ = ((q + p) * apart <= (q - p) * (na + nb)) & (q * np.minimum(na, nb) >= p * np.maximum(na, nb))
         return {c: np.asarray(batch.column(c), np.int64)[open_] for c in ("a", "b")}
 
-    small = sets.select("id", "n", "bits")
+    small = sets.select("id", F.col("n_shingles").alias("n"), "bits")
     wide = pairs.join(small.toDF("a", "na", "bits_a"), "a").join(small.toDF("b", "nb", "bits_b"), "b")
     return map_batches(wide.select("a", "b", "na", "nb", "bits_a", "bits_b"), each, "a long, b long")
 
@@ -180,7 +174,7 @@ def open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q:
     of = buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     stats = of.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("m > 2 and r0 <> r1")
     live = of.join(stats.select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "key")
-    live = live.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).join(sets.select("id", "n", "bits"), "id")
+    live = live.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).join(sets.select("id", F.col("n_shingles").alias("n"), "bits"), "id")
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cell = [F.col("key"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")]
     cells = live.groupBy(*cell).agg(F.collect_list(F.struct("id", "root", "n", "bits", "mine")).alias("rows"))
@@ -204,7 +198,7 @@ def open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q:
     return map_batches(cells.select("i", "j", "rows"), each, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, width: int, p: int, q: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
     """Of pairs (a, b), those whose shingle sets are similar enough."""
 
     def each(batch):
@@ -219,7 +213,9 @@ def verified(pairs: DataFrame, sets: DataFrame, width: int, p: int, q: int) -> D
         linked = np.array(linked, bool)
         return {c: np.asarray(batch.column(c), np.int64)[linked] for c in ("a", "b")}
 
-    texts = sets.select("id", "text")
+    # only the texts of candidate pairs move; repeated rows of an id count as the smallest of its texts
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = cut(docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     wide = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return map_batches(wide.select("a", "b", "text_a", "text_b"), each, "a long, b long")
 
@@ -257,21 +253,20 @@ def link_components(spark: SparkSession, docs: DataFrame, width: int = 4, p: int
     """
     docs = docs.select("doc_id", "text")
     rows = cut(describe(docs, width))
-    groups = rows.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    texts = docs.where("doc_id is not null").join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    keys = bucket_rows(texts, width, p, q)
-    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    buckets = cut(keys.join(shared, "key"))
-    sets = cut(sketches(texts.join(buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), width))
+    sets = cut(rows.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits")))
+    # a key goes with few sets, so its smallest and largest show at once whether it is shared
+    whole = Window.partitionBy("key")
+    shared = bucket_rows(docs, width, p, q).select("key", "lo", F.min("lo").over(whole).alias("l0"), F.max("lo").over(whole).alias("l1")).where("l0 <> l1")
+    # two sets with one 64-bit print only add candidates here
+    buckets = cut(shared.join(sets.select("lo", "id"), "lo").select("key", "id").distinct())
     star = buckets.join(buckets.groupBy("key").agg(F.min("id").alias("hub")), "key").where("id <> hub")
-    pairs = near(star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets, p, q)
-    links = cut(verified(pairs, sets, width, p, q))
+    pairs = cut(near(star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets, p, q))
+    links = cut(verified(pairs, docs, width, p, q))
     roots = components(links)
     pairs = cut(open_pairs(buckets, roots, sets, p, q))
     if not pairs.isEmpty():
-        more = verified(pairs, sets, width, p, q)
-        roots = components(more.union(roots.toDF("a", "b")))
+        roots = components(verified(pairs, docs, width, p, q).union(roots.toDF("a", "b")))
+    groups = sets.withColumnRenamed("id", "rep")
     named = groups.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", "n_shingles", F.coalesce("root", "rep").alias("root"))
     out = rows.join(named, ["hi", "lo", "n_shingles"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
