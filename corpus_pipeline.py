@@ -1,6 +1,90 @@
-"""The corpus pipeline: language ID, line dedup, near-duplicate removal, decontamination, mixing."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate removal, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir), works on every row that the stage before has kept, and
+returns a frame that is written and read again as the next one's docs. All but the last return the
+columns of documents: doc_id, text, lang, source, n_chars.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palaver.llm import decontaminate, jaccard, langid, linededup, mixing
+from palaver.llm.blocks import crc_remainder
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text whose best language is less probable than this is rejected.
+LEAST_SCORE = 0.4
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter and texts whose language the network is not sure of.
+
+    The network learns from the labelled rows outside the held-out fold.
+    """
+    learnt = docs.where(crc_remainder("doc_id", 5) != 0).select("text", "lang")
+    found = langid.predict(docs.select(*COLUMNS), langid.fit(learnt))
+    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes cross-site boilerplate lines; a text of which nothing but blanks is left goes."""
+    done = linededup.dedup_lines(docs.select(*COLUMNS))
+    done = done.where((F.col("_removed") == 0) | (F.trim("text", F.lit(" \t\r\n")) != ""))
+    length = F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", length).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near duplicates (five-word shingles, similarity 0.8) the smallest id.
+
+    Texts without a word, and rows without an id, are no one's duplicates.
+    """
+    found = jaccard.link_components(spark, docs, width=5, p=80, q=100)
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    return kept.select(*COLUMNS)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a window of ten words of any benchmark item."""
+    return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes words of, with size, source_size, target and taken."""
+    mixed = mixing.mix_sources(docs.select(*COLUMNS)).where("mix_taken > 0")
+    return mixed.select(*COLUMNS, *[F.col(f"mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("line_dedup", dedup_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate_benchmark),
+    ("mixing", mix_sources),
+]
+
+#: The learned first stage has no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
-STAGES: list = []
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents, each written to the shared folder and read again."""
+    import uuid
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a temporary one only where none is named."""
+    import tempfile
+
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palaver-pipeline-")

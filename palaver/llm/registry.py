@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from palaver.llm import chat, decontaminate, jaccard, langid, linededup, mixing, quality, toxicity
+from palaver.llm import chat, decontaminate, jaccard, langid, linededup, lm, mixing, quality, repeats, toxicity
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_byte_network_language_id": langid.op1_byte_network_language_id,
         "op2_prefix_filtered_decontamination": decontaminate.op2_prefix_filtered_decontamination,
         "op3_gated_network_toxicity": toxicity.op3_gated_network_toxicity,
@@ -16,6 +17,8 @@ def queries() -> dict:
         "op5_sainte_lague_mixing": mixing.op5_sainte_lague_mixing,
         "op6_parity_sketch_join": jaccard.op6_parity_sketch_join,
         "op7_weak_supervision_quality": quality.op7_weak_supervision_quality,
+        "op8_log_bilinear_scoring": lm.op8_log_bilinear_scoring,
+        "op9_deep_shallow_dedup": repeats.op9_deep_shallow_dedup,
         "op10_snapshot_collapse_chat": chat.op10_snapshot_collapse_chat,
     }
 
