@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from palaver.plans import answers, attributions, base, graphs, searches, timelines  # noqa: F401  they register
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(base.SQL)
