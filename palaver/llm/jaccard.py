@@ -276,3 +276,16 @@ def link_components(spark: SparkSession, docs: DataFrame, width: int = 4, p: int
 def op6_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of all documents under 4-word shingles and a Jaccard similarity of 0.85."""
     return link_components(spark, spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(list_aggregate(list_slice(w, i, i + least(4, len(w)) - 1), 'string_agg', ' ')) AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM w WHERE len(w) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_n FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both_n >= 85 * (a.n + b.n - both_n)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x, x AS y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(r.y) FROM r WHERE r.x = d.doc_id), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id
+"""

@@ -27,5 +27,6 @@ def oracle_sql() -> dict:
     return {
         "op2_prefix_filtered_decontamination": decontaminate.ORACLE,
         "op4_site_spread_line_dedup": linededup.ORACLE,
+        "op6_parity_sketch_join": jaccard.ORACLE,
         "op10_snapshot_collapse_chat": chat.ORACLE,
     }
