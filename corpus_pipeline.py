@@ -31,8 +31,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes cross-site boilerplate lines; a text of which nothing but blanks is left goes."""
     done = linededup.dedup_lines(docs.select(*COLUMNS))
-    done = done.where((F.col("_removed") == 0) | (F.trim("text", F.lit(" \t\r\n")) != ""))
-    length = F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    done = done.where((F.col("lines_removed") == 0) | (F.trim("text", F.lit(" \t\r\n")) != ""))
+    length = F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", length).select(*COLUMNS)
 
 

@@ -80,27 +80,31 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs (doc_id, text, source, ...) with boilerplate lines taken out of text, and _lines and _removed.
+    """docs (doc_id, text, source, ...) with boilerplate lines taken out of text, with line_count and lines_removed at their end.
 
     Texts that lose nothing are unchanged to the byte.
     """
-    gone = removals(docs, min_sites).toDF("_gid", "_gth", "_drop")
-    joined = docs.withColumn("_th", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names, strict=True))
+    gone = removals(docs.select("doc_id", "text", "source"), min_sites).toDF("_gid", "_gth", "_drop")
+    work = docs.toDF(*names).withColumn("_th", F.xxhash64(own["text"]))
+    joined = work.join(gone, F.col(own["doc_id"]).eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
     # explode keeps the split lines a column of their own: an array that a lambda reads is not split again for each line
-    joined = joined.withColumn("_parts", F.explode(F.array(F.split("text", "\n"))))
+    joined = joined.withColumn("_parts", F.explode(F.array(F.split(own["text"], "\n"))))
     parts = F.col("_parts")
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_drop"), lambda i: parts[i]), "\n")
+    text = F.when(F.col("_drop").isNull(), F.col(own["text"])).otherwise(kept)
     return joined.select(
-        *[F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("_removed"),
+        *[(text if c == "text" else F.col(n)).alias(c) for c, n in own.items()],
+        F.when(parts.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("line_count"),
+        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("lines_removed"),
     )
 
 
 def op4_site_spread_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the SHA-256 of the text that is left, for every document."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source")
-    return dedup_lines(docs).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup_lines(docs).select("doc_id", F.col("line_count").alias("n_lines"), F.col("lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 ORACLE = f"""

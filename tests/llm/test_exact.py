@@ -75,16 +75,16 @@ def test_lines_of_many_sites(spark, odd, empty):
     found = {r.doc_id: r for r in linededup.dedup_lines(with_clashes(docs), 5).collect()}
     assert found[10].text == "own 0\n same line \nrare 0\n"  # the first copy stays, with its spaces
     assert [found[10 + i].text for i in (1, 5)] == ["own 1\nrare 1\n", "own 5\nrare 1\n"]
-    assert found[30].text == "" and found[30]._removed == 1
+    assert found[30].text == "" and found[30].lines_removed == 1
     assert [found[i].text for i, t, *_ in odd_rows()] == [t for _, t, *_ in odd_rows()]
-    assert found[4]._lines == 0 and found[3]._lines == 1
+    assert found[4].line_count == 0 and found[3].line_count == 1
     assert linededup.dedup_lines(empty).count() == 0
 
 
 def test_hll_and_exact_counts_agree_at_the_threshold(spark):
     rows = [(s * 10 + k, f"line of {k}", "en", f"s{s}", 1) for k in (7, 8, 9) for s in range(k)]
     docs = spark.createDataFrame(rows, DOCS)
-    gone = sorted(r.doc_id for r in linededup.dedup_lines(docs).where("_removed > 0").collect())
+    gone = sorted(r.doc_id for r in linededup.dedup_lines(docs).where("lines_removed > 0").collect())
     assert gone == sorted(s * 10 + k for k in (8, 9) for s in range(1, k))
 
 
@@ -162,7 +162,8 @@ def test_mix(spark, odd, empty, monkeypatch):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     aims = mixing.targets([sum(r.mix_size for r in sizes[s]) for s in order])
     for s, aim in zip(order, aims, strict=True):
-        assert {(r.mix_target, r.mix_source_size) for r in sizes[s]} == {(pytest.approx(aim), sum(r.mix_size for r in sizes[s]))}
+        assert {r.mix_source_size for r in sizes[s]} == {sum(r.mix_size for r in sizes[s])}
+        assert [r.mix_target for r in sizes[s]] == pytest.approx([aim] * len(sizes[s]))
         assert abs(sum(r.mix_taken for r in sizes[s]) - aim) <= 0.02 * aim + 2 * mixing.BLOCK * 20
     again = mixing.mix_sources(with_clashes(docs)).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, found))
@@ -203,7 +204,7 @@ def test_em_finds_the_weak_rule():
         v = tuple(y if rng.random() < a else -y for a in (0.95, 0.9, 0.55))
         counts[v] = counts.get(v, 0) + 1
     _, weights = quality.fit(sorted(counts.items()))
-    assert weights[0] > 1.5 and weights[1] > 1.2 and weights[2] < 0.8
+    assert [round(up - down) for up, down in weights][0] >= 4 and weights[1][0] - weights[1][1] > 3 and weights[2][0] - weights[2][1] < 1
 
 
 # -- exact substrings
