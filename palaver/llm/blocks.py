@@ -136,6 +136,27 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[dict] |
     return df.mapInArrow(run, schema)
 
 
+def with_computed(docs: DataFrame, compute: Callable[[pa.Array], dict], added: str) -> DataFrame:
+    """docs with the columns that ``compute`` makes of its text column at their end.
+
+    ``added`` is a schema. Columns of docs that have a name of ``added`` are replaced; all others are
+    kept whatever they are called.
+    """
+    new = T._parse_datatype_string(added)
+    kept = [i for i, c in enumerate(docs.columns) if c not in new.names]
+    names = [docs.columns[i] for i in kept]
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select(*[f"c{i}" for i in kept])
+    text_at = names.index("text")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*own.schema, *new])
+
+    def each(batch):
+        return {c: batch.column(n) for n, c in enumerate(own_names)} | compute(batch.column(text_at))
+
+    own_names = own.columns
+    made = map_batches(own, each, schema)
+    return made.select(*[F.col(c).alias(n) for c, n in zip(own_names, names, strict=True)], *new.names)
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

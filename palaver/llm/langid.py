@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.blocks import bounded_sample, crc_remainder, cut_blocks, map_batches, utf8
+from palaver.llm.blocks import bounded_sample, crc_remainder, cut_blocks, map_batches, utf8, with_computed
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -201,11 +201,9 @@ def fit(labelled: DataFrame) -> Scorer | None:
 def predict(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
     """docs (with a text column) with lang_pred and lang_score at their end."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    names, text_at = docs.columns, docs.columns.index("text")
-    schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string, lang_score double"])
 
-    def each(batch):
-        data, offsets = utf8(batch.column(text_at))
+    def compute(texts):
+        data, offsets = utf8(texts)
         langs, scores = [], []
         for i, j in cut_blocks(offsets):
             own = data[offsets[i] : offsets[j]]
@@ -215,9 +213,9 @@ def predict(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
                 known = shared.value and has_letter(data[offsets[i + k] : offsets[i + k + 1]].tobytes())
                 langs.append(shared.value.labels[best[k]] if known else "und")
                 scores.append(float(min(1.0, p[k, best[k]])) if known else 0.0)
-        yield {c: batch.column(n) for n, c in enumerate(names)} | {"lang_pred": langs, "lang_score": scores}
+        return {"lang_pred": langs, "lang_score": scores}
 
-    return map_batches(docs, each, schema)
+    return with_computed(docs, compute, "lang_pred string, lang_score double")
 
 
 def op1_byte_network_language_id(spark: SparkSession, folder: str) -> DataFrame:

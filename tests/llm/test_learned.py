@@ -51,11 +51,11 @@ def test_language_tables_equal_the_network():
 
 def test_toxicity_gradients():
     """Backward passes against differences of the loss."""
-    net = toxicity.GatedNetwork()
+    net = toxicity.GatedNetwork(lm.Head(toxicity.Words(*toxicity.block_of([b"idiot fine words"]), toxicity.ALNUM).hashes))
     for p in net.parameters():
         p *= 1.5
     data, offsets = toxicity.block_of([b"you are an idiot", b"fine words here"])
-    inputs, target, weight = toxicity.Inputs(data, offsets), np.array([1.0, 0.0]), np.array([1.0, 2.0])
+    inputs, target, weight = net.inputs(data, offsets), np.array([1.0, 0.0]), np.array([1.0, 2.0])
     _, index = net.best_windows(inputs)
 
     def loss():
