@@ -197,3 +197,24 @@ def chyron_sightings(spark, folder):
     seen = table(spark, folder, "events").select("event_id", millis().alias("t"), F.get_json_object("props", "$.k").cast("long").alias("sighting"))
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",")
     return seen.groupBy("sighting").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), ids.alias("ids"))
+
+
+@query(f"""WITH {EVENTS}, p AS (SELECT user_id, event_id, event_type AS ns, t, CAST(floor(value) AS BIGINT) AS k FROM ev),
+r AS (SELECT *, coalesce(max(k) OVER (PARTITION BY user_id, ns ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS last FROM p)
+SELECT CAST(user_id AS VARCHAR) AS job, ns, CAST(sum(greatest(k - last, 0)) AS BIGINT) AS calls FROM r GROUP BY user_id, ns""")
+def job_state_stream(spark, folder):
+    """The counters of job_progress, kept as the state of a stream over the table's files."""
+    import uuid
+
+    from palaver.plans.base import millis
+    from palaver.session import shared_folder
+    from palaver.streaming.jobs import stream_counts
+
+    schema = table(spark, folder, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    lines = stream.select(F.col("user_id").cast("string").alias("job"), F.col("event_type").alias("ns"), (millis() * 1_000_000 + F.col("event_id") % 1_000_000).alias("seq"), F.floor("value").cast("long").alias("k"))
+    name = f"job_counts_{uuid.uuid4().hex}"
+    # update mode gives the sink a row for each key of a micro-batch; the last one holds the key's total
+    query = stream_counts(lines).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name).groupBy("job", "ns").agg(F.max("calls").alias("calls"))

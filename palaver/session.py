@@ -30,15 +30,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut by a checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints, which all executors share.
 
-    The folder in spark.checkpoint.dir is shared by all executors; only where it is unset, as in
-    tests on one machine, is a folder made here.
+    Only where none is named, as in tests on one machine, is a folder made here.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"palaver-{os.getpid()}-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame with its lineage cut by a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"palaver-{os.getpid()}-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
