@@ -66,3 +66,57 @@ def unique_holders(members: DataFrame, offices: DataFrame) -> DataFrame:
     holds = (role == want) | F.startswith(role, F.concat(want, F.lit(" —"))) | F.startswith(role, F.concat(want, F.lit(" -"))) | F.startswith(role, F.concat(want, F.lit(",")))
     held = members.join(F.broadcast(offices), holds)  # offices are a fixed vocabulary
     return held.groupBy("office").agg(F.count_distinct("member_id").alias("n"), F.min("member_id").alias("member_id")).where("n = 1").select("office", "member_id")
+
+
+# Portfolio terms and the keyword of the English role, in order of precedence.
+PORTFOLIOS = {
+    "பொதுப்பணி": "Public Works",
+    "நிதி": "Finance",
+    "பள்ளிக் கல்வி": "School Education",
+    "உயர் கல்வி": "Higher Education",
+    "வேளாண்": "Agriculture",
+    "மின்சார": "Electricity",
+    "போக்குவரத்து": "Transport",
+    "தொழில்": "Industries",
+    "வருவாய்": "Revenue",
+    "சட்டத்துறை": "Law",
+    "ஊரக வளர்ச்சி": "Rural Development",
+    "கூட்டுறவு": "Co-operation",
+    "சுகாதார": "Health",
+    "மக்கள் நல்வாழ்வு": "Health",
+    "உள்ளாட்சி": "Local Administration",
+    "நகராட்சி": "Municipal",
+}
+# Offices and their Tamil forms, in order of precedence.
+OFFICES = {
+    "Chief Minister": ["முதலமைச்சர்", "முதல்வர்"],
+    "Deputy Chief Minister": ["துணை முதலமைச்சர்", "துணை முதல்வர்"],
+    "Speaker": ["சபாநாயகர்", "அவைத்தலைவர்", "பேரவைத் தலைவர்"],
+    "Deputy Speaker": ["துணை சபாநாயகர்"],
+    "Leader of the Opposition": ["எதிர்க்கட்சித் தலைவர்"],
+}
+
+
+def resolve_office(texts: DataFrame, members: DataFrame, longest_first: bool = True) -> DataFrame:
+    """text and member_id of the one holder of the office that a text names, null where none is.
+
+    Portfolios come before offices, each in its order, and a term whose office has several holders is
+    passed over. longest_first lets a longer office term hide a shorter one inside it, so "Deputy
+    Speaker" is not read as "Speaker"; without it, terms are tried in order alone.
+    """
+    spark = texts.sparkSession
+    terms = [(i, term, keyword, True) for i, (term, keyword) in enumerate(PORTFOLIOS.items())]
+    terms += [(1000 + 10 * i + j, term, office, False) for i, (office, forms) in enumerate(OFFICES.items()) for j, term in enumerate([office, *forms])]
+    vocabulary = spark.createDataFrame(terms, "ord int, term string, wanted string, portfolio boolean")
+    role = F.lower("role")
+    keywords = spark.createDataFrame([(k,) for k in sorted(set(PORTFOLIOS.values()))], "office string")
+    ministers = members.where(F.contains(role, F.lit("minister"))).join(F.broadcast(keywords), F.contains(role, F.lower("office")))
+    ministers = ministers.groupBy("office").agg(F.count_distinct("member_id").alias("n"), F.min("member_id").alias("member_id")).where("n = 1").select(F.col("office").alias("wanted"), "member_id", F.lit(True).alias("portfolio"))
+    offices = unique_holders(members, spark.createDataFrame([(o,) for o in OFFICES], "office string")).select(F.col("office").alias("wanted"), "member_id", F.lit(False).alias("portfolio"))
+    named = texts.select("text").distinct().join(F.broadcast(vocabulary), F.contains(F.lower("text"), F.lower("term")))
+    if longest_first:
+        longer = named.select("text", F.col("term").alias("over"), F.col("portfolio").alias("over_portfolio"))
+        hidden = named.join(longer, "text").where((F.col("term") != F.col("over")) & ~F.col("portfolio") & ~F.col("over_portfolio") & F.contains(F.lower("over"), F.lower("term"))).select("text", "term").distinct()
+        named = named.join(hidden, ["text", "term"], "left_anti")
+    held = named.join(ministers.union(offices), ["wanted", "portfolio"]).groupBy("text").agg(F.min_by("member_id", "ord").alias("member_id"))
+    return texts.join(held, "text", "left")

@@ -104,3 +104,24 @@ class RateLimiter:
 def backoff(attempt: int, draw: float, base: float = 1.5, most: float = 20.0) -> float:
     """Seconds before attempt + 1, with full jitter: draw is uniform in [0, 1)."""
     return draw * min(most, base * 2 ** (attempt - 1))
+
+RESPONSE = "promptFeedback struct<blockReason: string>, candidates array<struct<finishReason: string, content: struct<parts: array<struct<text: string, thought: boolean>>>>>"
+
+
+def response_text(body: Column) -> tuple[Column, Column]:
+    """The text of a model's JSON response, without its thoughts, and why there is none: blocked,
+    truncated, empty or parse."""
+    parsed_body = F.from_json(body, RESPONSE)
+    first = F.get(parsed_body["candidates"], 0)
+    parts = F.filter(F.coalesce(first["content"]["parts"], F.array().cast("array<struct<text:string,thought:boolean>>")), lambda p: ~F.coalesce(p["thought"], F.lit(False)))
+    text = F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    reason = first["finishReason"]
+    error = (
+        F.when(F.try_parse_json(body).isNull(), "parse")
+        .when(parsed_body["promptFeedback"]["blockReason"].isNotNull(), "blocked")
+        .when(first.isNull(), "empty")
+        .when(reason == "MAX_TOKENS", "truncated")
+        .when(reason.isNotNull() & (reason != "STOP"), "blocked")
+        .when(text == "", "empty")
+    )
+    return F.when(error.isNull(), text), error

@@ -84,3 +84,22 @@ def test_job_state_batch_and_stream_agree(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("counts").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.table("counts").collect()) == batch
+
+
+def test_response_text(spark):
+    say = lambda reason, *parts: json.dumps({"candidates": [{"finishReason": reason, "content": {"parts": [{"text": t, "thought": h} for t, h in parts]}}]})
+    bodies = [say("STOP", ("hm", True), ("a", False), ("b", False)), say("MAX_TOKENS", ("a", False)), say("SAFETY"), say("STOP"), "{}", "{x", '{"promptFeedback":{"blockReason":"OTHER"}}']
+    text, error = pv.response_text(F.col("body"))
+    found = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string").select("i", text, error).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in found] == [("ab", None), (None, "truncated"), (None, "blocked"), (None, "empty"), (None, "empty"), (None, "parse"), (None, "blocked")]
+
+
+def test_rate_and_backoff():
+    limiter = pv.RateLimiter(600)
+    import time
+
+    begin = time.monotonic()
+    for _ in range(3):
+        limiter.acquire()
+    assert time.monotonic() - begin >= 0.19
+    assert [pv.backoff(n, 1.0) for n in (1, 2, 9)] == [1.5, 3.0, 20.0]

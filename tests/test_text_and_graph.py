@@ -95,3 +95,11 @@ def test_answers(spark):
     df = spark.createDataFrame([(1, "x [S001, S009]", ["S001"]), (2, "no id", ["S001"])], "answer_id long, text string, context array<string>")
     checked = an.check_citations(df)
     assert [(r.good, r.bad, r.refused) for r in checked.orderBy("answer_id").collect()] == [(["S001"], ["S009"], False), ([], [], True)]
+
+
+def test_offices_by_portfolio_and_longest_term(spark):
+    members = spark.createDataFrame([(1, "Speaker"), (2, "Deputy Speaker"), (3, "Minister — Finance"), (4, "Minister — Health"), (5, "Minister — Health and Law")], "member_id long, role string")
+    texts = spark.createDataFrame([("the Deputy Speaker",), ("சபாநாயகர்",), ("நிதி அமைச்சர்",), ("சுகாதார அமைச்சர்",), ("nobody",)], "text string")
+    found = {r.text: r.member_id for r in rs.resolve_office(texts, members).collect()}
+    assert found == {"the Deputy Speaker": 2, "சபாநாயகர்": 1, "நிதி அமைச்சர்": 3, "சுகாதார அமைச்சர்": None, "nobody": None}
+    assert {r.text: r.member_id for r in rs.resolve_office(texts, members, False).collect()}["the Deputy Speaker"] == 1
