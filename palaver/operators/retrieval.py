@@ -18,11 +18,16 @@ def retrieval_text(speaker: Column, english: Column, original: Column) -> Column
     return F.concat(F.coalesce(speaker, F.lit("Unknown speaker")), F.lit(": "), F.coalesce(F.nullif(english, F.lit("")), original))
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, term, tf and the document's length dl."""
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """term and df over the whole corpus: distinct within the row, so counts combine on the map side."""
+    return docs.select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def postings_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, term, tf and the document's length dl, for these terms only."""
     tokens = docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
     rows = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return rows.join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -32,16 +37,15 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     below zero is replaced by EPSILON times the mean idf of the vocabulary. Repeated query terms
     count repeatedly.
     """
-    terms = term_counts(docs)
     totals = docs.select(F.size(tokenize(F.col("text"))).cast("long").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    df = document_frequencies(docs)
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     rated = cut(df.crossJoin(F.broadcast(totals)).select("term", raw.alias("idf"), "avgdl"))  # totals is one row
     mean = rated.agg(F.avg("idf").alias("mean_idf"))
     wanted = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     idf = rated.join(wanted.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
     idf = idf.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
-    postings = terms.join(wanted.join(idf, "term"), "term")
+    postings = postings_of(docs, wanted.select("term").distinct()).join(wanted.join(idf, "term"), "term")
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return postings.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * weight).alias("score"))
 
