@@ -29,6 +29,7 @@ from __future__ import annotations
 from math import ceil
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,9 @@ from palaver.llm.blocks import BASE, NOT_SPACE, Words, cut_blocks, map_batches,
 from palaver.session import cut
 
 #: Bits of the folded sketch that is compared before texts are.
-SKETCH_BITS = 2048
+SKETCH_BITS = 1024
+#: Bits of the map of candidate ids that keeps other texts from being moved; a full map keeps none.
+ID_BITS = 1 << 23
 #: Growth of the set sizes from one band to the next.
 BAND_RATIO = 1.5
 #: Members of a bucket that are held in memory against as many others.
@@ -75,6 +78,13 @@ def shingle_sets(data, offsets, width: int):
             yield np.zeros(0, np.uint64)
 
 
+def column_sets(column, width: int):
+    """shingle_sets() of a whole column, a block at a time."""
+    data, offsets = utf8(column)
+    for i, j in cut_blocks(offsets):
+        yield from shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+
+
 def signatures(own: np.ndarray, p: int, q: int) -> np.ndarray:
     """Bucket keys of one set: band, block and the block's fingerprint, hashed together."""
     n, found = len(own), []
@@ -128,23 +138,47 @@ def set_print(own: np.ndarray) -> int:
 
 
 def bucket_rows(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """(key, lo) of the shipped blocks of every set; copies within a batch ship theirs once."""
+    """(key, doc_id) of the shipped blocks of every set; copies within a batch ship theirs once."""
 
     def each(batch):
         data, offsets = utf8(batch.column("text"))
+        ids = np.asarray(batch.column("doc_id"), np.int64)
         seen: set[int] = set()
         for i, j in cut_blocks(offsets):
             keys, owners = [], []
-            for own in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width):
+            for k, own in enumerate(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)):
                 lo = set_print(own)
                 if len(own) and lo not in seen:
                     seen.add(lo)
                     keys.append(signatures(own, p, q))
-                    owners.append(np.full(len(keys[-1]), lo))
+                    owners.append(np.full(len(keys[-1]), ids[i + k]))
             if keys:
-                yield {"key": np.concatenate(keys), "lo": np.concatenate(owners)}
+                yield {"key": np.concatenate(keys), "doc_id": np.concatenate(owners)}
+
+    return map_batches(docs.where("doc_id is not null").select("doc_id", "text"), each, "key long, doc_id long")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of these ids; repeated rows of an id count as the smallest of its texts.
+
+    A map of ID_BITS bits, marked by the ids' hashes, goes to the scan of the texts, so nearly all
+    others stay where they are; the join after it is exact.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS)).cast("int")
+    words = ids.select(place.alias("h")).selectExpr("shiftright(h, 6) as w", "shiftleft(1L, h & 63) as bit")
+    marked = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()  # ID_BITS / 64 rows at most
+    bitmap = np.zeros(ID_BITS // 64, np.int64)
+    bitmap[[r.w for r in marked]] = [r.bits for r in marked]
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def each(batch):
+        h = np.asarray(batch.column("h"), np.int64)
+        kept = batch.filter(pa.array(((shared.value[h >> 6] >> (h & 63)) & 1).astype(bool)))
+        return {"doc_id": kept.column("doc_id"), "text": kept.column("text")}
 
-    return map_batches(docs.select("text"), each, "key long, lo long")
+    rows = docs.where("doc_id is not null").select("doc_id", "text", place.alias("h"))
+    likely = map_batches(rows, each, "doc_id long, text string")
+    return likely.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
 def near(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -202,20 +236,14 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, p: int, q: int) -> D
     """Of pairs (a, b), those whose shingle sets are similar enough."""
 
     def each(batch):
-        made = []
-        for c in ("text_a", "text_b"):
-            data, offsets = utf8(batch.column(c))
-            made.append((own for i, j in cut_blocks(offsets) for own in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)))
         linked = []
-        for x, y in zip(*made, strict=True):
+        for x, y in zip(column_sets(batch.column("text_a"), width), column_sets(batch.column("text_b"), width), strict=True):
             both = len(x) + len(y) - len(np.union1d(x, y))
             linked.append(bool(len(x)) and bool(len(y)) and q * both >= p * (len(x) + len(y) - both))
         linked = np.array(linked, bool)
         return {c: np.asarray(batch.column(c), np.int64)[linked] for c in ("a", "b")}
 
-    # only the texts of candidate pairs move; repeated rows of an id count as the smallest of its texts
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    texts = texts_of(docs, cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
     wide = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return map_batches(wide.select("a", "b", "text_a", "text_b"), each, "a long, b long")
 
@@ -254,23 +282,24 @@ def link_components(spark: SparkSession, docs: DataFrame, width: int = 4, p: int
     docs = docs.select("doc_id", "text")
     rows = cut(describe(docs, width))
     sets = cut(rows.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits")))
-    # a key goes with few sets, so its smallest and largest show at once whether it is shared
+    # the representative of every row's set
+    reps = cut(rows.drop("bits").join(sets.drop("bits"), ["hi", "lo", "n_shingles"], "left").select("doc_id", "n_shingles", "id"))
+    # a key goes with few texts, so its smallest and largest show at once whether it is shared
     whole = Window.partitionBy("key")
-    shared = bucket_rows(docs, width, p, q).select("key", "lo", F.min("lo").over(whole).alias("l0"), F.max("lo").over(whole).alias("l1")).where("l0 <> l1")
-    # two sets with one 64-bit print only add candidates here
-    buckets = cut(shared.join(sets.select("lo", "id"), "lo").select("key", "id").distinct())
-    star = buckets.join(buckets.groupBy("key").agg(F.min("id").alias("hub")), "key").where("id <> hub")
+    ends = lambda c: (F.min(c).over(whole).alias("first"), F.max(c).over(whole).alias("last"))
+    shared = bucket_rows(docs, width, p, q).select("key", "doc_id", *ends("doc_id")).where("first <> last")
+    named = shared.join(reps.where("id is not null").select("doc_id", "id").distinct(), "doc_id").select("key", "id").repartition("key").distinct()
+    buckets = cut(named.select("key", "id", *ends("id")).where("first <> last").select("key", "id", F.col("first").alias("hub")))
+    star = buckets.where("id <> hub")
     pairs = cut(near(star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets, p, q))
     links = cut(verified(pairs, docs, width, p, q))
     roots = components(links)
     pairs = cut(open_pairs(buckets, roots, sets, p, q))
     if not pairs.isEmpty():
         roots = components(verified(pairs, docs, width, p, q).union(roots.toDF("a", "b")))
-    groups = sets.withColumnRenamed("id", "rep")
-    named = groups.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", "n_shingles", F.coalesce("root", "rep").alias("root"))
-    out = rows.join(named, ["hi", "lo", "n_shingles"], "left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
+    out = reps.join(roots, "id", "left")
+    alone = F.col("id").isNull() | F.col("doc_id").isNull()
+    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("root", "id")).alias("component_id"))
 
 
 def op6_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
