@@ -37,7 +37,7 @@ from palaver.llm.blocks import BASE, NOT_SPACE, Words, cut_blocks, map_batches,
 from palaver.session import cut
 
 #: Bits of the folded sketch that is compared before texts are.
-SKETCH_BITS = 1024
+SKETCH_BITS = 2048
 #: Bits of the map of candidate ids that keeps other texts from being moved; a full map keeps none.
 ID_BITS = 1 << 23
 #: Growth of the set sizes from one band to the next.
@@ -205,7 +205,7 @@ def open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q:
     others are compared in memory, CHUNK members against CHUNK members; a larger bucket is dealt out
     in chunks by the members' hash, one task row for each pair of chunks.
     """
-    of = buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    of = buckets.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     stats = of.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("m > 2 and r0 <> r1")
     live = of.join(stats.select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "key")
     live = live.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).join(sets.select("id", F.col("n_shingles").alias("n"), "bits"), "id")
@@ -288,9 +288,12 @@ def link_components(spark: SparkSession, docs: DataFrame, width: int = 4, p: int
     whole = Window.partitionBy("key")
     ends = lambda c: (F.min(c).over(whole).alias("first"), F.max(c).over(whole).alias("last"))
     shared = bucket_rows(docs, width, p, q).select("key", "doc_id", *ends("doc_id")).where("first <> last")
-    named = shared.join(reps.where("id is not null").select("doc_id", "id").distinct(), "doc_id").select("key", "id").repartition("key").distinct()
-    buckets = cut(named.select("key", "id", *ends("id")).where("first <> last").select("key", "id", F.col("first").alias("hub")))
-    star = buckets.where("id <> hub")
+    known = reps.where("id is not null").select("doc_id", "id", F.col("n_shingles").alias("n")).distinct()
+    named = shared.join(known, "doc_id").select("key", "id", "n").repartition("key").distinct()
+    hub, last = F.min(F.struct("id", "n")).over(whole), F.max("id").over(whole)
+    buckets = cut(named.select("key", "id", "n", hub.alias("hub"), last.alias("last")).where("hub.id <> last").select("key", "id", "n", "hub"))
+    # most pairs of a hub differ too much in size: they go before anything is fetched for them
+    star = buckets.where("id <> hub.id").where(q * F.least("n", "hub.n") >= p * F.greatest("n", "hub.n")).select("id", F.col("hub.id").alias("hub"))
     pairs = cut(near(star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets, p, q))
     links = cut(verified(pairs, docs, width, p, q))
     roots = components(links)
