@@ -7,8 +7,8 @@ backwards; attention pools the states of a window into one vector and a logistic
 text's score is that of its highest window: a passage counts the same wherever it stands and however
 long the text is. All windows of the whole text are scored.
 
-Labels are learnt from a bounded sample of the allowed rows (TRAIN_ROWS of each class); a text of
-several windows is learnt by the window that scores highest at the time. The word table begins at
+Labels are learnt from a bounded sample of the allowed rows (TRAIN_ROWS of each class), each whole; a
+text is learnt by the one of all its windows that scores highest at the time. The word table begins at
 the smoothed log-odds of a word between the two classes of the sample; words of fewer than LEAST_DOCS
 of its texts have no row and are known by their trigrams alone. Every fifth text of the sample
 is not learnt from: the final scale is fitted on those, to the share of toxic rows among all labelled
@@ -30,8 +30,8 @@ WINDOW, STRIDE = 48, 32
 HIDDEN = 6
 WORD_DIM, CHAR_DIM = 3, 3
 CHAR_ROWS = 1 << 14
-#: Bound of the training sample: rows of each class, and windows of one text.
-TRAIN_ROWS, TRAIN_WINDOWS = 1500, 24
+#: Bound of the training sample: whole rows of each class.
+TRAIN_ROWS = 1500
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: A small sample is gone over more often, for so many steps at least.
 LEAST_STEPS = 120
@@ -60,6 +60,7 @@ class Inputs:
         gram = (before * np.uint32(0x9E3779B1) ^ low * np.uint32(0x85EBCA77) ^ after * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
         self.gram = (gram >> np.uint32(18)).astype(np.int64)[inside]
         self.lengths = words.ends - words.starts
+        self.text = words.text
 
     def heads(self) -> np.ndarray:
         return np.cumsum(self.lengths) - self.lengths
@@ -183,13 +184,10 @@ class GatedNetwork:
             np.add.at(g_chars, inputs.gram, np.repeat(d_x[:-1, WORD_DIM:] / inputs.lengths[:, None], inputs.lengths, axis=0))
         return [g_words, g_chars, g_inside, g_state, g_bias, g_look.astype(np.float32), g_out.astype(np.float32), g_last]
 
-    def best_windows(self, inputs: Inputs, most: int | None = None, lanes: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    def best_windows(self, inputs: Inputs, lanes: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """Highest logit of each text and the word rows of the window that has it."""
         counts = np.diff(inputs.bounds)
         owner, first = windows_of(counts)
-        if most is not None:
-            rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            owner, first = owner[rank < most], first[rank < most]
         step = np.arange(WINDOW)
         x = self.gates(inputs)
         z = np.empty(len(owner), np.float32)
@@ -201,6 +199,17 @@ class GatedNetwork:
         top = rank[np.searchsorted(owner, np.arange(len(counts)))]
         return z[top], rows(top)
 
+    def best_passages(self, texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """Highest logit of each whole text and the words of the window that has it."""
+        data, offsets = block_of(texts)
+        tops, found = [], []
+        for i, j in cut_blocks(offsets):
+            own = self.inputs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            z, index = self.best_windows(own)
+            tops.append(z)
+            found += [own.text(row[0], row.max() + 1) if row[0] >= 0 else b"" for row in index]
+        return np.concatenate(tops), found
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         a, b = self.scale
         return sigmoid(a * self.best_windows(self.inputs(data, offsets))[0].astype(np.float64) + b)
@@ -233,9 +242,10 @@ def train(texts: list[bytes], target: np.ndarray, share: float, seed: int = 23)
         order = learnt[rng.permutation(len(learnt))]
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
-            own = net.inputs(*block_of([texts[i] for i in pick]))
-            _, index = net.best_windows(own, TRAIN_WINDOWS)
+            own = net.inputs(*block_of(net.best_passages([texts[i] for i in pick])[1]))
             step += 1
+            place = np.arange(WINDOW)
+            index = np.where(place < np.diff(own.bounds)[:, None], own.bounds[:-1, None] + place, -1)
             grads = net.gradients(own, net.gates(own), index, target[pick], tilt[pick])
             grads[0][-1] = 0
             for k, (p, g, (m, v)) in enumerate(zip(net.parameters(), grads, moments, strict=True)):
@@ -243,7 +253,7 @@ def train(texts: list[bytes], target: np.ndarray, share: float, seed: int = 23)
                 v += 0.01 * (g * g - v)
                 p -= RATE * (WORD_RATE if k == 0 else 1) * (m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6) + DECAY * p)
     used = np.flatnonzero(checks) if len(set(target[checks])) == 2 else np.arange(len(texts))
-    z = np.concatenate([net.best_windows(net.inputs(*block_of([texts[i] for i in used[at : at + 256]])))[0] for at in range(0, len(used), 256)]).astype(np.float64)
+    z = net.best_passages([texts[i] for i in used])[0].astype(np.float64)
     many = np.bincount(target[used].astype(np.int64), minlength=2)
     net.scale = calibrated(z, target[used], np.where(target[used] == 1, share / many[1], (1 - share) / many[0]))
     return net
@@ -270,9 +280,7 @@ def fit(labelled: DataFrame) -> GatedNetwork | float:
         return share
     rows = []
     for c in (0, 1):
-        # only the words that the trained windows can reach leave the executors
-        reach = 12 * (STRIDE * (TRAIN_WINDOWS - 1) + WINDOW)
-        found = bounded_sample(labelled.where(F.col("toxic") == c), TRAIN_ROWS, F.col("text")).select(F.left("text", F.lit(reach)).alias("text"))
+        found = bounded_sample(labelled.where(F.col("toxic") == c), TRAIN_ROWS, F.col("text")).select("text")
         rows += [(r.text.encode(), c) for r in found.collect()]
     rows.sort()
     return train([x for x, _ in rows], np.array([c for _, c in rows], np.float32), share)

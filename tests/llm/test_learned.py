@@ -97,6 +97,21 @@ def test_toxicity_learns_and_meets_odd_rows(spark, odd):
     assert toxicity.score(odd.limit(0), net).count() == 0
 
 
+def test_toxicity_learns_passages_at_the_end_of_long_texts(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 12))
+    rows = []
+    for i in range(60):
+        words, toxic = [word() for _ in range(820)], int(i % 3 == 0)
+        if toxic:
+            words[-int(rng.integers(1, 20))] = "moronic"
+        rows.append((i, " ".join(words), toxic))
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    net = toxicity.fit(labelled.where("doc_id < 45").select("text", "toxic"))
+    scores = {r.doc_id: r.toxicity for r in toxicity.score(labelled.where("doc_id >= 45"), net).collect()}
+    assert np.mean([(scores[i] >= toxicity.THRESHOLD) == bool(t) for i, _, t in rows if i >= 45]) > 0.9
+
+
 def test_every_word_is_in_a_window():
     for n in [*range(0, 200), 1000]:
         owner, first = toxicity.windows_of(np.array([n]))
