@@ -207,11 +207,13 @@ def job_state_stream(spark, folder):
     import uuid
 
     from palaver.plans.base import millis
-    from palaver.session import shared_folder
+    from palaver.session import is_folder, shared_folder
     from palaver.streaming.jobs import stream_counts
 
     schema = table(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    reader, path = spark.readStream.schema(schema), f"{folder}/events.parquet"
+    # a stream reads folders only: a table of part files is one, of a single file its folder's other files are left out
+    stream = reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", "events.parquet").parquet(folder)
     lines = stream.select(F.col("user_id").cast("string").alias("job"), F.col("event_type").alias("ns"), (millis() * 1_000_000 + F.col("event_id") % 1_000_000).alias("seq"), F.floor("value").cast("long").alias("k"))
     name = f"job_counts_{uuid.uuid4().hex}"
     # update mode gives the sink a row for each key of a micro-batch; the last one holds the key's total

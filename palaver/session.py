@@ -38,6 +38,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"palaver-{os.getpid()}-")
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any store that Spark reads is a folder."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext

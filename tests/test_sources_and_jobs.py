@@ -103,3 +103,26 @@ def test_rate_and_backoff():
         limiter.acquire()
     assert time.monotonic() - begin >= 0.19
     assert [pv.backoff(n, 1.0) for n in (1, 2, 9)] == [1.5, 3.0, 20.0]
+
+
+def test_job_state_stream_reads_a_file_and_a_folder(spark, tmp_path):
+    """A table of one file, beside another table, and the same table as a folder of part files."""
+    import datetime as dt
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from palaver.plans.timelines import job_state_stream
+
+    rows = [{"event_id": i, "ts": dt.datetime(2024, 1, 1, 0, 0, i), "user_id": i % 2, "event_type": "view", "value": float(i)} for i in range(10)]
+    made = pa.Table.from_pylist(rows)
+    for name in ("file", "folder"):
+        (tmp_path / name).mkdir()
+    pq.write_table(made, tmp_path / "file/events.parquet")
+    pq.write_table(made, tmp_path / "file/other.parquet")
+    (tmp_path / "folder/events.parquet").mkdir()
+    for k in range(2):
+        pq.write_table(made.slice(5 * k, 5), tmp_path / f"folder/events.parquet/part-{k}.parquet")
+    for name in ("file", "folder"):
+        found = job_state_stream(spark, str(tmp_path / name)).collect()
+        assert sorted((r.job, r.ns, r.calls) for r in found) == [("0", "view", 8), ("1", "view", 9)]
