@@ -54,9 +54,14 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, with size, source_size, target and taken."""
+    """What the mix takes of each document, as its text, with size, source_size, target and taken.
+
+    The text holds the taken blocks only, a repeated document twice; it has ``taken`` words.
+    """
     mixed = mixing.mix_sources(docs.select(*COLUMNS)).where("mix_taken > 0")
-    return mixed.select(*COLUMNS, *[F.col(f"mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+    text = mixing.taken_text(F.col("text"), F.col("mix_spans"))
+    mixed = mixed.withColumn("_text", text).withColumn("n_chars", F.when(F.col("_text") == F.col("text"), F.col("n_chars")).otherwise(F.length("_text").cast("long")))
+    return mixed.withColumn("text", F.col("_text")).select(*COLUMNS, *[F.col(f"mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
 STAGES = [

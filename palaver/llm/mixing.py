@@ -14,8 +14,9 @@ Selection: a source is dealt to shards by a hash of the id, as many as keep a sh
 words (MAX_SHARDS at most), so no task holds a source. Within a shard the documents are ordered by a
 seeded hash and their words numbered through; each pass over the shard is one run of blocks. A quota
 takes whole passes first and then blocks of the next pass in the order of a seeded affine
-permutation, so a document is cut at block edges and is taken REPEATS times at most. Only ids, sizes
-and hashes are shuffled, never texts.
+permutation, so a document is cut at block edges and is taken REPEATS times at most. What is taken of a document is
+its spans: ranges of its words (start, end, repeats), of which its taken words are the sum. op5 shuffles
+only ids, sizes and hashes, never texts.
 
 The driver holds a row for each source and shard: MAX_SHARDS times the number of sources at most.
 
@@ -41,6 +42,10 @@ MAX_SHARDS = 1024
 SEED = 20240229
 
 
+#: A word and the white space that follows it.
+WORD = "[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
@@ -130,7 +135,7 @@ def sizes_of(docs: DataFrame) -> DataFrame:
 
 
 def mix(sized: DataFrame) -> DataFrame:
-    """Rows of sizes_of(), and any columns besides, with source_size, target and taken."""
+    """Rows of sizes_of(), and any columns besides, with source_size, target, taken and spans."""
     spark = sized.sparkSession
     rows = plan(sized.select("doc_id", "source", "size"))
     schema = "_s string, _shard int, _shards int, source_size long, target double, _blocks long, _quota long, _step long, _from long"
@@ -141,32 +146,57 @@ def mix(sized: DataFrame) -> DataFrame:
     order = Window.partitionBy("source", "_at").orderBy(F.xxhash64("doc_id", F.lit(SEED + 1)), "doc_id", "size", "tie")
     placed = dealt.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     joined = placed.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_at") == F.col("_shard")), "left")
-    taken = F.when(F.col("size") > 0, whole_passes() + part_pass()).otherwise(0).cast("long")
-    return joined.select(*sized.columns, "source_size", "target", taken.alias("taken"))
+    spans = F.when(F.col("size") > 0, F.concat(whole_passes(), part_pass())).otherwise(F.array().cast(SPANS))
+    taken = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + (s["end"] - s["start"]) * s["repeats"])
+    return joined.withColumn("spans", spans).select(*sized.columns, "source_size", "target", taken.alias("taken"), "spans")
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, source, ...) with mix_size, mix_source_size, mix_target and mix_taken at their end."""
+    """docs (doc_id, text, source, ...) with mix_size, mix_source_size, mix_target, mix_taken and mix_spans at their end."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     own = docs.toDF(*names)
     at = {c: F.col(n) for c, n in zip(docs.columns, names, strict=True)}
     sized = own.select("*", at["doc_id"].cast("long").alias("doc_id"), at["source"].cast("string").alias("source"), word_count(at["text"]).alias("size"), F.xxhash64(at["text"]).alias("tie"))
-    added = [F.col(c).alias(f"mix_{c}") for c in ("size", "source_size", "target", "taken")]
+    added = [F.col(c).alias(f"mix_{c}") for c in ("size", "source_size", "target", "taken", "spans")]
     return mix(sized).select(*[c.alias(n) for n, c in at.items()], *added)
 
 
+SPANS = "array<struct<start: bigint, end: bigint, repeats: bigint>>"
+
+
+def span(start: Column, end: Column, repeats: Column) -> Column:
+    return F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), repeats.cast("long").alias("repeats"))
+
+
 def whole_passes() -> Column:
-    return F.floor(F.col("_quota") / F.col("_blocks")) * F.col("size")
+    """The whole document as a span, where whole passes are taken."""
+    many = F.floor(F.col("_quota") / F.col("_blocks"))
+    return F.when(many > 0, F.array(span(F.lit(0), F.col("size"), many))).otherwise(F.array().cast(SPANS))
 
 
 def part_pass() -> Column:
-    """Words of the document in the blocks chosen from the last, partial pass."""
+    """Spans of the document in the blocks chosen from the last, partial pass."""
     begin, end = F.col("_end") - F.col("size"), F.col("_end")
     extra = F.col("_quota") % F.col("_blocks")
     step = F.sequence(F.floor(begin / BLOCK), F.floor((end - 1) / BLOCK))
-    words = lambda b: F.least(end, (b + 1) * BLOCK) - F.greatest(begin, b * BLOCK)
     chosen = lambda b: (b * F.col("_step") + F.col("_from")) % F.col("_blocks") < extra
-    return F.aggregate(step, F.lit(0).cast("long"), lambda total, b: total + F.when(chosen(b), words(b)).otherwise(F.lit(0).cast("long")))
+    words = lambda b: span(F.greatest(begin, b * BLOCK) - begin, F.least(end, (b + 1) * BLOCK) - begin, F.lit(1))
+    return F.transform(F.filter(step, chosen), words)
+
+
+def taken_text(text: Column, spans: Column) -> Column:
+    """The words of the spans with their white space; copies, and spans that do not meet, begin a new line."""
+    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731  (a lambda would evaluate value for each span)
+    return once(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda words: once(F.filter(spans, lambda s: s["end"] - s["start"] < F.size(words)), lambda part: joined_spans(text, spans, words, part)))
+
+
+def joined_spans(text: Column, spans: Column, words: Column, part: Column) -> Column:
+    whole = F.filter(spans, lambda s: s["end"] - s["start"] == F.size(words))
+    copies = F.flatten(F.transform(whole, lambda s: F.array_repeat(text, s["repeats"].cast("int"))))
+    cut = lambda s: F.array_join(F.slice(words, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), "")
+    apart = lambda s, i: F.when((i > 0) & (F.get(part, i - 1)["end"] != s["start"]), "\n").otherwise("")
+    rest = F.array_join(F.transform(part, lambda s, i: F.concat(apart(s, i), cut(s))), "")
+    return F.array_join(F.concat(copies, F.when(F.size(part) > 0, F.array(rest)).otherwise(F.array().cast("array<string>"))), "\n")
 
 
 def op5_sainte_lague_mixing(spark: SparkSession, folder: str) -> DataFrame:

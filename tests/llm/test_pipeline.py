@@ -1,6 +1,7 @@
 """The pipeline's stages on a small corpus with planted rows."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline as cp
 from helpers import DOCS, linked, odd_rows
@@ -49,3 +50,20 @@ def test_stages_on_odd_and_empty_tables(spark, tmp_path):
         docs = spark.createDataFrame(rows, DOCS)
         for _, stage in cp.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, d).select(*cp.COLUMNS).collect(), DOCS)
+
+
+def test_mixing_emits_the_taken_words(spark):
+    rng = random.Random(3)
+    text = lambda i: "".join(f"w{i}.{k}" + rng.choice([" ", "\n", "  "]) for k in range(rng.randrange(1, 150)))
+    rows = [(i, text(i), "en", "abc"[i % 3], None) for i in range(150)]
+    found = cp.mix_sources(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    emitted, aims = {}, {}
+    for r in found:
+        own = rows[r.doc_id][1].split()
+        assert len(r.text.split()) == r.taken and set(r.text.split()) <= set(own)
+        assert max(Counter(r.text.split()).values()) <= 2
+        assert r.n_chars is None and r.text == rows[r.doc_id][1] or r.n_chars == len(r.text)
+        emitted[r.source] = emitted.get(r.source, 0) + len(r.text.split())
+        aims[r.source] = r.target
+    for s, aim in aims.items():
+        assert abs(emitted[s] - aim) <= 0.02 * aim + 32
