@@ -2,26 +2,32 @@
 
 Every distinct shingle of a text toggles one bit of a wide sketch, so the Hamming distance of two
 sketches never exceeds the symmetric difference of the two sets. Two sets of sizes a and b with a
-Jaccard similarity of p / q or more differ in at most (q - p) * (a + b) / (q + p) shingles. Within
-a size band the sketch is cut into more blocks than that bound, so by the pigeonhole principle some
-blocks of linked sets are equal: blocks are joined on equality, pairs whose folded sketches differ
-in too many bits are dropped, and the rest is verified on the shingles themselves.
+Jaccard similarity of p / q or more differ in at most (q - p) * (a + b) / (q + p) shingles. Each
+size band cuts its sketch into more blocks than that bound, so by the pigeonhole principle linked
+sets agree in some blocks that are not empty, and it is known in how many: a set with f such blocks
+that may differ in d shingles from a partner shares f - d of them or more with each partner.
 
 Shape of the job:
 
-* texts with one set of shingles are collapsed first and stand as one representative (the smallest
-  id), so a group of exact copies never meets itself;
-* a block is shipped as a 64-bit fingerprint. Blocks that fewer than two shingles fall into are
-  common to unrelated texts; each band has some blocks more than the bound asks for, and a text
-  leaves such blocks out while the pigeonhole still holds without them (else it ships them all);
-* within a bucket of equal blocks the members are first paired with one hub, not with each other,
-  and the links found are merged into components. Only in buckets that still span components are the
-  other members compared, in memory, on sizes and folded sketches; pairs within a component are
-  never made, and what passes is verified. So no link between different components is lost and no
-  group of near copies is expanded into all pairs.
+* equal sets are collapsed first and stand as one, known by a 64-bit print; a set's blocks are shipped
+  as (64-bit fingerprint, print). A fingerprint that very many sets of one batch have is dealt out
+  (salted) at once, so no task gets all rows of a hot block;
+* a set that shares fewer of its blocks with any other set than it has to share with a partner is
+  out, before a pair is made. Unrelated texts go here, whatever lines they have in common;
+* within a bucket of equal blocks the members are paired with one hub, not with each other. Pairs
+  whose sketches, sized by their own bound, differ in too many bits are dropped, the rest is verified
+  and the links are merged into components;
+* buckets that still span components are compared once more: what a set shares with other
+  components is counted anew, of the blocks left only a prefix (the rarest first, by the same
+  bound) is looked at, and pairs within a component are never made. So no link between different
+  components is lost and no group of near copies is expanded into all pairs;
+* for verification the text of a pair's second set goes once to the pair, the first one's once for
+  up to GROUP partners, and one pass over sorted rows compares the shingles.
 
 Empty, null and word-less texts have an empty set and link with nothing. A null id takes no part in
-links and keeps a null component. Repeated rows give repeated rows.
+links and keeps a null component. Repeated rows give repeated rows; rows of one id with different
+texts are different sets. An empty table gives an empty result. Other columns of the input are not
+looked at, whatever their names are. A text of any length is one set.
 """
 
 from __future__ import annotations
@@ -36,14 +42,24 @@ from pyspark.sql import functions as F
 from palaver.llm.blocks import BASE, NOT_SPACE, Words, cut_blocks, map_batches, mix, runs_hash, utf8
 from palaver.session import cut
 
-#: Bits of the folded sketch that is compared before texts are.
-SKETCH_BITS = 2048
-#: Bits of the map of candidate ids that keeps other texts from being moved; a full map keeps none.
-ID_BITS = 1 << 23
 #: Growth of the set sizes from one band to the next.
 BAND_RATIO = 1.5
+#: Blocks of a sketch beyond the bound: one for each SPARE of the bound, and EXTRA.
+SPARE, EXTRA = 7, 4
+#: Bits of a set's sketch for each shingle in which it may differ, and their least number.
+BITS_EACH, LEAST_BITS = 4, 64
+#: Bits of the sketch that goes with each member of a bucket of more than FEW sets.
+SMALL_BITS, FEW = 2048, 8
+#: Bits of the map of candidate rows that keeps other texts from being moved; a full map keeps none.
+ID_BITS = 1 << 23
 #: Members of a bucket that are held in memory against as many others.
 CHUNK = 1024
+#: Partners of one text that are verified in a row.
+GROUP = 256
+#: Rows of a table that is broadcast at most (17 bytes each).
+BROADCAST_ROWS = 500_000
+#: Keys that are looked at together for hot ones, rows of one key that are left together, and salts.
+FLUSH, HOT, SALTS = 400_000, 8, 61
 
 
 def bands(top: int = 1 << 40) -> list[int]:
@@ -57,11 +73,61 @@ def bands(top: int = 1 << 40) -> list[int]:
 BANDS = np.array(bands())
 
 
-def blocks_of(band: int, p: int, q: int) -> tuple[int, int]:
-    """Blocks of a band's sketch, and how many of them linked sets are sure to share."""
-    most = int((q - p) * 2 * (int(BANDS[band + 1]) - 1) // (q + p))
-    spare = 1 + (most // 12 if most else 0)
-    return most + spare, spare
+def places(n: int, p: int, q: int) -> list[tuple[int, int, int]]:
+    """(band, blocks, most) of the bands where a set of n shingles meets its partners.
+
+    They are its own and, where a partner can be so large, the next; most is the largest symmetric
+    difference from a partner there.
+    """
+    band, found = int(np.searchsorted(BANDS, n, "right")) - 1, []
+    for g in (band, band + 1):
+        if g == band or q * n >= p * int(BANDS[g]):
+            top = int(BANDS[g + 1]) - 1
+            bound = (q - p) * 2 * top // (q + p)
+            found.append((g, bound + bound // SPARE + EXTRA, (q - p) * (n + min(top, q * n // p)) // (q + p)))
+    return found
+
+
+def block_numbers(own: np.ndarray, k: int) -> np.ndarray:
+    """The block of each shingle of a sorted set: ascending, as they follow the high bits."""
+    return ((own >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+
+
+def filled_blocks(block: np.ndarray) -> np.ndarray:
+    """Where each block that isn't empty begins."""
+    return np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+
+
+def needs(own: np.ndarray, p: int, q: int) -> list[int]:
+    """For each of places(): blocks that the set shares with any partner there, at least."""
+    found = []
+    for _, k, most in places(len(own), p, q):
+        f = len(filled_blocks(block_numbers(own, k)))
+        found.append(f - most if f > most else 1)
+    return found
+
+
+def signatures(own: np.ndarray, p: int, q: int) -> np.ndarray:
+    """The keys of all blocks that a set ships."""
+    return np.concatenate(place_keys(own, p, q))
+
+
+def place_keys(own: np.ndarray, p: int, q: int) -> list[np.ndarray]:
+    """For each of places(): the keys of the set's blocks, which hash band, block and fingerprint together.
+
+    Empty blocks are left out but where the bound leaves no other block that is surely shared.
+    """
+    wide, found = mix(own + np.uint64(0x51ED270B)), []
+    for g, k, most in places(len(own), p, q):
+        block = block_numbers(own, k)
+        begin = filled_blocks(block)
+        at, prints = block[begin], np.bitwise_xor.reduceat(wide, begin)
+        if len(begin) <= most:
+            every = np.zeros(k, np.uint64)
+            every[at.astype(np.int64)] = prints
+            at, prints = np.arange(k, dtype=np.uint64), every
+        found.append(mix(prints ^ mix(at + np.uint64(g << 40))))
+    return found
 
 
 def shingle_sets(data, offsets, width: int):
@@ -85,100 +151,108 @@ def column_sets(column, width: int):
         yield from shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
 
 
-def signatures(own: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Bucket keys of one set: band, block and the block's fingerprint, hashed together."""
-    n, found = len(own), []
-    band = int(np.searchsorted(BANDS, n, "right")) - 1
-    wide = mix(own + np.uint64(0x51ED270B))
-    for g in (band, band + 1):
-        if g > band and q * n < p * int(BANDS[g]):
-            break  # no partner is large enough for the next band
-        k, spare = blocks_of(g, p, q)
-        # own is sorted, so the block numbers, which follow the high bits, are too
-        block = ((own >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        edges = np.searchsorted(block, np.arange(k + 1, dtype=np.uint64))
-        filled = np.diff(edges)
-        prints = np.zeros(k, np.uint64)
-        some = filled > 0
-        prints[some] = np.bitwise_xor.reduceat(wide, edges[:-1][some])
-        strong = filled >= 2
-        if k - int(strong.sum()) >= spare:
-            strong = filled >= 1
-            if k - int(strong.sum()) >= spare:
-                strong[:] = True
-        at = np.flatnonzero(strong).astype(np.uint64)
-        found.append(mix(prints[strong] ^ mix(at + np.uint64(g << 40))))
-    return np.concatenate(found)
-
-
-def folded(own: np.ndarray) -> bytes:
-    """The parity sketch folded to SKETCH_BITS."""
-    return np.packbits((np.bincount((own & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
-
-
-def describe(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, a 128-bit print of the shingle set and its folded sketch, for every row."""
+def sketch_bits(n: int, p: int, q: int) -> int:
+    return max(LEAST_BITS, 1 << (BITS_EACH * ((q - p) * 2 * n // (q + p))).bit_length())
 
-    def each(batch):
-        data, offsets = utf8(batch.column("text"))
-        n, hi, lo, bits = [], [], [], []
-        for i, j in cut_blocks(offsets):
-            for own in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width):
-                n.append(len(own))
-                hi.append(int(np.bitwise_xor.reduce(mix(own), initial=np.uint64(0)).view(np.int64)))
-                lo.append(set_print(own))
-                bits.append(folded(own))
-        return {"doc_id": batch.column("doc_id"), "n_shingles": n, "hi": hi, "lo": lo, "bits": bits}
 
-    return map_batches(docs, each, "doc_id long, n_shingles long, hi long, lo long, bits binary")
+def sketch(own: np.ndarray, bits: int) -> np.ndarray:
+    """The parity of the shingles at each of ``bits`` (a power of two) places, packed."""
+    return np.packbits((np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def fold(rows: np.ndarray, size: int) -> np.ndarray:
+    """Packed sketches folded to ``size`` bytes: the sketches of as many bits."""
+    while rows.shape[-1] > size:
+        rows = rows[..., : rows.shape[-1] // 2] ^ rows[..., rows.shape[-1] // 2 :]
+    return rows
 
 
 def set_print(own: np.ndarray) -> int:
     return int(np.add.reduce(own * BASE, dtype=np.uint64).view(np.int64))
 
 
-def bucket_rows(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """(key, doc_id) of the shipped blocks of every set; copies within a batch ship theirs once."""
+def text_print():
+    return F.xxhash64("text")
+
+
+def describe(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """For every row: doc_id, th (a hash of the text), n_shingles, a 128-bit print of the set (hi, sid), what it needs and its sketch."""
 
     def each(batch):
-        data, offsets = utf8(batch.column("text"))
-        ids = np.asarray(batch.column("doc_id"), np.int64)
-        seen: set[int] = set()
-        for i, j in cut_blocks(offsets):
-            keys, owners = [], []
-            for k, own in enumerate(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)):
-                lo = set_print(own)
-                if len(own) and lo not in seen:
-                    seen.add(lo)
-                    keys.append(signatures(own, p, q))
-                    owners.append(np.full(len(keys[-1]), ids[i + k]))
-            if keys:
-                yield {"key": np.concatenate(keys), "doc_id": np.concatenate(owners)}
+        out = {c: [] for c in ("n_shingles", "hi", "sid", "need0", "need1", "bits")}
+        for own in column_sets(batch.column("text"), width):
+            need = [*needs(own, p, q), None][:2] if len(own) else [None, None]
+            row = (len(own), int(np.bitwise_xor.reduce(mix(own), initial=np.uint64(0)).view(np.int64)), set_print(own), *need, sketch(own, sketch_bits(len(own), p, q)).tobytes())
+            for c, v in zip(out, row, strict=True):
+                out[c].append(v)
+        return {"doc_id": batch.column("doc_id"), "th": batch.column("th")} | out
 
-    return map_batches(docs.where("doc_id is not null").select("doc_id", "text"), each, "key long, doc_id long")
+    return map_batches(docs.select("doc_id", text_print().alias("th"), "text"), each, "doc_id long, th long, n_shingles long, hi long, sid long, need0 int, need1 int, bits binary")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of these ids; repeated rows of an id count as the smallest of its texts.
+def block_rows(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """(key, sid, tag) of the shipped blocks of every set; copies within a batch ship theirs once.
 
-    A map of ID_BITS bits, marked by the ids' hashes, goes to the scan of the texts, so nearly all
-    others stay where they are; the join after it is exact.
+    tag is the number of the place plus 2 * salt. Of a key that more than HOT sets looked at together
+    have, the first has salt 1 and stays with other batches' rows, the others are dealt out.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS)).cast("int")
-    words = ids.select(place.alias("h")).selectExpr("shiftright(h, 6) as w", "shiftleft(1L, h & 63) as bit")
-    marked = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()  # ID_BITS / 64 rows at most
-    bitmap = np.zeros(ID_BITS // 64, np.int64)
-    bitmap[[r.w for r in marked]] = [r.bits for r in marked]
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def each(batch):
-        h = np.asarray(batch.column("h"), np.int64)
-        kept = batch.filter(pa.array(((shared.value[h >> 6] >> (h & 63)) & 1).astype(bool)))
-        return {"doc_id": kept.column("doc_id"), "text": kept.column("text")}
+    def dealt(keys, sids, slots):
+        keys, sids, slots = (np.concatenate(x) for x in (keys, sids, slots))
+        _, inverse, many = np.unique(keys, return_inverse=True, return_counts=True)
+        salt = np.zeros(len(keys), np.int64)
+        hot = np.flatnonzero(many[inverse] > HOT)
+        salt[hot] = 2 + (mix(sids[hot]) % np.uint64(SALTS)).astype(np.int64)
+        _, first = np.unique(inverse[hot], return_index=True)
+        salt[hot[first]] = 1
+        return {"key": keys, "sid": sids, "tag": slots + 2 * salt}
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text", place.alias("h"))
-    likely = map_batches(rows, each, "doc_id long, text string")
-    return likely.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    def each(batch):
+        seen: set[int] = set()
+        keys, sids, slots, size = [], [], [], 0
+        for own in column_sets(batch.column("text"), width):
+            sid = set_print(own)
+            if not len(own) or sid in seen:
+                continue
+            seen.add(sid)
+            for slot, found in enumerate(place_keys(own, p, q)):
+                keys.append(found)
+                sids.append(np.full(len(found), sid, np.int64).view(np.uint64))
+                slots.append(np.full(len(found), slot, np.int64))
+                size += len(found)
+            if size > FLUSH:
+                yield dealt(keys, sids, slots)
+                keys, sids, slots, size = [], [], [], 0
+        if keys:
+            yield dealt(keys, sids, slots)
+
+    return map_batches(docs.where("doc_id is not null").select("text"), each, "key long, sid long, tag int")
+
+
+def live_rows(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, sid, slot, n, need) of the blocks that sets share, for the sets that share enough of them."""
+    salt = F.shiftright("tag", 1)
+    same = Window.partitionBy("key", "salt").orderBy("sid")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select("key", "sid", (F.col("tag") % 2).alias("slot"), F.when(salt < 2, 0).otherwise(salt).alias("salt"), (salt > 0).alias("known"))
+    rows = rows.select("*", F.first("sid").over(whole).alias("first"), F.last("sid").over(whole).alias("last"), F.lag("sid").over(same).alias("before"))
+    shared = rows.where("known or first <> last").where("before is null or before <> sid").select("key", "sid", "slot")
+    own = Window.partitionBy("sid")
+    counted = shared.select("*", *[F.sum(F.when(F.col("slot") == s, 1).otherwise(0)).over(own).alias(f"has{s}") for s in (0, 1)])
+    named = counted.join(sets.select("sid", F.col("n_shingles").alias("n"), "need0", "need1"), "sid")
+    pick = lambda a: F.when(F.col("slot") == 0, F.col(f"{a}0")).otherwise(F.col(f"{a}1"))
+    return named.select("key", "sid", "slot", "n", pick("need").alias("need"), pick("has").alias("has")).where("has >= need").drop("has")
+
+
+def hub_pairs(live: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b): every set with the hub, the smallest print, of each of its buckets."""
+    hubs = live.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("hub"), F.max("sid").alias("last")).where("hub.sid <> last").select("key", "hub")
+    return live.join(hubs, "key").where("sid <> hub.sid").where(alike(F.col("n"), F.col("hub.n"), p, q)).select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")).distinct()
+
+
+def alike(m, n, p: int, q: int):
+    """Whether the sizes of two sets allow a link."""
+    return q * F.least(m, n) >= p * F.greatest(m, n)
 
 
 def near(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -186,66 +260,123 @@ def near(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
     def each(batch):
         na, nb = (np.asarray(batch.column(c), np.int64) for c in ("na", "nb"))
-        if not len(na):
-            return {"a": [], "b": []}
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(na), -1) for c in ("bits_a", "bits_b"))
-        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        x, y = (batch.column(c).to_pylist() for c in ("bits_a", "bits_b"))
+        wide = np.array([(len(s), len(t)) for s, t in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+        apart = np.zeros(len(na), np.int64)
+        for i, j in np.unique(wide, axis=0).tolist():
+            at = np.flatnonzero((wide[:, 0] == i) & (wide[:, 1] == j))
+            s = fold(np.frombuffer(b"".join(x[k] for k in at), np.uint8).reshape(len(at), i), min(i, j))
+            t = fold(np.frombuffer(b"".join(y[k] for k in at), np.uint8).reshape(len(at), j), min(i, j))
+            apart[at] = np.bitwise_count(s ^ t).sum(axis=1, dtype=np.int64)
         open_ = ((q + p) * apart <= (q - p) * (na + nb)) & (q * np.minimum(na, nb) >= p * np.maximum(na, nb))
         return {c: np.asarray(batch.column(c), np.int64)[open_] for c in ("a", "b")}
 
-    small = sets.select("id", F.col("n_shingles").alias("n"), "bits")
-    wide = pairs.join(small.toDF("a", "na", "bits_a"), "a").join(small.toDF("b", "nb", "bits_b"), "b")
-    return map_batches(wide.select("a", "b", "na", "nb", "bits_a", "bits_b"), each, "a long, b long")
+    own = sets.select("sid", F.col("n_shingles").alias("n"), "bits")
+    wide = pairs.join(own.toDF("a", "na", "bits_a"), "a").join(own.toDF("b", "nb", "bits_b"), "b")
+    return map_batches(wide.select("na", "nb", "bits_a", "bits_b", "a", "b"), each, "a long, b long")
 
 
-def open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that size and Hamming distance leave open.
+def open_pairs(live: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that counts, sizes and small sketches leave open.
 
-    The hubs' pairs are done, so buckets of two and buckets within one component are closed. The
-    others are compared in memory, CHUNK members against CHUNK members; a larger bucket is dealt out
-    in chunks by the members' hash, one task row for each pair of chunks.
+    A bucket of more than CHUNK sets is dealt out in chunks by the members' hash, one task row for each pair of chunks.
     """
-    of = buckets.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    stats = of.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("m > 2 and r0 <> r1")
-    live = of.join(stats.select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "key")
-    live = live.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).join(sets.select("id", F.col("n_shingles").alias("n"), "bits"), "id")
-    live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    of = live.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    spans = lambda df: df.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "m")
+    # linked sets share ``need`` blocks of those that span components, so one is among each one's rarest has - need + 1
+    ranked = Window.partitionBy("sid", "slot").orderBy("m", "key")
+    whole = Window.partitionBy("sid", "slot")
+    of = of.join(spans(of), "key").withColumn("rank", F.dense_rank().over(ranked)).withColumn("has", F.max("rank").over(whole))
+    of = cut(of.where("has >= need and rank <= has - need + 1").select("key", "sid", "n", "root"))
+    of = of.join(spans(of), "key")
+    few = of.where(F.col("m") <= FEW).groupBy("key").agg(F.collect_list(F.struct("sid", "root", "n", F.lit(None).cast("binary").alias("bits"), F.lit(0).alias("mine"))).alias("rows"))
+    few = few.select(F.lit(0).alias("i"), F.lit(0).alias("j"), "rows")
+    many = of.where(F.col("m") > FEW).withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
+    many = many.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")).join(small_sketches(sets), "sid")
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cell = [F.col("key"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")]
-    cells = live.groupBy(*cell).agg(F.collect_list(F.struct("id", "root", "n", "bits", "mine")).alias("rows"))
+    cells = many.groupBy(*cell).agg(F.collect_list(F.struct("sid", "root", "n", "bits", "mine")).alias("rows")).select("i", "j", "rows")
 
     def each(batch):
         for i, j, rows in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("rows"), strict=True):
             flat = rows.values
-            ids, root, n, mine = (np.asarray(flat.field(c), np.int64) for c in ("id", "root", "n", "mine"))
-            bits = np.frombuffer(b"".join(flat.field("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
+            ids, root, n, mine = (np.asarray(flat.field(c), np.int64) for c in ("sid", "root", "n", "mine"))
+            bits = flat.field("bits").to_pylist()
             left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-            made = []
+            found = []
+            size = min((len(x) for x in bits if x), default=0)
+            packed = np.stack([fold(np.frombuffer(x, np.uint8), size) for x in bits]) if size else None
             for x in left:
                 y = right[(root[right] != root[x]) & (q * np.minimum(n[right], n[x]) >= p * np.maximum(n[right], n[x]))]
                 y = y[ids[y] > ids[x]] if i == j else y
-                apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                made.append((x, y[(q + p) * apart <= (q - p) * (n[y] + n[x])]))
-            a = np.concatenate([np.full(len(y), ids[x]) for x, y in made]) if made else np.zeros(0, np.int64)
-            b = np.concatenate([ids[y] for _, y in made]) if made else np.zeros(0, np.int64)
-            yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+                if size:
+                    apart = np.bitwise_count(packed[y] ^ packed[x]).sum(axis=1, dtype=np.int64)
+                    y = y[(q + p) * apart <= (q - p) * (n[y] + n[x])]
+                if len(y):
+                    found.append(np.stack([np.full(len(y), ids[x]), ids[y]]))
+            if found:
+                a, b = np.concatenate(found, axis=1)
+                yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
 
-    return map_batches(cells.select("i", "j", "rows"), each, "a long, b long").distinct()
+    return map_batches(few.union(cells), each, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """Of pairs (a, b), those whose shingle sets are similar enough."""
+def small_sketches(sets: DataFrame) -> DataFrame:
+    """sid and its sketch, folded to SMALL_BITS where it has more."""
 
     def each(batch):
-        linked = []
-        for x, y in zip(column_sets(batch.column("text_a"), width), column_sets(batch.column("text_b"), width), strict=True):
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            linked.append(bool(len(x)) and bool(len(y)) and q * both >= p * (len(x) + len(y) - both))
-        linked = np.array(linked, bool)
-        return {c: np.asarray(batch.column(c), np.int64)[linked] for c in ("a", "b")}
+        bits = [fold(np.frombuffer(x, np.uint8), SMALL_BITS // 8).tobytes() for x in batch.column("bits").to_pylist()]
+        return {"sid": batch.column("sid"), "bits": bits}
+
+    return map_batches(sets.select("sid", "bits"), each, "sid long, bits binary")
 
-    texts = texts_of(docs, cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
-    wide = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return map_batches(wide.select("a", "b", "text_a", "text_b"), each, "a long, b long")
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """sid and text of the rows (sid, doc_id, th) of ids.
+
+    A map of ID_BITS bits, marked by the rows' hashes, goes to the scan of the texts, so nearly all
+    others stay where they are; the join after it is exact.
+    """
+    place = F.pmod(F.xxhash64("doc_id", "th"), F.lit(ID_BITS)).cast("int")
+    words = ids.select(place.alias("h")).selectExpr("shiftright(h, 6) as w", "shiftleft(1L, h & 63) as bit")
+    marked = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()  # ID_BITS / 64 rows at most
+    bitmap = np.zeros(ID_BITS // 64, np.int64)
+    bitmap[[r.w for r in marked]] = [r.bits for r in marked]
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def each(batch):
+        h = np.asarray(batch.column("h"), np.int64)
+        kept = batch.filter(pa.array(((shared.value[h >> 6] >> (h & 63)) & 1).astype(bool)))
+        return {c: kept.column(c) for c in ("doc_id", "th", "text")}
+
+    rows = docs.where("doc_id is not null").select("doc_id", text_print().alias("th"), "text").select("doc_id", "th", "text", place.alias("h"))
+    likely = map_batches(rows, each, "doc_id long, th long, text string")
+    return likely.join(ids, ["doc_id", "th"]).select("sid", "text").dropDuplicates(["sid"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """Of pairs (a, b), those whose shingle sets are similar enough."""
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    dealt = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part"))
+    second = dealt.select(F.col("b").alias("sid"), "a", "part", F.lit(1).alias("kind"))
+    aims = cut(second.union(dealt.select(F.col("a").alias("sid"), "a", "part", F.lit(0).alias("kind")).distinct()))
+    texts = texts_of(docs, cut(aims.select("sid").distinct().join(sets.select("sid", "doc_id", "th"), "sid")))
+    sent = aims.join(texts, "sid").repartition("a", "part").sortWithinPartitions("a", "part", "kind").select("a", "sid", "kind", "text")
+
+    def run(batches):
+        first = np.zeros(0, np.uint64)  # the set of the last row of kind 0: of the rows that follow it, too
+        for batch in batches:
+            a, sid, kind = (np.asarray(batch.column(c), np.int64) for c in ("a", "sid", "kind"))
+            linked = np.zeros(batch.num_rows, bool)
+            for k, own in enumerate(column_sets(batch.column("text"), width)):
+                if kind[k] == 0:
+                    first = own
+                else:
+                    both = len(first) + len(own) - len(np.union1d(first, own))
+                    linked[k] = q * both >= p * (len(first) + len(own) - both)
+            yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(sid[linked])], names=["a", "b"])
+
+    return sent.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
@@ -274,39 +405,63 @@ def fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 
 
-def link_components(spark: SparkSession, docs: DataFrame, width: int = 4, p: int = 85, q: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs (doc_id, text).
+def linked_rows(docs: DataFrame, width: int = 4, p: int = 85, q: int = 100) -> DataFrame:
+    """doc_id, th, n_shingles, root and component_id for every row of docs (doc_id, text).
 
-    Two rows link when 100 * intersection >= similarity * union of their shingle sets.
+    root names the component; it is null where a row has no id or no shingle.
+    Two rows link when q * intersection >= p * union of their shingle sets; p / q is 2 / 3 or more.
     """
+    if 3 * p < 2 * q or p > q:
+        raise ValueError("the similarity must lie between 2/3 and 1")
     docs = docs.select("doc_id", "text")
-    rows = cut(describe(docs, width))
-    sets = cut(rows.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits")))
-    # the representative of every row's set
-    reps = cut(rows.drop("bits").join(sets.drop("bits"), ["hi", "lo", "n_shingles"], "left").select("doc_id", "n_shingles", "id"))
-    # a key goes with few texts, so its smallest and largest show at once whether it is shared
-    whole = Window.partitionBy("key")
-    ends = lambda c: (F.min(c).over(whole).alias("first"), F.max(c).over(whole).alias("last"))
-    shared = bucket_rows(docs, width, p, q).select("key", "doc_id", *ends("doc_id")).where("first <> last")
-    known = reps.where("id is not null").select("doc_id", "id", F.col("n_shingles").alias("n")).distinct()
-    named = shared.join(known, "doc_id").select("key", "id", "n").repartition("key").distinct()
-    hub, last = F.min(F.struct("id", "n")).over(whole), F.max("id").over(whole)
-    buckets = cut(named.select("key", "id", "n", hub.alias("hub"), last.alias("last")).where("hub.id <> last").select("key", "id", "n", "hub"))
-    # most pairs of a hub differ too much in size: they go before anything is fetched for them
-    star = buckets.where("id <> hub.id").where(q * F.least("n", "hub.n") >= p * F.greatest("n", "hub.n")).select("id", F.col("hub.id").alias("hub"))
-    pairs = cut(near(star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets, p, q))
-    links = cut(verified(pairs, docs, width, p, q))
-    roots = components(links)
-    pairs = cut(open_pairs(buckets, roots, sets, p, q))
+    rows = cut(describe(docs, width, p, q))
+    known = rows.where("n_shingles > 0 and doc_id is not null")
+    sets = cut(known.groupBy("hi", "sid", "n_shingles", "need0", "need1", "bits").agg(F.min(F.struct("doc_id", "th")).alias("row")).select("hi", "sid", "n_shingles", "need0", "need1", "bits", "row.*"))
+    live = cut(live_rows(block_rows(docs, width, p, q), sets))
+    pairs = cut(near(hub_pairs(live, p, q), sets, p, q))
+    roots = components(verified(pairs, docs, sets, width, p, q))
+    pairs = cut(near(open_pairs(live, roots, sets, p, q), sets, p, q))
     if not pairs.isEmpty():
-        roots = components(verified(pairs, docs, width, p, q).union(roots.toDF("a", "b")))
-    out = reps.join(roots, "id", "left")
-    alone = F.col("id").isNull() | F.col("doc_id").isNull()
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("root", "id")).alias("component_id"))
+        roots = components(verified(pairs, docs, sets, width, p, q).union(roots.toDF("a", "b")))
+    named = sets.select("hi", "sid", "doc_id").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    labels = named.join(named.groupBy("root").agg(F.min("doc_id").alias("label")), "root").select("hi", "sid", "root", "label")
+    out = rows.select("doc_id", "th", "n_shingles", "hi", "sid").join(labels, ["hi", "sid"], "left")
+    alone = F.col("label").isNull() | F.col("doc_id").isNull()
+    return out.select("doc_id", "th", "n_shingles", F.when(~alone, F.col("root")).alias("root"), F.when(alone, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))
+
+
+def link_components(spark: SparkSession, docs: DataFrame, width: int = 4, p: int = 85, q: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id of linked_rows()."""
+    return linked_rows(docs, width, p, q).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, p: int = 80, q: int = 100) -> DataFrame:
+    """docs (doc_id, text, ...) with one row of each component: that of the smallest id, then of the smallest hash of the text.
+
+    Rows without an id and texts without a word are in no component and stay. Repeated rows are one component.
+    """
+    rows = cut(linked_rows(docs, width, p, q).where("root is not null").select("doc_id", "th", "root"))
+    kept = rows.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("kept"))
+    judged = rows.groupBy("root", "doc_id", "th").agg(F.count("*").alias("copies")).join(kept, "root")
+    stays = F.col("kept") == F.struct("doc_id", "th")
+    gone = cut(judged.where(~stays | (F.col("copies") > 1)).select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th"), stays.alias("_repeated")))
+    table = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("merge")
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    same = (at["doc_id"].cast("long") == F.col("_gone_id")) & (F.xxhash64(at["text"]) == F.col("_gone_th"))
+    joined = own.join(table, same, "left")
+    left = joined.where("_repeated is null").select(*own.columns)
+    if not gone.where("_repeated").isEmpty():
+        left = left.union(joined.where("_repeated").dropDuplicates(["_gone_id", "_gone_th"]).select(*own.columns))
+    return left.select(*[at[c].alias(c) for c in docs.columns])
 
 
 def op6_parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Components of all documents under 4-word shingles and a Jaccard similarity of 0.85."""
+    """doc_id, n_shingles and component_id of all documents, for 4-word shingles and a Jaccard similarity of 0.85.
+
+    Null, empty and word-less texts have n_shingles 0 and their own id as component; repeated rows
+    give repeated rows; an empty table gives no rows.
+    """
     return link_components(spark, spark.read.parquet(f"{folder}/documents.parquet"))
 
 

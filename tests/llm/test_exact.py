@@ -128,6 +128,44 @@ def test_blocks_never_lose_a_pair():
             assert len(np.intersect1d(jaccard.signatures(a, 85, 100), jaccard.signatures(b, 85, 100)))
 
 
+def test_ids_with_two_texts_and_one_of_each(spark, odd, empty):
+    """Rows of one id are judged by their own texts; of a group one row stays, repeated rows included."""
+    word = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(7, word("a")), (7, word("b")), (8, word("a") + " end"), (9, word("b") + " end"), (9, word("b") + " end"), (3, word("c")), (3, word("c")), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.link_components(spark, docs, 5, 80, 100).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(3, 3), (3, 3), (7, 7), (7, 7), (8, 7), (9, 7), (9, 7), (12, 12)]
+    kept = jaccard.one_of_each(with_clashes(docs), 5, 80, 100)
+    assert kept.columns == with_clashes(docs).columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(7, word("a")), (7, word("b")), (3, word("c")), (12, "")])
+    assert sorted((r.doc_id or 0) for r in jaccard.one_of_each(odd).collect()) == [0, 1, 3, 4, 5, 6, 7, 8]
+    assert jaccard.one_of_each(empty).count() == 0
+
+
+def test_large_unrelated_sets_are_out_before_verification(spark):
+    """Long texts with many shared passages give no pair for verification; the sketch grows with the set."""
+    rng = random.Random(31)
+    passages = [" ".join(f"p{k}.{i}" for i in range(60)) for k in range(40)]
+    body = lambda: " ".join(rng.choice(passages) if rng.random() < 0.02 else f"u{rng.randrange(10**9)}" for _ in range(20_000))
+    docs = spark.createDataFrame([(i, body()) for i in range(6)], "doc_id long, text string")
+    rows = jaccard.describe(docs, 5, 80, 100)
+    sets = rows.select("hi", "sid", "n_shingles", "need0", "need1", "bits", "doc_id", "th")
+    pairs = spark.createDataFrame([(a.sid, b.sid) for a in sets.collect() for b in sets.collect() if a.sid < b.sid], "a long, b long")
+    assert jaccard.near(pairs, sets, 80, 100).count() == 0
+    assert jaccard.live_rows(jaccard.block_rows(docs, 5, 80, 100), sets).count() == 0
+
+
+def test_hot_blocks_are_dealt_out(spark, monkeypatch):
+    """A group of copies beyond HOT, in several batches, is one component."""
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(w if k != i % 200 else f"x{i}" for k, w in enumerate(base))) for i in range(150)] + [(900 + i, " ".join(f"y{rng.randrange(10**6)}" for _ in range(190))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = {r.doc_id: r.component_id for r in jaccard.link_components(spark, docs, 5, 80, 100).collect()}
+    assert found == {i: (0 if i < 900 else i) for i, _ in rows}
+
+
 # -- mixing
 
 
