@@ -38,14 +38,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates (five-word shingles, similarity 0.8) the smallest id.
+    """Keeps of each group of near duplicates (five-word shingles, similarity 0.8) one row, that of the smallest id.
 
-    Texts without a word, and rows without an id, are no one's duplicates.
+    Texts without a word, and rows without an id, are no one's duplicates. Repeated rows are one
+    another's; of rows that share an id each is judged by its own text.
     """
-    found = jaccard.link_components(spark, docs, width=5, p=80, q=100)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.select(*COLUMNS)
+    return jaccard.one_of_each(docs.select(*COLUMNS), width=5, p=80, q=100)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
