@@ -116,6 +116,48 @@ def runs_hash(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
+def salts(keys: np.ndarray, of: np.ndarray, hot: int, spread: int = 61) -> np.ndarray:
+    """0 for rows of keys that at most ``hot`` of them have; else 1 for the first row and 2 or more, by a hash of ``of``, for the others."""
+    _, inverse, many = np.unique(keys, return_inverse=True, return_counts=True)
+    salt = np.zeros(len(keys), np.int64)
+    at = np.flatnonzero(many[inverse] > hot)
+    salt[at] = 2 + (mix(of[at]) % np.uint64(spread)).astype(np.int64)
+    _, first = np.unique(inverse[at], return_index=True)
+    salt[at[first]] = 1
+    return salt
+
+
+#: Bits of a row map; a full map tells nothing and loses nothing.
+MAP_BITS = 1 << 23
+
+
+def map_place(*names: str) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(MAP_BITS)).cast("int")
+
+
+def row_map(rows: DataFrame, *names: str) -> np.ndarray:
+    """A map of MAP_BITS bits, marked by the hashes of the named long columns of all rows."""
+    words = rows.select(map_place(*names).alias("h")).selectExpr("shiftright(h, 6) as w", "shiftleft(1L, h & 63) as bit")
+    bitmap = np.zeros(MAP_BITS // 64, np.int64)
+    for r in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():  # MAP_BITS / 64 rows at most
+        bitmap[r.w] = r.bits
+    return bitmap
+
+
+def marked_rows(df: DataFrame, bitmap: np.ndarray, *names: str, wanted: bool = True) -> DataFrame:
+    """The rows of df that the map marks, or those that it doesn't: a filter on the scan, with no shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    def each(batch):
+        h = np.asarray(batch.column("_h"), np.int64)
+        kept = batch.filter(pa.array(((shared.value[h >> 6] >> (h & 63)) & 1).astype(bool) == wanted))
+        return {c: kept.column(c) for c in columns}
+
+    columns = df.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    return map_batches(df.withColumn("_h", map_place(*names)), each, schema)
+
+
 def keyed(df: DataFrame, *names: str) -> list[Column]:
     """The named columns, addressed so that names with dots or other case do not clash."""
     return [F.col(f"`{n}`") for n in names]

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.blocks import BASE, NOT_SPACE, Words, cut_blocks, map_batches, mix, runs_hash, utf8
+from palaver.llm.blocks import BASE, NOT_SPACE, Words, cut_blocks, map_batches, marked_rows, mix, row_map, runs_hash, salts, utf8
 from palaver.session import cut
 
 #: Growth of the set sizes from one band to the next.
@@ -50,16 +50,14 @@ SPARE, EXTRA = 7, 4
 BITS_EACH, LEAST_BITS = 4, 64
 #: Bits of the sketch that goes with each member of a bucket of more than FEW sets.
 SMALL_BITS, FEW = 2048, 8
-#: Bits of the map of candidate rows that keeps other texts from being moved; a full map keeps none.
-ID_BITS = 1 << 23
 #: Members of a bucket that are held in memory against as many others.
 CHUNK = 1024
 #: Partners of one text that are verified in a row.
 GROUP = 256
 #: Rows of a table that is broadcast at most (17 bytes each).
 BROADCAST_ROWS = 500_000
-#: Keys that are looked at together for hot ones, rows of one key that are left together, and salts.
-FLUSH, HOT, SALTS = 400_000, 8, 61
+#: Keys that are looked at together for hot ones, and rows of one key that are left together.
+FLUSH, HOT = 400_000, 8
 
 
 def bands(top: int = 1 << 40) -> list[int]:
@@ -199,13 +197,7 @@ def block_rows(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
 
     def dealt(keys, sids, slots):
         keys, sids, slots = (np.concatenate(x) for x in (keys, sids, slots))
-        _, inverse, many = np.unique(keys, return_inverse=True, return_counts=True)
-        salt = np.zeros(len(keys), np.int64)
-        hot = np.flatnonzero(many[inverse] > HOT)
-        salt[hot] = 2 + (mix(sids[hot]) % np.uint64(SALTS)).astype(np.int64)
-        _, first = np.unique(inverse[hot], return_index=True)
-        salt[hot[first]] = 1
-        return {"key": keys, "sid": sids, "tag": slots + 2 * salt}
+        return {"key": keys, "sid": sids, "tag": slots + 2 * salts(keys, sids, HOT)}
 
     def each(batch):
         seen: set[int] = set()
@@ -334,23 +326,11 @@ def small_sketches(sets: DataFrame) -> DataFrame:
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """sid and text of the rows (sid, doc_id, th) of ids.
 
-    A map of ID_BITS bits, marked by the rows' hashes, goes to the scan of the texts, so nearly all
-    others stay where they are; the join after it is exact.
+    A row map goes to the scan of the texts, so nearly all others stay where they are; the join after
+    it is exact.
     """
-    place = F.pmod(F.xxhash64("doc_id", "th"), F.lit(ID_BITS)).cast("int")
-    words = ids.select(place.alias("h")).selectExpr("shiftright(h, 6) as w", "shiftleft(1L, h & 63) as bit")
-    marked = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()  # ID_BITS / 64 rows at most
-    bitmap = np.zeros(ID_BITS // 64, np.int64)
-    bitmap[[r.w for r in marked]] = [r.bits for r in marked]
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def each(batch):
-        h = np.asarray(batch.column("h"), np.int64)
-        kept = batch.filter(pa.array(((shared.value[h >> 6] >> (h & 63)) & 1).astype(bool)))
-        return {c: kept.column(c) for c in ("doc_id", "th", "text")}
-
-    rows = docs.where("doc_id is not null").select("doc_id", text_print().alias("th"), "text").select("doc_id", "th", "text", place.alias("h"))
-    likely = map_batches(rows, each, "doc_id long, th long, text string")
+    rows = docs.where("doc_id is not null").select("doc_id", text_print().alias("th"), "text")
+    likely = marked_rows(rows, row_map(ids, "doc_id", "th"), "doc_id", "th")
     return likely.join(ids, ["doc_id", "th"]).select("sid", "text").dropDuplicates(["sid"])
 
 

@@ -17,23 +17,26 @@ that begin at the anchors, and the reversed texts before them. Common prefixes o
 orders tell which members share o bytes before the core and length - core - o after it: a repeat
 that begins o bytes before the anchor.
 
-Groups of unbounded size. A core that very many different neighbourhoods share is split: strings
-that begin at most half-way before the anchor share more bytes after it, the others more before it,
-so the group is dealt anew by those bytes, and again until a group is small or its members agree in
-the whole string. No group above GROUP_ROWS is sorted in one task, and no repeat is lost.
-
-Null texts are empty and lose nothing. Repeated rows and equal texts are repeats of each other.
+Groups of unbounded size. Anchors that agree in the whole neighbourhood stand as one from the
+start, by counts that are made on the map side. A core that very many different neighbourhoods share
+is split: strings that begin at most half-way before the anchor share more bytes after it, the others
+more before it, so the group is dealt anew by those bytes, members that then agree in all that is
+looked at stand as one again, and so on until a group is small. At a single offset members agree in
+the whole string and are counted, not sorted. So no group above GROUP_ROWS is sorted in one task and
+no repeat is lost. Equal neighbourhoods are told by two 64-bit hashes, texts by two of them.
+
+Null texts are empty and lose nothing. Repeated rows and equal texts are repeats of each other. An
+empty table gives an empty result. Other columns of the input are not looked at, whatever their names
+are. A very long text is read in pieces of PIECE bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.blocks import BASE, _codes, map_batches, mix, powers, utf8
+from palaver.llm.blocks import BASE, _codes, map_batches, marked_rows, mix, powers, row_map, salts, utf8
 from palaver.llm.sorting import deep_shallow
 from palaver.session import cut
 
@@ -45,6 +48,8 @@ PIECE = 4 << 20
 GROUP_ROWS = 20_000
 #: Members that are sorted together.
 SORT_ROWS = 30_000
+#: Anchors that are looked at together for hot cores, and those of one core that are left together.
+FLUSH, HOT = 100_000, 8
 
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _inverse_powers = np.ones(1, np.uint64)
@@ -108,25 +113,44 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
+    """The anchors of every text: core, whole, ta, tb, place, left, right, times and salt.
+
+    Copies of a text within a batch are one with so many times. Of a core that more than HOT anchors
+    of a batch have, the first has salt 1 and stays with other batches' anchors, the rest are dealt out.
+    """
+
     def each(batch):
         data, offsets = utf8(batch.column("text"))
         a, b = (np.asarray(batch.column(c), np.int64) for c in ("ta", "tb"))
+        _, first, times = np.unique(np.stack([a, b]), axis=1, return_index=True, return_counts=True) if len(a) else (None, [], [])
         out, size = [], 0
-        for i in range(len(offsets) - 1):
+        for k, (i, n) in enumerate(zip(first, times, strict=True)):
             place, core, whole, left, right = anchors(data[offsets[i] : offsets[i + 1]])
-            out.append((core, whole, np.full(len(place), a[i]), np.full(len(place), b[i]), place, left, right))
+            out.append((core, whole, np.full(len(place), a[i]), np.full(len(place), b[i]), place, left, right, np.full(len(place), n)))
             size += len(place)
-            if size > 100_000 or i == len(offsets) - 2:
-                columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield dict(zip(("core", "whole", "ta", "tb", "place", "left", "right"), columns, strict=True))
+            if size > FLUSH or k == len(first) - 1:
+                columns = dict(zip(("core", "whole", "ta", "tb", "place", "left", "right", "times"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))
+                yield columns | {"salt": salts(columns["core"], columns["whole"] ^ columns["place"].astype(np.uint64), HOT)}
                 out, size = [], 0
 
-    return map_batches(docs.select("ta", "tb", "text"), each, "core long, whole long, ta long, tb long, place long, left int, right int")
+    return map_batches(docs.select("ta", "tb", "text"), each, "core long, whole long, ta long, tb long, place long, left int, right int, times long, salt int")
+
+
+def shared_anchors(docs: DataFrame) -> DataFrame:
+    """The anchors whose core occurs more than once."""
+    same = Window.partitionBy("core", F.when(F.col("salt") < 2, 0).otherwise(F.col("salt")))
+    rows = anchor_rows(docs).withColumn("m", F.sum("times").over(same))
+    return rows.where("m > 1 or salt > 0").drop("m", "salt")
+
+
+def distinct_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """ta, tb and text of the texts of ids, each once; a row map keeps nearly all others where they are."""
+    return marked_rows(docs.select("ta", "tb", "text"), row_map(ids, "ta", "tb"), "ta", "tb").join(ids.select("ta", "tb"), ["ta", "tb"], "left_semi").dropDuplicates(["ta", "tb"])
 
 
 def neighbourhoods(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """The bytes around the needed anchors: before (reversed) and from the core on."""
-    wanted = needed.groupBy("ta", "tb").agg(F.collect_list(F.struct("core", "place", "left", "right", "copies")).alias("anchors"))
+    wanted = cut(needed.groupBy("ta", "tb").agg(F.collect_list(F.struct("core", "place", "left", "right", "copies")).alias("anchors")))
 
     def each(batch):
         data, offsets = utf8(batch.column("text"))
@@ -136,31 +160,44 @@ def neighbourhoods(docs: DataFrame, needed: DataFrame) -> DataFrame:
             own = rows.as_py()
             yield {"core": [r["core"] for r in own], "ta": [a[i]] * len(own), "tb": [b[i]] * len(own), "place": [r["place"] for r in own], "copies": [r["copies"] for r in own], "before": [text[r["place"] - r["left"] : r["place"]][::-1] for r in own], "after": [text[r["place"] : r["place"] + CORE + r["right"]] for r in own]}
 
-    return map_batches(docs.join(wanted, ["ta", "tb"]).select("ta", "tb", "text", "anchors"), each, "core long, ta long, tb long, place long, copies long, before binary, after binary")
+    return map_batches(distinct_texts(docs, wanted).join(wanted, ["ta", "tb"]).select("ta", "tb", "text", "anchors"), each, "core long, ta long, tb long, place long, copies long, before binary, after binary")
+
 
+def split_groups(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): rows with key, low and high, whose groups by key have ``most`` members or fewer; and spans found on the way.
 
-def split_groups(rows: DataFrame, most: int) -> DataFrame:
-    """rows with key, low and high: offsets low to high of a group's strings are looked at under its key."""
+    Offsets low to high of a group's strings are looked at under its key. In a larger group the
+    members that agree in all that these offsets reach are repeats of each other and stand as one
+    from then on; what is left is parted into halves of its offsets and grouped by the bytes that all
+    strings of a half share. At one offset those bytes are the string, so no group is large there.
+    """
     rows = rows.withColumn("key", F.xxhash64("core")).withColumn("low", F.lit(0)).withColumn("high", F.lit(REACH))
-    done = None
-    for _ in range(REACH.bit_length() + 1):
-        large = rows.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > most)).select("key")
-        large = cut(large)
+    done = spans = None
+    for _ in range(REACH.bit_length() + 2):
+        large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"))
         if large.isEmpty():
             break
         small = rows.join(large, "key", "left_anti")
         done = small if done is None else done.unionByName(small)
-        big = rows.join(large, "key", "left_semi")
-        single = big.where("low = high")
-        done = done.unionByName(single)
+        before, after = F.least(F.octet_length("before"), F.col("high")), F.least(F.octet_length("after") - CORE, REACH - F.col("low"))
+        big = rows.join(large, "key", "left_semi").withColumn("b", before).withColumn("a", after).where(F.col("b") + F.col("a") >= REACH)
+        seen = [F.substring("before", F.lit(1), F.col("b")), F.substring("after", F.lit(1), CORE + F.col("a"))]
+        big = cut(big.withColumn("w0", F.xxhash64("b", "a", *seen)).withColumn("w1", F.xxhash64(*seen, F.lit(1))))
+        alike = ["key", "w0", "w1"]
+        place = F.struct("ta", "tb", "place", "core", "copies", "low", "high", "before", "after")
+        chiefs = cut(big.groupBy(*alike).agg(F.sum("copies").alias("all"), F.count("*").alias("n"), F.min(place).alias("chief")))
+        found = big.join(chiefs.where("n > 1").select(*alike), alike, "left_semi").select("ta", "tb", (F.col("place") - F.col("b")).alias("start"), (F.col("place") + CORE + F.col("a")).alias("end"))
+        spans = found if spans is None else spans.unionByName(found)
+        one = chiefs.select("key", "all", "chief.*").drop("copies").withColumnRenamed("all", "copies").where("low < high")
         half = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
-        parts = big.where("low < high").withColumn("part", F.explode(F.array(F.struct(F.col("low"), half.alias("high")), F.struct((half + 1).alias("low"), F.col("high")))))
+        parts = one.withColumn("part", F.explode(F.array(F.struct(F.col("low"), half.alias("high")), F.struct((half + 1).alias("low"), F.col("high")))))
         parts = parts.withColumn("low", F.col("part.low")).withColumn("high", F.col("part.high")).drop("part")
         # a string that begins low bytes or more before the core holds so many before and REACH - high after it
         parts = parts.where((F.octet_length("before") >= F.col("low")) & (F.octet_length("after") - CORE >= REACH - F.col("high")))
         parts = parts.withColumn("key", F.xxhash64("core", "low", "high", F.substring("before", F.lit(1), F.col("low")), F.substring("after", F.lit(1), CORE + REACH - F.col("high"))))
         rows = cut(parts)
-    return rows if done is None else done.unionByName(rows)
+    done = rows if done is None else done.unionByName(rows)
+    return done, spans if spans is not None else done.select("ta", "tb", F.col("place").alias("start"), F.col("place").alias("end")).limit(0)
 
 
 def group_repeats(keys, low, high, copies, before, after) -> tuple[np.ndarray, np.ndarray]:
@@ -231,16 +268,16 @@ def sorted_repeats(rows: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, most: int | None = None) -> DataFrame:
     """ta, tb (two hashes of a text) and the spans of it that are covered by repeats."""
-    core = Window.partitionBy("core")
-    rows = anchor_rows(docs).withColumn("m", F.count("*").over(core)).withColumn("w0", F.min("whole").over(core)).withColumn("w1", F.max("whole").over(core)).where("m > 1")
-    alike = Window.partitionBy("core", "whole")
-    place = F.struct("ta", "tb", "place")
-    rows = rows.withColumn("copies", F.count("*").over(alike)).withColumn("chief", F.min(place).over(alike) == place)
-    rows = cut(rows.select("core", "ta", "tb", "place", "left", "right", "copies", (F.col("chief") & (F.col("w0") != F.col("w1"))).alias("sorted")))
-    full = rows.where(F.col("copies") > 1).where(F.col("left") + F.col("right") >= REACH).select("ta", "tb", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + CORE + F.col("right")).alias("end"))
-    members = cut(neighbourhoods(docs, rows.where("sorted").select("core", "ta", "tb", "place", "left", "right", "copies").distinct()).dropDuplicates(["core", "ta", "tb", "place"]))
-    found = sorted_repeats(split_groups(members, most or GROUP_ROWS))
-    return full.union(found).distinct().groupBy("ta", "tb").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    rows = cut(shared_anchors(docs))
+    alike = cut(rows.groupBy("core", "whole").agg(F.sum("times").alias("copies"), F.min(F.struct("ta", "tb", "place", "left", "right")).alias("chief")))
+    reach = F.col("left") + F.col("right") >= REACH
+    full = rows.where(reach).join(alike.where("copies > 1").select("core", "whole"), ["core", "whole"], "left_semi")
+    full = full.select("ta", "tb", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + CORE + F.col("right")).alias("end"))
+    mixed = alike.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
+    needed = alike.join(mixed, "core").select("core", "copies", "chief.*")
+    members, found = split_groups(cut(neighbourhoods(docs, needed)), most or GROUP_ROWS)
+    spans = full.union(found).union(sorted_repeats(members)).distinct()
+    return spans.groupBy("ta", "tb").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -248,35 +285,50 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("ta"), F.xxhash64(text, F.lit(1)).alias("tb"))
 
 
+def without(text: bytes, pairs: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """text without its spans, given in order, and the number of maximal runs that go."""
+    kept, at, runs, end = [], 0, 0, -1
+    for a, b in pairs:
+        if a > end:
+            kept.append(text[at:a])
+            runs += 1
+        at = end = max(end, b)
+    kept.append(text[at:])
+    return b"".join(kept), runs
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, kept (the bytes that are left), n_removed and n_spans for every row of docs (doc_id, text)."""
+    """doc_id, n_bytes, kept (the bytes that are left), n_removed and n_spans for every row of docs (doc_id, text).
+
+    Texts without a repeat are never shuffled, but for those that a row map can't tell from the others.
+    """
     texts = keyed_texts(docs)
-    joined = texts.join(repeated_spans(texts), ["ta", "tb"], "left").select("doc_id", "text", "spans")
+    spans = cut(repeated_spans(texts))
+    known = row_map(spans, "ta", "tb")
+    untouched = marked_rows(texts.select("doc_id", "text", "ta", "tb"), known, "ta", "tb", wanted=False).select("doc_id", "text", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    others = marked_rows(texts, known, "ta", "tb").join(spans, ["ta", "tb"], "left").select("doc_id", "text", "spans")
 
     def each(batch):
         data, offsets = utf8(batch.column("text"))
         out = {"doc_id": batch.column("doc_id"), "n_bytes": np.diff(offsets), "kept": [], "n_removed": [], "n_spans": []}
-        for i, spans in enumerate(batch.column("spans")):
-            text, kept, at, runs = data[offsets[i] : offsets[i + 1]].tobytes(), [], 0, 0
-            start = end = None
-            pairs = [] if not spans.is_valid else list(zip(spans.values.field("start").to_pylist(), spans.values.field("end").to_pylist(), strict=True))
-            for a, b in [*pairs, (None, None)]:
-                if a is not None and end is not None and a <= end:
-                    end = max(end, b)
-                    continue
-                if end is not None:
-                    kept.append(text[at:start])
-                    at, runs = end, runs + 1
-                start, end = a, b
-            kept.append(text[at:])
-            out["kept"].append(b"".join(kept))
-            out["n_removed"].append(len(text) - len(out["kept"][-1]))
+        for i, own in enumerate(batch.column("spans")):
+            text = data[offsets[i] : offsets[i + 1]].tobytes()
+            pairs = list(zip(own.values.field("start").to_pylist(), own.values.field("end").to_pylist(), strict=True)) if own.is_valid else []
+            kept, runs = without(text, pairs)
+            out["kept"].append(kept)
+            out["n_removed"].append(len(text) - len(kept))
             out["n_spans"].append(runs)
         return out
 
-    return map_batches(joined, each, "doc_id long, n_bytes long, kept binary, n_removed long, n_spans long")
+    schema = "doc_id long, n_bytes long, kept binary, n_removed long, n_spans long"
+    return map_batches(untouched, each, schema).union(map_batches(others, each, schema))
 
 
 def op9_deep_shallow_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of all documents, for strings of 400 bytes.
+
+    Null and empty texts have no bytes and lose none; repeated rows and equal texts of 400 bytes or
+    more lose all; an empty table gives no rows.
+    """
     done = remove_repeats(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -280,6 +280,28 @@ def test_repeats(spark, odd, empty, monkeypatch, most):
     assert rp.remove_repeats(empty).count() == 0
 
 
+def test_a_passage_in_very_many_neighbourhoods(spark, monkeypatch):
+    """One core in thousands of different neighbourhoods, dealt out, split by content, and never sorted in one task."""
+    monkeypatch.setattr(rp, "GROUP_ROWS", 40)
+    monkeypatch.setattr(rp, "HOT", 2)
+    rng = random.Random(77)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = text(460)
+    rows = [(i, text(rng.randrange(300)) + passage + text(rng.randrange(300))) for i in range(3000)]
+    rows += [(5000 + i, text(250) + passage[i : i + 399] + text(250)) for i in range(60)]
+    found = rp.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    by = {r.doc_id: r for r in found}
+    for i, t in rows:
+        at = t.find(passage)
+        if at >= 0:
+            # a few bytes beside the passage agree by chance with some other row
+            assert 460 <= by[i].n_removed <= 460 + 2 * 8 and by[i].n_spans == 1, (i, by[i].n_removed)
+            assert bytes(by[i].kept)[: max(0, at - 8)] == t.encode()[: max(0, at - 8)]
+        else:
+            assert by[i].n_removed == 0 or by[i].n_removed >= 400
+    assert len(found) == len(rows)
+
+
 # -- chat
 
 
