@@ -216,11 +216,14 @@ def crc_remainder(doc_id: Column | str, divisor: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, rows: int, key: Column, seed: int = 7) -> DataFrame:
-    """At most ``rows`` rows, spread evenly by a seeded hash: a filter on the hash, then a limit.
+    """The ``rows`` rows with the smallest seeded hashes of ``key``: reruns give the same rows for one input.
 
-    Nothing is sorted or moved but the rows that pass; reruns give the same rows for one input.
+    Equal rows count once, so a text with very many copies does not fill the sample. A filter on the hash
+    leaves a small surplus, of which a bounded top list takes the smallest.
     """
     total = df.count()
     share = min(1.0, 1.3 * rows / max(total, 1) + 1e-9)
-    chosen = F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
-    return (df.where(chosen) if share < 1 else df).limit(rows)
+    draw = F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(1 << 30))
+    chosen = df.withColumn("_draw", draw)
+    chosen = (chosen.where(draw < int(share * (1 << 30))) if share < 1 else chosen).distinct()
+    return chosen.orderBy("_draw", key).limit(rows).drop("_draw")

@@ -47,7 +47,7 @@ BAND_RATIO = 1.5
 #: Blocks of a sketch beyond the bound: one for each SPARE of the bound, and EXTRA.
 SPARE, EXTRA = 7, 4
 #: Bits of a set's sketch for each shingle in which it may differ, and their least number.
-BITS_EACH, LEAST_BITS = 4, 64
+BITS_EACH, LEAST_BITS = 16, 64
 #: Bits of the sketch that goes with each member of a bucket of more than FEW sets.
 SMALL_BITS, FEW = 2048, 8
 #: Members of a bucket that are held in memory against as many others.
@@ -290,12 +290,12 @@ def open_pairs(live: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q: in
     cells = many.groupBy(*cell).agg(F.collect_list(F.struct("sid", "root", "n", "bits", "mine")).alias("rows")).select("i", "j", "rows")
 
     def each(batch):
+        found = [np.zeros((2, 0), np.int64)]
         for i, j, rows in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("rows"), strict=True):
             flat = rows.values
             ids, root, n, mine = (np.asarray(flat.field(c), np.int64) for c in ("sid", "root", "n", "mine"))
             bits = flat.field("bits").to_pylist()
             left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-            found = []
             size = min((len(x) for x in bits if x), default=0)
             packed = np.stack([fold(np.frombuffer(x, np.uint8), size) for x in bits]) if size else None
             for x in left:
@@ -305,10 +305,9 @@ def open_pairs(live: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q: in
                     apart = np.bitwise_count(packed[y] ^ packed[x]).sum(axis=1, dtype=np.int64)
                     y = y[(q + p) * apart <= (q - p) * (n[y] + n[x])]
                 if len(y):
-                    found.append(np.stack([np.full(len(y), ids[x]), ids[y]]))
-            if found:
-                a, b = np.concatenate(found, axis=1)
-                yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+                    found.append(np.stack([np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])]))
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)  # one pair is in many buckets
+        return {"a": a, "b": b}
 
     return map_batches(few.union(cells), each, "a long, b long").distinct()
 
