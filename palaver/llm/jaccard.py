@@ -57,7 +57,7 @@ GROUP = 256
 #: Rows of a table that is broadcast at most (17 bytes each).
 BROADCAST_ROWS = 500_000
 #: Keys that are looked at together for hot ones, and rows of one key that are left together.
-FLUSH, HOT = 400_000, 8
+FLUSH, HOT = 400_000, 1
 
 
 def bands(top: int = 1 << 40) -> list[int]:

@@ -49,7 +49,7 @@ GROUP_ROWS = 20_000
 #: Members that are sorted together.
 SORT_ROWS = 30_000
 #: Anchors that are looked at together for hot cores, and those of one core that are left together.
-FLUSH, HOT = 100_000, 8
+FLUSH, HOT = 100_000, 1
 
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _inverse_powers = np.ones(1, np.uint64)
