@@ -48,8 +48,8 @@ BAND_RATIO = 1.5
 SPARE, EXTRA = 7, 4
 #: Bits of a set's sketch for each shingle in which it may differ, and their least number.
 BITS_EACH, LEAST_BITS = 16, 64
-#: Bits of the sketch that goes with each member of a bucket of more than FEW sets.
-SMALL_BITS, FEW = 2048, 8
+#: Bits of the sketch that goes with each member of a bucket, at most.
+SMALL_BITS = 2048
 #: Members of a bucket that are held in memory against as many others.
 CHUNK = 1024
 #: Partners of one text that are verified in a row.
@@ -281,9 +281,7 @@ def open_pairs(live: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q: in
     of = of.join(spans(of), "key").withColumn("rank", F.dense_rank().over(ranked)).withColumn("has", F.max("rank").over(whole))
     of = cut(of.where("has >= need and rank <= has - need + 1").select("key", "sid", "n", "root"))
     of = of.join(spans(of), "key")
-    few = of.where(F.col("m") <= FEW).groupBy("key").agg(F.collect_list(F.struct("sid", "root", "n", F.lit(None).cast("binary").alias("bits"), F.lit(0).alias("mine"))).alias("rows"))
-    few = few.select(F.lit(0).alias("i"), F.lit(0).alias("j"), "rows")
-    many = of.where(F.col("m") > FEW).withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
+    many = of.withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
     many = many.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")).join(small_sketches(sets), "sid")
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cell = [F.col("key"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")]
@@ -296,20 +294,19 @@ def open_pairs(live: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q: in
             ids, root, n, mine = (np.asarray(flat.field(c), np.int64) for c in ("sid", "root", "n", "mine"))
             bits = flat.field("bits").to_pylist()
             left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-            size = min((len(x) for x in bits if x), default=0)
-            packed = np.stack([fold(np.frombuffer(x, np.uint8), size) for x in bits]) if size else None
+            size = min(map(len, bits))
+            packed = np.stack([fold(np.frombuffer(x, np.uint8), size) for x in bits])
             for x in left:
                 y = right[(root[right] != root[x]) & (q * np.minimum(n[right], n[x]) >= p * np.maximum(n[right], n[x]))]
                 y = y[ids[y] > ids[x]] if i == j else y
-                if size:
-                    apart = np.bitwise_count(packed[y] ^ packed[x]).sum(axis=1, dtype=np.int64)
-                    y = y[(q + p) * apart <= (q - p) * (n[y] + n[x])]
+                apart = np.bitwise_count(packed[y] ^ packed[x]).sum(axis=1, dtype=np.int64)
+                y = y[(q + p) * apart <= (q - p) * (n[y] + n[x])]
                 if len(y):
                     found.append(np.stack([np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])]))
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)  # one pair is in many buckets
         return {"a": a, "b": b}
 
-    return map_batches(few.union(cells), each, "a long, b long").distinct()
+    return map_batches(cells, each, "a long, b long").distinct()
 
 
 def small_sketches(sets: DataFrame) -> DataFrame:
