@@ -143,3 +143,47 @@ def test_language_model_is_normalised(spark):
     assert np.exp(model.log_probs(before, np.arange(7))).sum() == pytest.approx(1, abs=1e-5)
     assert lm.score_corpus(docs.limit(0), F.lit(False)).count() == 0
     assert [round(r.base_score, 9) for r in lm.score_corpus(docs, F.lit(True)).collect()] == [0.0] * 4
+
+
+def test_language_model_scores_by_brute_force(spark, monkeypatch):
+    """Score of every text from the model itself: class and unit shares by plain sums, words without a unit by their share."""
+    rng = np.random.default_rng(12)
+    words = [f"w{int(k)}" for k in rng.zipf(1.5, 4000) % 300]
+    rows = [(i, " ".join(words[i * 40 : i * 40 + int(rng.integers(0, 40))])) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lm, "UNITS", 40)
+    held = crc_remainder("doc_id", 7) == 2
+    corpus = lm.Corpus(docs.where(~held).select("text"))
+    model = lm.fit(docs.where(~held).select("text"), corpus)
+    assert corpus.units == 40
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.split())
+    unit = {w: int(lm.Tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), corpus.head, 40).units[0]) for w in {*words, "unseen"}}
+    others = [w for w in counts if unit[w] == 0]
+    share = {w: (counts[w] + 1) / (sum(counts[x] for x in others) + len(others) + 1) for w in [*others, "unseen"]}
+    assert sum(share.values()) == pytest.approx(1)
+
+    def probability(before, u):
+        r = sum(model.context[b] * model.place[k] for k, b in enumerate(before))
+        part = lambda v, bias, i: float(np.exp(v[i] @ r + bias[i]) / np.exp(v @ r + bias).sum())
+        of = model.members(u // model.size)
+        return part(model.group, model.group_bias, u // model.size) * part(model.target[of], model.bias[of], u - of.start)
+
+    assert sum(probability([3, 39], u) for u in range(40)) == pytest.approx(1, abs=1e-5)
+    found = {r.doc_id: r.score for r in lm.score_corpus(docs, held).collect()}
+    for i, t in rows[::9]:
+        seen, total = [39, 39], 0.0
+        for w in [*t.split(), None]:
+            u = 39 if w is None else unit[w]
+            total += math.log10(probability(seen[::-1][:2], u)) + (math.log10(share.get(w, share["unseen"])) if u == 0 else 0)
+            seen.append(u)
+        assert found[i] == pytest.approx(total, abs=1e-3 * max(1, len(t.split())) ** 0.5)
+
+
+def test_language_model_gains_over_the_unigram_model(spark):
+    """Words that follow each other are learnt: held-out texts are likelier than by their counts."""
+    rng = np.random.default_rng(2)
+    kinds = [[f"{c}{k}" for k in range(30)] for c in "abc"]
+    rows = [(i, " ".join(rng.choice(kinds[i % 3], 60))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lm.score_corpus(docs, F.col("doc_id") >= 360).where("held_out").collect()
+    assert sum(r.score - r.base_score for r in found) / sum(r.n_tokens for r in found) > 0.15
