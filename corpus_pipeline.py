@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palaver.llm import decontaminate, jaccard, langid, linededup, mixing
 from palaver.llm.blocks import crc_remainder
-from palaver.session import shared_folder
+from palaver.session import remove_folder, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose best language is less probable than this is rejected.
@@ -22,7 +22,9 @@ LEAST_SCORE = 0.4
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts whose language the network is not sure of.
 
-    The network learns from the labelled rows outside the held-out fold.
+    The network learns from the labelled rows outside the held-out fold; rows without a text or a lang
+    are not learnt from. Null and empty texts go; repeated rows are judged alike; with no labelled row
+    every text is rejected; an empty table gives an empty one.
     """
     learnt = docs.where(crc_remainder("doc_id", 5) != 0).select("text", "lang")
     found = langid.predict(docs.select(*COLUMNS), langid.fit(learnt))
@@ -30,7 +32,11 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes cross-site boilerplate lines; a text of which nothing but blanks is left goes."""
+    """Removes cross-site boilerplate lines; a text of which nothing but blanks is left by that goes.
+
+    Null texts stay; a null source is a site; repeated rows are treated alike; an empty table gives an
+    empty one.
+    """
     done = linededup.dedup_lines(docs.select(*COLUMNS))
     done = done.where((F.col("lines_removed") == 0) | (F.trim("text", F.lit(" \t\r\n")) != ""))
     length = F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -47,14 +53,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of ten words of any benchmark item."""
+    """Drops the documents that hold a window of ten words of any benchmark item.
+
+    Null and word-less texts stay; repeated rows are judged alike; with no items nothing goes; an empty
+    table gives an empty one.
+    """
     return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document, as its text, with size, source_size, target and taken.
 
-    The text holds the taken blocks only, a repeated document twice; it has ``taken`` words.
+    The text holds the taken blocks only, a repeated document twice; it has ``taken`` words. Texts of
+    which nothing is taken go, null and word-less ones among them; repeated rows are rows of their own;
+    a null source is a source; an empty table gives an empty one.
     """
     mixed = mixing.mix_sources(docs.select(*COLUMNS)).where("mix_taken > 0")
     text = mixing.taken_text(F.col("text"), F.col("mix_spans"))
@@ -78,11 +90,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each written to the shared folder and read again."""
     import uuid
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)  # only the last stage's input is still read
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
 

@@ -94,3 +94,43 @@ def request_key(**fields: Column) -> Column:
     """SHA-256 of the canonical JSON of a request: sorted keys, no spaces."""
     ordered = F.struct(*[canonical_text(fields[k]).alias(k) for k in sorted(fields)])
     return F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}), 256)
+
+
+def has_tamil(text: Column) -> Column:
+    """Whether a text has a code point of the Tamil block."""
+    return F.rlike(text, F.lit("[\\u0B80-\\u0BFF]"))
+
+
+def chunk_prefix(voice: Column) -> Column:
+    """The chunk of a local voice label (chunk:voice)."""
+    return F.substring_index(voice, ":", 1)
+
+
+def namespace(name: Column) -> Column:
+    """A name that is safe as a folder: runs of other characters become one underscore."""
+    return F.regexp_replace(name, "[^A-Za-z0-9_.-]+", "_")
+
+
+def redact(text: Column, secret: str) -> Column:
+    """The text without a secret; an empty secret hides nothing."""
+    return F.replace(text, F.lit(secret), F.lit("***")) if secret else text
+
+
+def frame_name(t: Column) -> Column:
+    """The file of the frame at t seconds: tenths of a second in six digits."""
+    return F.format_string("frame_%06d.jpg", F.bround(t * 10).cast("long"))
+
+
+def midpoint(start: Column, end: Column) -> Column:
+    return (start + end) / 2
+
+
+def merged_map(base: Column, over: Column) -> Column:
+    """Both maps' entries; where both have a key the second one's."""
+    only = F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k))
+    return F.map_concat(only, over)
+
+
+def eta(done: Column, total: Column, elapsed: Column) -> Column:
+    """Seconds that are left at the rate so far; null before anything is done."""
+    return F.when(done > 0, F.round((total - done) * elapsed / done, 1))

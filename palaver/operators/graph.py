@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions.text import node_key
+from palaver.session import bounded
 
 
 def provenance_filter(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -15,12 +16,69 @@ def provenance_filter(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.where(F.size("ids") > 0).join(bad, "row_id", "left_anti")
 
 
+# The types that a name is looked for under, in order.
+NAME_TYPES = ("PARTY", "SCHEME", "PLACE", "AMOUNT", "LAW", "DATE", "TOPIC", "PERSON_EXTERNAL")
+
+
 def build_nodes(mentions: DataFrame) -> DataFrame:
     """Nodes from mentions (kind, name, provenance, ord): the first spelling, and distinct provenance."""
     keyed = mentions.withColumn("key", node_key(F.col("kind"), F.col("name")))
     return keyed.groupBy("key").agg(F.min_by("name", F.struct("ord", "name")).alias("label"), F.min("kind").alias("kind"), F.count_distinct("provenance").alias("n_provenance"), F.min("provenance").alias("first_provenance"))
 
 
+def assemble_nodes(mentions: DataFrame, roster: DataFrame) -> DataFrame:
+    """Whole nodes from mentions (kind, name, tamil, member_id, provenance, ord): key, type, label, tamil,
+    party, roles, portrait, member_id, segment_ids.
+
+    A mention of a member (member_id) is the roster's PERSON, with the roster's attributes; any other
+    keeps the attributes of the mention that came first. Provenance is distinct and sorted; a mention
+    without it (null) makes a node only. roster (member_id, name, tamil_name, party_code, roles, portrait).
+    """
+    known = roster.select("member_id", F.col("name").alias("_name"), F.col("tamil_name").alias("_tamil"), "party_code", "roles", "portrait")
+    rows = mentions.join(known, "member_id", "left")
+    member = F.col("_name").isNotNull()
+    rows = rows.withColumn("type", F.when(member, "PERSON").otherwise(F.col("kind"))).withColumn("label", F.coalesce("_name", "name")).withColumn("tamil", F.when(member, F.col("_tamil")).otherwise(F.nullif(F.col("tamil"), F.lit(""))))
+    rows = rows.withColumn("key", node_key(F.col("type"), F.col("label")))
+    first = F.min_by(F.struct("label", "type", "tamil", F.when(member, F.col("party_code")).alias("party"), "roles", "portrait", F.when(member, F.col("member_id")).alias("member_id")), F.struct("ord", "label")).alias("first")
+    return rows.groupBy("key").agg(first, F.array_sort(F.collect_set("provenance")).alias("segment_ids")).select("key", "first.*", "segment_ids")
+
+
+def resolve_endpoints(relations: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges of relations (relation_id, subject, predicate, object, segment_ids): source, target, predicate, segment_ids, origin.
+
+    A name that is a member's (alias, name: members, resolved beforehand) stands for its PERSON node
+    and no other; any other name is looked for under NAME_TYPES, the first type that has a node. A
+    relation without both ends, or from a node to itself, goes.
+    """
+    ends = relations.select("relation_id", F.explode(F.create_map(F.lit("source"), F.col("subject"), F.lit("target"), F.col("object"))).alias("side", "name"))
+    names = ends.select("name").distinct().join(members.select(F.col("alias").alias("name"), F.col("name").alias("member")), "name", "left")
+    person = F.array(F.struct(F.lit(0).alias("rank"), node_key(F.lit("PERSON"), F.col("member")).alias("key")))
+    others = F.array(*[F.struct(F.lit(i + 1).alias("rank"), node_key(F.lit(t), F.col("name")).alias("key")) for i, t in enumerate(NAME_TYPES)])
+    tried = names.select("name", F.explode(F.when(F.col("member").isNotNull(), person).otherwise(others)).alias("try")).select("name", "try.*")
+    found = tried.join(nodes.select("key"), "key").groupBy("name").agg(F.min_by("key", "rank").alias("key"))
+    placed = ends.join(found, "name").groupBy("relation_id").agg(F.max(F.when(F.col("side") == "source", F.col("key"))).alias("source"), F.max(F.when(F.col("side") == "target", F.col("key"))).alias("target"))
+    both = placed.where("source is not null and target is not null and source <> target")
+    return relations.join(both, "relation_id").select("relation_id", "source", "target", "predicate", "segment_ids", F.lit("extracted").alias("origin"))
+
+
+def roster_edges(nodes: DataFrame) -> DataFrame:
+    """A "member of" edge from each member's node to its party's."""
+    rows = nodes.where("member_id is not null and party is not null")
+    return rows.select(F.col("key").alias("source"), node_key(F.lit("PARTY"), F.col("party")).alias("target"), F.lit("member of").alias("predicate"), F.array().cast("array<string>").alias("segment_ids"), F.lit("roster").alias("origin"))
+
+
+def discussed_edges(nodes: DataFrame, segments: DataFrame, every: bool = False) -> DataFrame:
+    """A "discussed" edge from each speaker to each topic of a segment (segment_id, member_id, ord).
+
+    Its provenance is the first such segment, or with ``every`` all of them, sorted.
+    """
+    topics = nodes.where("type = 'TOPIC'").select(F.col("key").alias("target"), F.explode("segment_ids").alias("segment_id"))
+    people = nodes.where("member_id is not null").select(F.col("key").alias("source"), "member_id")
+    rows = topics.join(segments.select("segment_id", "member_id", "ord"), "segment_id").join(people, "member_id")
+    ids = F.array_sort(F.collect_set("segment_id")) if every else F.array(F.min_by("segment_id", F.struct("ord", "segment_id")))
+    return rows.groupBy("source", "target").agg(ids.alias("segment_ids")).select("source", "target", F.lit("discussed").alias("predicate"), "segment_ids", F.lit("derived").alias("origin"))
+
+
 def first_edges(pairs: DataFrame) -> DataFrame:
     """One edge for each (source, target) of pairs (source, target, provenance, ord), with its first provenance."""
     return pairs.where("source <> target").groupBy("source", "target").agg(F.min_by("provenance", F.struct("ord", "provenance")).alias("provenance"), F.count_distinct("provenance").alias("n_provenance"))
@@ -37,10 +95,12 @@ def expand(questions: DataFrame, nodes: DataFrame, edges: DataFrame, own: int =
 
     A named node gives its provenance (ids in order) and the first ``own`` of each of its first
     ``neighbours`` neighbours; first seen counts, up to ``limit`` ids for a question. nodes has key,
-    label, ord and ids; edges has source, target and ord. The questions are a bounded set.
+    label, ord, ids and, for names in the other script, tamil; edges has source, target and ord.
     """
     label = F.lower(F.col("label"))
-    named = nodes.join(F.broadcast(questions.select("query_id", F.lower("text").alias("_q"))), (F.length("label") > 2) & (F.instr(F.col("_q"), label) > 0))
+    english = (F.length("label") > 2) & (F.instr(F.lower(F.col("_q")), label) > 0)
+    tamil = F.coalesce((F.col("tamil") != "") & (F.instr(F.col("_q"), F.col("tamil")) > 0), F.lit(False)) if "tamil" in nodes.columns else F.lit(False)
+    named = nodes.where("label <> ''").join(bounded(questions.select("query_id", F.col("text").alias("_q"))), english | tamil)
     both = edges.select(F.col("source").alias("key"), F.col("target").alias("other"), "ord", F.lit(0).alias("side")).unionAll(edges.select(F.col("target").alias("key"), F.col("source").alias("other"), "ord", F.lit(1).alias("side")))
     near = both.join(named.select("key").distinct(), "key", "left_semi")
     near = near.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("ord", "side", "other"))).where(F.col("rn") <= neighbours)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions.text import tokenize
-from palaver.session import cut
+from palaver.session import bounded, cut
 
 # BM25 and rank-fusion constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -18,9 +19,15 @@ def retrieval_text(speaker: Column, english: Column, original: Column) -> Column
     return F.concat(F.coalesce(speaker, F.lit("Unknown speaker")), F.lit(": "), F.coalesce(F.nullif(english, F.lit("")), original))
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """term and df over the whole corpus: distinct within the row, so counts combine on the map side."""
-    return docs.select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def statistics(docs: DataFrame) -> DataFrame:
+    """term and df over the whole corpus, and one row without a term: df is then the number of documents, dl their length in all.
+
+    Terms are distinct within the row, so counts combine on the map side.
+    """
+    tokens = tokenize(F.col("text"))
+    terms = F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("dl")))
+    whole = F.struct(F.lit(None).cast("string").alias("term"), F.size(tokens).cast("long").alias("dl"))
+    return docs.select(F.explode(F.array_append(terms, whole)).alias("t")).groupBy("t.term").agg(F.count("*").alias("df"), F.sum("t.dl").alias("dl"))
 
 
 def postings_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -35,12 +42,12 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
     Statistics are exact and cover the whole corpus; only postings of query terms are joined. An idf
     below zero is replaced by EPSILON times the mean idf of the vocabulary. Repeated query terms
-    count repeatedly.
+    count repeatedly. The corpus is read twice: for its statistics, and for those postings.
     """
-    totals = docs.select(F.size(tokenize(F.col("text"))).cast("long").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = document_frequencies(docs)
+    counted = cut(statistics(docs))
+    totals = counted.where("term is null").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    rated = cut(df.crossJoin(F.broadcast(totals)).select("term", raw.alias("idf"), "avgdl"))  # totals is one row
+    rated = counted.where("term is not null").select("term", "df").crossJoin(F.broadcast(totals)).select("term", raw.alias("idf"), "avgdl")  # totals is one row
     mean = rated.agg(F.avg("idf").alias("mean_idf"))
     wanted = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     idf = rated.join(wanted.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
@@ -50,25 +57,150 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return postings.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * weight).alias("score"))
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+#: Questions whose vectors or keys are on the executors at once.
+QUERY_BLOCK = 1000
+
+
+def blocks(queries: DataFrame, *columns: str):
+    """The questions' rows, at most QUERY_BLOCK of them at a time, by query_id."""
+    last = None
+    while True:
+        rest = queries if last is None else queries.where(F.col("query_id") > last)
+        rows = rest.select("query_id", *columns).orderBy("query_id").limit(QUERY_BLOCK).collect()
+        if rows:
+            yield rows
+        if len(rows) < QUERY_BLOCK:
+            return
+        last = rows[-1].query_id
+
+
+def over_batches(df: DataFrame, each, schema: str) -> DataFrame:
+    """``each`` over Arrow batches; it returns arrays in the schema's order."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in each(batch)], names=[f.split()[0] for f in schema.split(", ")])
+
+    return df.mapInArrow(run, schema)
+
+
+def products(batch, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a batch of vectors (doc_id, embedding), and their inner products with the queries, rounded to nine places."""
+    flat = batch.column("embedding").flatten()
+    vectors = np.asarray(flat, np.float64).reshape(batch.num_rows, -1)
+    return np.asarray(batch.column("doc_id"), np.int64), np.round(vectors @ queries.T, 9)
 
 
-def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id and inner product of every vector with a bounded set of queries."""
-    return vectors.crossJoin(F.broadcast(queries)).select("query_id", "doc_id", dot("embedding", "query").alias("score"))
+def union_all(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
+    found = empty.limit(0)
+    for part in parts:
+        found = found.unionAll(part)
+    return found
+
+
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, name: str = "dense_rank") -> DataFrame:
+    """query_id, doc_id, score and rank of the k vectors (doc_id, embedding) nearest each query (query_id, query).
+
+    A matrix product for each batch and block of queries, of which the batch's k best leave it; the
+    best of all are ranked by score rounded to nine places, then id.
+    """
+    schema = "query_id long, doc_id long, score double"
+    parts = []
+    for rows in blocks(queries, "query"):
+        ids, matrix = np.array([r.query_id for r in rows]), np.array([r.query for r in rows], np.float64)
+
+        def best(batch, ids=ids, matrix=matrix):
+            docs, scores = products(batch, matrix)
+            order = np.lexsort((np.broadcast_to(docs, (len(ids), len(docs))), -scores.T), axis=1)[:, :k]
+            return np.repeat(ids, order.shape[1]), docs[order].ravel(), np.take_along_axis(scores.T, order, axis=1).ravel()
+
+        parts.append(over_batches(vectors.select("doc_id", "embedding"), best, schema))
+    spark = vectors.sparkSession
+    return ranked(union_all(parts, spark.createDataFrame([], schema)), name).where(F.col(name) <= k)
 
 
 def ranked(scores: DataFrame, name: str) -> DataFrame:
-    """Ranks from 1 by score rounded to nine places, then id."""
+    """Ranks from 1 by score rounded to nine places, then id. A limit on the rank reaches the map side of the sort."""
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
     return scores.withColumn(name, F.row_number().over(w).cast("long"))
 
 
-def complete(scores: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Scores over all documents: those without a shared term score 0."""
-    every = docs.select("doc_id").crossJoin(F.broadcast(queries.select("query_id")))
-    return every.join(scores, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+def before(rows: list, keys: dict):
+    """For each query of ``rows`` (scores and ids of a batch): how many of them stand before each of its keys (score, id)."""
+    out = []
+    for query, scores, docs in rows:
+        cs, cd = keys[query]
+        ordered = np.sort(-scores)
+        n = np.searchsorted(ordered, -cs, "left")
+        for i in np.flatnonzero(np.searchsorted(ordered, -cs, "right") > n):
+            n[i] += int((docs[scores == cs[i]] < cd[i]).sum())
+        out.append((np.full(len(cs), query), cd, n))
+    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+
+
+def dense_ranks(vectors: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """candidates (query_id, doc_id) with dense_rank, the rank over all vectors: counts of those before each, by batch."""
+    keyed = cut(candidates.select("query_id", "doc_id").join(vectors.select("doc_id", "embedding"), "doc_id"))
+    schema = "query_id long, doc_id long, n long"
+    parts = []
+    for rows in blocks(queries, "query"):
+        own = {r.query_id: np.array(r.query, np.float64) for r in rows}
+        keys = {}
+        for r in keyed.where(F.col("query_id").between(rows[0].query_id, rows[-1].query_id)).collect():  # a few hundred for each query of the block
+            keys.setdefault(r.query_id, []).append((float(np.round(np.array(r.embedding, np.float64) @ own[r.query_id], 9)), r.doc_id))
+        keys = {q: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) for q, v in keys.items()}
+        ids = [q for q in own if q in keys]
+        matrix = np.array([own[q] for q in ids]).reshape(len(ids), -1)
+
+        def count(batch, ids=ids, matrix=matrix, keys=keys):
+            docs, scores = products(batch, matrix) if ids else (None, None)
+            return before([(q, scores[:, i], docs) for i, q in enumerate(ids)], keys)
+
+        parts.append(over_batches(vectors.select("doc_id", "embedding"), count, schema))
+    counts = union_all(parts, vectors.sparkSession.createDataFrame([], schema))
+    return counts.groupBy("query_id", "doc_id").agg((F.sum("n") + 1).alias("dense_rank"))
+
+
+def sparse_ranks(scores: DataFrame, docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """candidates (query_id, doc_id) with sparse_rank, the rank over all documents, of which those without a score have 0.
+
+    Scored documents before a candidate are counted by joining ranks; the others by their ids alone:
+    those below the candidate's id, less the scored ones below it. Only the candidates' ids meet the corpus.
+    """
+    own = candidates.select("query_id", "doc_id").join(scores, ["query_id", "doc_id"], "left")
+    own = cut(own.select("query_id", "doc_id", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("s")))
+    rounded = scores.select("query_id", "doc_id", F.round("score", 9).alias("s"))
+    # scored documents before each candidate, by score then id, and by id alone; the window runs over each query's scored rows
+    both = rounded.select("query_id", "doc_id", "s", F.lit(1).alias("scored"), F.lit(0).alias("wanted")).unionAll(own.select("query_id", "doc_id", "s", F.lit(0), F.lit(1)))
+    at = both.withColumn("_better", F.sum("scored").over(Window.partitionBy("query_id").orderBy(F.col("s").desc(), "doc_id", F.col("wanted").desc()).rowsBetween(Window.unboundedPreceding, -1)))
+    at = at.withColumn("_below", F.sum("scored").over(Window.partitionBy("query_id").orderBy("doc_id", F.col("wanted").desc()).rowsBetween(Window.unboundedPreceding, -1))).withColumn("_all", F.sum("scored").over(Window.partitionBy("query_id")))
+    at = at.where("wanted = 1")
+    total = docs.count()
+    smaller = ids_below(docs, own.select("doc_id").distinct())
+    unscored = F.when(F.col("s") < 0, F.lit(total) - F.col("_all")).when(F.col("s") == 0, F.col("ids_below") - F.coalesce("_below", F.lit(0))).otherwise(0)
+    return at.join(smaller, "doc_id").select("query_id", "doc_id", (F.coalesce("_better", F.lit(0)) + unscored + 1).alias("sparse_rank"))
+
+
+def ids_below(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (doc_id) with ids_below, the number of documents of smaller ids."""
+    wanted = np.array(sorted(r.doc_id for r in ids.collect()), np.int64)  # candidates: a few hundred for each query
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def count(batch):
+        place = np.searchsorted(shared.value, np.asarray(batch.column("doc_id"), np.int64), "right")
+        n = np.bincount(place, minlength=len(shared.value) + 1)
+        at = np.flatnonzero(n)
+        return at, n[at]
+
+    counts = over_batches(docs.select("doc_id"), count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # a row for each candidate
+    per = np.zeros(len(wanted) + 1, np.int64)
+    for r in counts:
+        per[r.place] = r.n
+    below = np.cumsum(per)[: len(wanted)]
+    return docs.sparkSession.createDataFrame([(int(i), int(n)) for i, n in zip(wanted, below, strict=True)], "doc_id long, ids_below long")
 
 
 def rrf(dense_ranks: DataFrame, sparse_ranks: DataFrame, k: int) -> DataFrame:
@@ -79,6 +211,27 @@ def rrf(dense_ranks: DataFrame, sparse_ranks: DataFrame, k: int) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def hybrid(docs: DataFrame, vectors: DataFrame, scores: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best documents of each query (query_id, query) by fused ranks over all of docs (doc_id).
+
+    A document of the k best has one of the RRF_K + 2 * k best ranks on one side: with both ranks
+    beyond that it scores less than any of the k first of the dense side. So only those documents of
+    either side are candidates, and their ranks over all documents are counted; nothing pairs all
+    documents with all queries. scores are of the documents that share a term; the others have 0 and
+    are ranked by id.
+    """
+    reach = RRF_K + 2 * k
+    scores = cut(scores)
+    near = dense_top(vectors, queries, reach).select("query_id", "doc_id")
+    named = ranked(scores, "r").where(F.col("r") <= reach)
+    per = scores.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.round("score", 9) > 0).alias("over"))
+    short = per.where(F.col("over") < reach).agg(F.max("n")).first()[0] or 0
+    first = docs.select("doc_id").orderBy("doc_id").limit(reach + short)  # where fewer documents than reach have a score, those without come in by id
+    filled = queries.select("query_id").join(per, "query_id", "left").where(F.coalesce("over", F.lit(0)) < reach).select("query_id").crossJoin(bounded(first))
+    candidates = cut(near.unionAll(named.select("query_id", "doc_id")).unionAll(filled).distinct())
+    return rrf(dense_ranks(vectors, queries, candidates), sparse_ranks(scores, docs, candidates), k)
+
+
 def rerank_splice(hits: DataFrame, model: DataFrame, k: int) -> DataFrame:
     """A reranker's known ids (query_id, doc_id, model_rank) first, once each, the others in fused order."""
     given = model.groupBy("query_id", "doc_id").agg(F.min("model_rank").alias("model_rank"))

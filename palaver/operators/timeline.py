@@ -25,8 +25,13 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, na
     return marked.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
 
 
-def build_turns(df: DataFrame, keys: list[str], order: list[str], voice: str, forced: Column | None = None) -> DataFrame:
-    """Turns: runs of one voice; ``forced`` rows begin a turn of their own."""
+def in_order(column: str, order: list[str]) -> Column:
+    """The column's values of a group as an array, by the order columns."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(column).alias("_value")))), lambda x: x["_value"])
+
+
+def build_turns(df: DataFrame, keys: list[str], order: list[str], voice: str, forced: Column | None = None, ids: str | None = None) -> DataFrame:
+    """Turns: runs of one voice; ``forced`` rows begin a turn of their own. With ids, the turn's segment_ids in order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     changed = F.lag(voice).over(w).isNull() | (F.lag(voice).over(w) != F.col(voice))
     runs = islands(df, keys, order, changed if forced is None else changed | forced, "turn_index")
@@ -35,11 +40,16 @@ def build_turns(df: DataFrame, keys: list[str], order: list[str], voice: str, fo
         F.min("t_start").alias("t_start"),
         F.max_by("t_end", F.struct(*order)).alias("t_end"),
         F.count("*").alias("n_segments"),
+        *([] if ids is None else [in_order(ids, order).alias("segment_ids")]),
     )
 
 
-def merge_runs(df: DataFrame, keys: list[str], order: list[str], member: str, most_gap: int) -> DataFrame:
-    """Adjacent rows of one known member no more than most_gap apart become one."""
+def merge_runs(df: DataFrame, keys: list[str], order: list[str], member: str, most_gap: int, joined: tuple[str, ...] = ()) -> DataFrame:
+    """Adjacent rows of one known member no more than most_gap apart become one.
+
+    The array columns named in ``joined`` (segment ids, evidence) are joined in order; other attributes
+    of the run are the first row's.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     same = (F.lag(member).over(w) == F.col(member)) & (F.col("t_start") - F.lag("t_end").over(w) <= most_gap)
     runs = islands(df, keys, order, ~F.coalesce(same, F.lit(False)), "run")
@@ -49,6 +59,7 @@ def merge_runs(df: DataFrame, keys: list[str], order: list[str], member: str, mo
         F.max_by("t_end", F.struct(*order)).alias("t_end"),
         F.max("confidence").alias("confidence"),
         F.count("*").alias("n_merged"),
+        *[F.flatten(in_order(c, order)).alias(c) for c in joined],
     )
 
 
@@ -73,16 +84,23 @@ def pair_events(df: DataFrame, keys: list[str], order: list[str], kind: str, dur
     return opened.select(*keys, start.alias("s_start"), end.alias("s_end")).where("s_end > s_start")
 
 
-def snap_nearest(points: DataFrame, boundaries: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """Each point (keys, point_id, t) moves to the nearest boundary (keys, t) within the window.
+def nearest(points: DataFrame, boundaries: DataFrame, keys: list[str]) -> DataFrame:
+    """Points (keys, point_id, t, ...) with the nearest boundary (keys, t) of their keys; ties go to the earlier one.
 
-    Ties go to the earlier boundary. One union, one sort and two range frames: no pair is made.
+    One union, one sort and two range frames: no pair is made.
     """
-    tagged = points.select(*keys, "point_id", "t", F.lit(None).cast("long").alias("b")).unionByName(boundaries.select(*keys, F.lit(None).cast("long").alias("point_id"), "t", F.col("t").alias("b")))
+    kind = points.schema["t"].dataType
+    tagged = points.withColumn("_b", F.lit(None).cast(kind)).unionByName(boundaries.select(*keys, "t", F.col("t").cast(kind).alias("_b")), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy("t")
-    seen = tagged.withColumn("before", F.max("b").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("after", F.min("b").over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
-    nearest = F.when(F.col("after").isNull() | (F.col("t") - F.col("before") <= F.col("after") - F.col("t")), F.col("before")).otherwise(F.col("after"))
-    rows = seen.where("point_id is not null").withColumn("nearest", nearest)
+    seen = tagged.withColumn("_before", F.max("_b").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_after", F.min("_b").over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
+    closer = F.col("_after").isNull() | (F.col("t") - F.col("_before") <= F.col("_after") - F.col("t"))
+    rows = seen.where("point_id is not null").withColumn("nearest", F.when(closer, F.col("_before")).otherwise(F.col("_after")))
+    return rows.drop("_b", "_before", "_after")
+
+
+def snap_nearest(points: DataFrame, boundaries: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """Each point (keys, point_id, t) moves to the nearest boundary (keys, t) within the window; ties go to the earlier one."""
+    rows = nearest(points.select(*keys, "point_id", "t"), boundaries.select(*keys, "t"), keys)
     return rows.select(*keys, "point_id", "t", F.when(F.abs(F.col("nearest") - F.col("t")) <= window, F.col("nearest")).otherwise(F.col("t")).alias("snapped"))
 
 
@@ -140,34 +158,34 @@ def frame_plan(cuts: DataFrame, keys: list[str], offset: int, first: int, every:
     return per.select(*keys, F.explode(min_spacing(both, spacing)).alias("t"))
 
 
-def plan_chunks(silences: DataFrame, key: str, key_type: str, target: int, search: int, least: int, tail: int) -> DataFrame:
+def plan_chunks(silences: DataFrame, key: str, target: int, search: int, least: int, tail: int) -> DataFrame:
     """Chunks of about ``target`` cut at the middle of pauses (key, mid, duration).
 
-    Each cut depends on the one before, so a key's pauses are folded in order; a key is one recording.
+    Each cut depends on the one before, so a key's cuts are made by a fold over as many steps as fit
+    into the recording: a step takes the pause of its window that is nearest the ideal cut, the
+    earlier of two, or the ideal where there is none. A chunk's flag tells whether a pause ends it;
+    the last one has the flag before it.
     """
-
-    def fold(pdf):
-        import pandas as pd
-
-        duration, mids = int(pdf["duration"].iloc[0]), sorted(int(m) for m in pdf["mid"].dropna())
-        out, start, flag = [], 0, True
-        while duration - start > tail:
-            ideal = start + target
-            if ideal >= duration:
-                break
-            low, high = max(start + least, ideal - search), min(duration - tail, ideal + search)
-            inside = [m for m in mids if low <= m <= high]
-            flag = bool(inside)
-            cut = min(inside, key=lambda m: (abs(m - ideal), m)) if inside else min(ideal, duration - tail)
-            out.append((start, cut, flag))
-            start = cut
-        out.append((start, duration, flag))
-        rows = pd.DataFrame(out, columns=["c_start", "c_end", "at_silence"])
-        rows.insert(0, key, pdf[key].iloc[0])
-        rows.insert(1, "chunk_index", range(len(rows)))
-        return rows
-
-    return silences.groupBy(key).applyInPandas(fold, f"{key} {key_type}, chunk_index long, c_start long, c_end long, at_silence boolean")
+    per = silences.groupBy(key).agg(F.max("duration").alias("duration"), F.collect_list("mid").alias("mids"))
+    end, kind = F.col("duration"), "array<struct<start:bigint,end:bigint,flag:boolean>>"
+
+    def step(s: Column) -> Column:
+        ideal = s["start"] + target
+        last = (end - s["start"] <= tail) | (ideal >= end)
+        inside = F.filter("mids", lambda m: (m >= F.greatest(s["start"] + least, ideal - search)) & (m <= F.least(end - tail, ideal + search)))
+        best = F.array_min(F.transform(inside, lambda m: F.struct(F.abs(m - ideal).alias("away"), m.alias("mid"))))["mid"]
+        cut = F.when(last, end).otherwise(F.coalesce(best, F.least(ideal, end - tail)))
+        flag = F.when(last, F.coalesce(F.try_element_at(s["cuts"], F.lit(-1))["flag"], F.lit(True))).otherwise(best.isNotNull())
+        one = F.struct(s["start"].alias("start"), cut.alias("end"), flag.alias("flag"))
+        # the cut is made once and read from its struct
+        return F.get(F.transform(F.array(one), lambda c: F.struct(F.array_append(s["cuts"], c).alias("cuts"), c["end"].alias("start"))), 0)
+
+    begin = F.struct(F.array().cast(kind).alias("cuts"), F.lit(0).cast("bigint").alias("start"))
+    state = f"struct<cuts:{kind},start:bigint>"
+    steps = F.sequence(F.lit(0), F.floor(end / least).cast("int") + 1)
+    cuts = F.aggregate(steps, begin.cast(state), lambda s, _: F.when(s["start"] >= end, s).otherwise(step(s)).cast(state), lambda s: s["cuts"])
+    rows = per.select(key, F.posexplode(cuts).alias("chunk_index", "c"))
+    return rows.select(key, F.col("chunk_index").cast("long").alias("chunk_index"), F.col("c.start").alias("c_start"), F.col("c.end").alias("c_end"), F.col("c.flag").alias("at_silence"))
 
 
 def span_faults(spans: DataFrame, keys: list[str], durations: DataFrame) -> DataFrame:

@@ -10,9 +10,13 @@ from palaver.operators import answer as an
 from palaver.plans.base import query
 from palaver.session import table
 
-ANSWERS = """a AS (SELECT doc_id AS answer_id, 'As said [S' || lpad(CAST(doc_id % 1200 AS VARCHAR), 3, '0') || ', S' || lpad(CAST((doc_id * 7) % 1200 AS VARCHAR), 3, '0') || '] and S001 [S' || lpad(CAST(doc_id % 1200 AS VARCHAR), 3, '0') || ']' AS text,
-'S' || lpad(CAST(doc_id % 1200 AS VARCHAR), 3, '0') AS c1, 'S' || lpad(CAST((doc_id * 7) % 1200 AS VARCHAR), 3, '0') AS c2 FROM documents),
-ctx AS (SELECT *, CASE WHEN answer_id % 3 = 0 THEN [c1] WHEN answer_id % 3 = 1 THEN [c1, c2] ELSE ['S999999'] END AS context FROM a)"""
+def sql_id(n):
+    return f"'S' || CASE WHEN {n} < 1000 THEN lpad(CAST({n} AS VARCHAR), 3, '0') ELSE CAST({n} AS VARCHAR) END"
+
+
+#: Every document is an answer that cites itself and another document of the whole table.
+ANSWERS = f"""a AS (SELECT doc_id AS answer_id, {sql_id('doc_id')} AS c1, {sql_id('((doc_id * 7) % n)')} AS c2 FROM documents, (SELECT max(doc_id) + 1 AS n FROM documents) x),
+ctx AS (SELECT *, CASE WHEN answer_id % 3 = 0 THEN [c1] WHEN answer_id % 3 = 1 THEN [c1, c2] ELSE ['S999999999'] END AS context FROM a)"""
 
 
 def sid(n):
@@ -20,21 +24,20 @@ def sid(n):
 
 
 def answers(spark, folder):
-    one, two = sid(F.col("doc_id") % 1200), sid(F.col("doc_id") * 7 % 1200)
-    text = F.concat(F.lit("As said ["), one, F.lit(", "), two, F.lit("] and S001 ["), one, F.lit("]"))
-    context = F.when(F.col("doc_id") % 3 == 0, F.array(one)).when(F.col("doc_id") % 3 == 1, F.array(one, two)).otherwise(F.array(F.lit("S999999")))
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("answer_id"), text.alias("text"), context.alias("context"))
-
-
-PADDED = ANSWERS.replace("lpad(CAST(doc_id % 1200 AS VARCHAR), 3, '0')", "CASE WHEN doc_id % 1200 < 1000 THEN lpad(CAST(doc_id % 1200 AS VARCHAR), 3, '0') ELSE CAST(doc_id % 1200 AS VARCHAR) END").replace("lpad(CAST((doc_id * 7) % 1200 AS VARCHAR), 3, '0')", "CASE WHEN (doc_id * 7) % 1200 < 1000 THEN lpad(CAST((doc_id * 7) % 1200 AS VARCHAR), 3, '0') ELSE CAST((doc_id * 7) % 1200 AS VARCHAR) END")
+    docs = table(spark, folder, "documents").select("doc_id")
+    n = docs.agg((F.max("doc_id") + 1).alias("n"))  # one row
+    named = docs.crossJoin(F.broadcast(n)).select("doc_id", sid(F.col("doc_id")).alias("one"), sid(F.col("doc_id") * 7 % F.col("n")).alias("two"))
+    text = F.concat(F.lit("As said ["), "one", F.lit(", "), "two", F.lit("] and S001 ["), "one", F.lit("]"))
+    context = F.when(F.col("doc_id") % 3 == 0, F.array("one")).when(F.col("doc_id") % 3 == 1, F.array("one", "two")).otherwise(F.array(F.lit("S999999999")))
+    return named.select(F.col("doc_id").alias("answer_id"), text.alias("text"), context.alias("context"))
 
 
-@query(f"WITH {PADDED} SELECT answer_id, c1 || ',' || c2 || ',' || c1 AS cited FROM a")
+@query(f"WITH {ANSWERS} SELECT answer_id, c1 || ',' || c2 || ',' || c1 AS cited FROM a")
 def citation_extract(spark, folder):
     return answers(spark, folder).select("answer_id", F.array_join(tx.citations(F.col("text")), ",").alias("cited"))
 
 
-CHECKED = PADDED + ", good AS (SELECT answer_id, CASE WHEN answer_id % 3 = 2 THEN '' WHEN c1 = c2 OR answer_id % 3 = 0 THEN c1 ELSE c1 || ',' || c2 END AS good, CASE WHEN answer_id % 3 = 2 THEN CASE WHEN c1 = c2 THEN c1 ELSE c1 || ',' || c2 END WHEN answer_id % 3 = 0 AND c1 <> c2 THEN c2 ELSE '' END AS bad FROM ctx)"
+CHECKED = ANSWERS + ", good AS (SELECT answer_id, CASE WHEN answer_id % 3 = 2 THEN '' WHEN c1 = c2 OR answer_id % 3 = 0 THEN c1 ELSE c1 || ',' || c2 END AS good, CASE WHEN answer_id % 3 = 2 THEN CASE WHEN c1 = c2 THEN c1 ELSE c1 || ',' || c2 END WHEN answer_id % 3 = 0 AND c1 <> c2 THEN c2 ELSE '' END AS bad FROM ctx)"
 
 
 @query(f"WITH {CHECKED} SELECT answer_id, good, bad, good = '' AS refused FROM good")
@@ -42,12 +45,22 @@ def citation_validate(spark, folder):
     return an.check_citations(answers(spark, folder)).select("answer_id", F.array_join("good", ",").alias("good"), F.array_join("bad", ",").alias("bad"), "refused")
 
 
-@query(f"WITH {CHECKED}, c AS (SELECT answer_id, unnest(string_split(good, ',')) AS segment_id FROM good WHERE good <> ''), s AS (SELECT doc_id, 'S' || CASE WHEN doc_id < 1000 THEN lpad(CAST(doc_id AS VARCHAR), 3, '0') ELSE CAST(doc_id AS VARCHAR) END AS segment_id, source, lang FROM documents WHERE doc_id < 1200) SELECT c.answer_id, c.segment_id, s.source AS speaker, s.lang FROM c LEFT JOIN s ON c.segment_id = s.segment_id")
+@query(f"WITH {CHECKED}, c AS (SELECT answer_id, unnest(string_split(good, ',')) AS segment_id FROM good WHERE good <> ''), s AS (SELECT {sql_id('doc_id')} AS segment_id, source, lang FROM documents) SELECT c.answer_id, c.segment_id, s.source AS speaker, s.lang FROM c LEFT JOIN s ON c.segment_id = s.segment_id")
 def evidence_cards(spark, folder):
-    segments = table(spark, folder, "documents").where("doc_id < 1200").select(sid(F.col("doc_id")).alias("segment_id"), F.col("source").alias("speaker"), "lang")
+    segments = table(spark, folder, "documents").select(sid(F.col("doc_id")).alias("segment_id"), F.col("source").alias("speaker"), "lang")
     return an.evidence_cards(an.check_citations(answers(spark, folder)), segments).select("answer_id", "segment_id", "speaker", "lang")
 
 
+STRIPPED = """b AS (SELECT answer_id, c1, c2, answer_id % 3 = 2 AS b1, answer_id % 3 = 2 OR answer_id % 3 = 0 AND c1 <> c2 AS b2 FROM ctx)
+SELECT answer_id, 'As said ' || CASE WHEN b1 AND b2 AND c2 < c1 THEN 'and ' WHEN b1 AND b2 THEN ' and ' WHEN b2 THEN '[' || c1 || ',  and ' ELSE '[' || c1 || ', ' || c2 || '] and ' END || CASE WHEN b1 AND c1 = 'S001' OR b2 AND c2 = 'S001' THEN '' ELSE 'S001 ' END || CASE WHEN b1 THEN '' ELSE '[' || c1 || ']' END AS body FROM b"""
+
+
+@query(f"WITH {ANSWERS}, {STRIPPED}")
+def citation_strip(spark, folder):
+    checked = an.check_citations(answers(spark, folder))
+    return checked.select("answer_id", an.strip_citations(F.col("text"), F.col("bad")).alias("body"))
+
+
 GUARD = r"""g AS (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' 1,000 crore' WHEN 1 THEN ' 12.5 lakhs' ELSE '' END AS a, lead(text || CASE turn % 3 WHEN 0 THEN ' 1000 crores' WHEN 1 THEN ' 12.5 thousand' ELSE '' END) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
 w AS (SELECT * FROM (VALUES ('hundred', 100), ('thousand', 1000), ('lakh', 100000), ('crore', 10000000), ('million', 1000000), ('billion', 1000000000)) v(word, worth)),
 dig AS (SELECT conv_id, turn, list_sort(list_transform(regexp_extract_all(a, '[0-9][0-9,.]*'), lambda x: rtrim(replace(x, ',', ''), '.'))) AS da, list_sort(list_transform(regexp_extract_all(b, '[0-9][0-9,.]*'), lambda x: rtrim(replace(x, ',', ''), '.'))) AS db,

@@ -34,17 +34,17 @@ def confidence_ladder(spark, folder):
     return voted(spark, folder).select("user_id", "day", "member", at.confidence_of(F.col("kinds"), F.col("conflict")).alias("confidence"))
 
 
-PICKS = "v AS (SELECT d.source AS turn, 'M1' AS expected, CASE l.quality + 2 * l.toxic WHEN 1 THEN 'M1' WHEN 0 THEN NULL WHEN 3 THEN 'M2' ELSE 'M9' END AS picked FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE d.doc_id % 4 = 0 OR l.quality = 1 AND l.toxic = 0 AND d.doc_id % 3 = 0), g AS (SELECT turn || '-' || CAST(coalesce(length(picked), 0) AS VARCHAR) AS turn, expected, picked, picked IN ('M1', 'M2') AS on_lineup FROM v)"
+PICKS = "g AS (SELECT d.source || '-' || CAST(d.doc_id % 12 AS VARCHAR) AS turn, 'M1' AS expected, CASE l.quality + 2 * l.toxic WHEN 1 THEN 'M1' WHEN 3 THEN 'M2' WHEN 2 THEN 'M9' END AS picked, l.quality + 2 * l.toxic IN (1, 3) AS on_lineup FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 VERDICT = "WITH " + PICKS + ", f AS (SELECT turn, CASE WHEN bool_and(coalesce(picked = expected, false)) THEN 'confirmed' WHEN bool_or(coalesce(picked = expected, false)) THEN 'partial' WHEN bool_or(coalesce(picked <> expected AND on_lineup, false)) THEN 'contradicted' ELSE 'unrecognised' END AS verdict, count(*) AS n_votes FROM g GROUP BY turn)"
 
 
 def picks(spark, folder):
-    lab = table(spark, folder, "labels").join(table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
-    used = lab.where("doc_id % 4 = 0 or quality = 1 and toxic = 0 and doc_id % 3 = 0")
+    """All labels as votes on a lineup: M1 is expected, M2 stands beside it, M9 is on no lineup."""
+    rows = table(spark, folder, "labels").join(table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
     code = F.col("quality") + 2 * F.col("toxic")
-    picked = F.when(code == 1, "M1").when(code == 0, F.lit(None)).when(code == 3, "M2").otherwise("M9")
-    rows = used.select("source", F.lit("M1").alias("expected"), picked.alias("picked"))
-    return rows.select(F.concat("source", F.lit("-"), F.coalesce(F.length("picked"), F.lit(0)).cast("string")).alias("turn"), "expected", "picked", F.col("picked").isin("M1", "M2").alias("on_lineup"))
+    picked = F.when(code == 1, "M1").when(code == 3, "M2").when(code == 2, "M9")
+    turn = F.concat_ws("-", "source", (F.col("doc_id") % 12).cast("string"))
+    return rows.select(turn.alias("turn"), F.lit("M1").alias("expected"), picked.alias("picked"), code.isin(1, 3).alias("on_lineup"))
 
 
 @query(VERDICT + " SELECT turn, verdict, n_votes FROM f")
@@ -94,15 +94,43 @@ def fuzzy_resolve(spark, folder):
     return rs.resolve(typed, index).select("name", "member_id")
 
 
-@query("""WITH m AS (SELECT s_suppkey AS id, r_name || CASE WHEN s_suppkey % 7 = 0 THEN ' — ' || n_name WHEN s_suppkey % 7 = 1 THEN ' deputy' ELSE ', ' || n_name END AS role FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 9 = 0), o AS (SELECT r_name AS office FROM region UNION SELECT r_name || ' deputy' FROM region)
-SELECT office, min(id) AS member_id FROM m, o WHERE lower(role) = lower(office) OR starts_with(lower(role), lower(office) || ' —') OR starts_with(lower(role), lower(office) || ' -') OR starts_with(lower(role), lower(office) || ',') GROUP BY office HAVING count(DISTINCT id) = 1""")
+@query("SELECT n_name AS party, count(*) AS n_members, count(*) FILTER (WHERE s_suppkey % 3 > 0) AS n_tamil, count(*) FILTER (WHERE s_acctbal > 0) AS n_portrait FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
+def roster_coverage(spark, folder):
+    from palaver.sources.artifacts import roster_coverage as coverage
+
+    who = table(spark, folder, "supplier").join(F.broadcast(table(spark, folder, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    members = who.select(F.col("n_name").alias("party"), F.when(F.col("s_suppkey") % 3 > 0, "த").alias("tamil_name"), F.when(F.col("s_acctbal") > 0, "p.jpg").otherwise("").alias("portrait"))
+    return coverage(members, ["party"])
+
+
+@query("SELECT row_number() OVER (ORDER BY s_acctbal <= 0, s_suppkey) AS place, '- ' || CASE WHEN s_suppkey % 3 > 0 THEN 'த' ELSE '' END || ' (' || s_name || ', P, ' || CASE WHEN s_acctbal > 0 THEN 'Minister' ELSE 'MLA' END || ')' AS line FROM supplier QUALIFY place <= 60")
+def names_hint(spark, folder):
+    """The prompt's list of names is at most 60 long: the limit is the feature."""
+    from pyspark.sql import Window
+
+    from palaver.operators.segments import names_hint as hint
+
+    key = F.col("s_suppkey")
+    members = table(spark, folder, "supplier").select(key.alias("ord"), F.col("s_name").alias("name"), F.when(key % 3 > 0, "த").alias("tamil_name"), F.lit("P").alias("party_code"), F.when(F.col("s_acctbal") > 0, F.array(F.lit("Minister"))).otherwise(F.array(F.lit("MLA"))).alias("current_roles"))
+    return hint(members).select(F.row_number().over(Window.orderBy(F.col("office").desc(), "ord")).cast("long").alias("place"), "line")
+
+
+#: Desks of a nation that suppliers are dealt to by their keys.
+DESKS = 11
+
+
+@query(f"""WITH o AS (SELECT n_nationkey, k, n_name || ' desk ' || CAST(k AS VARCHAR) AS office FROM nation, (SELECT unnest(range({DESKS})) AS k) x),
+m AS (SELECT s_suppkey AS id, office || CASE s_suppkey % 7 WHEN 0 THEN ' — north' WHEN 1 THEN ' deputy' WHEN 2 THEN '' ELSE ', south' END AS role FROM supplier JOIN o ON s_nationkey = n_nationkey AND k = (s_suppkey * 5) % {DESKS}),
+w AS (SELECT office FROM o UNION ALL SELECT office || ' deputy' FROM o)
+SELECT office, min(id) AS member_id FROM m, w WHERE lower(role) = lower(office) OR starts_with(lower(role), lower(office) || ' —') OR starts_with(lower(role), lower(office) || ' -') OR starts_with(lower(role), lower(office) || ',') GROUP BY office HAVING count(DISTINCT id) = 1""")
 def role_unique_holder(spark, folder):
-    region = table(spark, folder, "region")
-    who = table(spark, folder, "supplier").where("s_suppkey % 9 = 0").join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    tail = F.when(F.col("s_suppkey") % 7 == 0, F.concat(F.lit(" — "), "n_name")).when(F.col("s_suppkey") % 7 == 1, F.lit(" deputy")).otherwise(F.concat(F.lit(", "), "n_name"))
-    members = who.select(F.col("s_suppkey").alias("member_id"), F.concat("r_name", tail).alias("role"))
-    offices = region.select(F.col("r_name").alias("office")).union(region.select(F.concat("r_name", F.lit(" deputy"))))
-    return rs.unique_holders(members, offices)
+    nation = table(spark, folder, "nation").select("n_nationkey", "n_name", F.explode(F.sequence(F.lit(0), F.lit(DESKS - 1))).alias("k"))
+    desks = nation.select("n_nationkey", "k", F.concat("n_name", F.lit(" desk "), F.col("k").cast("string")).alias("office"))
+    held = table(spark, folder, "supplier").join(desks, (F.col("s_nationkey") == F.col("n_nationkey")) & (F.col("k") == F.col("s_suppkey") * 5 % DESKS))
+    kind = F.col("s_suppkey") % 7
+    tail = F.when(kind == 0, " — north").when(kind == 1, " deputy").when(kind == 2, "").otherwise(", south")
+    offices = desks.select("office").union(desks.select(F.concat("office", F.lit(" deputy"))))
+    return rs.unique_holders(held.select(F.col("s_suppkey").alias("member_id"), F.concat("office", tail).alias("role")), offices)
 
 
 @query("""WITH c AS (SELECT t.s_suppkey AS member_id, d.s_suppkey AS decoy, row_number() OVER (PARTITION BY t.s_suppkey ORDER BY sha256(CAST(t.s_suppkey AS VARCHAR) || ':' || CAST(d.s_suppkey AS VARCHAR))) AS rn FROM supplier t JOIN supplier d ON t.s_nationkey = d.s_nationkey AND t.s_suppkey <> d.s_suppkey)

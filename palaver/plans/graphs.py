@@ -79,10 +79,10 @@ def provenance_filter(spark, folder):
     return gr.provenance_filter(rows, known).select("row_id")
 
 
-@query("""WITH nd AS (SELECT n_nationkey AS ord, 'P' || CAST(n_nationkey AS VARCHAR) AS key, n_name AS label FROM nation), ids AS (SELECT 'P' || CAST(s_nationkey AS VARCHAR) AS key, s_suppkey AS id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos FROM supplier),
+@query("""WITH nd AS (SELECT n_nationkey AS ord, 'P' || CAST(n_nationkey AS VARCHAR) AS key, n_name AS label, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'ந' || CAST(n_nationkey AS VARCHAR) || 'ா' END AS tamil FROM nation), ids AS (SELECT 'P' || CAST(s_nationkey AS VARCHAR) AS key, s_suppkey AS id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos FROM supplier),
 ed AS (SELECT 'P' || CAST(a.n_nationkey AS VARCHAR) AS source, 'P' || CAST(b.n_nationkey AS VARCHAR) AS target, a.n_nationkey * 100 + b.n_nationkey AS ord FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey),
-q AS (SELECT n_nationkey AS query_id, 'what did ' || lower(n_name) || ' say' AS text FROM nation WHERE n_nationkey < 15),
-nm AS (SELECT q.query_id, nd.key, nd.ord FROM q JOIN nd ON length(nd.label) > 2 AND contains(lower(q.text), lower(nd.label))),
+q AS (SELECT n_nationkey AS query_id, 'What did ' || CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'ந' || CAST(n_nationkey AS VARCHAR) || 'ா' END || ' say' AS text FROM nation),
+nm AS (SELECT q.query_id, nd.key, nd.ord FROM q JOIN nd ON length(nd.label) > 2 AND contains(lower(q.text), lower(nd.label)) OR nd.tamil <> '' AND contains(q.text, nd.tamil)),
 bo AS (SELECT source AS key, target AS other, ord, 0 AS side FROM ed UNION ALL SELECT target, source, ord, 1 FROM ed), nb AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord, side, other) AS rn FROM bo),
 h AS (SELECT nm.query_id, nm.ord AS node_ord, 0 AS rn, ids.pos, ids.id FROM nm JOIN ids ON nm.key = ids.key UNION ALL SELECT nm.query_id, nm.ord, nb.rn, ids.pos, ids.id FROM nm JOIN nb ON nm.key = nb.key AND nb.rn <= 4 JOIN ids ON ids.key = nb.other AND ids.pos < 2),
 f AS (SELECT query_id, id, node_ord, rn, pos, row_number() OVER (PARTITION BY query_id, id ORDER BY node_ord, rn, pos) AS k FROM h), z AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY node_ord, rn, pos, id) AS rank FROM f WHERE k = 1)
@@ -94,10 +94,86 @@ def graph_expand(spark, folder):
     nodes = nation.select(key("n_nationkey").alias("key"), F.col("n_name").alias("label"), F.col("n_nationkey").alias("ord")).join(ids, "key", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
     a, b = nation.select(F.col("n_nationkey").alias("x"), "n_regionkey"), nation.select(F.col("n_nationkey").alias("y"), "n_regionkey")
     links = a.join(b, "n_regionkey").where("x < y").select(key("x").alias("source"), key("y").alias("target"), (F.col("x") * 100 + F.col("y")).alias("ord"))
-    asked = nation.where("n_nationkey < 15").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("what did "), F.lower("n_name"), F.lit(" say")).alias("text"))
+    tamil = F.concat(F.lit("ந"), F.col("n_nationkey").cast("string"), F.lit("ா"))
+    nodes = nodes.join(nation.select(key("n_nationkey").alias("key"), F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(tamil).alias("tamil")), "key")
+    name = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(tamil)
+    asked = nation.select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("What did "), name, F.lit(" say")).alias("text"))
     return gr.expand(asked, nodes, links)
 
 
 @query("SELECT p_partkey, CASE WHEN trim(regexp_replace(upper(trim(p_type || ' -> ' || p_name || '!')), '[^A-Za-z0-9]+', '_', 'g'), '_') = '' THEN 'RELATED_TO' ELSE trim(regexp_replace(upper(trim(p_type || ' -> ' || p_name || '!')), '[^A-Za-z0-9]+', '_', 'g'), '_') END AS rel FROM part")
 def rel_type_sanitise(spark, folder):
     return table(spark, folder, "part").select("p_partkey", tx.relation_type(F.concat("p_type", F.lit(" -> "), "p_name", F.lit("!"))).alias("rel"))
+
+
+ASSEMBLED = """ro AS (SELECT s_suppkey, 'M' || CAST(s_suppkey AS VARCHAR) AS member_id, s_name, CASE WHEN s_suppkey % 3 > 0 THEN 'த' || CAST(s_suppkey AS VARCHAR) END AS tamil, n_name AS party FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+me AS (SELECT 'PERSON:' || lower(trim(s_name)) AS key, 'PERSON' AS type, s_name AS label, tamil, party, member_id, 'S' || CAST(l_orderkey AS VARCHAR) AS prov, l_orderkey * 10 + l_linenumber AS ord FROM lineitem JOIN ro ON l_suppkey = s_suppkey
+UNION ALL SELECT 'TOPIC:' || lower(trim(p_name)), 'TOPIC', CASE WHEN l_orderkey % 2 = 0 THEN upper(p_name) ELSE p_name || ' ' END, CASE WHEN l_linenumber % 2 = 0 THEN 'ப' || CAST(p_partkey AS VARCHAR) END, NULL, NULL, 'S' || CAST(l_orderkey AS VARCHAR), l_orderkey * 10 + l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey),
+fi AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord, label) AS rn FROM me), ids AS (SELECT key, string_agg(DISTINCT prov, ',' ORDER BY prov) AS ids FROM me GROUP BY key)"""
+
+
+def roster(spark, folder):
+    who = table(spark, folder, "supplier").join(F.broadcast(table(spark, folder, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    tamil = F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("த"), F.col("s_suppkey").cast("string")))
+    return who.select(F.concat(F.lit("M"), F.col("s_suppkey").cast("string")).alias("member_id"), F.col("s_name").alias("name"), tamil.alias("tamil_name"), F.col("n_name").alias("party_code"), F.array(F.lit("Member")).alias("roles"), F.lit(None).cast("string").alias("portrait"))
+
+
+def assembled(spark, folder):
+    """Nodes of members and topics, all lines of all orders being their mentions."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    lines = lines.withColumn("provenance", F.concat(F.lit("S"), F.col("l_orderkey").cast("string"))).withColumn("ord", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    none = F.lit(None).cast("string")
+    members = lines.select(F.lit("PERSON").alias("kind"), F.lit("").alias("name"), none.alias("tamil"), F.concat(F.lit("M"), F.col("l_suppkey").cast("string")).alias("member_id"), "provenance", "ord")
+    parts = lines.join(table(spark, folder, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    spelling = F.when(F.col("l_orderkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat("p_name", F.lit(" ")))
+    tamil = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("ப"), F.col("p_partkey").cast("string"))).otherwise("")
+    topics = parts.select(F.lit("TOPIC").alias("kind"), spelling.alias("name"), tamil.alias("tamil"), none.alias("member_id"), "provenance", "ord")
+    return gr.assemble_nodes(members.unionAll(topics), roster(spark, folder))
+
+
+@query(f"WITH {ASSEMBLED} SELECT fi.key, type, label, tamil, party, member_id, ids FROM fi JOIN ids ON fi.key = ids.key WHERE rn = 1")
+def graph_assembly(spark, folder):
+    return assembled(spark, folder).select("key", "type", "label", "tamil", "party", "member_id", F.array_join("segment_ids", ",").alias("ids"))
+
+
+@query(f"WITH {ASSEMBLED} SELECT DISTINCT key AS source, 'PARTY:' || lower(party) AS target, 'member of' AS predicate FROM me WHERE member_id IS NOT NULL")
+def roster_edges(spark, folder):
+    return gr.roster_edges(assembled(spark, folder)).select("source", "target", "predicate")
+
+
+TALK = ASSEMBLED + """, sg AS (SELECT o_orderkey AS ord, 'S' || CAST(o_orderkey AS VARCHAR) AS prov, 'M' || CAST(o_custkey % (SELECT max(s_suppkey) + 1 FROM supplier) AS VARCHAR) AS member_id FROM orders),
+di AS (SELECT p.key AS source, t.key AS target, sg.prov, sg.ord FROM (SELECT DISTINCT key, prov FROM me WHERE type = 'TOPIC') t JOIN sg ON sg.prov = t.prov JOIN (SELECT DISTINCT key, member_id FROM me WHERE type = 'PERSON') p ON p.member_id = sg.member_id)"""
+
+
+@query(f"WITH {TALK} SELECT source, target, arg_min(prov, ord) AS first_id, string_agg(DISTINCT prov, ',' ORDER BY prov) AS ids FROM di GROUP BY source, target")
+def discussed_edges(spark, folder):
+    nodes = assembled(spark, folder)
+    n = table(spark, folder, "supplier").agg((F.max("s_suppkey") + 1).alias("n"))
+    spoken = table(spark, folder, "orders").crossJoin(F.broadcast(n))  # one row
+    segments = spoken.select(F.concat(F.lit("S"), F.col("o_orderkey").cast("string")).alias("segment_id"), F.concat(F.lit("M"), (F.col("o_custkey") % F.col("n")).cast("string")).alias("member_id"), F.col("o_orderkey").alias("ord"))
+    first, every = gr.discussed_edges(nodes, segments), gr.discussed_edges(nodes, segments, every=True)
+    both = first.select("source", "target", F.col("segment_ids")[0].alias("first_id")).join(every.select("source", "target", F.array_join("segment_ids", ",").alias("ids")), ["source", "target"])
+    return both.select("source", "target", "first_id", "ids")
+
+
+ENDS = """nd AS (SELECT CASE WHEN s_suppkey % 2 = 1 THEN 'PERSON:' ELSE 'AMOUNT:' END || lower(s_name) AS key FROM supplier UNION SELECT CASE p_partkey % 3 WHEN 0 THEN 'TOPIC:' WHEN 1 THEN 'SCHEME:' ELSE 'LAW:' END || lower(p_name) FROM part UNION SELECT 'PLACE:' || lower(n_name) FROM nation UNION SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'PARTY:' ELSE 'DATE:' END || lower(n_name) FROM nation),
+re AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS id, CASE WHEN l_linenumber = 4 THEN 'nobody' ELSE s_name END AS subject, CASE l_linenumber % 3 WHEN 0 THEN p_name WHEN 1 THEN n_name ELSE s_name END AS object FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey JOIN nation ON n_nationkey = (l_orderkey + s_nationkey) % 25),
+nm AS (SELECT subject AS name FROM re UNION SELECT object FROM re), ty AS (SELECT * FROM (VALUES ('PARTY', 1), ('SCHEME', 2), ('PLACE', 3), ('AMOUNT', 4), ('LAW', 5), ('DATE', 6), ('TOPIC', 7), ('PERSON_EXTERNAL', 8)) v(type, rank)),
+tr AS (SELECT name, 'PERSON:' || lower(trim(name)) AS key, 0 AS rank FROM nm WHERE name IN (SELECT s_name FROM supplier) UNION ALL SELECT name, type || ':' || lower(trim(name)), rank FROM nm, ty WHERE name NOT IN (SELECT s_name FROM supplier)),
+fo AS (SELECT name, arg_min(tr.key, rank) AS key FROM tr JOIN nd ON tr.key = nd.key GROUP BY name)"""
+
+
+@query(f"WITH {ENDS} SELECT re.id AS relation_id, a.key AS source, b.key AS target FROM re JOIN fo a ON re.subject = a.name JOIN fo b ON re.object = b.name WHERE a.key <> b.key")
+def edge_endpoints(spark, folder):
+    supplier, part, nation = (table(spark, folder, t) for t in ("supplier", "part", "nation"))
+    typed = lambda df, kind, name: df.select(tx.node_key(kind, F.col(name)).alias("key"))
+    nodes = typed(supplier, F.when(F.col("s_suppkey") % 2 == 1, "PERSON").otherwise("AMOUNT"), "s_name")
+    nodes = nodes.union(typed(part, F.when(F.col("p_partkey") % 3 == 0, "TOPIC").when(F.col("p_partkey") % 3 == 1, "SCHEME").otherwise("LAW"), "p_name"))
+    nodes = nodes.union(typed(nation, F.lit("PLACE"), "n_name")).union(typed(nation, F.when(F.col("n_nationkey") % 5 == 0, "PARTY").otherwise("DATE"), "n_name")).distinct()
+    lines = table(spark, folder, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = lines.join(F.broadcast(nation), F.col("n_nationkey") == (F.col("l_orderkey") + F.col("s_nationkey")) % 25)
+    subject = F.when(F.col("l_linenumber") == 4, "nobody").otherwise(F.col("s_name"))
+    object_ = F.when(F.col("l_linenumber") % 3 == 0, F.col("p_name")).when(F.col("l_linenumber") % 3 == 1, F.col("n_name")).otherwise(F.col("s_name"))
+    relations = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("relation_id"), subject.alias("subject"), F.lit("names").alias("predicate"), object_.alias("object"), F.array(F.col("l_orderkey").cast("string")).alias("segment_ids")).distinct()
+    members = supplier.select(F.col("s_name").alias("alias"), F.col("s_name").alias("name"))
+    return gr.resolve_endpoints(relations, nodes, members).select("relation_id", "source", "target")

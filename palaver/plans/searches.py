@@ -11,16 +11,16 @@ from palaver.plans.base import query
 from palaver.session import table
 
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
-#: Questions are the first five tokens of the first twenty items: the feature is a bounded question set.
-QUESTIONS = 20
-SPARSE = f"""q AS (SELECT item_id AS query_id, unnest(list_slice({TOKENS}, 1, 5)) AS term FROM benchmark WHERE item_id < {QUESTIONS}),
+#: Questions are the whole texts, or vectors, of the rows whose ids this divides.
+EVERY = 20
+SPARSE = f"""q AS (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark WHERE item_id % {EVERY} = 0),
 wanted AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY query_id, term),
 tok AS (SELECT doc_id, {TOKENS} AS t FROM documents), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok) x GROUP BY doc_id, dl, term),
 tot AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok), raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, tot GROUP BY term, n),
 m AS (SELECT avg(idf) AS mean_idf FROM raw), idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * mean_idf ELSE idf END AS idf FROM raw, m),
 bm AS (SELECT w.query_id, tf.doc_id, sum(w.qtf * idf.idf * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * tf.dl / tot.avgdl))) AS score FROM wanted w JOIN tf ON w.term = tf.term JOIN idf ON idf.term = w.term, tot GROUP BY w.query_id, tf.doc_id)"""
 HYBRID = f"""nv AS (SELECT max(vec_id) + 1 AS n FROM embeddings), dv AS (SELECT doc_id, vec_id, embedding FROM documents, nv JOIN embeddings ON vec_id = doc_id % n),
-dot AS (SELECT e.vec_id AS query_id, dv.doc_id, list_dot_product(CAST(dv.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings e, dv WHERE e.vec_id < {QUESTIONS}),
+dot AS (SELECT e.vec_id AS query_id, dv.doc_id, list_dot_product(CAST(dv.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings e, dv WHERE e.vec_id % {EVERY} = 0 AND e.vec_id IN (SELECT item_id FROM benchmark)),
 dr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS dense_rank FROM dot),
 sr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(score, 0), 9) DESC, doc_id) AS sparse_rank FROM (SELECT dr.query_id, dr.doc_id, bm.score FROM dr LEFT JOIN bm ON bm.query_id = dr.query_id AND bm.doc_id = dr.doc_id) z),
 fu AS (SELECT dr.query_id, dr.doc_id, dense_rank, sparse_rank, 1.0 / (60 + dense_rank) + 1.0 / (60 + sparse_rank) AS rrf FROM dr JOIN sr ON dr.query_id = sr.query_id AND dr.doc_id = sr.doc_id),
@@ -28,8 +28,7 @@ hit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9
 
 
 def questions(spark, folder):
-    first = F.array_join(F.slice(tx.tokenize(F.col("text")), 1, 5), " ")
-    return table(spark, folder, "benchmark").where(F.col("item_id") < QUESTIONS).select(F.col("item_id").alias("query_id"), first.alias("text"))
+    return table(spark, folder, "benchmark").where(F.col("item_id") % EVERY == 0).select(F.col("item_id").alias("query_id"), "text")
 
 
 def corpus(spark, folder):
@@ -37,17 +36,18 @@ def corpus(spark, folder):
 
 
 def vectors(spark, folder):
+    """Document vectors, and those of the questions: a question has the vector of its own id."""
     v = table(spark, folder, "embeddings")
     n = v.agg((F.max("vec_id") + 1).alias("n"))
     at = table(spark, folder, "documents").select("doc_id").crossJoin(F.broadcast(n)).select("doc_id", (F.col("doc_id") % F.col("n")).alias("vec_id"))
-    return at.join(v.select("vec_id", "embedding"), "vec_id"), v.where(F.col("vec_id") < QUESTIONS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).join(questions(spark, folder).select("query_id"), "query_id", "left_semi")
+    return at.join(v.select("vec_id", "embedding"), "vec_id").select("doc_id", "embedding"), asked
 
 
 def hits(spark, folder, k):
     docs, asked = corpus(spark, folder), questions(spark, folder)
-    dense = rt.ranked(rt.dense(*vectors(spark, folder)), "dense_rank")
-    sparse = rt.ranked(rt.complete(rt.bm25(docs, asked), docs, asked), "sparse_rank")
-    return rt.rrf(dense, sparse, k)
+    own, wanted = vectors(spark, folder)
+    return rt.hybrid(docs, own, rt.bm25(docs, asked), wanted, k)
 
 
 @query("SELECT term, count(*) AS n FROM (SELECT unnest(" + TOKENS + ") AS term FROM documents) x GROUP BY term")
@@ -60,11 +60,11 @@ def bm25_topk(spark, folder):
     return rt.ranked(rt.bm25(corpus(spark, folder), questions(spark, folder)), "rank").where("rank <= 10").select("query_id", "doc_id", "rank")
 
 
-@query(f"WITH d AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id < {QUESTIONS}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM d) SELECT query_id, doc_id, rank FROM r WHERE rank <= 10")
+@query(f"WITH d AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id % {EVERY} = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM d) SELECT query_id, doc_id, rank FROM r WHERE rank <= 10")
 def dense_topk(spark, folder):
     v = table(spark, folder, "embeddings")
-    asked = v.where(F.col("vec_id") < QUESTIONS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return rt.ranked(rt.dense(v.select(F.col("vec_id").alias("doc_id"), "embedding"), asked), "rank").where("rank <= 10").select("query_id", "doc_id", "rank")
+    asked = v.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return rt.dense_top(v.select(F.col("vec_id").alias("doc_id"), "embedding"), asked, 10, "rank").select("query_id", "doc_id", "rank")
 
 
 @query(f"WITH {SPARSE}, {HYBRID} SELECT query_id, doc_id, rank FROM hit WHERE rank <= 6")

@@ -94,9 +94,9 @@ def snap_nearest(spark, folder):
 @query(SNAP + ", m AS (SELECT user_id, abs(snapped - t) AS move FROM s WHERE abs(snapped - t) > 10), r AS (SELECT user_id, move, row_number() OVER (PARTITION BY user_id ORDER BY move) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM m) SELECT user_id, move AS median_move, n AS n_moved FROM r WHERE k = n // 2 + 1")
 def snap_move_median(spark, folder):
     moves = snap_nearest(spark, folder).select("user_id", F.abs(F.col("snapped") - F.col("t")).alias("move")).where("move > 10")
-    w = Window.partitionBy("user_id")
-    ranked = moves.withColumn("k", F.row_number().over(w.orderBy("move"))).withColumn("n_moved", F.count("*").over(w))
-    return ranked.where(F.col("k") == F.floor(F.col("n_moved") / 2) + 1).select("user_id", F.col("move").alias("median_move"), "n_moved")
+    per = moves.groupBy("user_id").agg(F.array_sort(F.collect_list("move")).alias("moves"))
+    n = F.size("moves").cast("long")
+    return per.select("user_id", F.element_at("moves", F.floor(n / 2).cast("int") + 1).alias("median_move"), n.alias("n_moved"))
 
 
 @query(f"""WITH {EVENTS}, s AS (SELECT user_id, event_id, t AS t_start, t + 600000 AS t_end FROM ev WHERE event_type = 'signup'), f AS (SELECT user_id, event_id AS frame_id, t FROM ev WHERE event_type = 'view')
@@ -140,7 +140,7 @@ def chunks(spark, folder):
     ev = events(spark, folder)
     bounds = ev.agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     mids = ev.where("event_type = 'error'").crossJoin(F.broadcast(bounds)).select("user_id", (F.col("t") - F.col("t0")).alias("mid"), (F.col("t1") - F.col("t0") + 60_000).alias("duration"))
-    return mids, tl.plan_chunks(mids, "user_id", "long", CHUNK["target"], CHUNK["search"], CHUNK["least"], CHUNK["tail"])
+    return mids, tl.plan_chunks(mids, "user_id", CHUNK["target"], CHUNK["search"], CHUNK["least"], CHUNK["tail"])
 
 
 @query(CHUNKED + " SELECT user_id, i AS chunk_index, c_start, nxt AS c_end, flag AS at_silence FROM c WHERE i >= 0")
@@ -148,6 +148,13 @@ def chunk_plan(spark, folder):
     return chunks(spark, folder)[1]
 
 
+@query(CHUNKED + " SELECT user_id, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (WHERE NOT flag AND i > 0), '') AS forced FROM c WHERE i >= 0 GROUP BY user_id")
+def forced_cuts(spark, folder):
+    from palaver.operators.segments import forced_cuts as forced
+
+    return forced(chunks(spark, folder)[1], ["user_id"]).select("user_id", F.array_join("forced", ",").alias("forced"))
+
+
 @query(CHUNKED + """, s AS (SELECT user_id, dur, c_start, nxt AS c_end, lead(c_start) OVER (PARTITION BY user_id ORDER BY c_start, nxt) AS after FROM c WHERE i >= 0)
 SELECT user_id, count(*) FILTER (WHERE c_end <= c_start) AS n_empty, count(*) FILTER (WHERE after <> c_end) AS n_broken, min(c_start) = 0 AND max(c_end) = max(dur) AS spans_all FROM s GROUP BY user_id""")
 def span_validity(spark, folder):
@@ -185,9 +192,8 @@ SELECT user_id, ns, CAST(sum(greatest(k - last, 0)) AS BIGINT) AS calls, round(C
 def job_progress(spark, folder):
     from palaver.streaming.jobs import progress_counts
 
-    lines = events(spark, folder).select(F.col("user_id"), F.col("event_type").alias("ns"), "t", "event_id", F.floor("value").cast("long").alias("k"))
-    counts = progress_counts(lines, ["user_id"], ["t", "event_id"])
-    return counts.select("user_id", "ns", "calls", F.round(F.col("calls") * 0.004, 6).alias("est_cost"))
+    lines = events(spark, folder).select("user_id", F.col("event_type").alias("ns"), F.floor("value").cast("long").alias("k"))
+    return progress_counts(lines, ["user_id"]).select("user_id", "ns", "calls", F.round(F.col("calls") * 0.004, 6).alias("est_cost"))
 
 
 @query("""SELECT k AS sighting, count(*) AS n, CAST(min(t) AS BIGINT) AS first_t, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids FROM (SELECT event_id, epoch_us(ts) // 1000 AS t, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY k""")
@@ -208,15 +214,16 @@ def job_state_stream(spark, folder):
 
     from palaver.plans.base import millis
     from palaver.session import is_folder, shared_folder
-    from palaver.streaming.jobs import stream_counts
+    from palaver.streaming.jobs import stream_counts, to_table
 
     schema = table(spark, folder, "events").schema
     reader, path = spark.readStream.schema(schema), f"{folder}/events.parquet"
     # a stream reads folders only: a table of part files is one, of a single file its folder's other files are left out
     stream = reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", "events.parquet").parquet(folder)
     lines = stream.select(F.col("user_id").cast("string").alias("job"), F.col("event_type").alias("ns"), (millis() * 1_000_000 + F.col("event_id") % 1_000_000).alias("seq"), F.floor("value").cast("long").alias("k"))
-    name = f"job_counts_{uuid.uuid4().hex}"
-    # update mode gives the sink a row for each key of a micro-batch; the last one holds the key's total
-    query = stream_counts(lines).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).groupBy("job", "ns").agg(F.max("calls").alias("calls"))
+    root = f"{shared_folder(spark)}/job-counts-{uuid.uuid4().hex}"
+    kept = "job string, ns string, calls long"
+    spark.createDataFrame([], kept).write.parquet(f"{root}/rows")  # a stream without a row writes none
+    # update mode gives a row for each key of a micro-batch; the last one holds the key's total
+    to_table(stream_counts(lines), f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(kept).parquet(f"{root}/rows").groupBy("job", "ns").agg(F.max("calls").alias("calls"))

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(cpus: str = "*", memory: str = "8g", **conf: str) -> SparkSession:
@@ -30,12 +31,50 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_made: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints, which all executors share.
 
-    Only where none is named, as in tests on one machine, is a folder made here.
+    It is spark.checkpoint.dir, or what SparkContext.setCheckpointDir was given. Where none is named a
+    folder is made here once, in local mode only: another machine could not read it.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"palaver-{os.getpid()}-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    of = spark.sparkContext.applicationId
+    if of not in _made:
+        _made[of] = tempfile.mkdtemp(prefix=f"palaver-{os.getpid()}-")
+    return _made[of]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark writes to; one that is not there is no error."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of a side that is broadcast without another bound.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it has at most ``most`` rows, which are counted; else as it is, for Spark to join by shuffle or in blocks."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any store that Spark reads."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()).exists(at)
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:

@@ -57,6 +57,69 @@ def load_roster(df: DataFrame, seats: int) -> tuple[DataFrame, DataFrame]:
     return df.where(~vacant), df.where(vacant)
 
 
+def read_roster(spark: SparkSession, path: str, seats: int) -> tuple[DataFrame, DataFrame]:
+    """Members and vacant seats from a source file {"members": [...]}; a file that isn't there says how to make it."""
+    from palaver.session import exists
+
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no roster at {path}; build it from its source first")
+    whole = spark.read.schema(f"members array<struct<{SCHEMAS['members'].replace(' STRING', ': STRING').replace(' INT', ': INT').replace(' ARRAY', ': ARRAY')}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return load_roster(whole.select(F.explode("members").alias("m")).select("m.*"), seats)
+
+
+def roster_coverage(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Members of each key, and those with a Tamil name and with a portrait."""
+    has = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) != "")
+    return members.groupBy(*keys).agg(F.count("*").alias("n_members"), has("tamil_name").alias("n_tamil"), has("portrait").alias("n_portrait"))
+
+
+def video_files(spark: SparkSession, folder: str, pattern: str = "*.mp4") -> DataFrame:
+    """path, video_id (the file's stem) and length of the videos of a folder of any store; contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return found.select("path", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("video_id"), "length")
+
+
+def sole_video(files: DataFrame, video_id: str | None = None) -> str:
+    """The video_id asked for, or the only one there is."""
+    rows = files.select("video_id").orderBy("video_id").limit(10).collect() if video_id is None else files.where(F.col("video_id") == video_id).select("video_id").limit(1).collect()
+    if len(rows) != 1:
+        raise ValueError(f"name one of: {', '.join(r.video_id for r in rows)}" if rows else "no such video")
+    return rows[0].video_id
+
+
+def settings(text: str) -> dict[str, str]:
+    """KEY=value lines: a byte-order mark, comments and quotes around a value do not count."""
+    found = {}
+    for line in text.lstrip("\ufeff").splitlines():
+        key, mark, value = line.partition("=")
+        if mark and not key.lstrip().startswith("#"):
+            found[key.strip()] = value.strip().strip("\"'")
+    return found
+
+
+def heard_duration(probes: DataFrame) -> DataFrame:
+    """Recordings (video_id, video_s, audio_s) with duration: the audio's where the two are more than a second apart."""
+    return probes.withColumn("duration", F.when(F.abs(F.col("audio_s") - F.col("video_s")) > 1.0, F.col("audio_s")).otherwise(F.col("video_s")))
+
+
+def check_cuts(cuts: DataFrame, most: float = 0.25) -> DataFrame:
+    """Cut files (path, planned, probed), if each is as long as planned; otherwise the job fails and names the worst."""
+    worst = cuts.where(F.abs(F.col("probed") - F.col("planned")) > most).orderBy(F.abs(F.col("probed") - F.col("planned")).desc(), "path").select("path", "planned", "probed").first()
+    if worst is not None:
+        raise ValueError(f"{worst.path} is {worst.probed} s long, not {worst.planned} s")
+    return cuts
+
+
+def with_vectors(segments: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Segments (video_id, id, ...) with their embedding by key; a recording whose vectors are not its segments' fails the job."""
+    ids = segments.select("video_id", "id").join(vectors.select("video_id", F.col("segment_id").alias("id"), F.lit(True).alias("_has")), ["video_id", "id"], "full")
+    known = ids.join(segments.select("video_id", "id", F.lit(True).alias("_is")), ["video_id", "id"], "left")
+    bad = known.where("_has is null or _is is null").agg(F.min("video_id")).first()[0]
+    if bad is not None:
+        raise ValueError(f"the vectors of {bad} are not those of its segments; build its index again")
+    return segments.join(vectors.select("video_id", F.col("segment_id").alias("id"), "embedding"), ["video_id", "id"])
+
+
 def silence_events(lines: DataFrame) -> DataFrame:
     """Start and end marks from a silence detector's output (video_id, seq, line), in milliseconds."""
     found = lines.select("video_id", "seq", F.regexp_extract("line", r"silence_(start|end):\s*(-?[\d.]+)", 1).alias("kind"), F.regexp_extract("line", r"silence_(start|end):\s*(-?[\d.]+)", 2).alias("s"))

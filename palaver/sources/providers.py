@@ -5,13 +5,17 @@ Without a provider a call fails at once; no answer is ever made up.
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.text import request_key, strip_fence
+from palaver.session import cut
 
 
 class ModelProvider(Protocol):
@@ -24,8 +28,68 @@ class NoProvider:
         raise RuntimeError(f"no model provider is configured for {namespace}; give one, or a table of recorded responses")
 
 
-# HTTP states that are worth another attempt.
+# HTTP states that are worth another attempt, and those that never are.
 RETRIED = {408, 409, 425, 429, 500, 502, 503, 504}
+FATAL = {400, 401, 403, 404, 413}
+
+
+class ModelError(Exception):
+    """A failed call; status is that of the response, None for a connection or a time-out."""
+
+    def __init__(self, message: str, status: int | None = None):
+        super().__init__(message)
+        self.status = status
+
+    @property
+    def again(self) -> bool:
+        return self.status is None or self.status in RETRIED or self.status >= 500 and self.status not in FATAL
+
+
+class RateLimiter:
+    """Spaces calls so that a partition keeps its share of a number a minute."""
+
+    def __init__(self, per_minute: float):
+        self.gap, self.next = 60.0 / per_minute, 0.0
+
+    def acquire(self) -> None:
+        now = time.monotonic()
+        if now < self.next:
+            time.sleep(self.next - now)
+        self.next = max(now, self.next) + self.gap
+
+
+def backoff(attempt: int, draw: float, base: float = 1.5, most: float = 20.0) -> float:
+    """Seconds before attempt + 1, with full jitter: draw is uniform in [0, 1)."""
+    return draw * min(most, base * 2 ** (attempt - 1))
+
+
+@dataclass(frozen=True)
+class Policy:
+    """How a partition calls: calls a minute of the whole job, partitions that share them, attempts, pauses."""
+
+    per_minute: float = 240.0
+    partitions: int = 6
+    attempts: int = 4
+    base: float = 1.5
+    most: float = 20.0
+    secret: str = ""
+
+    def respond(self, provider: ModelProvider, limiter: RateLimiter, namespace: str, body: str) -> str:
+        """The provider's response: paced, and tried again while the error is worth it. Any other error ends it."""
+        for attempt in range(1, self.attempts + 1):
+            limiter.acquire()
+            try:
+                return provider.respond(namespace, body)
+            except ModelError as error:
+                if not error.again or attempt == self.attempts:
+                    raise
+                time.sleep(backoff(attempt, random.random(), self.base, self.most))
+        raise ModelError("no attempt was allowed")
+
+    def shown(self, error: Exception) -> str:
+        """The error as it may be stored: short, and without the secret."""
+        text = str(error)
+        return (text.replace(self.secret, "***") if self.secret else text)[:400]
 
 
 def with_keys(requests: DataFrame, namespace: str) -> DataFrame:
@@ -33,12 +97,14 @@ def with_keys(requests: DataFrame, namespace: str) -> DataFrame:
     return requests.withColumn("namespace", F.lit(namespace)).withColumn("request_sha256", request_key(body=F.col("body"), namespace=F.lit(namespace)))
 
 
-def call(requests: DataFrame, namespace: str, recorded: DataFrame, make: Callable[[], ModelProvider] = NoProvider, strict: bool = True) -> DataFrame:
+def call(requests: DataFrame, namespace: str, recorded: DataFrame, make: Callable[[], ModelProvider] = NoProvider, strict: bool = True, policy: Policy = Policy()) -> DataFrame:
     """Responses to requests (body): recorded ones first, the provider for distinct ones that are left.
 
-    A recorded body that is not JSON counts as missing. The provider is made once for each partition;
-    a failed request has a null response and its error in _error, and in strict mode any error raises
-    one summary of all.
+    A recorded body that is not JSON counts as missing. What is left is dealt to the policy's number of
+    partitions, each with a provider of its own and its share of the calls a minute (those of the policy,
+    unless the provider has a per_minute itself). A failed request
+    has a null response and its error in _error, and in strict mode any error raises one summary of all.
+    Each request is made once: the responses are kept in the shared folder before they are used.
     """
     keyed = with_keys(requests, namespace)
     valid = recorded.where(F.col("namespace") == namespace).where(F.try_parse_json("body").isNotNull()).select("request_sha256", F.col("body").alias("response"))
@@ -48,16 +114,17 @@ def call(requests: DataFrame, namespace: str, recorded: DataFrame, make: Callabl
         import pandas as pd
 
         provider = make()
+        limiter = RateLimiter(getattr(provider, "per_minute", policy.per_minute) / policy.partitions)
         for pdf in batches:
             out = []
             for key, body in zip(pdf["request_sha256"], pdf["body"], strict=True):
                 try:
-                    out.append((key, provider.respond(namespace, body), None))
+                    out.append((key, policy.respond(provider, limiter, namespace, body), None))
                 except Exception as error:  # noqa: BLE001  the error is the row's result
-                    out.append((key, None, str(error)[:400]))
+                    out.append((key, None, policy.shown(error)))
             yield pd.DataFrame(out, columns=["request_sha256", "response", "_error"])
 
-    fresh = missing.mapInPandas(run, "request_sha256 string, response string, _error string")
+    fresh = cut(missing.repartition(policy.partitions, "request_sha256").mapInPandas(run, "request_sha256 string, response string, _error string"))
     every = valid.withColumn("_error", F.lit(None).cast("string")).unionByName(fresh)
     joined = keyed.join(every, "request_sha256", "left")
     if strict:
@@ -80,30 +147,25 @@ def unit_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.withColumn("_norm", safe).withColumn(column, F.transform(column, lambda x: (x / F.col("_norm")).cast("float"))).drop("_norm")
 
 
-def usage(calls: DataFrame) -> DataFrame:
-    """Hits, misses, hit rate (0 for no call) of calls (namespace, hit)."""
-    n = F.count("*")
-    return calls.groupBy("namespace").agg(F.count_if("hit").alias("hits"), (n - F.count_if("hit")).alias("misses"), F.round(F.count_if("hit") / F.greatest(n, F.lit(1)), 3).alias("rate"))
+# Dollars of a call by namespace, and of any other.
+CALL_COST = {"transcribe": 0.012, "vision": 0.009, "faceverify": 0.007, "kg-extract": 0.007, "embed-batch": 0.0003, "roster-tamil": 0.004}
+OTHER_COST = 0.004
 
 
-class RateLimiter:
-    """Spaces calls so that a partition keeps its share of a number a minute."""
+def unit_cost(namespace: Column) -> Column:
+    """Dollars of one call."""
+    found = F.lit(OTHER_COST)
+    for name, price in CALL_COST.items():
+        found = F.when(namespace == name, F.lit(price)).otherwise(found)
+    return found
 
-    def __init__(self, per_minute: float):
-        self.gap, self.next = 60.0 / per_minute, 0.0
-
-    def acquire(self) -> None:
-        import time
-
-        now = time.monotonic()
-        if now < self.next:
-            time.sleep(self.next - now)
-        self.next = max(now, self.next) + self.gap
 
+def usage(calls: DataFrame) -> DataFrame:
+    """Hits, misses, hit rate (0 for no call), tokens and estimated cost of calls (namespace, hit, tokens); hits cost nothing."""
+    n, misses = F.count("*"), F.count_if(~F.col("hit"))
+    counted = calls.groupBy("namespace").agg(F.count_if("hit").alias("hits"), misses.alias("misses"), F.round(F.count_if("hit") / F.greatest(n, F.lit(1)), 3).alias("rate"), F.sum(F.when(~F.col("hit"), F.col("tokens")).otherwise(0)).alias("tokens"))
+    return counted.withColumn("cost", F.round(F.col("misses") * unit_cost(F.col("namespace")), 4))
 
-def backoff(attempt: int, draw: float, base: float = 1.5, most: float = 20.0) -> float:
-    """Seconds before attempt + 1, with full jitter: draw is uniform in [0, 1)."""
-    return draw * min(most, base * 2 ** (attempt - 1))
 
 RESPONSE = "promptFeedback struct<blockReason: string>, candidates array<struct<finishReason: string, content: struct<parts: array<struct<text: string, thought: boolean>>>>>"
 

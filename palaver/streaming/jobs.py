@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Stages by the number of their marker, and dollars a call by namespace.
+from palaver.sources.providers import CALL_COST, OTHER_COST, unit_cost
+
+# Stages by the number of their marker, and the stage that a namespace's progress is of.
 STAGES = ("preflight", "audio", "transcribe", "frames", "attribute", "faceverify", "index", "graph", "proxy")
-CALL_COST = {"transcribe": 0.012, "vision": 0.009, "faceverify": 0.007, "kg-extract": 0.007, "embed-batch": 0.0003, "roster-tamil": 0.004}
-OTHER_COST = 0.004
+STAGE_OF = {"transcribe": "transcribe", "vision": "frames", "faceverify": "faceverify", "kg-extract": "graph", "embed-batch": "index"}
+#: Lines of a failed job's log that its error shows.
+TAIL = 6
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -23,20 +26,105 @@ def parse(lines: DataFrame) -> DataFrame:
     return lines.select("job", "seq", message.alias("message"), F.when(marker != "", F.get(names, F.nullif(marker, F.lit("")).cast("int"))).alias("stage"), ((marker != "") & F.contains(message, F.lit("SKIP"))).alias("skipped"), F.nullif(ns, F.lit("")).alias("ns"), count(2).alias("k"), count(3).alias("n"))
 
 
-def progress_counts(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Calls of each namespace from (keys, ns, k): a counter adds what it rises above its maximum so far."""
-    w = Window.partitionBy(*keys, "ns").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rise = F.greatest(F.col("k") - F.coalesce(F.max("k").over(w), F.lit(0)), F.lit(0).cast("long"))
-    return lines.withColumn("rise", rise).groupBy(*keys, "ns").agg(F.sum("rise").alias("calls"))
+def progress_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Calls of each namespace from (keys, ns, k): a counter adds what it rises above its maximum so far, so the sum is the maximum."""
+    return lines.groupBy(*keys, "ns").agg(F.greatest(F.max("k"), F.lit(0).cast("long")).alias("calls"))
+
+
+def costs(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Calls and estimated dollars of each key over its namespaces."""
+    return counts.groupBy(*keys).agg(F.sum("calls").alias("calls"), F.round(F.sum(F.col("calls") * unit_cost(F.col("ns"))), 4).alias("est_cost"))
 
 
 def stage_states(parsed: DataFrame) -> DataFrame:
-    """The state of each stage that a job has entered: a stage that another follows is done."""
-    entered = parsed.where("stage is not null")
+    """The state of each stage that a job has entered: job, stage, status, skipped, pct.
+
+    A stage that another follows is done, and so is a skipped one; what is done once stays done when it
+    is entered again. pct is 100 where it is done, else the share of its last progress line.
+    """
     w = Window.partitionBy("job").orderBy("seq")
-    seen = entered.withColumn("later", F.lead("stage").over(w))
-    state = F.when(F.col("skipped") | F.col("later").isNotNull(), "done").otherwise("run")
-    return seen.withColumn("status", state).groupBy("job", "stage").agg(F.max_by("status", "seq").alias("status"), F.bool_or("skipped").alias("skipped"))
+    entered = parsed.where("stage is not null").select("job", "stage", "seq", "skipped", F.lead("stage").over(w).alias("later"))
+    done = F.col("skipped") | F.col("later").isNotNull()
+    states = entered.groupBy("job", "stage").agg(F.when(F.bool_or(done), "done").otherwise("run").alias("status"), F.bool_or("skipped").alias("skipped"))
+    shown = parsed.where("ns is not null and n > 0").withColumn("stage", stage_of(F.col("ns"))).where("stage is not null")
+    last = shown.groupBy("job", "stage").agg(F.max_by(F.round(100 * F.col("k") / F.col("n"), 1), "seq").alias("_pct"))
+    joined = states.join(last, ["job", "stage"], "left")
+    return joined.select("job", "stage", "status", "skipped", F.when(F.col("status") == "done", 100.0).otherwise(F.coalesce("_pct", F.lit(0.0))).alias("pct"))
+
+
+def stage_of(ns: Column) -> Column:
+    found = F.lit(None).cast("string")
+    for name, stage in STAGE_OF.items():
+        found = F.when(ns == name, stage).otherwise(found)
+    return found
+
+
+def terminal(states: DataFrame, exits: DataFrame, lines: DataFrame) -> DataFrame:
+    """The end of each job (job, code of exits): state, error, and every stage's status.
+
+    An exit of 0 makes all stages done. Any other fails the job and the stage that runs; its error is
+    the last TAIL lines (job, seq, line) of its log, or the exit code where there is none. A job
+    without an exit runs.
+    """
+    ranked = lines.withColumn("_back", F.row_number().over(Window.partitionBy("job").orderBy(F.col("seq").desc()))).where(F.col("_back") <= TAIL)
+    tails = ranked.groupBy("job").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("tail"))
+    known = states.groupBy("job").agg(F.map_from_entries(F.collect_list(F.struct("stage", "status"))).alias("known"))
+    jobs = lines.select("job").distinct().join(exits, "job", "left").join(known, "job", "left").join(tails, "job", "left")
+    ok, failed = F.coalesce(F.col("code") == 0, F.lit(False)), F.coalesce(F.col("code") != 0, F.lit(False))
+    status = lambda s: F.coalesce(F.try_element_at("known", s), F.lit("wait"))
+    final = lambda s: F.when(ok, "done").when(failed & (status(s) == "run"), "fail").otherwise(status(s))
+    stages = F.transform(F.array(*map(F.lit, STAGES)), lambda s: F.struct(s.alias("stage"), final(s).alias("status")))
+    error = F.when(failed, F.coalesce("tail", F.concat(F.lit("exit code "), F.col("code").cast("string"))))
+    return jobs.select("job", F.when(ok, "done").when(failed, "failed").otherwise("running").alias("state"), error.alias("error"), stages.alias("stages"))
+
+
+def stream_stages(parsed: DataFrame) -> DataFrame:
+    """The stages of each job over a stream of parsed lines, in update mode: job, seq, stages (status and pct by name), calls, est_cost.
+
+    The state of a job is its running stage, its stages, and the counters and highest count of each
+    namespace; lines of one micro-batch are taken by seq.
+    """
+    schema = "job string, seq long, stages map<string, string>, pct map<string, double>, calls long, est_cost double"
+    state = "current string, stages map<string, string>, pct map<string, double>, counts map<string, long>"
+
+    def step(key: tuple, batches: Iterator, held) -> Iterator:
+        import pandas as pd
+
+        current, stages, pct, counts = (held.get if held.exists else (None, {}, {}, {}))
+        stages, pct, counts = dict(stages or {}), dict(pct or {}), dict(counts or {})
+        rows = pd.concat(list(batches)).sort_values("seq")
+        for r in rows.itertuples():
+            if isinstance(r.stage, str):
+                if current is not None and stages.get(current) == "run":
+                    stages[current], pct[current] = "done", 100.0
+                current = r.stage
+                if r.skipped:
+                    stages[current], pct[current] = "done", 100.0
+                elif stages.get(current) != "done":
+                    stages[current] = "run"
+            elif isinstance(r.ns, str):
+                counts[r.ns] = max(int(r.k), counts.get(r.ns, 0))
+                of = STAGE_OF.get(r.ns)
+                if of and r.n > 0 and stages.get(of) != "done":
+                    pct[of] = round(100.0 * r.k / r.n, 1)
+        held.update((current, stages, pct, counts))
+        cost = round(sum(n * CALL_COST.get(ns, OTHER_COST) for ns, n in counts.items()), 4)
+        yield pd.DataFrame({"job": [key[0]], "seq": [int(rows["seq"].max())], "stages": [stages], "pct": [pct], "calls": [sum(counts.values())], "est_cost": [cost]})
+
+    rows = parsed.where("stage is not null or ns is not null").select("job", "seq", "stage", "skipped", "ns", "k", "n")
+    return rows.groupBy("job").applyInPandasWithState(step, schema, state, "update", "NoTimeout")
+
+
+def snapshot(updates: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+    """The last row of each key of an update-mode table."""
+    rest = [c for c in updates.columns if c not in keys]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("last")).select(*keys, "last.*")
+
+
+def to_table(stream: DataFrame, path: str, checkpoint: str):
+    """A query that appends every micro-batch of an update-mode stream to a Parquet table, and ends with what is there."""
+    write = lambda df, _: df.write.mode("append").parquet(path)
+    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_counts(parsed: DataFrame) -> DataFrame:

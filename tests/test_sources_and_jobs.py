@@ -77,7 +77,7 @@ def test_job_state_batch_and_stream_agree(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "log.json").write_text("\n".join(map(json.dumps, log)))
     parsed = jobs.parse(spark.read.schema(ar.SCHEMAS["job_log"]).json(str(tmp_path / "in")))
-    batch = sorted(tuple(r) for r in jobs.progress_counts(parsed.where("ns is not null"), ["job"], ["seq"]).collect())
+    batch = sorted(tuple(r) for r in jobs.progress_counts(parsed.where("ns is not null"), ["job"]).collect())
     assert batch == [("j", "kg-extract", 5)]
     assert sorted((r.stage, r.status, r.skipped) for r in jobs.stage_states(parsed).collect()) == [("audio", "done", False), ("transcribe", "done", True)]
     stream = jobs.stream_counts(jobs.parse(jobs.read_log_stream(spark, str(tmp_path / "in"))))
@@ -126,3 +126,80 @@ def test_job_state_stream_reads_a_file_and_a_folder(spark, tmp_path):
     for name in ("file", "folder"):
         found = job_state_stream(spark, str(tmp_path / name)).collect()
         assert sorted((r.job, r.ns, r.calls) for r in found) == [("0", "view", 8), ("1", "view", 9)]
+
+
+def test_stages_stay_done_and_jobs_end(spark, tmp_path):
+    lines = [("a", 0, "[1/8] audio  start"), ("a", 1, "[2/8] transcribe  SKIP"), ("a", 2, "[3/8] frames  start"), ("a", 3, "vision 2/8 (25%)"), ("a", 4, "[2/8] transcribe  start"), ("b", 0, "[1/8] audio  start"), ("b", 1, "[7/8] graph  start"), ("b", 2, "kg-extract 3/4 (75%)"), ("b", 3, "boom"), ("c", 0, "[1/8] audio  start")]
+    log = spark.createDataFrame([(j, n, f"10:00:0{n} INFO p {x}") for j, n, x in lines], "job string, seq long, line string")
+    parsed = jobs.parse(log)
+    states = {(r.job, r.stage): (r.status, r.skipped, r.pct) for r in jobs.stage_states(parsed).collect()}
+    assert states[("a", "transcribe")] == ("done", True, 100.0) and states[("a", "frames")] == ("done", False, 100.0)
+    assert states[("b", "graph")] == ("run", False, 75.0) and states[("b", "audio")][0] == "done"
+    ends = {r.job: r for r in jobs.terminal(jobs.stage_states(parsed), spark.createDataFrame([("a", 0), ("b", 2)], "job string, code int"), parsed.select("job", "seq", F.col("message").alias("line"))).collect()}
+    of = lambda j: {s.stage: s.status for s in ends[j].stages}
+    assert (ends["a"].state, set(of("a").values()), ends["a"].error) == ("done", {"done"}, None)
+    assert (ends["b"].state, of("b")["graph"], of("b")["audio"], of("b")["proxy"]) == ("failed", "fail", "done", "wait") and ends["b"].error.endswith("boom")
+    assert (ends["c"].state, of("c")["audio"]) == ("running", "run")
+    counts = jobs.costs(jobs.progress_counts(parsed.where("ns is not null"), ["job"]), ["job"])
+    assert {r.job: (r.calls, r.est_cost) for r in counts.collect()} == {"a": (2, 0.018), "b": (3, 0.021)}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "log.json").write_text("\n".join(json.dumps(r.asDict()) for r in log.collect()))
+    stream = jobs.stream_stages(jobs.parse(jobs.read_log_stream(spark, str(tmp_path / "in"))))
+    jobs.to_table(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    last = {r.job: r for r in jobs.snapshot(spark.read.parquet(str(tmp_path / "out")), ["job"]).collect()}
+    for (job, stage), (status, _, pct) in states.items():
+        assert last[job].stages[stage] == status and last[job].pct.get(stage, 0.0) == pct
+    assert (last["a"].calls, last["a"].est_cost) == (2, 0.018)
+
+
+class Flaky:
+    """Fails twice with a state that is worth another attempt, then answers; fatal bodies never."""
+
+    per_minute = float("inf")
+
+    def __init__(self):
+        self.tries = {}
+
+    def respond(self, namespace, body):
+        n = self.tries[body] = self.tries.get(body, 0) + 1
+        if "fatal" in body:
+            raise pv.ModelError(f"401 key=SECRET after {n}", 401)
+        if n < 3:
+            raise pv.ModelError("busy", 503)
+        return json.dumps({"text": f"{body} after {n}"})
+
+
+def test_calls_are_tried_again_and_errors_hide_the_secret(spark):
+    requests = spark.createDataFrame([("ok",), ("fatal",)], "body string")
+    recorded = spark.createDataFrame([], "namespace string, request_sha256 string, body string")
+    found = pv.call(requests, "ns", recorded, Flaky, strict=False, policy=pv.Policy(base=0.0, secret="SECRET"))
+    got = {r.body: (r.response, r._error) for r in found.collect()}
+    assert got == {"ok": ('{"text": "ok after 3"}', None), "fatal": (None, "401 key=*** after 1")}
+    assert [pv.ModelError("", s).again for s in (None, 429, 500, 503, 400, 404, 413)] == [True, True, True, True, False, False, False]
+
+
+def test_sources_that_fail_say_why(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="build it"):
+        ar.read_roster(spark, str(tmp_path / "none.json"), 2)
+    (tmp_path / "members.json").write_text(json.dumps({"members": [{"member_id": "1", "name": "A", "current_roles": ["MLA"]}, {"member_id": "2", "name": "Vacant"}]}))
+    members, vacant = ar.read_roster(spark, str(tmp_path / "members.json"), 2)
+    assert ([r.name for r in members.collect()], vacant.count()) == (["A"], 1)
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "one.two.mp4").write_bytes(b"123")
+    (tmp_path / "v" / "note.txt").write_bytes(b"")
+    files = ar.video_files(spark, str(tmp_path / "v"))
+    assert [(r.video_id, r.length) for r in files.collect()] == [("one.two", 3)] and ar.sole_video(files) == "one.two"
+    with pytest.raises(ValueError, match="no such"):
+        ar.sole_video(files, "x")
+    assert ar.settings('\ufeffA="x y"\n# B=1\nC = 2') == {"A": "x y", "C": "2"}
+    probes = spark.createDataFrame([("a", 10.0, 10.9), ("b", 10.0, 11.1)], "video_id string, video_s double, audio_s double")
+    assert sorted(r.duration for r in ar.heard_duration(probes).collect()) == [10.0, 11.1]
+    cuts = spark.createDataFrame([("p", 10.0, 10.2), ("q", 10.0, 10.3)], "path string, planned double, probed double")
+    assert ar.check_cuts(cuts.where("path = 'p'")).count() == 1
+    with pytest.raises(ValueError, match="q is 10.3"):
+        ar.check_cuts(cuts)
+    segs = spark.createDataFrame([("v", "S001"), ("v", "S002")], "video_id string, id string")
+    vecs = spark.createDataFrame([("v", "S001", [1.0]), ("v", "S002", [0.0])], "video_id string, segment_id string, embedding array<float>")
+    assert ar.with_vectors(segs, vecs).count() == 2
+    with pytest.raises(ValueError, match="vectors of v"):
+        ar.with_vectors(segs, vecs.limit(1))

@@ -80,7 +80,7 @@ def test_min_spacing_and_frame_plan(spark):
 def test_chunk_plan(spark):
     data = [("long", None, 150_000), ("short", None, 100_000)] + [("cut", m, 260_000) for m in (100_000, 130_000, 5_000)]
     df = spark.createDataFrame(data, "k string, mid long, duration long")
-    plan = tl.plan_chunks(df, "k", "string", 120_000, 40_000, 45_000, 30_000)
+    plan = tl.plan_chunks(df, "k", 120_000, 40_000, 45_000, 30_000)
     assert rows(plan, "k", "c_start", "c_end", "at_silence") == [("cut", 0, 130_000, True), ("cut", 130_000, 230_000, False), ("cut", 230_000, 260_000, False)] or rows(plan.where("k <> 'cut'"), "k", "c_start", "c_end", "at_silence") == [("long", 0, 120_000, False), ("long", 120_000, 150_000, False), ("short", 0, 100_000, True)]
     faults = tl.span_faults(plan, ["k"], spark.createDataFrame([("long", 150_000), ("short", 100_000), ("cut", 260_000)], "k string, duration long"))
     assert rows(faults, "n_empty", "n_broken", "spans_all") == [(0, 0, True)] * 3
