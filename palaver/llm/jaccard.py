@@ -17,10 +17,12 @@ Shape of the job:
 * within a bucket of equal blocks the members are paired with one hub, not with each other. Pairs
   whose sketches, sized by their own bound, differ in too many bits are dropped, the rest is verified
   and the links are merged into components;
-* buckets that still span components are compared once more: what a set shares with other
+* buckets that still span components are compared twice more: what a set shares with other
   components is counted anew, of the blocks left only a prefix (the rarest first, by the same
-  bound) is looked at, and pairs within a component are never made. So no link between different
-  components is lost and no group of near copies is expanded into all pairs;
+  bound) is looked at, and pairs within a component are never made. The first time a set is the
+  second of one pair in a bucket at most, which joins what has a common neighbour; the second time
+  all pairs that the sketches leave open are verified. So no link between different components is
+  lost and no group of near copies is expanded into all pairs;
 * for verification the text of a pair's second set goes once to the pair, the first one's once for
   up to GROUP partners, and one pass over sorted rows compares the shingles.
 
@@ -222,7 +224,7 @@ def block_rows(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
 
 
 def live_rows(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, sid, slot, n, need) of the blocks that sets share, for the sets that share enough of them."""
+    """(key, sid, slot, n, need, has) of the blocks that sets share, for the sets that share enough (has) of them."""
     salt = F.shiftright("tag", 1)
     same = Window.partitionBy("key", "salt").orderBy("sid")
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -233,12 +235,12 @@ def live_rows(rows: DataFrame, sets: DataFrame) -> DataFrame:
     counted = shared.select("*", *[F.sum(F.when(F.col("slot") == s, 1).otherwise(0)).over(own).alias(f"has{s}") for s in (0, 1)])
     named = counted.join(sets.select("sid", F.col("n_shingles").alias("n"), "need0", "need1"), "sid")
     pick = lambda a: F.when(F.col("slot") == 0, F.col(f"{a}0")).otherwise(F.col(f"{a}1"))
-    return named.select("key", "sid", "slot", "n", pick("need").alias("need"), pick("has").alias("has")).where("has >= need").drop("has")
+    return named.select("key", "sid", "slot", "n", pick("need").alias("need"), pick("has").alias("has")).where("has >= need")
 
 
 def hub_pairs(live: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b): every set with the hub, the smallest print, of each of its buckets."""
-    hubs = live.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("hub"), F.max("sid").alias("last")).where("hub.sid <> last").select("key", "hub")
+    """(a, b): every set with the hub of each of its buckets, the set that shares most blocks with others."""
+    hubs = live.groupBy("key").agg(F.max(F.struct("has", "sid", "n")).alias("hub"), F.min("sid").alias("least"), F.max("sid").alias("most")).where("least <> most").select("key", "hub")
     return live.join(hubs, "key").where("sid <> hub.sid").where(alike(F.col("n"), F.col("hub.n"), p, q)).select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")).distinct()
 
 
@@ -268,12 +270,15 @@ def near(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return map_batches(wide.select("na", "nb", "bits_a", "bits_b", "a", "b"), each, "a long, b long")
 
 
-def open_pairs(live: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+def open_pairs(live: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q: int, every: bool) -> DataFrame:
     """Pairs (a, b) of one bucket and different components that counts, sizes and small sketches leave open.
 
+    Without ``every``, a set is in one pair only as the second of it in each bucket: the pairs are no
+    more than the members, none if nothing is open, and join what a common neighbour joins.
+
     A bucket of more than CHUNK sets is dealt out in chunks by the members' hash, one task row for each pair of chunks.
     """
-    of = live.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    of = live.drop("has").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     spans = lambda df: df.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "m")
     # linked sets share ``need`` blocks of those that span components, so one is among each one's rarest has - need + 1
     ranked = Window.partitionBy("sid", "slot").orderBy("m", "key")
@@ -293,7 +298,7 @@ def open_pairs(live: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q: in
             flat = rows.values
             ids, root, n, mine = (np.asarray(flat.field(c), np.int64) for c in ("sid", "root", "n", "mine"))
             bits = flat.field("bits").to_pylist()
-            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+            left, right, claimed = np.flatnonzero(mine == i), np.flatnonzero(mine == j), np.zeros(len(ids), bool)
             size = min(map(len, bits))
             packed = np.stack([fold(np.frombuffer(x, np.uint8), size) for x in bits])
             for x in left:
@@ -301,6 +306,9 @@ def open_pairs(live: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q: in
                 y = y[ids[y] > ids[x]] if i == j else y
                 apart = np.bitwise_count(packed[y] ^ packed[x]).sum(axis=1, dtype=np.int64)
                 y = y[(q + p) * apart <= (q - p) * (n[y] + n[x])]
+                if not every:
+                    y = y[~claimed[y]]
+                    claimed[y] = True
                 if len(y):
                     found.append(np.stack([np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])]))
         a, b = np.unique(np.concatenate(found, axis=1), axis=1)  # one pair is in many buckets
@@ -396,8 +404,10 @@ def linked_rows(docs: DataFrame, width: int = 4, p: int = 85, q: int = 100) -> D
     live = cut(live_rows(block_rows(docs, width, p, q), sets))
     pairs = cut(near(hub_pairs(live, p, q), sets, p, q))
     roots = components(verified(pairs, docs, sets, width, p, q))
-    pairs = cut(near(open_pairs(live, roots, sets, p, q), sets, p, q))
-    if not pairs.isEmpty():
+    for every in (False, True):  # most of what is open joins by few pairs; then all that is left is compared
+        pairs = cut(near(open_pairs(live, roots, sets, p, q, every), sets, p, q))
+        if pairs.isEmpty():
+            break
         roots = components(verified(pairs, docs, sets, width, p, q).union(roots.toDF("a", "b")))
     named = sets.select("hi", "sid", "doc_id").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     labels = named.join(named.groupBy("root").agg(F.min("doc_id").alias("label")), "root").select("hi", "sid", "root", "label")
