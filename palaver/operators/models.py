@@ -159,7 +159,7 @@ def write_aliases(members: DataFrame, recorded: DataFrame, make: Make = pv.NoPro
     got = seen.select(F.explode("items").alias("i"), "answer.members").select(F.col("i.member_id").alias("member_id"), F.col("i.name").alias("_name"), F.get(F.filter("members", lambda m: m["member_id"] == F.col("i.member_id")), 0).alias("m"))
     named = F.coalesce(has_tamil(F.col("m.tamil_name")), F.lit(False))
     got = got.select("member_id", checked(F.trim("m.tamil_name"), named, F.concat(F.lit("no Tamil name for "), F.col("member_id"), F.lit(" "), F.col("_name"))).alias("_tamil"), "m.tamil_aliases", F.col("m.en_aliases").alias("_en"))
-    tidy = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    tidy = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     joined = members.drop("tamil_aliases").join(got, "member_id", "left")
     return joined.withColumn("tamil_name", F.coalesce("_tamil", "tamil_name")).withColumn("en_aliases", F.array_sort(F.array_union(tidy(F.col("en_aliases")), tidy(F.col("_en"))))).withColumn("tamil_aliases", tidy(F.col("tamil_aliases"))).drop("_tamil", "_en")
 
