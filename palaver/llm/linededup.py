@@ -1,8 +1,9 @@
 """Line dedup by distinct-site spread: boilerplate is what many sites share.
 
 A line is known by two 64-bit hashes of its trimmed text, its site is the document's source. HLL
-sketches of the sites are built for each line on the map side and merged by aggregation, so a line
-costs one small row for each task however often it occurs. Lines whose estimate is clearly at or
+sketches of the sites are built for each line on the map side, straight from its occurrences, and merged
+by aggregation, so a line costs one small row for each task however often it occurs and no table of
+lines and sites is ever made. Lines whose estimate is clearly at or
 above ``min_sites`` are boilerplate, lines clearly below it are not, and the ones in between get an
 exact distinct count of sites.
 
@@ -10,8 +11,9 @@ Of a boilerplate line one copy stays, in the document of the smallest id (then t
 hash, then the first place in the text), so the corpus loses no line altogether; all others are
 removed from their documents. Blank lines are neither counted nor removed.
 
-The boilerplate table is counted before it is used: up to BROADCAST_ROWS rows are broadcast, and a
-larger table is joined by shuffle, where adaptive execution splits the partitions of common lines.
+The boilerplate table, and the table of the texts that lose a line, are counted before they are used:
+up to BROADCAST_ROWS rows are broadcast, so texts are not shuffled, and a larger table is joined by
+shuffle, where adaptive execution splits the partitions of common keys.
 Everything is DataFrame functions: no Python runs on the executors.
 
 Null texts have no lines and stay null. A null source is a site of its own. Repeated rows (same id
@@ -31,7 +33,7 @@ MIN_SITES = 8
 LG_K = 8
 #: Estimates within so many standard errors of the threshold are counted exactly.
 SIGMAS = 4.0
-#: Rows of the boilerplate table that are broadcast at most (about 40 bytes each).
+#: Rows of a table that is broadcast at most (some 40 bytes each, and 4 for each place of a line that goes).
 BROADCAST_ROWS = 200_000
 
 
@@ -53,19 +55,22 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Lines of at least min_sites sites: _a, _b and the place that keeps the line (_kid, _kth, _kpos)."""
     lines = exploded(docs)
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("_pos").alias("pos"))
-    # the distinct sites of a task are few, so sketches are built from pre-aggregated rows
-    seen = lines.groupBy("_a", "_b", "_site").agg(F.count("*").alias("_n"), F.min(place).alias("_keep"))
-    spread = seen.groupBy("_a", "_b").agg(F.hll_sketch_agg("_site", F.lit(LG_K)).alias("_sketch"), F.sum("_n").alias("_n"), F.min("_keep").alias("_keep"))
+    spread = lines.groupBy("_a", "_b").agg(F.hll_sketch_agg("_site", F.lit(LG_K)).alias("_sketch"), F.count("*").alias("_n"), F.min(place).alias("_keep"))
     margin = SIGMAS * 1.04 / 2 ** (LG_K / 2)
     rated = cut(spread.where(F.col("_n") >= min_sites).select("_a", "_b", "_keep", F.hll_sketch_estimate("_sketch").alias("_sites")).where(F.col("_sites") >= min_sites * (1 - margin) - 1))
     sure = rated.where(F.col("_sites") > min_sites * (1 + margin) + 1)
     near = rated.where(F.col("_sites") <= min_sites * (1 + margin) + 1)
-    # exact counts for the lines near the threshold alone
-    exact = with_size(lines, near.select("_a", "_b"), "left_semi").select("_a", "_b", "_site").distinct().groupBy("_a", "_b").count().where(F.col("count") >= min_sites)
+    exact = exact_spread(lines, near.select("_a", "_b"), min_sites)
     passed = sure.unionByName(near.join(exact.select("_a", "_b"), ["_a", "_b"]))
     return cut(passed.select("_a", "_b", F.col("_keep.id").alias("_kid"), F.col("_keep.th").alias("_kth"), F.col("_keep.pos").alias("_kpos")))
 
 
+def exact_spread(lines: DataFrame, near: DataFrame, min_sites: int) -> DataFrame:
+    """_a, _b of those of the lines near the threshold that have min_sites sites, counted exactly."""
+    sites = with_size(lines, near, "left_semi").select("_a", "_b", "_site").distinct()
+    return sites.groupBy("_a", "_b").count().where(F.col("count") >= min_sites)
+
+
 def with_size(lines: DataFrame, table: DataFrame, how: str) -> DataFrame:
     """lines joined with a table on the line hashes; the table is broadcast only if its count allows it."""
     small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -88,6 +93,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     own = dict(zip(docs.columns, names, strict=True))
     gone = removals(docs.select("doc_id", "text", "source"), min_sites).toDF("_gid", "_gth", "_drop")
     work = docs.toDF(*names).withColumn("_th", F.xxhash64(own["text"]))
+    gone = cut(gone)
+    gone = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone.hint("merge")
     joined = work.join(gone, F.col(own["doc_id"]).eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
     # explode keeps the split lines a column of their own: an array that a lambda reads is not split again for each line
     joined = joined.withColumn("_parts", F.explode(F.array(F.split(own["text"], "\n"))))
