@@ -8,7 +8,7 @@ the window would begin; positional and length bounds discard places that would l
 and the exact words are compared over the item-sized window that is left.
 
 The corpus is only ever scanned: once to count the items' shingles, once to match. The items are
-taken in blocks of a fixed number of bytes; a block's index is the only thing sent to the executors,
+made distinct and taken in blocks of a fixed number of bytes; a block's index is the only thing sent to the executors,
 so its size does not depend on either table. With several blocks, the scan is repeated per block and
 each pass adds its spans and items to the row, with no shuffle and no join.
 
@@ -103,12 +103,14 @@ class Lookup:
 
 def item_blocks(items: DataFrame, width: int) -> Iterator[Windows]:
     """The items' windows, a bounded block at a time."""
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     parts = max(1, -(-int(size) // ITEM_BLOCK_BYTES))
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).collect() if parts > 1 else items.collect()
-        yield Windows([r.id for r in rows], [r.text for r in rows], width)
+        if rows:
+            rows.sort()
+            yield Windows([r.id for r in rows], [r.text for r in rows], width)
 
 
 def shingle_counts(docs: DataFrame, index: Windows) -> dict[int, np.ndarray]:
@@ -213,10 +215,14 @@ def merged(spans: list[tuple[int, int]]) -> bytes:
 
 def mark(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """docs (with a text column) with _words, _spans and _items for items (item_id, text)."""
-    made = docs
-    for number, index in enumerate(item_blocks(items, width)):
+    made = None
+    for index in item_blocks(items, width):
         index.order(shingle_counts(docs, index))
-        made = scan(cut(made) if number else made, index)
+        made = scan(docs if made is None else cut(made), index)
+    if made is None:  # no item has a word
+        index = Windows([], [], width)
+        index.order({})
+        made = scan(docs, index)
     return made
 
 
@@ -240,6 +246,11 @@ def report(marked: DataFrame) -> DataFrame:
 
 
 def op2_prefix_filtered_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of all documents, for windows of ten words.
+
+    Null and word-less texts have no words and no hits; repeated rows give repeated rows; an empty
+    table gives no rows, and an empty benchmark no hits.
+    """
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     return report(mark(docs, spark.read.parquet(f"{folder}/benchmark.parquet")))
 
