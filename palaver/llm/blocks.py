@@ -222,7 +222,7 @@ def bounded_sample(df: DataFrame, rows: int, key: Column, seed: int = 7) -> Data
     leaves a small surplus, of which a bounded top list takes the smallest.
     """
     total = df.count()
-    share = min(1.0, 1.3 * rows / max(total, 1) + 1e-9)
+    share = min(1.0, 2 * rows / max(total, 1) + 1e-9)  # as many again, for equal rows
     draw = F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(1 << 30))
     chosen = df.withColumn("_draw", draw)
     chosen = (chosen.where(draw < int(share * (1 << 30))) if share < 1 else chosen).distinct()

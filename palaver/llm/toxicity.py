@@ -14,7 +14,8 @@ of its texts have no row and are known by their trigrams alone. Every fifth text
 is not learnt from: the final scale is fitted on those, to the share of toxic rows among all labelled
 ones. Null, empty and word-less texts have one empty
 window, whose score is learnt like any other. With labels of one class only, that share is every
-text's score.
+text's score. Equal texts have equal scores, ties among windows go to the first; an empty table gives
+no rows; columns of the input other than the text are kept as they are, one named toxicity is replaced.
 """
 
 from __future__ import annotations
@@ -212,7 +213,7 @@ class GatedNetwork:
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         a, b = self.scale
-        return sigmoid(a * self.best_windows(self.inputs(data, offsets))[0].astype(np.float64) + b)
+        return np.round(sigmoid(a * self.best_windows(self.inputs(data, offsets))[0].astype(np.float64) + b), 6)  # sums differ in the last digits with the batch
 
 
 def block_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -271,11 +272,26 @@ def calibrated(z: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: in
     return max(float(theta[0]), 1e-3), float(theta[1])
 
 
-def fit(labelled: DataFrame) -> GatedNetwork | float:
-    """A network learnt from (text, toxic) rows, or the share of toxic ones where only one class is there."""
+def sampled(labels: DataFrame) -> tuple[DataFrame, float]:
+    """A bounded sample of labels (doc_id, toxic), TRAIN_ROWS ids of each class, and the share of toxic ones among all.
+
+    Ids are drawn before any text is read, so only the sample's texts are fetched.
+    """
+    labels = labels.where("toxic in (0, 1)").select("doc_id", "toxic").distinct()
+    totals = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    each = [bounded_sample(labels.where(F.col("toxic") == c), TRAIN_ROWS, F.col("doc_id")) for c in (0, 1)]
+    return each[0].union(each[1]), totals.get(1, 0) / max(1, sum(totals.values()))
+
+
+def fit(labelled: DataFrame, share: float | None = None) -> GatedNetwork | float:
+    """A network learnt from (text, toxic) rows, or the share of toxic ones where only one class is there.
+
+    At most TRAIN_ROWS rows of each class are learnt from. share is that of toxic rows among all
+    labelled ones, if these are a sample of them.
+    """
     labelled = labelled.where("toxic in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
     totals = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    share = totals.get(1, 0) / max(1, sum(totals.values()))
+    share = totals.get(1, 0) / max(1, sum(totals.values())) if share is None else share
     if len(totals) < 2:
         return share
     rows = []
@@ -301,9 +317,15 @@ def score(docs: DataFrame, net: GatedNetwork | float) -> DataFrame:
 
 
 def op3_gated_network_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of all documents.
+
+    Null, empty and word-less texts have the score of an empty window; repeated rows the same score;
+    labels of one class only give all texts its share; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").where("toxic is not null")
     fold = crc_remainder("doc_id", 4) == 2
-    net = fit(docs.where(~fold).join(labels, "doc_id").select("text", "toxic"))
+    chosen, share = sampled(labels.where(~fold))
+    net = fit(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), share)  # at most 2 * TRAIN_ROWS ids
     scored = score(docs.select("doc_id", fold.alias("held_out"), "text"), net)
     return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))
