@@ -18,7 +18,8 @@ permutation, so a document is cut at block edges and is taken REPEATS times at m
 its spans: ranges of its words (start, end, repeats), of which its taken words are the sum. op5 shuffles
 only ids, sizes and hashes, never texts.
 
-The driver holds a row for each source and shard: MAX_SHARDS times the number of sources at most.
+The driver holds a row for each source and shard, PLAN_ROWS at most, which is checked; a table of more
+than MAX_SOURCES sources is refused.
 
 Null and word-less texts have size 0 and nothing is taken of them. Repeated rows are rows of their
 own. Reruns agree; rows that tie in every column are interchangeable.
@@ -39,6 +40,8 @@ BUDGET = 1.5
 REPEATS = 2
 SHARD_WORDS = 1 << 20
 MAX_SHARDS = 1024
+#: Sources of a mix at most; shards are dealt so that a plan has PLAN_ROWS rows at most.
+MAX_SOURCES, PLAN_ROWS = 10_000, 200_000
 SEED = 20240229
 
 
@@ -95,11 +98,14 @@ def stride(n: int, seed: int) -> int:
 
 def plan(sized: DataFrame) -> list[dict]:
     """A row for each source and shard: target, blocks, quota and the permutation of its blocks."""
-    by = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    by = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
+    if len(by) > MAX_SOURCES:
+        raise ValueError(f"a mix is of {MAX_SOURCES} sources at most: their quotas are one plan")
     by.sort(key=lambda r: (r.source is None, r.source or ""))
     aims = targets([r["size"] for r in by])
     quotas = sainte_lague(np.array(aims), round(sum(aims) / BLOCK))
-    shards = {r.source: min(MAX_SHARDS, max(1, ceil(r["size"] / SHARD_WORDS))) for r in by}
+    most = max(1, min(MAX_SHARDS, PLAN_ROWS // max(1, len(by))))
+    shards = {r.source: min(most, max(1, ceil(r["size"] / SHARD_WORDS))) for r in by}
     dealt = sized.join(shard_table(sized, shards), sized.source.eqNullSafe(F.col("_s")), "left")
     parts = dealt.groupBy("source", shard_of(F.col("_shards")).alias("shard")).agg(F.sum("size").alias("size")).collect()
     rows, of = [], {}
