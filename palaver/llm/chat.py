@@ -13,7 +13,8 @@ turns of a conversation meet only where its one text is rendered.
 
 Turns are ordered by turn number (null first), then role, then text. A null role is ``unknown``, a
 null text is empty, and rows of a null conv_id are one conversation. Repeated rows are turns of
-their own. Other columns are ignored. Markers of the template inside a text are broken up with a
+their own, and so are turns with one number. Other columns are ignored, whatever their names are. A
+very long text is part of one turn. An empty table gives no rows. Markers of the template inside a text are broken up with a
 space, so a text cannot open or close a turn.
 """
 

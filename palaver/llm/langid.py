@@ -11,6 +11,9 @@ Training takes the text and language of a bounded sample of labelled rows (TRAIN
 TRAIN_WINDOWS windows a row, spread over the row's whole text), and nothing else.
 
 Null texts and texts without a letter are ``und`` with score 0. With no labelled row, every text is.
+Equal texts have equal predictions, of equally probable languages the first by name; an empty table
+gives no rows; columns of the input other than the text are kept as they are, those named as the
+results are replaced.
 """
 
 from __future__ import annotations
@@ -176,7 +179,8 @@ def training_windows(labelled: DataFrame) -> tuple[np.ndarray, list[str]]:
 
     shares = labelled.groupBy("lang").count().collect()  # a row for each language
     total = sum(r["count"] for r in shares)
-    rate = F.create_map(*[F.lit(x) for r in shares for x in (r.lang, min(1.0, 1.3 * TRAIN_ROWS / r["count"]))]) if shares else F.lit(None)
+    look = min(1.3 * TRAIN_ROWS, LOOK_ROWS / max(1, len(shares)))  # every language has its part of the sample
+    rate = F.create_map(*[F.lit(x) for r in shares for x in (r.lang, min(1.0, look / r["count"]))]) if shares else F.lit(None)
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(1 << 30)
     chosen = labelled.where(draw < rate[F.col("lang")]) if total else labelled
     chosen = bounded_sample(chosen, LOOK_ROWS, F.col("text"), seed=3)
@@ -212,13 +216,18 @@ def predict(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
             for k in range(j - i):
                 known = shared.value and has_letter(data[offsets[i + k] : offsets[i + k + 1]].tobytes())
                 langs.append(shared.value.labels[best[k]] if known else "und")
-                scores.append(float(min(1.0, p[k, best[k]])) if known else 0.0)
+                scores.append(round(float(min(1.0, p[k, best[k]])), 6) if known else 0.0)
         return {"lang_pred": langs, "lang_score": scores}
 
     return with_computed(docs, compute, "lang_pred string, lang_score double")
 
 
 def op1_byte_network_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of all documents.
+
+    Null texts and texts without a letter are ``und`` with score 0; repeated rows are predicted alike;
+    an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     fold = crc_remainder("doc_id", 5) == 0
     scorer = fit(docs.where(~fold).select("text", "lang"))

@@ -66,6 +66,19 @@ def test_decontamination(spark, odd, empty, monkeypatch, block):
     assert decontaminate.clean(odd, table.limit(0)).count() == len(odd_rows())
 
 
+def test_repeated_items_are_one(spark, monkeypatch):
+    """Copies of an item make no block of their own, and a benchmark without words hits nothing."""
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK_BYTES", 400)
+    passes = []
+    whole = decontaminate.scan
+    monkeypatch.setattr(decontaminate, "scan", lambda docs, index: passes.append(len(index.ids)) or whole(docs, index))
+    items = spark.createDataFrame([(1, "one two three four five six")] * 300 + [(2, "other words of an item")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four five six"), (2, "nothing")], "doc_id long, text string")
+    found = decontaminate.report(decontaminate.mark(docs, items)).collect()
+    assert sorted((r.doc_id, r.n_hit, r.n_items) for r in found) == [(1, 6, 1), (2, 0, 0)] and sum(passes) == 2
+    assert [r.n_hit for r in decontaminate.report(decontaminate.mark(docs, items.select("item_id", F.lit(" ").alias("text")))).collect()] == [0, 0]
+
+
 # -- line dedup
 
 
@@ -88,6 +101,27 @@ def test_hll_and_exact_counts_agree_at_the_threshold(spark):
     assert gone == sorted(s * 10 + k for k in (8, 9) for s in range(1, k))
 
 
+def test_sketches_decide_far_from_the_threshold(spark, monkeypatch):
+    """Without any exact count, lines of very many sites go all the same, and those near the threshold stay."""
+    none = lambda lines, near, min_sites: near.limit(0)
+    monkeypatch.setattr(linededup, "exact_spread", none)
+    rows = [(s * 10 + k, f"line of {n}", "en", f"s{s}", 1) for k, n in enumerate((9, 90)) for s in range(n)]
+    gone = [r for r in linededup.dedup_lines(spark.createDataFrame(rows, DOCS)).where("lines_removed > 0").collect()]
+    assert len(gone) == 89 and {r.doc_id % 10 for r in gone} == {1}
+
+
+def test_no_table_of_lines_and_sites_is_made(spark, monkeypatch):
+    """A wrong estimate shows: with very small sketches and no margin the estimate alone decides."""
+    monkeypatch.setattr(linededup, "LG_K", 4)
+    monkeypatch.setattr(linededup, "SIGMAS", 0.0)
+    monkeypatch.setattr(linededup, "exact_spread", lambda lines, near, min_sites: near.limit(0))
+    rows = [(s, "same line", "en", f"s{s}", 1) for s in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    estimate = docs.agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(4))).alias("n")).first().n
+    assert estimate != 400
+    assert linededup.boilerplate(docs, estimate - 2).count() == 1 and linededup.boilerplate(docs, estimate + 3).count() == 0
+
+
 # -- near duplicates
 
 
@@ -314,3 +348,14 @@ def test_snapshots_collapse(spark):
     assert (found[2].n_turns, found[2].n_copies) == (4, 2)
     assert found[2].rendered == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user\n<|im_end|>\n<|im_start|>unknown\nbye<| im_end|><|im_end|>\n"
     assert chat.render(df.limit(0)).count() == 0
+
+
+def test_tied_turns_and_long_conversations(spark):
+    """Turns of one number follow role and text; a conversation of thousands of turns is one text; clashing columns do not matter."""
+    rows = [(1, 0, "user", "b", "x", 1), (1, 0, "assistant", "a", "x", 1), (1, 0, "user", "a", "x", 1), (2, 0, "assistant", "a", "y", 1)]
+    rows += [(3, t, "user", f"turn {t}", "z", 1) for t in range(5000)] + [(4, t, "user", f"turn {t}", "z", 1) for t in range(4999)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, _id string, copies int")
+    found = {r.conv_id: r for r in chat.render(df).collect()}
+    assert sorted(found) == [1, 3] and found[3].n_turns == 5000 and found[3].rendered.count("turn ") == 5000
+    assert found[1].rendered == "<|im_start|>assistant\na<|im_end|>\n<|im_start|>user\na<|im_end|>\n<|im_start|>user\nb<|im_end|>\n"
+    assert chat.op10_snapshot_collapse_chat.__doc__

@@ -12,7 +12,7 @@ from helpers import DOCS, SPACED, lower, odd_rows, with_clashes
 from pyspark.sql import functions as F
 
 from palaver.llm import langid, lm, toxicity
-from palaver.llm.blocks import crc_remainder
+from palaver.llm.blocks import bounded_sample, crc_remainder
 
 FOLDER = "/root/testdata/sf0.01"
 needs_tables = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
@@ -42,6 +42,20 @@ def test_language_of_odd_rows(spark, odd):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(odd.limit(0).select("text", "lang"))).collect()} == {"und"}
 
 
+def test_equal_texts_are_judged_alike(spark):
+    """Repeated rows, and texts that tie, have one prediction, and a sample is the same in every run."""
+    rows = [(i, "der alte baum steht dort" if i % 2 else "the old tree stands there", "de" if i % 2 else "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    scorer = langid.fit(docs.select("text", "lang"))
+    assert len({(r.text, r.lang_pred, r.lang_score) for r in langid.predict(docs, scorer).collect()}) == 2
+    labelled = docs.select("text", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    net = toxicity.fit(labelled)
+    assert len({(r.text, r.toxicity) for r in toxicity.score(docs, net).collect()}) == 2
+    many = spark.range(4000).select(F.col("id").cast("string").alias("text")).unionAll(spark.range(2000).select(F.lit("copy").alias("text")))
+    draw = lambda df: [r.text for r in bounded_sample(df, 50, F.col("text")).collect()]
+    assert draw(many) == draw(many.repartition(7)) and len(set(draw(many))) == len(draw(many)) > 40
+
+
 def test_language_tables_equal_the_network():
     net = langid.ByteNetwork(["x", "y"])
     rows = np.random.default_rng(0).integers(0, 256, (5, langid.WINDOW), dtype=np.uint8)
