@@ -1,7 +1,8 @@
 """Exact-substring dedup over a sparse suffix array, sorted deep-shallow.
 
 A byte goes if a string of ``length`` bytes that covers it also starts somewhere else, in the same
-text or another, judged on the input. Strings never cross texts.
+text or another, judged on the input. Strings never cross texts. What follows says bytes, and holds
+for the symbols of any Scale.
 
 Which suffixes are sorted. In every window of length - core + 1 consecutive places one anchor is
 chosen, the place whose ``core``-byte hash is smallest (the last of equals). The choice depends on
@@ -25,6 +26,10 @@ looked at stand as one again, and so on until a group is small. At a single offs
 the whole string and are counted, not sorted. So no group above GROUP_ROWS is sorted in one task and
 no repeat is lost. Equal neighbourhoods are told by two 64-bit hashes, texts by two of them.
 
+Words. The same job over words in place of bytes, each word a symbol of 32 bits of its hash, finds the
+passages of over 50 words that occur again. They are counted, not removed: a passage of short words has
+fewer bytes than a string that goes.
+
 Null texts are empty and lose nothing. Repeated rows and equal texts are repeats of each other. An
 empty table gives an empty result. Other columns of the input are not looked at, whatever their names
 are. A very long text is read in pieces of PIECE bytes.
@@ -32,16 +37,34 @@ are. A very long text is read in pieces of PIECE bytes.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.blocks import BASE, _codes, map_batches, marked_rows, mix, powers, row_map, salts, utf8
+from palaver.llm.blocks import BASE, NOT_SPACE, Words, _codes, cut_blocks, map_batches, marked_rows, mix, powers, row_map, salts, utf8
 from palaver.llm.sorting import deep_shallow
 from palaver.session import cut
 
-LENGTH, CORE = 400, 200
-REACH = LENGTH - CORE
+
+
+@dataclass(frozen=True)
+class Scale:
+    """What strings are made of: ``length`` symbols of ``step`` bytes make a repeat, ``core`` of them are compared by hash."""
+
+    length: int
+    core: int
+    step: int = 1
+
+    @property
+    def reach(self) -> int:
+        return self.length - self.core
+
+
+BYTES = Scale(400, 200)
+#: Passages of over 50 words, a word being four bytes of its hash.
+WORDS = Scale(51, 26, 4)
 #: Bytes of a text whose anchors are chosen at once.
 PIECE = 4 << 20
 #: Members of a group that are sorted in one task at most; a larger group is split by content.
@@ -77,42 +100,56 @@ def lowest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Piece:
-    """Prefix sums of a run of bytes: the hash of any part of it in a few operations."""
+    """Prefix sums of a run of symbols: the hash of any part of it in a few operations."""
 
     def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_codes[data] * powers(len(data)), out=self.sums[1:])
+        codes = _codes[data] if data.dtype == np.uint8 else mix(data.astype(np.uint64)) | np.uint64(1)
+        np.cumsum(codes * powers(len(data)), out=self.sums[1:])
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * inverse_powers(len(self.sums))[start]
 
 
-def anchors(text: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Place, core hash, neighbourhood hash, and bytes to the left and right of each anchor of a text."""
-    n, found = len(text), []
-    if n < LENGTH:
+def symbols(data: np.ndarray, offsets: np.ndarray, scale: Scale):
+    """The symbols of each text of a batch: its bytes, or 32-bit hashes of its words."""
+    for i, j in cut_blocks(offsets):
+        if scale.step == 1:
+            for k in range(i, j):
+                yield data[offsets[k] : offsets[k + 1]]
+        else:
+            words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NOT_SPACE, lower=False)
+            codes = (words.hashes >> np.uint64(32)).astype(np.uint32)
+            for k in range(j - i):
+                yield codes[words.bounds[k] : words.bounds[k + 1]]
+
+
+def anchors(text: np.ndarray, scale: Scale) -> tuple[np.ndarray, ...]:
+    """Place, core hash, neighbourhood hash, and symbols to the left and right of each anchor of a text."""
+    n, found, wide, reach = len(text), [], scale.core, scale.reach
+    if n < scale.length:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    for a in range(0, n - LENGTH + 1, PIECE):
-        b = min(n, a + PIECE + LENGTH - 1)
+    for a in range(0, n - scale.length + 1, PIECE):
+        b = min(n, a + PIECE + scale.length - 1)
         piece = Piece(text[a:b])
-        at = np.arange(b - a - CORE + 1)
-        core = mix((piece.sums[CORE:] - piece.sums[:-CORE]) * inverse_powers(len(piece.sums))[: len(at)])
-        low = lowest((core & ~_LOW) | (_LOW - at.astype(np.uint64)), REACH + 1)
+        at = np.arange(b - a - wide + 1)
+        core = mix((piece.sums[wide:] - piece.sums[:-wide]) * inverse_powers(len(piece.sums))[: len(at)])
+        low = lowest((core & ~_LOW) | (_LOW - at.astype(np.uint64)), reach + 1)
         chosen = (_LOW - (low & _LOW)).astype(np.int64)
         found.append(a + np.unique(chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])]))
     place = np.unique(np.concatenate(found))
-    left, right = np.minimum(place, REACH), np.minimum(n - place - CORE, REACH)
+    left, right = np.minimum(place, reach), np.minimum(n - place - wide, reach)
     core, whole = np.empty(len(place), np.uint64), np.empty(len(place), np.uint64)
     for k in range(0, len(place), PIECE // 256):
         of = slice(k, k + PIECE // 256)
-        a, b = int(place[of][0] - left[of][0]), int((place[of] + CORE + right[of]).max())
+        a, b = int(place[of][0] - left[of][0]), int((place[of] + wide + right[of]).max())
         piece = Piece(text[a:b])
-        core[of] = mix(piece.hashes(place[of] - a, place[of] + CORE - a))
-        whole[of] = mix(mix(piece.hashes(place[of] - left[of] - a, place[of] + CORE + right[of] - a)) + (left[of] * 1000 + right[of]).astype(np.uint64))
+        core[of] = mix(piece.hashes(place[of] - a, place[of] + wide - a))
+        whole[of] = mix(mix(piece.hashes(place[of] - left[of] - a, place[of] + wide + right[of] - a)) + (left[of] * 1000 + right[of]).astype(np.uint64))
     return place, core, whole, left, right
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
+def anchor_rows(docs: DataFrame, scale: Scale) -> DataFrame:
     """The anchors of every text: core, whole, ta, tb, place, left, right, times and salt.
 
     Copies of a text within a batch are one with so many times. Of a core that more than HOT anchors
@@ -123,12 +160,16 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         data, offsets = utf8(batch.column("text"))
         a, b = (np.asarray(batch.column(c), np.int64) for c in ("ta", "tb"))
         _, first, times = np.unique(np.stack([a, b]), axis=1, return_index=True, return_counts=True) if len(a) else (None, [], [])
-        out, size = [], 0
-        for k, (i, n) in enumerate(zip(first, times, strict=True)):
-            place, core, whole, left, right = anchors(data[offsets[i] : offsets[i + 1]])
+        copies = dict(zip(first.tolist(), times.tolist(), strict=True)) if len(a) else {}
+        out, size, last = [], 0, max(copies, default=-1)
+        for i, text in enumerate(symbols(data, offsets, scale)):
+            if i not in copies:
+                continue
+            n = copies[i]
+            place, core, whole, left, right = anchors(text, scale)
             out.append((core, whole, np.full(len(place), a[i]), np.full(len(place), b[i]), place, left, right, np.full(len(place), n)))
             size += len(place)
-            if size > FLUSH or k == len(first) - 1:
+            if size > FLUSH or i == last:
                 columns = dict(zip(("core", "whole", "ta", "tb", "place", "left", "right", "times"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))
                 yield columns | {"salt": salts(columns["core"], columns["whole"] ^ columns["place"].astype(np.uint64), HOT)}
                 out, size = [], 0
@@ -136,10 +177,10 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("ta", "tb", "text"), each, "core long, whole long, ta long, tb long, place long, left int, right int, times long, salt int")
 
 
-def shared_anchors(docs: DataFrame) -> DataFrame:
+def shared_anchors(docs: DataFrame, scale: Scale) -> DataFrame:
     """The anchors whose core occurs more than once."""
     same = Window.partitionBy("core", F.when(F.col("salt") < 2, 0).otherwise(F.col("salt")))
-    rows = anchor_rows(docs).withColumn("m", F.sum("times").over(same))
+    rows = anchor_rows(docs, scale).withColumn("m", F.sum("times").over(same))
     return rows.where("m > 1 or salt > 0").drop("m", "salt")
 
 
@@ -148,22 +189,22 @@ def distinct_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return marked_rows(docs.select("ta", "tb", "text"), row_map(ids, "ta", "tb"), "ta", "tb").join(ids.select("ta", "tb"), ["ta", "tb"], "left_semi").dropDuplicates(["ta", "tb"])
 
 
-def neighbourhoods(docs: DataFrame, needed: DataFrame) -> DataFrame:
+def neighbourhoods(docs: DataFrame, needed: DataFrame, scale: Scale) -> DataFrame:
     """The bytes around the needed anchors: before (reversed) and from the core on."""
     wanted = cut(needed.groupBy("ta", "tb").agg(F.collect_list(F.struct("core", "place", "left", "right", "copies")).alias("anchors")))
 
     def each(batch):
         data, offsets = utf8(batch.column("text"))
         a, b = (batch.column(c).to_pylist() for c in ("ta", "tb"))
-        for i, rows in enumerate(batch.column("anchors")):
-            text = data[offsets[i] : offsets[i + 1]].tobytes()
-            own = rows.as_py()
-            yield {"core": [r["core"] for r in own], "ta": [a[i]] * len(own), "tb": [b[i]] * len(own), "place": [r["place"] for r in own], "copies": [r["copies"] for r in own], "before": [text[r["place"] - r["left"] : r["place"]][::-1] for r in own], "after": [text[r["place"] : r["place"] + CORE + r["right"]] for r in own]}
+        step, wide = scale.step, scale.core
+        for i, (own, text) in enumerate(zip(batch.column("anchors").to_pylist(), symbols(data, offsets, scale), strict=True)):
+            text = text.tobytes()
+            yield {"core": [r["core"] for r in own], "ta": [a[i]] * len(own), "tb": [b[i]] * len(own), "place": [r["place"] for r in own], "copies": [r["copies"] for r in own], "before": [text[step * (r["place"] - r["left"]) : step * r["place"]][::-1] for r in own], "after": [text[step * r["place"] : step * (r["place"] + wide + r["right"])] for r in own]}
 
     return map_batches(distinct_texts(docs, wanted).join(wanted, ["ta", "tb"]).select("ta", "tb", "text", "anchors"), each, "core long, ta long, tb long, place long, copies long, before binary, after binary")
 
 
-def split_groups(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+def split_groups(rows: DataFrame, most: int, scale: Scale) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows with key, low and high, whose groups by key have ``most`` members or fewer; and spans found on the way.
 
     Offsets low to high of a group's strings are looked at under its key. In a larger group the
@@ -171,44 +212,47 @@ def split_groups(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     from then on; what is left is parted into halves of its offsets and grouped by the bytes that all
     strings of a half share. At one offset those bytes are the string, so no group is large there.
     """
-    rows = rows.withColumn("key", F.xxhash64("core")).withColumn("low", F.lit(0)).withColumn("high", F.lit(REACH))
+    wide, reach, step = scale.core, scale.reach, scale.step
+    size = lambda c: (F.octet_length(c) / step).cast("int")
+    first = lambda c, n: F.substring(c, F.lit(1), (n * step).cast("int"))
+    rows = rows.withColumn("key", F.xxhash64("core")).withColumn("low", F.lit(0)).withColumn("high", F.lit(reach))
     done = spans = None
-    for _ in range(REACH.bit_length() + 2):
+    for _ in range(reach.bit_length() + 2):
         large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"))
         if large.isEmpty():
             break
         small = rows.join(large, "key", "left_anti")
         done = small if done is None else done.unionByName(small)
-        before, after = F.least(F.octet_length("before"), F.col("high")), F.least(F.octet_length("after") - CORE, REACH - F.col("low"))
-        big = rows.join(large, "key", "left_semi").withColumn("b", before).withColumn("a", after).where(F.col("b") + F.col("a") >= REACH)
-        seen = [F.substring("before", F.lit(1), F.col("b")), F.substring("after", F.lit(1), CORE + F.col("a"))]
+        before, after = F.least(size("before"), F.col("high")), F.least(size("after") - wide, reach - F.col("low"))
+        big = rows.join(large, "key", "left_semi").withColumn("b", before).withColumn("a", after).where(F.col("b") + F.col("a") >= reach)
+        seen = [first("before", F.col("b")), first("after", wide + F.col("a"))]
         big = cut(big.withColumn("w0", F.xxhash64("b", "a", *seen)).withColumn("w1", F.xxhash64(*seen, F.lit(1))))
         alike = ["key", "w0", "w1"]
         place = F.struct("ta", "tb", "place", "core", "copies", "low", "high", "before", "after")
         chiefs = cut(big.groupBy(*alike).agg(F.sum("copies").alias("all"), F.count("*").alias("n"), F.min(place).alias("chief")))
-        found = big.join(chiefs.where("n > 1").select(*alike), alike, "left_semi").select("ta", "tb", (F.col("place") - F.col("b")).alias("start"), (F.col("place") + CORE + F.col("a")).alias("end"))
+        found = big.join(chiefs.where("n > 1").select(*alike), alike, "left_semi").select("ta", "tb", (F.col("place") - F.col("b")).alias("start"), (F.col("place") + wide + F.col("a")).alias("end"))
         spans = found if spans is None else spans.unionByName(found)
         one = chiefs.select("key", "all", "chief.*").drop("copies").withColumnRenamed("all", "copies").where("low < high")
         half = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
         parts = one.withColumn("part", F.explode(F.array(F.struct(F.col("low"), half.alias("high")), F.struct((half + 1).alias("low"), F.col("high")))))
         parts = parts.withColumn("low", F.col("part.low")).withColumn("high", F.col("part.high")).drop("part")
-        # a string that begins low bytes or more before the core holds so many before and REACH - high after it
-        parts = parts.where((F.octet_length("before") >= F.col("low")) & (F.octet_length("after") - CORE >= REACH - F.col("high")))
-        parts = parts.withColumn("key", F.xxhash64("core", "low", "high", F.substring("before", F.lit(1), F.col("low")), F.substring("after", F.lit(1), CORE + REACH - F.col("high"))))
+        # a string that begins low bytes or more before the core holds so many before and reach - high after it
+        parts = parts.where((size("before") >= F.col("low")) & (size("after") - wide >= reach - F.col("high")))
+        parts = parts.withColumn("key", F.xxhash64("core", "low", "high", first("before", F.col("low")), first("after", wide + reach - F.col("high"))))
         rows = cut(parts)
     done = rows if done is None else done.unionByName(rows)
     return done, spans if spans is not None else done.select("ta", "tb", F.col("place").alias("start"), F.col("place").alias("end")).limit(0)
 
 
-def group_repeats(keys, low, high, copies, before, after) -> tuple[np.ndarray, np.ndarray]:
+def group_repeats(keys, low, high, copies, before, after, scale: Scale) -> tuple[np.ndarray, np.ndarray]:
     """For members of whole groups: the largest and smallest offset of a repeat, or -1."""
-    n = len(keys)
+    n, step, wide, reach = len(keys), scale.step, scale.core, scale.reach
     tags = [int(k).to_bytes(8, "big", signed=True) for k in keys]
-    size = {"r": np.array([len(x) - CORE for x in after]), "l": np.array([len(x) for x in before])}
+    size = {"r": np.array([len(x) // step - wide for x in after]), "l": np.array([len(x) // step for x in before])}
     ranks = {}
-    for side, strings, shared in (("r", [t + s for t, s in zip(tags, after, strict=True)], 8 + CORE), ("l", [t + s for t, s in zip(tags, before, strict=True)], 8)):
+    for side, strings, shared in (("r", [t + s for t, s in zip(tags, after, strict=True)], 8 + wide * step), ("l", [t + s for t, s in zip(tags, before, strict=True)], 8)):
         order, lcp = deep_shallow(strings)
-        ranks[side] = (order, np.maximum(lcp - shared, np.where(lcp >= shared, 0, -1)))
+        ranks[side] = (order, np.where(lcp >= shared, (lcp - shared) // step, -1))
     _, group = np.unique(np.array(keys), return_inverse=True)
 
     def classes(side: str, depth: int) -> np.ndarray:
@@ -219,10 +263,10 @@ def group_repeats(keys, low, high, copies, before, after) -> tuple[np.ndarray, n
 
     top, bottom = np.full(n, -1), np.full(n, -1)
     for o in range(int(low.min()), int(high.max()) + 1):
-        able = np.flatnonzero((size["l"] >= o) & (size["r"] >= REACH - o) & (low <= o) & (o <= high))
+        able = np.flatnonzero((size["l"] >= o) & (size["r"] >= reach - o) & (low <= o) & (o <= high))
         if not len(able):
             continue
-        pair = classes("r", REACH - o)[able] * (n + 1)
+        pair = classes("r", reach - o)[able] * (n + 1)
         pair += classes("l", o)[able] if o else group[able]
         _, inverse = np.unique(pair, return_inverse=True)
         hit = able[np.bincount(inverse, weights=copies[able])[inverse] >= 2]
@@ -231,7 +275,7 @@ def group_repeats(keys, low, high, copies, before, after) -> tuple[np.ndarray, n
     return top, bottom
 
 
-def sorted_repeats(rows: DataFrame) -> DataFrame:
+def sorted_repeats(rows: DataFrame, scale: Scale) -> DataFrame:
     """ta, tb, start and end of the repeats that the groups' members are part of."""
     schema = "ta long, tb long, start long, end long"
     dealt = rows.select("key", "low", "high", "copies", "ta", "tb", "place", "before", "after").repartition("key").sortWithinPartitions("key")
@@ -244,10 +288,10 @@ def sorted_repeats(rows: DataFrame) -> DataFrame:
         def solve(table):
             keys = np.asarray(table.column("key"), np.int64)
             low, high, copies, place = (np.asarray(table.column(c), np.int64) for c in ("low", "high", "copies", "place"))
-            top, bottom = group_repeats(keys.tolist(), low, high, copies, table.column("before").to_pylist(), table.column("after").to_pylist())
+            top, bottom = group_repeats(keys.tolist(), low, high, copies, table.column("before").to_pylist(), table.column("after").to_pylist(), scale)
             at = np.flatnonzero((top >= 0) & (copies < 2))
             ids = [np.asarray(table.column(c), np.int64)[at] for c in ("ta", "tb")]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*ids, place[at] - top[at], place[at] - bottom[at] + LENGTH)], names=["ta", "tb", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*ids, place[at] - top[at], place[at] - bottom[at] + scale.length)], names=["ta", "tb", "start", "end"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -266,17 +310,17 @@ def sorted_repeats(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, most: int | None = None) -> DataFrame:
-    """ta, tb (two hashes of a text) and the spans of it that are covered by repeats."""
-    rows = cut(shared_anchors(docs))
+def repeated_spans(docs: DataFrame, scale: Scale = BYTES, most: int | None = None) -> DataFrame:
+    """ta, tb (two hashes of a text) and the spans of it, in symbols, that are covered by repeats."""
+    wide, reach = scale.core, scale.reach
+    rows = cut(shared_anchors(docs, scale))
     alike = cut(rows.groupBy("core", "whole").agg(F.sum("times").alias("copies"), F.min(F.struct("ta", "tb", "place", "left", "right")).alias("chief")))
-    reach = F.col("left") + F.col("right") >= REACH
-    full = rows.where(reach).join(alike.where("copies > 1").select("core", "whole"), ["core", "whole"], "left_semi")
-    full = full.select("ta", "tb", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + CORE + F.col("right")).alias("end"))
+    full = rows.where(F.col("left") + F.col("right") >= reach).join(alike.where("copies > 1").select("core", "whole"), ["core", "whole"], "left_semi")
+    full = full.select("ta", "tb", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + wide + F.col("right")).alias("end"))
     mixed = alike.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
     needed = alike.join(mixed, "core").select("core", "copies", "chief.*")
-    members, found = split_groups(cut(neighbourhoods(docs, needed)), most or GROUP_ROWS)
-    spans = full.union(found).union(sorted_repeats(members)).distinct()
+    members, found = split_groups(cut(neighbourhoods(docs, needed, scale)), most or GROUP_ROWS, scale)
+    spans = full.union(found).union(sorted_repeats(members, scale)).distinct()
     return spans.groupBy("ta", "tb").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
@@ -297,20 +341,30 @@ def without(text: bytes, pairs: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
+def passages(texts: DataFrame) -> DataFrame:
+    """ta, tb and n_passage_words, the words in passages of over 50 words that occur again, whatever their bytes."""
+    one = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    step = lambda t, s: F.struct((t["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["start"], t["end"]))).alias("n"), F.greatest(t["end"], s["end"]).alias("end"))
+    return repeated_spans(texts, WORDS).select("ta", "tb", F.aggregate("spans", one, step, lambda t: t["n"]).alias("n_passage_words"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, kept (the bytes that are left), n_removed and n_spans for every row of docs (doc_id, text).
+    """doc_id, n_bytes, kept (the bytes that are left), n_removed, n_spans and n_passage_words for every row of docs (doc_id, text).
+
+    What goes is decided by bytes alone; n_passage_words counts the words in repeated passages of over
+    50 words, some of which have fewer bytes than a repeat and stay.
 
     Texts without a repeat are never shuffled, but for those that a row map can't tell from the others.
     """
     texts = keyed_texts(docs)
-    spans = cut(repeated_spans(texts))
+    spans = cut(repeated_spans(texts).join(passages(texts), ["ta", "tb"], "full").withColumn("n_passage_words", F.coalesce("n_passage_words", F.lit(0).cast("long"))))
     known = row_map(spans, "ta", "tb")
-    untouched = marked_rows(texts.select("doc_id", "text", "ta", "tb"), known, "ta", "tb", wanted=False).select("doc_id", "text", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    others = marked_rows(texts, known, "ta", "tb").join(spans, ["ta", "tb"], "left").select("doc_id", "text", "spans")
+    untouched = marked_rows(texts.select("doc_id", "text", "ta", "tb"), known, "ta", "tb", wanted=False).select("doc_id", "text", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.lit(0).cast("long").alias("n_passage_words"))
+    others = marked_rows(texts, known, "ta", "tb").join(spans, ["ta", "tb"], "left").select("doc_id", "text", "spans", F.coalesce("n_passage_words", F.lit(0).cast("long")).alias("n_passage_words"))
 
     def each(batch):
         data, offsets = utf8(batch.column("text"))
-        out = {"doc_id": batch.column("doc_id"), "n_bytes": np.diff(offsets), "kept": [], "n_removed": [], "n_spans": []}
+        out = {"doc_id": batch.column("doc_id"), "n_bytes": np.diff(offsets), "kept": [], "n_removed": [], "n_spans": [], "n_passage_words": batch.column("n_passage_words")}
         for i, own in enumerate(batch.column("spans")):
             text = data[offsets[i] : offsets[i + 1]].tobytes()
             pairs = list(zip(own.values.field("start").to_pylist(), own.values.field("end").to_pylist(), strict=True)) if own.is_valid else []
@@ -320,15 +374,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out["n_spans"].append(runs)
         return out
 
-    schema = "doc_id long, n_bytes long, kept binary, n_removed long, n_spans long"
+    schema = "doc_id long, n_bytes long, kept binary, n_removed long, n_spans long, n_passage_words long"
     return map_batches(untouched, each, schema).union(map_batches(others, each, schema))
 
 
 def op9_deep_shallow_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of all documents, for strings of 400 bytes.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_passage_words of all documents, for strings of 400 bytes.
 
     Null and empty texts have no bytes and lose none; repeated rows and equal texts of 400 bytes or
     more lose all; an empty table gives no rows.
     """
     done = remove_repeats(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")

@@ -314,6 +314,23 @@ def test_repeats(spark, odd, empty, monkeypatch, most):
     assert rp.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [20_000, 4])
+def test_passages_of_over_fifty_words(spark, odd, monkeypatch, most):
+    """Words in passages of 51 words or more that occur again, against brute force; shorter ones and short-worded bytes do not count."""
+    monkeypatch.setattr(rp, "GROUP_ROWS", most)
+    rng = random.Random(most)
+    words = lambda n: " ".join(rng.choice(["a", "to", "the", "seventeen", "é"]) + str(rng.randrange(300)) for _ in range(n))
+    shared = [words(n) for n in (50, 51, 60, 140)]
+    rows = [(100 + i, words(rng.randrange(70)) + rng.choice([" ", "\n"]) + rng.choice(shared) + " " + words(rng.randrange(70)) + " " + rng.choice(shared)) for i in range(24)]
+    rows += [(200, words(80)), (201, shared[1]), (202, shared[0]), (203, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").union(odd.select("doc_id", "text"))
+    every = [*rows, *[(r[0], r[1]) for r in odd_rows()]]
+    split = [tuple((t or "").split()) for _, t in every]
+    expected = sorted(((i, sum(c)) for (i, _), c in zip(every, repeats(split, 51), strict=True)), key=repr)
+    found = rp.remove_repeats(docs).select("doc_id", "n_passage_words").collect()
+    assert sorted(((r.doc_id, r.n_passage_words) for r in found), key=repr) == expected
+
+
 def test_a_passage_in_very_many_neighbourhoods(spark, monkeypatch):
     """One core in thousands of different neighbourhoods, dealt out, split by content, and never sorted in one task."""
     monkeypatch.setattr(rp, "GROUP_ROWS", 40)
