@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Confidence by evidence, its cap under conflict, and the steps of face verification.
@@ -51,3 +51,17 @@ def convergent_pick(votes: DataFrame, keys: list[str]) -> DataFrame:
     """Turns whose recognised picks are one and the same wrong candidate."""
     picks = votes.where("picked is not null").groupBy(*keys).agg(F.count_distinct("picked").alias("n"), F.min("picked").alias("picked"), F.min("expected").alias("expected"))
     return picks.where((F.col("n") == 1) & (F.col("picked") != F.col("expected"))).select(*keys, "picked")
+
+
+def decoys(members: DataFrame, keys: list[str], n: int = 4) -> DataFrame:
+    """Up to n other members of the same keys for each member: member_id, place (1 to n), decoy.
+
+    The members of a key stand in a ring in the order of a hash of their ids, and each gets the n after
+    it: seeded, the same in every run, and n rows a member whatever the key's size.
+    """
+    ring = Window.partitionBy(*keys).orderBy(F.sha2(F.col("member_id").cast("string"), 256), "member_id")
+    ranked = members.select(*keys, "member_id", (F.row_number().over(ring) - 1).cast("long").alias("_at"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
+    asked = ranked.where("_n > 1").withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(n).cast("long"), F.col("_n") - 1))))
+    asked = asked.withColumn("_want", (F.col("_at") + F.col("place")) % F.col("_n"))
+    others = ranked.select(*keys, F.col("_at").alias("_want"), F.col("member_id").alias("decoy"))
+    return asked.join(others, [*keys, "_want"]).select("member_id", F.col("place").cast("long").alias("place"), "decoy")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.text import normalise_name
+from palaver.session import bounded
 
-#: Rows of a roster that are broadcast at most; names beyond it are resolved exactly only.
+#: Aliases of a roster that names are matched by similarity with, at most; a larger roster is refused.
 ROSTER_ROWS = 100_000
 
 
@@ -64,7 +65,7 @@ def unique_holders(members: DataFrame, offices: DataFrame) -> DataFrame:
     """
     role, want = F.lower(F.trim("role")), F.lower(F.col("office"))
     holds = (role == want) | F.startswith(role, F.concat(want, F.lit(" —"))) | F.startswith(role, F.concat(want, F.lit(" -"))) | F.startswith(role, F.concat(want, F.lit(",")))
-    held = members.join(F.broadcast(offices), holds)  # offices are a fixed vocabulary
+    held = members.join(bounded(offices), holds)
     return held.groupBy("office").agg(F.count_distinct("member_id").alias("n"), F.min("member_id").alias("member_id")).where("n = 1").select("office", "member_id")
 
 

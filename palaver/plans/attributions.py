@@ -133,13 +133,7 @@ def role_unique_holder(spark, folder):
     return rs.unique_holders(held.select(F.col("s_suppkey").alias("member_id"), F.concat("office", tail).alias("role")), offices)
 
 
-@query("""WITH c AS (SELECT t.s_suppkey AS member_id, d.s_suppkey AS decoy, row_number() OVER (PARTITION BY t.s_suppkey ORDER BY sha256(CAST(t.s_suppkey AS VARCHAR) || ':' || CAST(d.s_suppkey AS VARCHAR))) AS rn FROM supplier t JOIN supplier d ON t.s_nationkey = d.s_nationkey AND t.s_suppkey <> d.s_suppkey)
-SELECT member_id, rn AS place, decoy FROM c WHERE rn <= 4""")
+@query("""WITH r AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY sha256(CAST(s_suppkey AS VARCHAR)), s_suppkey) - 1 AS at, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
+SELECT a.s_suppkey AS member_id, p.place, b.s_suppkey AS decoy FROM r a JOIN (SELECT unnest(range(1, 5)) AS place) p ON p.place < a.n JOIN r b ON b.s_nationkey = a.s_nationkey AND b.at = (a.at + p.place) % a.n""")
 def lineup_sample(spark, folder):
-    from pyspark.sql import Window
-
-    who = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    pairs = who.toDF("member_id", "nation").join(who.toDF("decoy", "nation"), "nation").where("member_id <> decoy")
-    order = F.sha2(F.concat_ws(":", F.col("member_id").cast("string"), F.col("decoy").cast("string")), 256)
-    ranked = pairs.withColumn("place", F.row_number().over(Window.partitionBy("member_id").orderBy(order)).cast("long"))
-    return ranked.where("place <= 4").select("member_id", "place", "decoy")
+    return at.decoys(table(spark, folder, "supplier").select(F.col("s_suppkey").alias("member_id"), "s_nationkey"), ["s_nationkey"])
