@@ -1,9 +1,10 @@
 """Line dedup by distinct-site spread: boilerplate is what many sites share.
 
-A line is known by two 64-bit hashes of its trimmed text, its site is the document's source. HLL
-sketches of the sites are built for each line on the map side, straight from its occurrences, and merged
-by aggregation, so a line costs one small row for each task however often it occurs and no table of
-lines and sites is ever made. Lines whose estimate is clearly at or
+A line is known by two 64-bit hashes of its trimmed text, its site is the document's source. Lines are
+counted first, by hash alone; of those that occur often enough to be of so many sites, HLL sketches of
+the sites are built on the map side, straight from their occurrences, and merged by aggregation. So a
+line costs one small row for each task however often it occurs, and no table of lines and sites is
+ever made. Lines whose estimate is clearly at or
 above ``min_sites`` are boilerplate, lines clearly below it are not, and the ones in between get an
 exact distinct count of sites.
 
@@ -55,9 +56,11 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Lines of at least min_sites sites: _a, _b and the place that keeps the line (_kid, _kth, _kpos)."""
     lines = exploded(docs)
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("_pos").alias("pos"))
-    spread = lines.groupBy("_a", "_b").agg(F.hll_sketch_agg("_site", F.lit(LG_K)).alias("_sketch"), F.count("*").alias("_n"), F.min(place).alias("_keep"))
+    # a line that occurs less often than that has fewer sites, so it needs no sketch
+    often = cut(lines.groupBy("_a", "_b").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_sites).select("_a", "_b"))
+    spread = with_size(lines, often, "left_semi").groupBy("_a", "_b").agg(F.hll_sketch_agg("_site", F.lit(LG_K)).alias("_sketch"), F.min(place).alias("_keep"))
     margin = SIGMAS * 1.04 / 2 ** (LG_K / 2)
-    rated = cut(spread.where(F.col("_n") >= min_sites).select("_a", "_b", "_keep", F.hll_sketch_estimate("_sketch").alias("_sites")).where(F.col("_sites") >= min_sites * (1 - margin) - 1))
+    rated = cut(spread.select("_a", "_b", "_keep", F.hll_sketch_estimate("_sketch").alias("_sites")).where(F.col("_sites") >= min_sites * (1 - margin) - 1))
     sure = rated.where(F.col("_sites") > min_sites * (1 + margin) + 1)
     near = rated.where(F.col("_sites") <= min_sites * (1 + margin) + 1)
     exact = exact_spread(lines, near.select("_a", "_b"), min_sites)
