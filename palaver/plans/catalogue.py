@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palaver.plans import answers, attributions, base, graphs, models, searches, segmenting, timelines  # noqa: F401  they register
+from palaver.plans import answers, attributions, base, graphs, jobs, models, searches, segmenting, timelines  # noqa: F401  they register
 
 
 def queries() -> dict:
