@@ -44,12 +44,24 @@ def test_stages(spark, tmp_path):
 
 
 def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    """Each stage on the odd rows themselves, and on no rows, gives what its docstring says."""
     d = str(tmp_path)
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-    for rows in (odd_rows(), []):
-        docs = spark.createDataFrame(rows, DOCS)
-        for _, stage in cp.STAGES:
-            docs = spark.createDataFrame(stage(spark, docs, d).select(*cp.COLUMNS).collect(), DOCS)
+    docs, stages = spark.createDataFrame(odd_rows(), DOCS), dict(cp.STAGES)
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=repr)
+    every = sorted((r[0] for r in odd_rows()), key=repr)
+    assert not {3, 4, 5, 7} & set(ids(stages["language_id"](spark, docs, d)))
+    unlabelled = docs.where("doc_id = 1").selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
+    assert stages["language_id"](spark, unlabelled, d).count() == 0
+    lines = stages["line_dedup"](spark, docs, d)
+    assert ids(lines) == every and sorted(map(repr, lines.collect())) == sorted(map(repr, docs.collect()))
+    assert ids(stages["near_duplicates"](spark, docs, d)) == sorted([1, 3, 4, 5, 6, 7, 8, None], key=repr)
+    assert ids(stages["decontamination"](spark, docs, d)) == every
+    mixed = stages["mixing"](spark, docs, d).collect()
+    assert mixed and not {r.doc_id for r in mixed} & {3, 4, 5} and all(len(r.text.split()) == r.taken for r in mixed)
+    for stage in stages.values():
+        found = stage(spark, docs.limit(0), d)
+        assert found.count() == 0 and found.columns[:5] == cp.COLUMNS
 
 
 def test_mixing_emits_the_taken_words(spark):
