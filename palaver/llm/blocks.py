@@ -163,10 +163,22 @@ def keyed(df: DataFrame, *names: str) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
 
 
+#: Bytes of an Arrow batch at most, one longer row excepted.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark) -> None:
+    """Lowers the session's bound of an Arrow batch to BATCH_BYTES: what an executor and its Python workers hold at once."""
+    name, given = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not given.rstrip("b").isdigit() or int(given.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str) -> DataFrame:
     """``each`` over Arrow batches; it returns or yields column dictionaries in the schema's order."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     target = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches):
