@@ -54,6 +54,8 @@ BITS_EACH, LEAST_BITS = 16, 64
 SMALL_BITS = 2048
 #: Members of a bucket that are held in memory against as many others.
 CHUNK = 1024
+#: Links that are merged in one task at most.
+FEW_LINKS = 20_000
 #: Partners of one text that are verified in a row.
 GROUP = 256
 #: Rows of a table that is broadcast at most (17 bytes each).
@@ -367,10 +369,13 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     """(id, root) of every id in links (a, b): root is the smallest id that links reach.
 
     Alternates large-star and small-star steps on the edge list, each a grouped minimum and a join,
-    until no edge changes; the number of edges never grows.
+    until no edge changes; the number of edges never grows. FEW_LINKS links or fewer, which are counted,
+    are merged in one task on an executor instead: the steps' jobs would take longer than the links.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = fingerprint(edges)
+    if before[0] <= FEW_LINKS:
+        return cut(edges.repartition(1).mapInArrow(merged_links, "id long, root long"))
     for _ in range(limit):
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -385,6 +390,22 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def merged_links(batches):
+    """(id, root) of all links of a task: roots sink to the smallest place that a link or a root's root has."""
+    rows = [np.stack([np.asarray(batch.column(c), np.int64) for c in ("a", "b")]) for batch in batches]
+    links = np.concatenate([np.zeros((2, 0), np.int64), *rows], axis=1)
+    ids, place = np.unique(links, return_inverse=True)
+    (a, b), root, before = place.reshape(2, -1), np.arange(len(ids)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        root = root[root]
+    away = np.flatnonzero(root != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[away]), pa.array(ids[root[away]])], names=["id", "root"])
+
+
 def fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 

@@ -176,6 +176,21 @@ def test_ids_with_two_texts_and_one_of_each(spark, odd, empty):
     assert jaccard.one_of_each(empty).count() == 0
 
 
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_links_merge_the_same_in_one_task_and_in_steps(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW_LINKS", few)
+    rng = random.Random(40)
+    links = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)]
+    root = {i: i for link in links for i in link}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    found = {r.id: r.root for r in jaccard.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {i: find(i) for i in root if find(i) != i}
+    assert jaccard.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_large_unrelated_sets_are_out_before_verification(spark):
     """Long texts with many shared passages give no pair for verification; the sketch grows with the set."""
     rng = random.Random(31)
