@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from palaver.llm import chat, decontaminate, jaccard, langid, linededup, lm, mixing, quality, repeats, toxicity
+from palaver.llm import chat, decontaminate, jaccard, langid, linededup, lm, merkle, mixing, quality, repeats, toxicity
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op8_log_bilinear_scoring": lm.op8_log_bilinear_scoring,
         "op9_deep_shallow_dedup": repeats.op9_deep_shallow_dedup,
         "op10_snapshot_collapse_chat": chat.op10_snapshot_collapse_chat,
+        "op11_merkle_traversal_manifest": merkle.op11_merkle_traversal_manifest,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict:
         "op4_site_spread_line_dedup": linededup.ORACLE,
         "op6_parity_sketch_join": jaccard.ORACLE,
         "op10_snapshot_collapse_chat": chat.ORACLE,
+        "op11_merkle_traversal_manifest": merkle.ORACLE,
     }
