@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from palaver.llm import chat, decontaminate, jaccard, langid, linededup, lm, merkle, mixing, quality, repeats, resampling, toxicity
+from palaver.llm import chat, decontaminate, jaccard, langid, linededup, lm, merkle, mixing, pii, quality, repeats, resampling, toxicity
 
 
 def queries() -> dict:
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op9_deep_shallow_dedup": repeats.op9_deep_shallow_dedup,
         "op10_snapshot_collapse_chat": chat.op10_snapshot_collapse_chat,
         "op11_merkle_traversal_manifest": merkle.op11_merkle_traversal_manifest,
+        "op12_bootstrapped_pii": pii.op12_bootstrapped_pii,
         "op13_trie_importance_resampling": resampling.op13_trie_importance_resampling,
     }
 
@@ -32,5 +33,6 @@ def oracle_sql() -> dict:
         "op6_parity_sketch_join": jaccard.ORACLE,
         "op10_snapshot_collapse_chat": chat.ORACLE,
         "op11_merkle_traversal_manifest": merkle.ORACLE,
+        "op12_bootstrapped_pii": pii.op12_bootstrapped_pii,
         "op13_trie_importance_resampling": resampling.ORACLE,
     }
