@@ -48,9 +48,13 @@ def overlay_confidence(confidence: Column, verdict: Column) -> Column:
 
 
 def convergent_pick(votes: DataFrame, keys: list[str]) -> DataFrame:
-    """Turns whose recognised picks are one and the same wrong candidate."""
-    picks = votes.where("picked is not null").groupBy(*keys).agg(F.count_distinct("picked").alias("n"), F.min("picked").alias("picked"), F.min("expected").alias("expected"))
-    return picks.where((F.col("n") == 1) & (F.col("picked") != F.col("expected"))).select(*keys, "picked")
+    """Turns all of whose votes (keys, expected, picked, on_lineup) are one and the same wrong candidate of the lineup.
+
+    A vote for none (null) is a vote like any other, so it stands against the others' agreement.
+    """
+    alike = F.count_distinct(F.coalesce("picked", F.lit("NONE"))) == 1
+    found = votes.groupBy(*keys).agg(alike.alias("alike"), F.every(F.coalesce("on_lineup", F.lit(False))).alias("listed"), F.min("picked").alias("picked"), F.min("expected").alias("expected"))
+    return found.where(F.col("alike") & F.col("listed") & (F.col("picked") != F.col("expected"))).select(*keys, "picked")
 
 
 def decoys(members: DataFrame, keys: list[str], n: int = 4) -> DataFrame:

@@ -1,4 +1,9 @@
-"""A property multigraph with row-level provenance, as node and edge tables."""
+"""A property multigraph with row-level provenance, as node and edge tables.
+
+Every operator takes the keys of a recording first: nodes, edges, names and segments of one recording
+never meet those of another. Provenance is a set of segment ordinals in words of bits
+(palaver.operators.provenance); lists of ids are made where rows leave the engine.
+"""
 
 from __future__ import annotations
 
@@ -6,107 +11,126 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions.text import node_key
-from palaver.session import bounded
+from palaver.operators import provenance as pv
+from palaver.operators.automaton import occurrences
+from palaver.session import bounded, cut
 
+# The types that a name is looked for under, in order.
+NAME_TYPES = ("PARTY", "SCHEME", "PLACE", "AMOUNT", "LAW", "DATE", "TOPIC", "PERSON_EXTERNAL")
 
-def provenance_filter(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (row_id, ids, ...) whose ids are there and all among known (id)."""
-    exploded = rows.select("row_id", F.explode("ids").alias("id")).distinct()
-    bad = exploded.join(known.select("id"), "id", "left_anti").select("row_id").distinct()
-    return rows.where(F.size("ids") > 0).join(bad, "row_id", "left_anti")
 
+def provenance_filter(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, row_id, ids) whose ids are there and all among their recording's known (keys, id).
 
-# The types that a name is looked for under, in order.
-NAME_TYPES = ("PARTY", "SCHEME", "PLACE", "AMOUNT", "LAW", "DATE", "TOPIC", "PERSON_EXTERNAL")
+    A set of ids is a subset of the known ones if no word of it has a bit that theirs lacks.
+    """
+    by = [*keys, "row_id"]
+    wanted = pv.merged(rows.select(*by, F.explode("ids").alias("id")).withColumn("ordinal", F.coalesce(pv.ordinal_of(F.col("id")), F.lit(-1))), by)
+    there = pv.merged(known.select(*keys, pv.ordinal_of(F.col("id")).alias("ordinal")).where("ordinal is not null"), keys).withColumnRenamed("bits", "_known")
+    lacking = wanted.join(there, [*keys, "word"], "left").where(F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long")))) != 0)
+    return rows.where(F.size("ids") > 0).join(lacking.select(*by).distinct(), by, "left_anti")
 
 
-def build_nodes(mentions: DataFrame) -> DataFrame:
-    """Nodes from mentions (kind, name, provenance, ord): the first spelling, and distinct provenance."""
+def build_nodes(mentions: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes from mentions (keys, kind, name, ordinal, ord): the first spelling, and the words of distinct provenance."""
+    by = [*keys, "key"]
     keyed = mentions.withColumn("key", node_key(F.col("kind"), F.col("name")))
-    return keyed.groupBy("key").agg(F.min_by("name", F.struct("ord", "name")).alias("label"), F.min("kind").alias("kind"), F.count_distinct("provenance").alias("n_provenance"), F.min("provenance").alias("first_provenance"))
+    order = F.struct("ord", "name", "kind")
+    parts = pv.merged(keyed, by, F.min(F.struct(order.alias("order"), "name", "kind")).alias("first"))
+    return parts.groupBy(*by).agg(F.min("first").alias("first"), pv.packed().alias("words")).select(*by, F.col("first.name").alias("label"), "first.kind", "words")
 
 
-def assemble_nodes(mentions: DataFrame, roster: DataFrame) -> DataFrame:
-    """Whole nodes from mentions (kind, name, tamil, member_id, provenance, ord): key, type, label, tamil,
-    party, roles, portrait, member_id, segment_ids.
+def assemble_nodes(mentions: DataFrame, roster: DataFrame, keys: list[str]) -> DataFrame:
+    """Whole nodes from mentions (keys, kind, name, tamil, member_id, ordinal, ord): keys, key, type, label,
+    tamil, party, roles, portrait, member_id, first (the order of the first mention) and words.
 
     A mention of a member (member_id) is the roster's PERSON, with the roster's attributes; any other
-    keeps the attributes of the mention that came first. Provenance is distinct and sorted; a mention
-    without it (null) makes a node only. roster (member_id, name, tamil_name, party_code, roles, portrait).
+    keeps the attributes of the mention that came first: the smallest by ord and then by all attributes, so
+    that mentions of one ord have one outcome. A mention without provenance (null) makes a node only.
+    roster (member_id, name, tamil_name, party_code, roles, portrait).
     """
     known = roster.select("member_id", F.col("name").alias("_name"), F.col("tamil_name").alias("_tamil"), "party_code", "roles", "portrait")
-    rows = mentions.join(known, "member_id", "left")
+    rows = mentions.join(bounded(known), "member_id", "left")
     member = F.col("_name").isNotNull()
     rows = rows.withColumn("type", F.when(member, "PERSON").otherwise(F.col("kind"))).withColumn("label", F.coalesce("_name", "name")).withColumn("tamil", F.when(member, F.col("_tamil")).otherwise(F.nullif(F.col("tamil"), F.lit(""))))
     rows = rows.withColumn("key", node_key(F.col("type"), F.col("label")))
-    first = F.min_by(F.struct("label", "type", "tamil", F.when(member, F.col("party_code")).alias("party"), "roles", "portrait", F.when(member, F.col("member_id")).alias("member_id")), F.struct("ord", "label")).alias("first")
-    return rows.groupBy("key").agg(first, F.array_sort(F.collect_set("provenance")).alias("segment_ids")).select("key", "first.*", "segment_ids")
+    first = F.struct("ord", "label", "type", "tamil", F.when(member, F.col("party_code")).alias("party"), "roles", "portrait", F.when(member, F.col("member_id")).alias("member_id"))
+    by = [*keys, "key"]
+    parts = pv.merged(rows, by, F.min(first).alias("f"))
+    whole = parts.groupBy(*by).agg(F.min("f").alias("f"), pv.packed().alias("words"))
+    return whole.select(*by, "f.type", "f.label", "f.tamil", "f.party", "f.roles", "f.portrait", "f.member_id", F.col("f.ord").alias("first"), "words")
 
 
-def resolve_endpoints(relations: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """Edges of relations (relation_id, subject, predicate, object, segment_ids): source, target, predicate, segment_ids, origin.
+def resolve_endpoints(relations: DataFrame, nodes: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges of relations (keys, relation_id, subject, predicate, object, segment_ids): keys, relation_id, source, target, predicate, segment_ids, origin.
 
     A name that is a member's (alias, name: members, resolved beforehand) stands for its PERSON node
-    and no other; any other name is looked for under NAME_TYPES, the first type that has a node. A
-    relation without both ends, or from a node to itself, goes.
+    and no other; any other name is looked for under NAME_TYPES, the first type that has a node in the
+    recording. A relation without both ends, or from a node to itself, goes.
     """
-    ends = relations.select("relation_id", F.explode(F.create_map(F.lit("source"), F.col("subject"), F.lit("target"), F.col("object"))).alias("side", "name"))
-    names = ends.select("name").distinct().join(members.select(F.col("alias").alias("name"), F.col("name").alias("member")), "name", "left")
+    ends = relations.select(*keys, "relation_id", F.explode(F.create_map(F.lit("source"), F.col("subject"), F.lit("target"), F.col("object"))).alias("side", "name"))
+    names = ends.select(*keys, "name").distinct().join(bounded(members.select(F.col("alias").alias("name"), F.col("name").alias("member"))), "name", "left")
     person = F.array(F.struct(F.lit(0).alias("rank"), node_key(F.lit("PERSON"), F.col("member")).alias("key")))
     others = F.array(*[F.struct(F.lit(i + 1).alias("rank"), node_key(F.lit(t), F.col("name")).alias("key")) for i, t in enumerate(NAME_TYPES)])
-    tried = names.select("name", F.explode(F.when(F.col("member").isNotNull(), person).otherwise(others)).alias("try")).select("name", "try.*")
-    found = tried.join(nodes.select("key"), "key").groupBy("name").agg(F.min_by("key", "rank").alias("key"))
-    placed = ends.join(found, "name").groupBy("relation_id").agg(F.max(F.when(F.col("side") == "source", F.col("key"))).alias("source"), F.max(F.when(F.col("side") == "target", F.col("key"))).alias("target"))
+    tried = names.select(*keys, "name", F.explode(F.when(F.col("member").isNotNull(), person).otherwise(others)).alias("try")).select(*keys, "name", "try.*")
+    found = tried.join(nodes.select(*keys, "key"), [*keys, "key"]).groupBy(*keys, "name").agg(F.min_by("key", "rank").alias("key"))
+    placed = ends.join(found, [*keys, "name"]).groupBy(*keys, "relation_id").agg(F.max(F.when(F.col("side") == "source", F.col("key"))).alias("source"), F.max(F.when(F.col("side") == "target", F.col("key"))).alias("target"))
     both = placed.where("source is not null and target is not null and source <> target")
-    return relations.join(both, "relation_id").select("relation_id", "source", "target", "predicate", "segment_ids", F.lit("extracted").alias("origin"))
+    return relations.join(both, [*keys, "relation_id"]).select(*keys, "relation_id", "source", "target", "predicate", "segment_ids", F.lit("extracted").alias("origin"))
 
 
-def roster_edges(nodes: DataFrame) -> DataFrame:
+def roster_edges(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """A "member of" edge from each member's node to its party's."""
     rows = nodes.where("member_id is not null and party is not null")
-    return rows.select(F.col("key").alias("source"), node_key(F.lit("PARTY"), F.col("party")).alias("target"), F.lit("member of").alias("predicate"), F.array().cast("array<string>").alias("segment_ids"), F.lit("roster").alias("origin"))
+    return rows.select(*keys, F.col("key").alias("source"), node_key(F.lit("PARTY"), F.col("party")).alias("target"), F.lit("member of").alias("predicate"), F.array().cast("array<struct<word:bigint,bits:bigint>>").alias("words"), F.lit("roster").alias("origin"))
 
 
-def discussed_edges(nodes: DataFrame, segments: DataFrame, every: bool = False) -> DataFrame:
-    """A "discussed" edge from each speaker to each topic of a segment (segment_id, member_id, ord).
+def discussed_edges(nodes: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """A "discussed" edge from each speaker to each topic of a segment (keys, member_id, ordinal), with the words of all such segments.
 
-    Its provenance is the first such segment, or with ``every`` all of them, sorted.
+    A speaker's and a topic's sets meet word by word: what both have is the bits' conjunction.
     """
-    topics = nodes.where("type = 'TOPIC'").select(F.col("key").alias("target"), F.explode("segment_ids").alias("segment_id"))
-    people = nodes.where("member_id is not null").select(F.col("key").alias("source"), "member_id")
-    rows = topics.join(segments.select("segment_id", "member_id", "ord"), "segment_id").join(people, "member_id")
-    ids = F.array_sort(F.collect_set("segment_id")) if every else F.array(F.min_by("segment_id", F.struct("ord", "segment_id")))
-    return rows.groupBy("source", "target").agg(ids.alias("segment_ids")).select("source", "target", F.lit("discussed").alias("predicate"), "segment_ids", F.lit("derived").alias("origin"))
+    topics = nodes.where("type = 'TOPIC'").select(*keys, F.col("key").alias("target"), F.explode("words").alias("w")).select(*keys, "target", "w.word", F.col("w.bits").alias("_topic"))
+    said = pv.merged(segments.where("member_id is not null"), [*keys, "member_id"])
+    people = nodes.where("member_id is not null").select(*keys, F.col("key").alias("source"), "member_id")
+    shared = topics.join(said, [*keys, "word"]).withColumn("bits", F.col("bits").bitwiseAND(F.col("_topic"))).where("bits <> 0")
+    edges = shared.groupBy(*keys, "member_id", "target").agg(pv.packed().alias("words")).join(people, [*keys, "member_id"])
+    return edges.select(*keys, "source", "target", F.lit("discussed").alias("predicate"), "words", F.lit("derived").alias("origin"))
 
 
-def first_edges(pairs: DataFrame) -> DataFrame:
-    """One edge for each (source, target) of pairs (source, target, provenance, ord), with its first provenance."""
-    return pairs.where("source <> target").groupBy("source", "target").agg(F.min_by("provenance", F.struct("ord", "provenance")).alias("provenance"), F.count_distinct("provenance").alias("n_provenance"))
+def first_edges(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """One edge for each (keys, source, target) of pairs (keys, source, target, ordinal), with the words of its provenance."""
+    by = [*keys, "source", "target"]
+    return pv.merged(pairs.where("source <> target"), by).groupBy(*by).agg(pv.packed().alias("words"))
 
 
-def degrees(edges: DataFrame) -> DataFrame:
+def degrees(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Degree of each node over both ends of every edge."""
-    ends = edges.select(F.col("source").alias("key")).unionAll(edges.select(F.col("target").alias("key")))
-    return ends.groupBy("key").agg(F.count("*").alias("degree"))
+    ends = edges.select(*keys, F.col("source").alias("key")).unionAll(edges.select(*keys, F.col("target").alias("key")))
+    return ends.groupBy(*keys, "key").agg(F.count("*").alias("degree"))
 
 
-def expand(questions: DataFrame, nodes: DataFrame, edges: DataFrame, own: int = 2, neighbours: int = 4, limit: int = 6) -> DataFrame:
-    """Provenance that is one hop from nodes named in a question (query_id, text).
+def expand(questions: DataFrame, nodes: DataFrame, edges: DataFrame, keys: list[str], own: int = 2, neighbours: int = 4, limit: int = 6, word_start: bool = False) -> DataFrame:
+    """Provenance that is one hop from nodes named in a question (keys, query_id, text) of the same recording.
 
     A named node gives its provenance (ids in order) and the first ``own`` of each of its first
-    ``neighbours`` neighbours; first seen counts, up to ``limit`` ids for a question. nodes has key,
-    label, ord, ids and, for names in the other script, tamil; edges has source, target and ord.
+    ``neighbours`` neighbours; first seen counts, up to ``limit`` ids for a question, so no more of any set
+    is read. nodes has keys, key, label, tamil, first (their order) and words; edges has keys, source,
+    target and ord. Labels of three characters or more are looked for in the lower-cased question, Tamil names in
+    the question as it is; with ``word_start`` only where a word begins.
     """
-    label = F.lower(F.col("label"))
-    english = (F.length("label") > 2) & (F.instr(F.lower(F.col("_q")), label) > 0)
-    tamil = F.coalesce((F.col("tamil") != "") & (F.instr(F.col("_q"), F.col("tamil")) > 0), F.lit(False)) if "tamil" in nodes.columns else F.lit(False)
-    named = nodes.where("label <> ''").join(bounded(questions.select("query_id", F.col("text").alias("_q"))), english | tamil)
-    both = edges.select(F.col("source").alias("key"), F.col("target").alias("other"), "ord", F.lit(0).alias("side")).unionAll(edges.select(F.col("target").alias("key"), F.col("source").alias("other"), "ord", F.lit(1).alias("side")))
-    near = both.join(named.select("key").distinct(), "key", "left_semi")
-    near = near.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("ord", "side", "other"))).where(F.col("rn") <= neighbours)
-    around = near.join(nodes.select(F.col("key").alias("other"), F.slice("ids", 1, own).alias("near_ids")), "other")
-    hits = named.select("query_id", F.col("ord").alias("node_ord"), "key", F.posexplode("ids").alias("pos", "id")).withColumn("rn", F.lit(0))
-    hits = hits.unionByName(named.select("query_id", F.col("ord").alias("node_ord"), "key").join(around.select("key", "rn", F.posexplode("near_ids").alias("pos", "id")), "key"))
-    first = hits.groupBy("query_id", "id").agg(F.min(F.struct("node_ord", "rn", "pos")).alias("at"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("at", "id")).cast("long")
-    return first.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "id", "rank")
+    shown = cut(nodes.select(*keys, "key", "label", "tamil", F.col("first").alias("node_ord"), pv.ordinals(F.col("words"), limit).alias("ids")))  # read for names, for hits and for neighbours
+    label = F.when(F.length("label") > 2, F.lower("label"))
+    in_english = occurrences(questions, shown, keys, F.lower("text"), label, word_start).join(shown.select(*keys, label.alias("name"), "key"), [*keys, "name"])
+    in_tamil = occurrences(questions, shown, keys, F.col("text"), F.when(F.col("label") != "", F.col("tamil")), word_start).join(shown.where("label <> ''").select(*keys, F.col("tamil").alias("name"), "key"), [*keys, "name"])
+    hit = cut(in_english.unionByName(in_tamil).select(*keys, "query_id", "key").distinct())
+    named = hit.join(shown.select(*keys, "key", "node_ord", "ids"), [*keys, "key"])
+    both = edges.select(*keys, F.col("source").alias("key"), F.col("target").alias("other"), "ord", F.lit(0).alias("side")).unionAll(edges.select(*keys, F.col("target").alias("key"), F.col("source").alias("other"), "ord", F.lit(1).alias("side")))
+    near = both.join(hit.select(*keys, "key").distinct(), [*keys, "key"], "left_semi")
+    near = near.withColumn("rn", F.row_number().over(Window.partitionBy(*keys, "key").orderBy("ord", "side", "other"))).where(F.col("rn") <= neighbours)
+    around = near.join(shown.select(*keys, F.col("key").alias("other"), F.slice("ids", 1, own).alias("near_ids")), [*keys, "other"])
+    hits = named.select(*keys, "query_id", "node_ord", "key", F.posexplode("ids").alias("pos", "ordinal")).withColumn("rn", F.lit(0))
+    hits = hits.unionByName(named.select(*keys, "query_id", "node_ord", "key").join(around.select(*keys, "key", "rn", F.posexplode("near_ids").alias("pos", "ordinal")), [*keys, "key"]))
+    first = hits.groupBy(*keys, "query_id", "ordinal").agg(F.min(F.struct("node_ord", "key", "rn", "pos")).alias("at"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "query_id").orderBy("at", "ordinal")).cast("long")
+    return first.withColumn("rank", rank).where(F.col("rank") <= limit).select(*keys, "query_id", pv.segment_name(F.col("ordinal")).alias("id"), "rank")

@@ -35,15 +35,16 @@ def confidence_ladder(spark, folder):
 
 
 PICKS = "g AS (SELECT d.source || '-' || CAST(d.doc_id % 12 AS VARCHAR) AS turn, 'M1' AS expected, CASE l.quality + 2 * l.toxic WHEN 1 THEN 'M1' WHEN 3 THEN 'M2' WHEN 2 THEN 'M9' END AS picked, l.quality + 2 * l.toxic IN (1, 3) AS on_lineup FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+PAIRS = PICKS.replace("d.source || '-' || CAST(d.doc_id % 12 AS VARCHAR)", "CAST(d.doc_id // 2 AS VARCHAR)")
 VERDICT = "WITH " + PICKS + ", f AS (SELECT turn, CASE WHEN bool_and(coalesce(picked = expected, false)) THEN 'confirmed' WHEN bool_or(coalesce(picked = expected, false)) THEN 'partial' WHEN bool_or(coalesce(picked <> expected AND on_lineup, false)) THEN 'contradicted' ELSE 'unrecognised' END AS verdict, count(*) AS n_votes FROM g GROUP BY turn)"
 
 
-def picks(spark, folder):
+def picks(spark, folder, turn=None):
     """All labels as votes on a lineup: M1 is expected, M2 stands beside it, M9 is on no lineup."""
     rows = table(spark, folder, "labels").join(table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
     code = F.col("quality") + 2 * F.col("toxic")
     picked = F.when(code == 1, "M1").when(code == 3, "M2").when(code == 2, "M9")
-    turn = F.concat_ws("-", "source", (F.col("doc_id") % 12).cast("string"))
+    turn = F.concat_ws("-", "source", (F.col("doc_id") % 12).cast("string")) if turn is None else turn
     return rows.select(turn.alias("turn"), F.lit("M1").alias("expected"), picked.alias("picked"), code.isin(1, 3).alias("on_lineup"))
 
 
@@ -63,9 +64,11 @@ def confidence_overlay(spark, folder):
     return face_verdict(spark, folder).select("turn", "verdict", at.overlay_confidence(before, F.col("verdict")).alias("confidence"))
 
 
-@query("WITH " + PICKS + " SELECT turn, min(picked) AS picked FROM g WHERE picked IS NOT NULL GROUP BY turn HAVING count(DISTINCT picked) = 1 AND min(picked) <> min(expected)")
+@query(f"""WITH {PAIRS}, v AS (SELECT turn, expected, coalesce(picked, 'NONE') AS vote, on_lineup FROM g)
+SELECT DISTINCT turn, vote AS picked FROM v WHERE vote <> expected AND vote <> 'NONE' AND on_lineup AND NOT EXISTS (SELECT 1 FROM v w WHERE w.turn = v.turn AND w.vote <> v.vote)""")
 def convergent_pick(spark, folder):
-    return at.convergent_pick(picks(spark, folder), ["turn"])
+    """Turns of two votes at most: among them pairs of M2 and none, of M2 twice, and of M9, who is on no lineup."""
+    return at.convergent_pick(picks(spark, folder, F.floor(F.col("doc_id") / 2).cast("string")), ["turn"])
 
 
 @query("SELECT s.s_suppkey, s.s_name, n.n_name AS party FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'R') l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from palaver.operators import graph as gr
 from palaver.plans.base import EVENTS, events, millis, query
-from palaver.plans.graphs import ASSEMBLED, assembled
+from palaver.plans.graphs import KEYS, TALK, assembled, placed, spoken, sql_ordinal, sql_video
 from palaver.session import table
 from palaver.streaming import jobs as jb
 
@@ -50,12 +51,17 @@ def job_ends(spark, folder):
     return ended.select("job", "state", shown.alias("stages"))
 
 
-@query(f"WITH {ASSEMBLED} SELECT me.key, min(coalesce(epoch_us(o_orderdate) // 1000000, 0)) AS first_seen_s FROM me LEFT JOIN orders ON prov = 'S' || CAST(o_orderkey AS VARCHAR) GROUP BY me.key")
+@query(f"""WITH {TALK}, t AS (SELECT {sql_video('o_orderkey')} AS video_id, {sql_ordinal('o_orderkey')} AS n, epoch_us(o_orderdate) / 1000000.0 AS t FROM orders)
+SELECT 'node' AS side, me.video_id, me.key, NULL AS target, NULL AS rel_type, CAST(arg_min(coalesce(t, 0), me.n) AS BIGINT) AS first_seen_s FROM me LEFT JOIN t ON t.video_id = me.video_id AND t.n = me.n GROUP BY me.video_id, me.key
+UNION ALL SELECT DISTINCT 'edge', video_id, source, target, 'DISCUSSED', NULL FROM di""")
 def graph_export(spark, folder):
+    from palaver.plans.base import millis
     from palaver.sources.artifacts import export_graph
 
-    nodes = assembled(spark, folder).withColumn("video_id", F.lit("v"))
-    seconds = F.floor(millis("o_orderdate") / 1000).cast("double")
-    segments = table(spark, folder, "orders").select(F.lit("v").alias("video_id"), F.concat(F.lit("S"), F.col("o_orderkey").cast("string")).alias("id"), seconds.alias("t_start"))
-    edges = spark.createDataFrame([], "predicate string")
-    return export_graph(nodes, edges, segments)[0].select("key", F.col("first_seen_s").cast("long").alias("first_seen_s"))
+    nodes = assembled(spark, folder)
+    segments = placed(table(spark, folder, "orders"), "o_orderkey").select("video_id", "ordinal", (millis("o_orderdate") / 1000).alias("t_start"))
+    edges = gr.discussed_edges(nodes, spoken(spark, folder), KEYS)
+    out, typed = export_graph(nodes, edges, segments)
+    none = F.lit(None).cast("string")
+    rows = out.select(F.lit("node").alias("side"), "video_id", "key", none.alias("target"), none.alias("rel_type"), F.col("first_seen_s").cast("long").alias("first_seen_s"))
+    return rows.unionByName(typed.select(F.lit("edge").alias("side"), "video_id", F.col("source").alias("key"), "target", "rel_type", F.lit(None).cast("long").alias("first_seen_s")))

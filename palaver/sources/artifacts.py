@@ -147,9 +147,15 @@ def candidates(videos: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def export_graph(nodes: DataFrame, edges: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows for a graph store: first_seen_s of each node (0 for unknown segments) and typed relations."""
+    """Rows for a graph store, by recording: first_seen_s of each node (0 for unknown segments) and typed relations; lists of segment ids.
+
+    segments (video_id, ordinal, t_start) are numbered in order of time, so a node was first seen in its
+    smallest ordinal.
+    """
     from palaver.functions.text import relation_type
+    from palaver.operators import provenance as pv
 
-    seen = nodes.select("video_id", "key", F.explode_outer("segment_ids").alias("id")).join(segments.select("video_id", "id", "t_start"), ["video_id", "id"], "left")
-    first = seen.groupBy("video_id", "key").agg(F.min(F.coalesce("t_start", F.lit(0.0))).alias("first_seen_s"))
-    return nodes.join(first, ["video_id", "key"]), edges.withColumn("rel_type", relation_type(F.col("predicate")))
+    ids = pv.segment_names(F.col("words")).alias("segment_ids")
+    first = nodes.withColumn("ordinal", pv.first_of(F.col("words"))).join(segments.select("video_id", "ordinal", "t_start"), ["video_id", "ordinal"], "left")
+    out = first.select(*[c for c in nodes.columns if c != "words"], ids, F.coalesce("t_start", F.lit(0.0)).alias("first_seen_s"))
+    return out, edges.select(*[c for c in edges.columns if c != "words"], ids, relation_type(F.col("predicate")).alias("rel_type"))

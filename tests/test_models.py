@@ -103,15 +103,18 @@ def test_coverage_that_fails(spark):
 
 
 def test_graph_endpoints_and_both_scripts(spark):
-    nodes = spark.createDataFrame([("PERSON:a b", "A B", "அ", 0, ["S1"]), ("TOPIC:tax", "Tax", "வரி", 1, ["S2", "S3", "S4"]), ("PLACE:tax", "Tax", "", 2, ["S5"])], "key string, label string, tamil string, ord long, ids array<string>")
+    keys = ["video_id"]
+    words = lambda *n: [(0, sum(1 << x for x in n))]
+    data = [("PERSON:a b", "A B", "அ", 0, words(1)), ("TOPIC:tax", "Tax", "வரி", 1, words(2, 3, 4)), ("PLACE:tax", "Tax", "", 2, words(5))]
+    nodes = spark.createDataFrame([("v", *x) for x in data], "video_id string, key string, label string, tamil string, first long, words array<struct<word:bigint,bits:bigint>>")
     members = spark.createDataFrame([("Mr B", "A B"), ("gone", "No Node")], "alias string, name string")
-    rel = spark.createDataFrame([(1, "Mr B", "on", " TAX", ["S1"]), (2, "gone", "on", "Tax", ["S1"]), (3, "Tax", "is", "tax", ["S1"]), (4, "Mr B", "x", "unknown", ["S1"])], "relation_id long, subject string, predicate string, object string, segment_ids array<string>")
-    assert [(r.relation_id, r.source, r.target) for r in gr.resolve_endpoints(rel, nodes, members).collect()] == [(1, "PERSON:a b", "PLACE:tax")]
-    edges = spark.createDataFrame([("PERSON:a b", "TOPIC:tax", 0)], "source string, target string, ord long")
-    asked = spark.createDataFrame([("q", "என்ன வரி"), ("r", "a b says")], "query_id string, text string")
-    found = sorted((r.query_id, r["rank"], r.id) for r in gr.expand(asked, nodes, edges).collect())
-    assert found == [("q", 1, "S2"), ("q", 2, "S3"), ("q", 3, "S4"), ("q", 4, "S1"), ("r", 1, "S1"), ("r", 2, "S2"), ("r", 3, "S3")]
-
+    rel = spark.createDataFrame([("v", 1, "Mr B", "on", " TAX", ["S001"]), ("v", 2, "gone", "on", "Tax", ["S001"]), ("v", 3, "Tax", "is", "tax", ["S001"]), ("v", 4, "Mr B", "x", "unknown", ["S001"])], "video_id string, relation_id long, subject string, predicate string, object string, segment_ids array<string>")
+    assert [(r.relation_id, r.source, r.target) for r in gr.resolve_endpoints(rel, nodes, members, keys).collect()] == [(1, "PERSON:a b", "PLACE:tax")]
+    edges = spark.createDataFrame([("v", "PERSON:a b", "TOPIC:tax", 0)], "video_id string, source string, target string, ord long")
+    asked = spark.createDataFrame([("v", 1, "என்ன வரி?")], "video_id string, query_id long, text string")
+    assert [r.id for r in gr.expand(asked, nodes, edges, keys).orderBy("rank").collect()] == ["S002", "S003", "S004", "S001"]
+    inside = spark.createDataFrame([("v", 1, "syntax")], "video_id string, query_id long, text string")
+    assert gr.expand(inside, nodes, edges, keys).count() > 0 and gr.expand(inside, nodes, edges, keys, word_start=True).count() == 0
 
 def test_small_functions(spark):
     df = spark.createDataFrame([("C1:A", "x/y z", "key=abc", 3.25, {"a": 1, "b": 1}, {"b": 2})], "v string, n string, s string, t double, m map<string,int>, o map<string,int>")
