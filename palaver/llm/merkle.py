@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.operators.ranks import ranked_rows
-from palaver.session import cut
+from palaver.session import bounded, cut
 
 ARITY, BLOCK_LEVELS = 8, 4
 #: Characters of a digest.
@@ -186,7 +186,7 @@ def prove(leaves: DataFrame, carried: str = "", levels: int = BLOCK_LEVELS) -> D
         upper = descend(above, upper, levels).select("grp", "at", "path")
     made = descend(nodes, upper, levels, ", ".join(filter(None, ["id long", carried])))
     ends = subroots.withColumnRenamed("root", "subroot").crossJoin(F.broadcast(root.select("root")))  # one row
-    return made.join(ends, "grp")
+    return made.join(bounded(ends), "grp")
 
 
 def fold(leaf: Column, path: Column) -> Column:
