@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.session import bounded
+from palaver.operators.dealing import dealt
 
 #: Names of an automaton, and texts that one task runs through it.
 NAMES, TEXTS = 20_000, 5_000
@@ -73,15 +73,8 @@ def occurrences(texts: DataFrame, names: DataFrame, keys: list[str], text: Colum
     k = [F.col(c) for c in keys]
     distinct = names.select(*k, name.alias("name")).where("name <> ''").distinct()
     asked = texts.select(*k, "query_id", text.alias("text")).where("text is not null")
-    blocks = bounded(distinct.groupBy(*k).agg(F.ceil(F.count("*") / NAMES).cast("int").alias("blocks")))
-    slices = bounded(asked.groupBy(*k).agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("slices")))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n, c: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = asked.join(blocks, keys).join(slices, keys).select(*k, every("blocks").alias("block"), own("slices", "query_id").alias("slice"), "query_id", "text")
-    again = [F.col(c).alias(c) for c in keys]  # columns of their own, where texts come from the same table as names
-    right = distinct.join(blocks, keys).join(slices, keys).select(*again, own("blocks", "name").alias("block"), every("slices").alias("slice"), "name")
-    by = [*keys, "block", "slice"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.select(*k, "query_id").schema) + ", name string"
+    left, right, by = dealt(asked, distinct, keys, F.col("query_id"), F.col("name"), TEXTS, NAMES)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*k, "query_id").schema) + ", name string"
 
     def run(asked, named):
         if not asked.num_rows or not named.num_rows:

@@ -1,12 +1,20 @@
-"""Hybrid retrieval: BM25, exact dense ranking, reciprocal-rank fusion and rerank splice."""
+"""Hybrid retrieval: BM25, exact dense ranking, reciprocal-rank fusion and rerank splice.
+
+Every operator takes the keys of a recording first: a question is asked of one recording, whose own
+statistics, ranks and documents answer it. Where documents meet questions they do so in groups of bounded
+size (palaver.operators.dealing), on the executors: no task holds all documents of a recording or all
+scored documents of a question, and nothing is collected but one number.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions.text import tokenize
+from palaver.operators.dealing import dealt
 from palaver.session import bounded, cut
 
 # BM25 and rank-fusion constants.
@@ -19,230 +27,250 @@ def retrieval_text(speaker: Column, english: Column, original: Column) -> Column
     return F.concat(F.coalesce(speaker, F.lit("Unknown speaker")), F.lit(": "), F.coalesce(F.nullif(english, F.lit("")), original))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """term and df over the whole corpus, and one row without a term: df is then the number of documents, dl their length in all.
+def statistics(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, term and df over each recording, and a row without a term: df is then its number of documents, dl their length in all.
 
     Terms are distinct within the row, so counts combine on the map side.
     """
     tokens = tokenize(F.col("text"))
     terms = F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("dl")))
     whole = F.struct(F.lit(None).cast("string").alias("term"), F.size(tokens).cast("long").alias("dl"))
-    return docs.select(F.explode(F.array_append(terms, whole)).alias("t")).groupBy("t.term").agg(F.count("*").alias("df"), F.sum("t.dl").alias("dl"))
+    return docs.select(*keys, F.explode(F.array_append(terms, whole)).alias("t")).groupBy(*keys, "t.term").agg(F.count("*").alias("df"), F.sum("t.dl").alias("dl"))
+
+
+def raw_idf() -> Column:
+    return F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
 
+def headers(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, avgdl and mean_idf of each recording, from its statistics."""
+    totals = counted.where("term is null").select(*keys, F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    mean = counted.where("term is not null").join(bounded(totals), keys).groupBy(*keys).agg(F.avg(raw_idf()).alias("mean_idf"))
+    return totals.join(mean, keys, "left")
 
-def postings_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, term, tf and the document's length dl, for these terms only."""
-    tokens = docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
-    rows = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    return rows.join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
+def postings_of(docs: DataFrame, keys: list[str], terms: DataFrame | None = None) -> DataFrame:
+    """keys, doc_id, term, tf and the document's length dl, of all terms or of these (term) only."""
+    tokens = docs.select(*keys, "doc_id", tokenize(F.col("text")).alias("tokens"))
+    rows = tokens.select(*keys, "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    rows = rows if terms is None else rows.join(bounded(terms), "term", "left_semi")
+    return rows.groupBy(*keys, "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id and score of every document that shares a term with a query.
 
-    Statistics are exact and cover the whole corpus; only postings of query terms are joined. An idf
-    below zero is replaced by EPSILON times the mean idf of the vocabulary. Repeated query terms
-    count repeatedly. The corpus is read twice: for its statistics, and for those postings.
+def wanted_terms(queries: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, query_id, term and qtf of questions (keys, query_id, text); repeated terms count repeatedly."""
+    return queries.select(*keys, "query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy(*keys, "query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def scored(postings: DataFrame, frequencies: DataFrame, headed: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, query_id, doc_id and BM25 score, from postings (keys, doc_id, term, tf, dl), frequencies (keys, term, df), headers and wanted terms.
+
+    An idf below zero is replaced by EPSILON times the mean idf of the recording's vocabulary.
     """
-    counted = cut(statistics(docs))
-    totals = counted.where("term is null").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    rated = counted.where("term is not null").select("term", "df").crossJoin(F.broadcast(totals)).select("term", raw.alias("idf"), "avgdl")  # totals is one row
-    mean = rated.agg(F.avg("idf").alias("mean_idf"))
-    wanted = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    idf = rated.join(wanted.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
-    idf = idf.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
-    postings = postings_of(docs, wanted.select("term").distinct()).join(wanted.join(idf, "term"), "term")
+    rated = wanted.join(frequencies, [*keys, "term"]).join(bounded(headed), keys)
+    rated = rated.withColumn("idf", F.when(raw_idf() < 0, EPSILON * F.col("mean_idf")).otherwise(raw_idf()))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * weight).alias("score"))
+    met = postings.join(bounded(rated.select(*keys, "query_id", "term", "qtf", "idf", "avgdl")), [*keys, "term"])
+    return met.groupBy(*keys, "query_id", "doc_id").agg(F.sum(F.col("qtf") * weight).alias("score"))
+
 
+def bm25(docs: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, query_id, doc_id and score of every document (keys, doc_id, text) that shares a term with a question of its recording.
+
+    Statistics are exact and cover each whole recording; only postings of query terms are joined. The
+    corpus is read twice: for its statistics, and for those postings.
+    """
+    counted = cut(statistics(docs, keys))
+    wanted = wanted_terms(queries, keys)
+    postings = postings_of(docs, keys, wanted.select("term").distinct())
+    return scored(postings, counted.where("term is not null").select(*keys, "term", "df"), headers(counted, keys), wanted, keys)
 
-#: Questions whose vectors or keys are on the executors at once.
-QUERY_BLOCK = 1000
 
+#: Vectors, scored documents and ids of a block, and questions or candidates of a slice.
+VECTORS, SCORED, IDS, QUESTIONS = 4096, 50_000, 100_000, 1000
+#: Groups by which the best rows of a question are thinned out before they meet.
+FAN = 64
 
-def blocks(queries: DataFrame, *columns: str):
-    """The questions' rows, at most QUERY_BLOCK of them at a time, by query_id."""
-    last = None
-    while True:
-        rest = queries if last is None else queries.where(F.col("query_id") > last)
-        rows = rest.select("query_id", *columns).orderBy("query_id").limit(QUERY_BLOCK).collect()
-        if rows:
-            yield rows
-        if len(rows) < QUERY_BLOCK:
-            return
-        last = rows[-1].query_id
 
+def best(rows: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
+    """The k first rows of each group in an order, ranked from 1: a tree of bounded heaps.
+
+    Spark keeps k rows of a group in every task before they move; those meet in FAN parts of the group, k
+    of each part are left, and the k of those are ranked. doc_id deals them out.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(FAN))
+    thinned = rows.withColumn("_part", part).withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))).where(F.col("_n") <= k).drop("_n", "_part")
+    return thinned.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(name) <= k)
 
-def over_batches(df: DataFrame, each, schema: str) -> DataFrame:
-    """``each`` over Arrow batches; it returns arrays in the schema's order."""
 
-    def run(batches):
-        import pyarrow as pa
+def by_score(score: str = "score") -> list[Column]:
+    return [F.round(score, 9).desc(), F.col("doc_id")]
 
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in each(batch)], names=[f.split()[0] for f in schema.split(", ")])
 
-    return df.mapInArrow(run, schema)
+def types_of(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
 
 
-def products(batch, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a batch of vectors (doc_id, embedding), and their inner products with the queries, rounded to nine places."""
-    flat = batch.column("embedding").flatten()
-    vectors = np.asarray(flat, np.float64).reshape(batch.num_rows, -1)
-    return np.asarray(batch.column("doc_id"), np.int64), np.round(vectors @ queries.T, 9)
+def matrix(column) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten(), np.float64).reshape(len(column), -1)
 
 
-def union_all(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
-    found = empty.limit(0)
-    for part in parts:
-        found = found.unionAll(part)
-    return found
+def products(vectors, questions) -> np.ndarray:
+    """Inner products of a block of vectors and a slice of questions, a row for each question, rounded to nine places."""
+    return np.round(matrix(questions.column("query")) @ matrix(vectors.column("embedding")).T, 9)
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int, name: str = "dense_rank") -> DataFrame:
-    """query_id, doc_id, score and rank of the k vectors (doc_id, embedding) nearest each query (query_id, query).
+def dense_top(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int, name: str = "dense_rank") -> DataFrame:
+    """keys, query_id, doc_id, score and rank of the k vectors (keys, doc_id, embedding) nearest each question (keys, query_id, query).
 
-    A matrix product for each batch and block of queries, of which the batch's k best leave it; the
-    best of all are ranked by score rounded to nine places, then id.
+    A matrix product for each block of vectors and slice of questions of a recording, of which each
+    question's k best leave it; the best of all are ranked by score rounded to nine places, then id.
     """
-    schema = "query_id long, doc_id long, score double"
-    parts = []
-    for rows in blocks(queries, "query"):
-        ids, matrix = np.array([r.query_id for r in rows]), np.array([r.query for r in rows], np.float64)
-
-        def best(batch, ids=ids, matrix=matrix):
-            docs, scores = products(batch, matrix)
-            order = np.lexsort((np.broadcast_to(docs, (len(ids), len(docs))), -scores.T), axis=1)[:, :k]
-            return np.repeat(ids, order.shape[1]), docs[order].ravel(), np.take_along_axis(scores.T, order, axis=1).ravel()
-
-        parts.append(over_batches(vectors.select("doc_id", "embedding"), best, schema))
-    spark = vectors.sparkSession
-    return ranked(union_all(parts, spark.createDataFrame([], schema)), name).where(F.col(name) <= k)
-
-
-def ranked(scores: DataFrame, name: str) -> DataFrame:
-    """Ranks from 1 by score rounded to nine places, then id. A limit on the rank reaches the map side of the sort."""
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
-    return scores.withColumn(name, F.row_number().over(w).cast("long"))
-
-
-def before(rows: list, keys: dict):
-    """For each query of ``rows`` (scores and ids of a batch): how many of them stand before each of its keys (score, id)."""
-    out = []
-    for query, scores, docs in rows:
-        cs, cd = keys[query]
-        ordered = np.sort(-scores)
-        n = np.searchsorted(ordered, -cs, "left")
-        for i in np.flatnonzero(np.searchsorted(ordered, -cs, "right") > n):
-            n[i] += int((docs[scores == cs[i]] < cd[i]).sum())
-        out.append((np.full(len(cs), query), cd, n))
-    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-
-
-def dense_ranks(vectors: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """candidates (query_id, doc_id) with dense_rank, the rank over all vectors: counts of those before each, by batch."""
-    keyed = cut(candidates.select("query_id", "doc_id").join(vectors.select("doc_id", "embedding"), "doc_id"))
-    schema = "query_id long, doc_id long, n long"
-    parts = []
-    for rows in blocks(queries, "query"):
-        own = {r.query_id: np.array(r.query, np.float64) for r in rows}
-        keys = {}
-        for r in keyed.where(F.col("query_id").between(rows[0].query_id, rows[-1].query_id)).collect():  # a few hundred for each query of the block
-            keys.setdefault(r.query_id, []).append((float(np.round(np.array(r.embedding, np.float64) @ own[r.query_id], 9)), r.doc_id))
-        keys = {q: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) for q, v in keys.items()}
-        ids = [q for q in own if q in keys]
-        matrix = np.array([own[q] for q in ids]).reshape(len(ids), -1)
-
-        def count(batch, ids=ids, matrix=matrix, keys=keys):
-            docs, scores = products(batch, matrix) if ids else (None, None)
-            return before([(q, scores[:, i], docs) for i, q in enumerate(ids)], keys)
-
-        parts.append(over_batches(vectors.select("doc_id", "embedding"), count, schema))
-    counts = union_all(parts, vectors.sparkSession.createDataFrame([], schema))
-    return counts.groupBy("query_id", "doc_id").agg((F.sum("n") + 1).alias("dense_rank"))
-
-
-def sparse_ranks(scores: DataFrame, docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """candidates (query_id, doc_id) with sparse_rank, the rank over all documents, of which those without a score have 0.
-
-    Scored documents before a candidate are counted by joining ranks; the others by their ids alone:
-    those below the candidate's id, less the scored ones below it. Only the candidates' ids meet the corpus.
+    left, right, by = dealt(vectors.select(*keys, "doc_id", "embedding"), queries.select(*keys, "query_id", "query"), keys, F.col("doc_id"), F.col("query_id"), VECTORS, QUESTIONS)
+
+    def nearest(block, asked):
+        if not block.num_rows or not asked.num_rows:
+            return asked.select([*keys, "query_id"]).slice(0, 0).append_column("doc_id", pa.array([], pa.int64())).append_column("score", pa.array([], pa.float64()))
+        scores, docs = products(block, asked), np.asarray(block.column("doc_id"), np.int64)
+        order = np.lexsort((np.broadcast_to(docs, scores.shape), -scores), axis=1)[:, :k]
+        rows = np.repeat(np.arange(len(scores)), order.shape[1])
+        return asked.select([*keys, "query_id"]).take(pa.array(rows)).append_column("doc_id", pa.array(docs[order].ravel())).append_column("score", pa.array(np.take_along_axis(scores, order, axis=1).ravel()))
+
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(nearest, f"{types_of(queries, [*keys, 'query_id'])}, doc_id long, score double")
+    return best(found, [*keys, "query_id"], by_score(), k, name)
+
+
+def before(scores: np.ndarray, docs: np.ndarray, cs: np.ndarray, cd: np.ndarray) -> np.ndarray:
+    """How many of a block's documents stand before each candidate (score cs, id cd), by score then id."""
+    order = np.lexsort((docs, -scores))
+    ordered, ids = -scores[order], docs[order]
+    low, high = np.searchsorted(ordered, -cs, "left"), np.searchsorted(ordered, -cs, "right")
+    ties = [int(np.searchsorted(ids[a:b], d, "left")) for a, b, d in zip(low, high, cd, strict=True)]
+    return low + np.array(ties, np.int64)
+
+
+def counted_before(left: DataFrame, right: DataFrame, by: list[str], each, schema: str, names: list[str]) -> DataFrame:
+    """Sums by row of the counts that ``each`` makes of a block (left) and a row with candidates (right), a list of columns."""
+
+    def run(block, asked):
+        parts = [each(block, asked, i) for i in range(asked.num_rows)] if block.num_rows else []
+        rows = np.concatenate([np.full(len(p[0]), i) for i, p in enumerate(parts)]) if parts else np.zeros(0, np.int64)
+        out = asked.select(names).take(pa.array(rows.astype(np.int64)))
+        for j, c in enumerate(columns):
+            out = out.append_column(c, pa.array(np.concatenate([p[j] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()))
+        return out
+
+    columns = [c.split()[0] for c in schema.split(", ")]
+    typed = types_of(right, names)
+    made = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"{typed}, {schema}")
+    return made.groupBy(*names, columns[0]).agg(*[F.sum(c).alias(c) for c in columns[1:]])
+
+
+def candidates_of(asked, i: int) -> tuple[np.ndarray, np.ndarray]:
+    own = asked.column("cands")[i].values
+    return np.asarray(own.field("s"), np.float64), np.asarray(own.field("doc_id"), np.int64)
+
+
+def gathered(candidates: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """A row for each question with its candidates (s, doc_id), a few hundred, as one array."""
+    return candidates.groupBy(*keys, "query_id", *more).agg(F.collect_list(F.struct("s", "doc_id")).alias("cands"))
+
+
+def dense_ranks(vectors: DataFrame, queries: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """candidates (keys, query_id, doc_id) with dense_rank, the rank over all vectors of the recording: counts of those before each, by block."""
+    own = candidates.select(*keys, "query_id", "doc_id").join(vectors.select(*keys, "doc_id", "embedding"), [*keys, "doc_id"]).join(bounded(queries.select(*keys, "query_id", "query")), [*keys, "query_id"])
+    product = F.aggregate(F.zip_with("embedding", "query", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
+    asked = cut(gathered(own.select(*keys, "query_id", "doc_id", F.round(product, 9).alias("s")), keys).join(queries.select(*keys, "query_id", "query"), [*keys, "query_id"]))
+    left, right, by = dealt(vectors.select(*keys, "doc_id", "embedding"), asked, keys, F.col("doc_id"), F.col("query_id"), VECTORS, QUESTIONS)
+
+    def count(block, asked, i):
+        cs, cd = candidates_of(asked, i)
+        return cd, before(products(block, asked.slice(i, 1))[0], np.asarray(block.column("doc_id"), np.int64), cs, cd)
+
+    return counted_before(left, right, by, count, "doc_id long, n long", [*keys, "query_id"]).withColumn("dense_rank", F.col("n") + 1).drop("n")
+
+
+def sparse_ranks(scores: DataFrame, docs: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """candidates (keys, query_id, doc_id) with sparse_rank, the rank over all documents of the recording, of which those without a score have 0.
+
+    Scored documents before a candidate are counted by block; those without a score by ids alone: the
+    recording's documents below the candidate's id, less the scored ones below it.
     """
-    own = candidates.select("query_id", "doc_id").join(scores, ["query_id", "doc_id"], "left")
-    own = cut(own.select("query_id", "doc_id", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("s")))
-    rounded = scores.select("query_id", "doc_id", F.round("score", 9).alias("s"))
-    # scored documents before each candidate, by score then id, and by id alone; the window runs over each query's scored rows
-    both = rounded.select("query_id", "doc_id", "s", F.lit(1).alias("scored"), F.lit(0).alias("wanted")).unionAll(own.select("query_id", "doc_id", "s", F.lit(0), F.lit(1)))
-    at = both.withColumn("_better", F.sum("scored").over(Window.partitionBy("query_id").orderBy(F.col("s").desc(), "doc_id", F.col("wanted").desc()).rowsBetween(Window.unboundedPreceding, -1)))
-    at = at.withColumn("_below", F.sum("scored").over(Window.partitionBy("query_id").orderBy("doc_id", F.col("wanted").desc()).rowsBetween(Window.unboundedPreceding, -1))).withColumn("_all", F.sum("scored").over(Window.partitionBy("query_id")))
-    at = at.where("wanted = 1")
-    total = docs.count()
-    smaller = ids_below(docs, own.select("doc_id").distinct())
-    unscored = F.when(F.col("s") < 0, F.lit(total) - F.col("_all")).when(F.col("s") == 0, F.col("ids_below") - F.coalesce("_below", F.lit(0))).otherwise(0)
-    return at.join(smaller, "doc_id").select("query_id", "doc_id", (F.coalesce("_better", F.lit(0)) + unscored + 1).alias("sparse_rank"))
-
-
-def ids_below(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """ids (doc_id) with ids_below, the number of documents of smaller ids."""
-    wanted = np.array(sorted(r.doc_id for r in ids.collect()), np.int64)  # candidates: a few hundred for each query
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def count(batch):
-        place = np.searchsorted(shared.value, np.asarray(batch.column("doc_id"), np.int64), "right")
-        n = np.bincount(place, minlength=len(shared.value) + 1)
-        at = np.flatnonzero(n)
-        return at, n[at]
-
-    counts = over_batches(docs.select("doc_id"), count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # a row for each candidate
-    per = np.zeros(len(wanted) + 1, np.int64)
-    for r in counts:
-        per[r.place] = r.n
-    below = np.cumsum(per)[: len(wanted)]
-    return docs.sparkSession.createDataFrame([(int(i), int(n)) for i, n in zip(wanted, below, strict=True)], "doc_id long, ids_below long")
-
-
-def rrf(dense_ranks: DataFrame, sparse_ranks: DataFrame, k: int) -> DataFrame:
-    """The k best documents of each query by fused reciprocal ranks; ties keep the dense order."""
-    both = dense_ranks.select("query_id", "doc_id", "dense_rank").join(sparse_ranks.select("query_id", "doc_id", "sparse_rank"), ["query_id", "doc_id"])
+    rounded = scores.select(*keys, "query_id", "doc_id", F.round("score", 9).alias("s"))
+    own = candidates.select(*keys, "query_id", "doc_id").join(rounded, [*keys, "query_id", "doc_id"], "left")
+    own = cut(own.select(*keys, "query_id", "doc_id", F.coalesce("s", F.lit(0.0)).alias("s")))
+    both = [*keys, "query_id"]
+    left, right, by = dealt(rounded, gathered(own, keys), both, F.col("doc_id"), F.lit(0), SCORED, QUESTIONS)
+
+    def count(block, asked, i):
+        cs, cd = candidates_of(asked, i)
+        scores, docs = np.asarray(block.column("s"), np.float64), np.asarray(block.column("doc_id"), np.int64)
+        below = np.searchsorted(np.sort(docs[scores != 0]), cd, "left")
+        return cd, before(scores, docs, cs, cd), np.where(cs == 0, (scores > 0).sum(), 0), below
+
+    met = counted_before(left, right, by, count, "doc_id long, better long, over long, below long", both)
+    totals = docs.groupBy(*keys).agg(F.count("*").alias("total"))
+    per = rounded.groupBy(*both).agg(F.count("*").alias("n"))
+    wanted = own.select(*keys, "doc_id").distinct()
+    a, b, at = dealt(docs.select(*keys, "doc_id"), wanted.withColumnRenamed("doc_id", "id"), keys, F.col("doc_id"), F.col("id"), IDS, IDS)
+
+    def smaller(block, asked):
+        n = np.searchsorted(np.sort(np.asarray(block.column("doc_id"), np.int64)), np.asarray(asked.column("id"), np.int64), "left")
+        return asked.select([*keys, "id"]).append_column("n", pa.array(n.astype(np.int64)))
+
+    ids = a.groupBy(*at).cogroup(b.groupBy(*at)).applyInArrow(smaller, f"{types_of(wanted, keys)}, id long, n long").groupBy(*keys, "id").agg(F.sum("n").alias("ids_below")).withColumnRenamed("id", "doc_id")
+    rows = own.join(met, [*both, "doc_id"], "left").join(per, both, "left").join(bounded(totals), keys).join(ids, [*keys, "doc_id"])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rank = F.when(F.col("s") > 0, zero("better")).when(F.col("s") < 0, zero("better") + F.col("total") - zero("n")).otherwise(zero("over") + F.col("ids_below") - zero("below"))
+    return rows.select(*both, "doc_id", (rank + 1).cast("long").alias("sparse_rank"))
+
+
+def rrf(dense_ranks: DataFrame, sparse_ranks: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k best documents of each question by fused reciprocal ranks; ties keep the dense order."""
+    by = [*keys, "query_id"]
+    both = dense_ranks.select(*by, "doc_id", "dense_rank").join(sparse_ranks.select(*by, "doc_id", "sparse_rank"), [*by, "doc_id"])
     fused = both.withColumn("rrf", 1 / (RRF_K + F.col("dense_rank")) + 1 / (RRF_K + F.col("sparse_rank")))
-    w = Window.partitionBy("query_id").orderBy(F.round("rrf", 9).desc(), "dense_rank")
+    w = Window.partitionBy(*by).orderBy(F.round("rrf", 9).desc(), "dense_rank")
     return fused.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, scores: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best documents of each query (query_id, query) by fused ranks over all of docs (doc_id).
+def hybrid(docs: DataFrame, vectors: DataFrame, scores: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k best documents of each question (keys, query_id, query) by fused ranks over all of its recording's docs (keys, doc_id).
 
     A document of the k best has one of the RRF_K + 2 * k best ranks on one side: with both ranks
     beyond that it scores less than any of the k first of the dense side. So only those documents of
-    either side are candidates, and their ranks over all documents are counted; nothing pairs all
-    documents with all queries. scores are of the documents that share a term; the others have 0 and
-    are ranked by id.
+    either side are candidates, and their ranks over all documents are counted. scores are of the
+    documents that share a term; the others have 0 and are ranked by id, so where fewer than that many have a
+    score above 0, those of the smallest ids come in.
     """
-    reach = RRF_K + 2 * k
-    scores = cut(scores)
-    near = dense_top(vectors, queries, reach).select("query_id", "doc_id")
-    named = ranked(scores, "r").where(F.col("r") <= reach)
-    per = scores.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.round("score", 9) > 0).alias("over"))
-    short = per.where(F.col("over") < reach).agg(F.max("n")).first()[0] or 0
-    first = docs.select("doc_id").orderBy("doc_id").limit(reach + short)  # where fewer documents than reach have a score, those without come in by id
-    filled = queries.select("query_id").join(per, "query_id", "left").where(F.coalesce("over", F.lit(0)) < reach).select("query_id").crossJoin(bounded(first))
-    candidates = cut(near.unionAll(named.select("query_id", "doc_id")).unionAll(filled).distinct())
-    return rrf(dense_ranks(vectors, queries, candidates), sparse_ranks(scores, docs, candidates), k)
-
-
-def rerank_splice(hits: DataFrame, model: DataFrame, k: int) -> DataFrame:
-    """A reranker's known ids (query_id, doc_id, model_rank) first, once each, the others in fused order."""
-    given = model.groupBy("query_id", "doc_id").agg(F.min("model_rank").alias("model_rank"))
-    w = Window.partitionBy("query_id").orderBy(F.col("model_rank").asc_nulls_last(), "rank")
-    spliced = hits.join(given, ["query_id", "doc_id"], "left").withColumn("final_rank", F.row_number().over(w).cast("long"))
+    reach, by = RRF_K + 2 * k, [*keys, "query_id"]
+    scores, docs = cut(scores), docs.select(*keys, "doc_id")
+    near = dense_top(vectors, queries, keys, reach).select(*by, "doc_id")
+    named = best(scores, by, by_score(), reach, "r").select(*by, "doc_id")
+    per = scores.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.round("score", 9) > 0).alias("over"))
+    poor = cut(queries.select(*by).join(per, by, "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("over", F.lit(0)).alias("over")).where(F.col("over") < reach))
+    short = poor.agg(F.max("n")).first()[0]
+    pieces = near.unionAll(named)
+    if short is not None:
+        first = best(docs, keys, [F.col("doc_id")], reach + short, "place")
+        pieces = pieces.unionAll(poor.join(first, keys).where(F.col("place") <= reach + F.col("n")).select(*by, "doc_id"))
+    candidates = cut(pieces.distinct())
+    return rrf(dense_ranks(vectors, queries, candidates, keys), sparse_ranks(scores, docs, candidates, keys), keys, k)
+
+
+def rerank_splice(hits: DataFrame, model: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """A reranker's known ids (keys, query_id, doc_id, model_rank) first, once each, the others in fused order."""
+    by = [*keys, "query_id"]
+    given = model.groupBy(*by, "doc_id").agg(F.min("model_rank").alias("model_rank"))
+    w = Window.partitionBy(*by).orderBy(F.col("model_rank").asc_nulls_last(), "rank")
+    spliced = hits.join(given, [*by, "doc_id"], "left").withColumn("final_rank", F.row_number().over(w).cast("long"))
     return spliced.where(F.col("final_rank") <= k)
 
 
-def assemble_context(hits: DataFrame, extras: DataFrame, limit: int) -> DataFrame:
-    """Hits (query_id, doc_id, rank) and then extras that are no hits, up to a limit."""
-    new = extras.join(hits, ["query_id", "doc_id"], "left_anti")
-    both = hits.select("query_id", "doc_id", F.lit(0).alias("tier"), "rank").unionByName(new.select("query_id", "doc_id", F.lit(1).alias("tier"), "rank"))
-    w = Window.partitionBy("query_id").orderBy("tier", "rank", "doc_id")
-    return both.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= limit).select("query_id", "doc_id", "place")
+def assemble_context(hits: DataFrame, extras: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Hits (keys, query_id, doc_id, rank) and then extras that are no hits, up to a limit."""
+    by = [*keys, "query_id"]
+    new = extras.join(hits, [*by, "doc_id"], "left_anti")
+    both = hits.select(*by, "doc_id", F.lit(0).alias("tier"), "rank").unionByName(new.select(*by, "doc_id", F.lit(1).alias("tier"), "rank"))
+    w = Window.partitionBy(*by).orderBy("tier", "rank", "doc_id")
+    return both.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= limit).select(*by, "doc_id", "place")

@@ -73,13 +73,14 @@ def test_roster_ambiguity_fuzzy_and_offices(spark):
 
 
 def test_fusion_and_splice(spark):
-    ranks = lambda order, name: spark.createDataFrame([(1, d, i + 1) for i, d in enumerate(order)], f"query_id long, doc_id string, {name} long")
-    fused = rt.rrf(ranks("ABC", "dense_rank"), ranks("CAB", "sparse_rank"), 3)
+    keys = ["v"]
+    ranks = lambda order, name: spark.createDataFrame([("a", 1, d, i + 1) for i, d in enumerate(order)], f"v string, query_id long, doc_id string, {name} long")
+    fused = rt.rrf(ranks("ABC", "dense_rank"), ranks("CAB", "sparse_rank"), keys, 3)
     assert [r.doc_id for r in fused.orderBy("rank").collect()] == ["A", "C", "B"]
     hits = ranks("ABCD", "rank")
-    model = spark.createDataFrame([(1, "D", 1), (1, "Z", 2), (1, "B", 3), (1, "D", 4)], "query_id long, doc_id string, model_rank long")
-    assert [r.doc_id for r in rt.rerank_splice(hits, model, 4).orderBy("final_rank").collect()] == ["D", "B", "A", "C"]
-    context = rt.assemble_context(hits.where("rank <= 2"), ranks("BXY", "rank"), 3)
+    model = spark.createDataFrame([("a", 1, "D", 1), ("a", 1, "Z", 2), ("a", 1, "B", 3), ("a", 1, "D", 4)], "v string, query_id long, doc_id string, model_rank long")
+    assert [r.doc_id for r in rt.rerank_splice(hits, model, keys, 4).orderBy("final_rank").collect()] == ["D", "B", "A", "C"]
+    context = rt.assemble_context(hits.where("rank <= 2"), ranks("BXY", "rank"), keys, 3)
     assert [r.doc_id for r in context.orderBy("place").collect()] == ["A", "B", "X"]
 
 
