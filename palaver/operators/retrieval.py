@@ -27,12 +27,17 @@ def retrieval_text(speaker: Column, english: Column, original: Column) -> Column
     return F.concat(F.coalesce(speaker, F.lit("Unknown speaker")), F.lit(": "), F.coalesce(F.nullif(english, F.lit("")), original))
 
 
+def tokenized(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns and tokens, made once: a generated column is not written out again wherever it is used."""
+    return docs.select(*columns, F.explode(F.array(tokenize(F.col("text")))).alias("tokens"))
+
+
 def statistics(docs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, term and df over each recording, and a row without a term: df is then its number of documents, dl their length in all.
 
     Terms are distinct within the row, so counts combine on the map side.
     """
-    tokens = tokenize(F.col("text"))
+    docs, tokens = tokenized(docs, *keys), F.col("tokens")
     terms = F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("dl")))
     whole = F.struct(F.lit(None).cast("string").alias("term"), F.size(tokens).cast("long").alias("dl"))
     return docs.select(*keys, F.explode(F.array_append(terms, whole)).alias("t")).groupBy(*keys, "t.term").agg(F.count("*").alias("df"), F.sum("t.dl").alias("dl"))
@@ -51,8 +56,7 @@ def headers(counted: DataFrame, keys: list[str]) -> DataFrame:
 
 def postings_of(docs: DataFrame, keys: list[str], terms: DataFrame | None = None) -> DataFrame:
     """keys, doc_id, term, tf and the document's length dl, of all terms or of these (term) only."""
-    tokens = docs.select(*keys, "doc_id", tokenize(F.col("text")).alias("tokens"))
-    rows = tokens.select(*keys, "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    rows = tokenized(docs, *keys, "doc_id").select(*keys, "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     rows = rows if terms is None else rows.join(bounded(terms), "term", "left_semi")
     return rows.groupBy(*keys, "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 

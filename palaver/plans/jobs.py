@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palaver.operators import graph as gr
 from palaver.plans.base import EVENTS, events, millis, query
 from palaver.plans.graphs import KEYS, TALK, assembled, placed, spoken, sql_ordinal, sql_video
-from palaver.session import table
+from palaver.session import cut, remove_folder, shared_folder, table
 from palaver.streaming import jobs as jb
 
 LOG = f"""{EVENTS}, log AS (SELECT CAST(user_id AS VARCHAR) AS job, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS seq, CASE event_type WHEN 'view' THEN 'audio' WHEN 'click' THEN 'transcribe' WHEN 'signup' THEN 'graph' END AS stage,
@@ -39,18 +39,51 @@ def job_stages(spark, folder):
 NAMES = ", ".join(f"('{s}', {i})" for i, s in enumerate(jb.STAGES))
 
 
-@query(f"""WITH {LOG}, j AS (SELECT DISTINCT job, CASE CAST(job AS BIGINT) % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 END AS code FROM log), n AS (SELECT * FROM (VALUES {NAMES}) v(stage, ord)),
-f AS (SELECT j.job, code, n.stage, n.ord, CASE WHEN code = 0 THEN 'done' WHEN code > 0 AND s.status = 'run' THEN 'fail' ELSE coalesce(s.status, 'wait') END AS status FROM j CROSS JOIN n LEFT JOIN states s ON s.job = j.job AND s.stage = n.stage)
-SELECT job, CASE WHEN code = 0 THEN 'done' WHEN code > 0 THEN 'failed' ELSE 'running' END AS state, string_agg(stage || ':' || status, ',' ORDER BY ord) AS stages FROM f GROUP BY job, code""")
+ENDED = f"""j AS (SELECT DISTINCT job, CASE CAST(job AS BIGINT) % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 END AS code FROM log), n AS (SELECT * FROM (VALUES {NAMES}) v(stage, ord)),
+f AS (SELECT j.job, code, n.stage, n.ord, CASE WHEN code = 0 THEN 'done' WHEN code > 0 AND s.status = 'run' THEN 'fail' ELSE coalesce(s.status, 'wait') END AS status, CASE WHEN code = 0 THEN 100.0 ELSE coalesce(s.pct, CASE WHEN n.stage = 'graph' THEN p.pct END, 0) END AS pct FROM j CROSS JOIN n LEFT JOIN states s ON s.job = j.job AND s.stage = n.stage LEFT JOIN pr p ON p.job = j.job)"""
+STATE = "CASE WHEN code = 0 THEN 'done' WHEN code > 0 THEN 'failed' ELSE 'running' END AS state"
+
+
+def exits(lines):
+    """Two in three jobs have ended, one of them well."""
+    number = F.col("job").cast("long") % 3
+    return lines.select("job").distinct().where(number != 2).select("job", F.when(number == 0, 0).otherwise(3).alias("code"))
+
+
+@query(f"WITH {LOG}, {ENDED} SELECT job, {STATE}, string_agg(stage || ':' || status, ',' ORDER BY ord) AS stages FROM f GROUP BY job, code")
 def job_ends(spark, folder):
     lines = log(spark, folder)
-    number = F.col("job").cast("long") % 3
-    exits = lines.select("job").distinct().where(number != 2).select("job", F.when(number == 0, 0).otherwise(3).alias("code"))
-    ended = jb.terminal(jb.stage_states(jb.parse(lines)), exits, lines)
+    ended = jb.terminal(jb.stage_states(jb.parse(lines)), exits(lines), lines)
     shown = F.array_join(F.transform("stages", lambda s: F.concat_ws(":", s["stage"], s["status"])), ",")
     return ended.select("job", "state", shown.alias("stages"))
 
 
+@query(f"""WITH {LOG}, {ENDED}, c AS (SELECT job, max(k) AS calls FROM log WHERE k IS NOT NULL GROUP BY job)
+SELECT f.job, {STATE}, string_agg(stage || ':' || status || ':' || CAST(CAST(round(10 * pct) AS BIGINT) AS VARCHAR), ',' ORDER BY ord) AS stages, coalesce(c.calls, 0) AS calls FROM f LEFT JOIN c ON c.job = f.job GROUP BY f.job, code, c.calls""")
+def job_machine(spark, folder):
+    """The same as a stream of lines and exits in two parts, restarted from its checkpoint between them; some exits come with the first lines."""
+    import uuid
+
+    from palaver.streaming import machine
+
+    root = f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    lines = cut(log(spark, folder))
+    early = F.col("job").cast("long") % 2 == 0
+    spark.createDataFrame([], machine.OUTPUT).write.parquet(f"{root}/rows")  # a stream without a row writes none
+    for first in (True, False):
+        lines.where((F.col("seq") <= 40) == first).write.mode("append").json(f"{root}/log")
+        exits(lines).where(early == first).write.mode("append").json(f"{root}/exits")
+        with machine.state_provider(spark):
+            stream = machine.job_stream(jb.read_log_stream(spark, f"{root}/log"), jb.read_exit_stream(spark, f"{root}/exits"))
+            jb.to_table(stream, f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    # an exit before the first line has no seq of its own, and every row of a job has all that is known by then
+    last = jb.snapshot(spark.read.parquet(f"{root}/rows").withColumn("at", F.struct("seq", (F.col("state") != "running").alias("over"))), ["job"], "at")
+    shown = F.array_join(F.transform("stages", lambda s: F.concat_ws(":", s["stage"], s["status"], F.round(s["pct"] * 10).cast("long").cast("string"))), ",")
+    found = cut(last.select("job", "state", shown.alias("stages"), "calls"))
+    remove_folder(spark, root)
+    return found
+
+
 @query(f"""WITH {TALK}, t AS (SELECT {sql_video('o_orderkey')} AS video_id, {sql_ordinal('o_orderkey')} AS n, epoch_us(o_orderdate) / 1000000.0 AS t FROM orders)
 SELECT 'node' AS side, me.video_id, me.key, NULL AS target, NULL AS rel_type, CAST(arg_min(coalesce(t, 0), me.n) AS BIGINT) AS first_seen_s FROM me LEFT JOIN t ON t.video_id = me.video_id AND t.n = me.n GROUP BY me.video_id, me.key
 UNION ALL SELECT DISTINCT 'edge', video_id, source, target, 'DISCUSSED', NULL FROM di""")

@@ -9,7 +9,7 @@ from palaver.functions import text as tx
 from palaver.operators import index as ix
 from palaver.operators import retrieval as rt
 from palaver.plans.base import query
-from palaver.session import cut, remove_folder, shared_folder, table
+from palaver.session import cut, remove_folder, shared_folder, spread, table
 
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 #: Questions are the whole texts, or vectors, of the rows whose ids this divides; recordings, whose documents are numbered from 0 in each.
@@ -48,7 +48,7 @@ def questions(spark, folder):
 
 
 def corpus(spark, folder):
-    return owned(table(spark, folder, "documents").select("doc_id", "text"))
+    return owned(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 def vectors(spark, folder):

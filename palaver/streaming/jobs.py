@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.sources.providers import CALL_COST, OTHER_COST, unit_cost
+from palaver.sources.providers import unit_cost
 
 # Stages by the number of their marker, and the stage that a namespace's progress is of.
 STAGES = ("preflight", "audio", "transcribe", "frames", "attribute", "faceverify", "index", "graph", "proxy")
@@ -17,13 +17,13 @@ TAIL = 6
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Log lines (job, seq, line) with message, stage marker, skip mark, namespace and progress k of n."""
+    """Log lines (job, seq, line) with the message, stage marker, skip mark, namespace and progress k of n."""
     message = F.regexp_replace("line", r"^\d\d:\d\d:\d\d\s+\w+\s+\S+\s+", "")
     marker = F.regexp_extract(message, r"^\[(\d)/8\]\s+\w+\s+", 1)
     names = F.array(*map(F.lit, STAGES))
     ns = F.regexp_extract(message, r"^([a-z][a-z-]*) (\d+)/(\d+) \(", 1)
     count = lambda g: F.nullif(F.regexp_extract(message, r"^([a-z][a-z-]*) (\d+)/(\d+) \(", g), F.lit("")).cast("long")
-    return lines.select("job", "seq", message.alias("message"), F.when(marker != "", F.get(names, F.nullif(marker, F.lit("")).cast("int"))).alias("stage"), ((marker != "") & F.contains(message, F.lit("SKIP"))).alias("skipped"), F.nullif(ns, F.lit("")).alias("ns"), count(2).alias("k"), count(3).alias("n"))
+    return lines.select("job", "seq", "line", message.alias("message"), F.when(marker != "", F.get(names, F.nullif(marker, F.lit("")).cast("int"))).alias("stage"), ((marker != "") & F.contains(message, F.lit("SKIP"))).alias("skipped"), F.nullif(ns, F.lit("")).alias("ns"), count(2).alias("k"), count(3).alias("n"))
 
 
 def progress_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,43 +78,6 @@ def terminal(states: DataFrame, exits: DataFrame, lines: DataFrame) -> DataFrame
     return jobs.select("job", F.when(ok, "done").when(failed, "failed").otherwise("running").alias("state"), error.alias("error"), stages.alias("stages"))
 
 
-def stream_stages(parsed: DataFrame) -> DataFrame:
-    """The stages of each job over a stream of parsed lines, in update mode: job, seq, stages (status and pct by name), calls, est_cost.
-
-    The state of a job is its running stage, its stages, and the counters and highest count of each
-    namespace; lines of one micro-batch are taken by seq.
-    """
-    schema = "job string, seq long, stages map<string, string>, pct map<string, double>, calls long, est_cost double"
-    state = "current string, stages map<string, string>, pct map<string, double>, counts map<string, long>"
-
-    def step(key: tuple, batches: Iterator, held) -> Iterator:
-        import pandas as pd
-
-        current, stages, pct, counts = (held.get if held.exists else (None, {}, {}, {}))
-        stages, pct, counts = dict(stages or {}), dict(pct or {}), dict(counts or {})
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for r in rows.itertuples():
-            if isinstance(r.stage, str):
-                if current is not None and stages.get(current) == "run":
-                    stages[current], pct[current] = "done", 100.0
-                current = r.stage
-                if r.skipped:
-                    stages[current], pct[current] = "done", 100.0
-                elif stages.get(current) != "done":
-                    stages[current] = "run"
-            elif isinstance(r.ns, str):
-                counts[r.ns] = max(int(r.k), counts.get(r.ns, 0))
-                of = STAGE_OF.get(r.ns)
-                if of and r.n > 0 and stages.get(of) != "done":
-                    pct[of] = round(100.0 * r.k / r.n, 1)
-        held.update((current, stages, pct, counts))
-        cost = round(sum(n * CALL_COST.get(ns, OTHER_COST) for ns, n in counts.items()), 4)
-        yield pd.DataFrame({"job": [key[0]], "seq": [int(rows["seq"].max())], "stages": [stages], "pct": [pct], "calls": [sum(counts.values())], "est_cost": [cost]})
-
-    rows = parsed.where("stage is not null or ns is not null").select("job", "seq", "stage", "skipped", "ns", "k", "n")
-    return rows.groupBy("job").applyInPandasWithState(step, schema, state, "update", "NoTimeout")
-
-
 def snapshot(updates: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     """The last row of each key of an update-mode table."""
     rest = [c for c in updates.columns if c not in keys]
@@ -149,3 +112,8 @@ def stream_counts(parsed: DataFrame) -> DataFrame:
 def read_log_stream(spark, folder: str) -> DataFrame:
     """A folder of JSON lines (job, seq, line) as a stream."""
     return spark.readStream.schema("job string, seq long, line string").json(folder)
+
+
+def read_exit_stream(spark, folder: str) -> DataFrame:
+    """A folder of JSON lines (job, code) as a stream."""
+    return spark.readStream.schema("job string, code long").json(folder)

@@ -135,20 +135,33 @@ def test_stages_stay_done_and_jobs_end(spark, tmp_path):
     states = {(r.job, r.stage): (r.status, r.skipped, r.pct) for r in jobs.stage_states(parsed).collect()}
     assert states[("a", "transcribe")] == ("done", True, 100.0) and states[("a", "frames")] == ("done", False, 100.0)
     assert states[("b", "graph")] == ("run", False, 75.0) and states[("b", "audio")][0] == "done"
-    ends = {r.job: r for r in jobs.terminal(jobs.stage_states(parsed), spark.createDataFrame([("a", 0), ("b", 2)], "job string, code int"), parsed.select("job", "seq", F.col("message").alias("line"))).collect()}
+    ends = {r.job: r for r in jobs.terminal(jobs.stage_states(parsed), spark.createDataFrame([("a", 0), ("b", 2)], "job string, code int"), log).collect()}
     of = lambda j: {s.stage: s.status for s in ends[j].stages}
     assert (ends["a"].state, set(of("a").values()), ends["a"].error) == ("done", {"done"}, None)
     assert (ends["b"].state, of("b")["graph"], of("b")["audio"], of("b")["proxy"]) == ("failed", "fail", "done", "wait") and ends["b"].error.endswith("boom")
     assert (ends["c"].state, of("c")["audio"]) == ("running", "run")
     counts = jobs.costs(jobs.progress_counts(parsed.where("ns is not null"), ["job"]), ["job"])
     assert {r.job: (r.calls, r.est_cost) for r in counts.collect()} == {"a": (2, 0.018), "b": (3, 0.021)}
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "log.json").write_text("\n".join(json.dumps(r.asDict()) for r in log.collect()))
-    stream = jobs.stream_stages(jobs.parse(jobs.read_log_stream(spark, str(tmp_path / "in"))))
-    jobs.to_table(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    # the stream in two parts, restarted from its checkpoint between them; exits come before the last lines
+    from palaver.streaming import machine
+
+    for name in ("log", "exits"):
+        (tmp_path / name).mkdir()
+    put = lambda name, rows: (tmp_path / name).write_text("\n".join(json.dumps(r) for r in rows))
+    rows = [r.asDict() for r in log.collect()]
+    seen = {}
+    for part, keep in enumerate((lambda r: r["seq"] < 2, lambda r: r["seq"] >= 2)):
+        put(f"log/{part}.json", filter(keep, rows))
+        put(f"exits/{part}.json", [{"job": "b", "code": 2}] if part == 0 else [{"job": "a", "code": 0}])
+        with machine.state_provider(spark):
+            stream = machine.job_stream(jobs.read_log_stream(spark, str(tmp_path / "log")), jobs.read_exit_stream(spark, str(tmp_path / "exits")))
+            jobs.to_table(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+        shown = {(r.job, r.stage): (r.status, r.pct) for r in machine.stage_snapshot(spark, str(tmp_path / "ck")).collect()}
     last = {r.job: r for r in jobs.snapshot(spark.read.parquet(str(tmp_path / "out")), ["job"]).collect()}
-    for (job, stage), (status, _, pct) in states.items():
-        assert last[job].stages[stage] == status and last[job].pct.get(stage, 0.0) == pct
+    for job, end in ends.items():
+        assert (last[job].state, last[job].error) == (end.state, end.error)
+        assert [(x.stage, x.status) for x in last[job].stages] == [(x.stage, x.status) for x in end.stages]
+    assert shown == {k: (status, pct) for k, (status, _, pct) in states.items()}
     assert (last["a"].calls, last["a"].est_cost) == (2, 0.018)
 
 
