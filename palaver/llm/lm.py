@@ -1,20 +1,26 @@
 """Language-model scoring by a log-bilinear model trained with noise-contrastive estimation.
 
-Tokens are the lower-cased words of a text and one end. The UNITS commonest tokens of the training
-rows have a unit of their own in the neural model, and one more unit stands for all other words;
-within that unit a word has its smoothed share of the corpus. The model predicts a vector from the
-two tokens before as a weighted sum of their vectors. Units are dealt to classes by their counts: the
-probability of a unit is that of its class times its own within the class, both learnt by telling the
-true one from noise drawn from the unigram distribution, and both normalised when it scores, by
-matrix products over all classes and all units of a class. So the probabilities of all words and one
-unknown word sum to one after any context.
+Tokens are the lower-cased words of a text and one end. The commonest tokens of the training rows have a
+unit of their own in the neural model, UNITS with the others; every other word goes by its ending, its last
+three bytes, to one of UNITS // 8 units, and within that unit has its smoothed share of the corpus. So
+no unit stands for more than a small share of all tokens, and the model knows of a rare word how it
+ends. The model predicts a vector from the two tokens before as a weighted sum of their vectors.
+Units are dealt to classes in their order: the probability of a unit is that of its class times its
+own within the class, both learnt by telling the true one from noise drawn from the unigram
+distribution, and both normalised when it scores, by matrix products over all classes and all units
+of a class. So the probabilities of all words and one unknown word of each ending sum to one after any
+context.
 
 What is learnt from. Word counts are those of all training rows over whole texts, made by one
 aggregation; the commonest words come out of it. The neural model begins with a pass over FIRST_ROWS
-whole rows; then every task of one scan over all training rows goes on from there with its own copy
-of the model, on a seeded TRAIN_SHARE of the tokens of each text, wherever in it they stand, and the
-copies are averaged, each unit by the steps that have moved it. What travels is the size of the
-model for each task, so what is learnt from grows with the corpus and no driver holds it.
+whole rows. Then it learns from every token of every training text: texts become unit numbers, which
+are dealt by a hash of the row to parts of about PART_TOKENS tokens, as many as the corpus needs. Each part goes on from the
+first pass with its own copy, over its texts in the order of their hashes; equal tokens after
+equal contexts are one step with their number as its weight. The copies are averaged, each unit by the
+steps that have moved it, and added up in a tree. Parts, order and noise follow from the rows alone, so the model is the
+same however the files are split and wherever tasks run, up to the last bits of float sums. What
+travels is two bytes a token and the size of the model for each part, so what is learnt from grows with
+the corpus and no driver holds it.
 
 The counts of the HEAD commonest words are sent to the executors, a fixed number of them. Every other
 word goes by its 64-bit hash to one shuffle in which its training count and the rows that need it
@@ -30,33 +36,35 @@ are. Of words with equal counts the smaller hash is the commoner.
 from __future__ import annotations
 
 import copy
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.blocks import NOT_SPACE, Words, bounded_sample, crc_remainder, cut_blocks, map_batches, utf8
+from palaver.llm.blocks import NOT_SPACE, Words, bounded_sample, crc_remainder, cut_blocks, map_batches, mix, utf8
 from palaver.session import cut
 
-#: Tokens with a unit of their own, the end among them.
+#: Units of the model: tokens of their own, the end among them, and an eighth of them for endings of all other words.
 UNITS = 8192
 #: Common words whose counts are held on every executor: the highest levels of counts that have so many words in all at most.
 HEAD = 50_000
-#: Whole rows of the first pass, and the share of each training text's tokens that the scan over all rows learns from.
-FIRST_ROWS, TRAIN_SHARE = 1000, 0.25
+#: Whole rows of the first pass; training tokens that one copy of the model learns from, and those that are sorted at once.
+FIRST_ROWS, PART_TOKENS, LEARN_TOKENS = 1000, 4_000_000, 1 << 20
 DIM, CONTEXT, NOISE = 16, 2, 16
 BATCH, RATE = 4096, 0.05
-#: Words that are counted together, and tokens that are shuffled together.
-COUNT_WORDS, LEARN_TOKENS = 4_000_000, 200_000
-#: Parts of the model that are averaged on their own.
-PARTS = 64
+#: Words that are counted together.
+COUNT_WORDS = 4_000_000
+#: Pieces of the model that are averaged on their own.
+PIECES = 64
 
 
 class Head:
-    """The common words: id of a word's hash, or -1. Ids below ``units`` - 1 are units."""
+    """The common words: id of a word's hash, or -1."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, endings: int = 1):
+        self.endings = endings  # units of the words that have none of their own
         self.mask = np.uint64((1 << 20) - 1)
         slot = np.full(1 << 20, -1, np.int32)
         at = (hashes & self.mask).astype(np.int64)
@@ -74,7 +82,7 @@ class Head:
 
 
 class LogBilinear:
-    """Vectors of units as context and as target; unit 0 is any other word, the last unit is the end.
+    """Vectors of units as context and as target; the first are those of endings, the last is the end.
 
     Units are dealt to classes in their order, which is that of their counts. The probability of a
     unit is that of its class times that of the unit within the class, both log-bilinear in the same
@@ -91,9 +99,9 @@ class LogBilinear:
         self.bias, self.group_bias = np.zeros(units, np.float32), np.zeros(self.classes, np.float32)
         self.share, self.group_share = np.full(units, 1.0), np.full(self.classes, 1.0)
 
-    def begin(self, counts: np.ndarray) -> None:
+    def begin(self, counts: np.ndarray, endings: int = 0) -> None:
         """Noise and biases from the units' training counts: the unigram distribution."""
-        many = counts + 0.5
+        many = counts + np.where(np.arange(self.units) < endings, 0.5 / max(1, endings), 0.5)
         of = np.arange(self.units) // self.size
         groups = np.bincount(of, weights=many, minlength=self.classes)
         self.share, self.group_share = many / groups[of], groups / groups.sum()
@@ -152,12 +160,13 @@ class Learner:
         self.shift = np.log(NOISE * model.share).astype(np.float32)
 
     def learn(self, before: np.ndarray, after: np.ndarray) -> None:
-        """Goes once over tokens, in a seeded order."""
-        order = self.rng.permutation(len(after))
+        """Goes once over tokens, in a seeded order; equal ones are taken together."""
+        before, after, _, many = distinct_tokens(before, after)
+        order, weight = self.rng.permutation(len(after)), many.astype(np.float32)
         for i in range(0, len(order), BATCH):
             rows = order[i : i + BATCH]
             rows = rows[np.argsort(after[rows] // self.model.size, kind="stable")]
-            self.step(before[rows], after[rows])
+            self.step(before[rows], after[rows], weight[rows])
 
     def move(self, k: int, rows, gradient: np.ndarray) -> None:
         """A step of the given rows of the k-th parameter."""
@@ -165,14 +174,14 @@ class Learner:
         self.moments[k][rows] = s
         self.model.parameters()[k][rows] -= RATE * gradient / np.sqrt(s)
 
-    def step(self, before: np.ndarray, after: np.ndarray) -> None:
-        """before and after are of tokens in the order of their classes."""
+    def step(self, before: np.ndarray, after: np.ndarray, weight: np.ndarray) -> None:
+        """before, after and how often they occur, of tokens in the order of their classes."""
         m, rng = self.model, self.rng
         r, own = m.predicted(before), after // m.size
         # classes
         drawn = np.minimum(np.searchsorted(self.group_edges, rng.random(NOISE) * self.group_edges[-1]), m.classes - 1)
-        true = sigmoid(np.einsum("nd,nd->n", r, m.group[own]) + m.group_bias[own] - self.group_shift[own]) - 1
-        false = sigmoid(r @ m.group[drawn].T + (m.group_bias - self.group_shift)[drawn])
+        true = weight * (sigmoid(np.einsum("nd,nd->n", r, m.group[own]) + m.group_bias[own] - self.group_shift[own]) - 1)
+        false = weight[:, None] * sigmoid(r @ m.group[drawn].T + (m.group_bias - self.group_shift)[drawn])
         back = true[:, None] * m.group[own] + false @ m.group[drawn]
         rows, sums = row_sums(np.concatenate([own, drawn]), np.concatenate([with_ones(r) * true[:, None], false.T @ with_ones(r)]))
         self.move(3, rows, sums[:, :-1])
@@ -185,8 +194,8 @@ class Learner:
         drawn = np.minimum(np.searchsorted(self.edges, low[:, None] + rng.random((len(there), NOISE)) * (high - low)[:, None]), m.units - 1)
         mine = np.repeat(np.arange(len(there)), many)
         vectors = m.target[drawn]
-        true = sigmoid(np.einsum("nd,nd->n", r, m.target[after]) + m.bias[after] - self.shift[after]) - 1
-        false = sigmoid(np.matmul(vectors[mine], r[:, :, None])[..., 0] + (m.bias - self.shift)[drawn][mine])
+        true = weight * (sigmoid(np.einsum("nd,nd->n", r, m.target[after]) + m.bias[after] - self.shift[after]) - 1)
+        false = weight[:, None] * sigmoid(np.matmul(vectors[mine], r[:, :, None])[..., 0] + (m.bias - self.shift)[drawn][mine])
         back += true[:, None] * m.target[after] + np.matmul(false[:, None, :], vectors[mine])[:, 0]
         noise = np.add.reduceat(false[:, :, None] * with_ones(r)[:, None, :], begin, axis=0).reshape(-1, DIM + 1)
         rows, sums = row_sums(np.concatenate([after, drawn.ravel()]), np.concatenate([with_ones(r) * true[:, None], noise]))
@@ -199,7 +208,7 @@ class Learner:
         self.move(0, rows, sums)
         self.move(5, slice(None), place)
         self.touched[0, rows] += 1
-        self.tokens += len(after)
+        self.tokens += float(weight.sum())
 
 
 def with_ones(r: np.ndarray) -> np.ndarray:
@@ -218,6 +227,35 @@ def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ranked[begin], np.add.reduceat(values[order], begin, axis=0)
 
 
+def endings_of(units: int) -> int:
+    return max(1, units // 8)
+
+
+def endings(words: Words, n: int) -> np.ndarray:
+    """The unit, of n, of each word's ending: its last three bytes, or fewer."""
+    lengths, key = words.ends - words.starts, np.zeros(len(words.ends), np.uint64)
+    for k in range(3):
+        key |= np.where(lengths > k, words.data[np.maximum(words.ends - 1 - k, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
+    return (mix(key) % np.uint64(n)).astype(np.int64)
+
+
+def contexts(units: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """The CONTEXT units before each token of texts of these lengths; before a text stand ends."""
+    before = np.full((len(units), CONTEXT), end, np.int64)
+    place = np.arange(len(units)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    for k in range(1, CONTEXT + 1):
+        has = np.flatnonzero(place >= k)
+        before[has, k - 1] = units[has - k]
+    return before
+
+
+def distinct_tokens(before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different tokens with their contexts, which of them each token is, and how many are each."""
+    keys = after.astype(np.int64) << 32 | before[:, 0] << 16 | before[:, 1]
+    found, inverse, many = np.unique(keys, return_inverse=True, return_counts=True)
+    return np.stack([found >> 16 & 0xFFFF, found & 0xFFFF], axis=1), found >> 32, inverse, many
+
+
 class Tokens:
     """Head ids of the words of a block, and its texts' tokens as units with an end after each text."""
 
@@ -226,19 +264,16 @@ class Tokens:
         self.hashes, self.bounds = words.hashes, words.bounds
         self.ids = head.ids(words.hashes)
         self.counts = np.diff(words.bounds)
-        unit = np.where((self.ids >= 0) & (self.ids < units - 2), self.ids + 1, 0)
-        self.owner = np.repeat(np.arange(len(self.counts)), self.counts)
-        ends = words.bounds[1:] + np.arange(len(self.counts))
-        self.units = np.zeros(len(unit) + len(ends), np.int64)
-        self.units[np.arange(len(unit)) + self.owner] = unit
-        self.units[ends] = units - 1
-        self.ends = ends
-        # the units before each token; before a text stand ends
-        self.before = np.full((len(self.units), CONTEXT), units - 1, np.int64)
-        place = np.arange(len(self.units)) - np.repeat(np.concatenate([[0], ends[:-1] + 1]), self.counts + 1) if len(ends) else np.zeros(0, int)
-        for k in range(1, CONTEXT + 1):
-            has = np.flatnonzero(place >= k)
-            self.before[has, k - 1] = self.units[has - k]
+        first = head.endings
+        #: words without a unit of their own
+        self.other = (self.ids < 0) | (self.ids >= units - first - 1)
+        self.word_units = np.where(self.other, endings(words, first), self.ids + first)
+        owner = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.ends = words.bounds[1:] + np.arange(len(self.counts))
+        self.units = np.zeros(len(owner) + len(self.ends), np.int64)
+        self.units[np.arange(len(owner)) + owner] = self.word_units
+        self.units[self.ends] = units - 1
+        self.before = contexts(self.units, self.counts + 1, units - 1)
 
     def per_text(self, of_words: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(of_words)])
@@ -246,20 +281,24 @@ class Tokens:
 
 
 def word_counts(training: DataFrame) -> DataFrame:
-    """word (its hash) and n, over the whole texts of all rows."""
+    """word (its hash), its ending and n, over the whole texts of all rows."""
+
+    first = endings_of(UNITS)
 
     def each(batch):
         data, offsets = utf8(batch.column("text"))
         held, size = [], 0
         for i, j in cut_blocks(offsets):
-            held.append(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NOT_SPACE).hashes)
-            size += len(held[-1])
+            words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NOT_SPACE)
+            held.append((words.hashes, endings(words, first).astype(np.int32)))
+            size += len(words.hashes)
             if size >= COUNT_WORDS or j == len(offsets) - 1:
-                word, n = np.unique(np.concatenate(held), return_counts=True)
-                yield {"word": word, "n": n}
+                hashes, ending = (np.concatenate(x) for x in zip(*held, strict=True))
+                word, at, n = np.unique(hashes, return_index=True, return_counts=True)
+                yield {"word": word, "ending": ending[at], "n": n}
                 held, size = [], 0
 
-    return map_batches(training.select("text"), each, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_batches(training.select("text"), each, "word long, ending int, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
 def level(n):
@@ -268,7 +307,7 @@ def level(n):
 
 
 class Corpus:
-    """Counts of the training rows: the head's words, all words, kinds of words, and rows."""
+    """Counts of the training rows: the head's words, the other words of each ending, all words, kinds of words, and rows."""
 
     def __init__(self, training: DataFrame):
         table = cut(word_counts(training).withColumn("level", level(F.col("n"))))
@@ -278,67 +317,85 @@ class Corpus:
             if found > HEAD:
                 break
             least = r.level
-        common = table.where(F.col("level") >= least).select("word", "n").collect() if least is not None else []  # HEAD rows at most
+        common = table.where(F.col("level") >= least).select("word", "ending", "n").collect() if least is not None else []  # HEAD rows at most
         common.sort(key=lambda r: (-r.n, r.word))
         totals = table.agg(F.sum("n").alias("words"), F.count("*").alias("kinds")).first()
         self.words, self.kinds, self.ends = totals.words or 0, totals.kinds, training.count()
-        counts = {r.word: r.n for r in common}
-        self.head = Head(np.array([r.word for r in common], np.int64).view(np.uint64))
-        self.counts = np.array([counts[h] for h in self.head.hashes.view(np.int64).tolist()], np.int64)
-        self.units = min(UNITS, len(self.head.hashes) + 2)
+        rows = {r.word: r for r in common}
+        first = endings_of(UNITS)
+        self.head = Head(np.array([r.word for r in common], np.int64).view(np.uint64), first)
+        held = [rows[h] for h in self.head.hashes.view(np.int64).tolist()]
+        self.counts = np.array([r.n for r in held], np.int64)
+        self.units = min(UNITS, first + len(held) + 1)
+        self.own = self.units - first - 1  # words with a unit of their own
+        self.ending_n, self.ending_kinds = np.zeros(first, np.int64), np.zeros(first, np.int64)
+        for r in table.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():  # a row for each ending
+            self.ending_n[r.ending], self.ending_kinds[r.ending] = r.n, r.kinds
+        for r in held[: self.own]:
+            self.ending_n[r.ending] -= r.n
+            self.ending_kinds[r.ending] -= 1
 
     def unit_counts(self) -> np.ndarray:
-        own = self.counts[: self.units - 2]
-        return np.concatenate([[self.words - own.sum()], own, [self.ends]])
+        return np.concatenate([self.ending_n, self.counts[: self.own], [self.ends]])
 
 
 def fit(training: DataFrame, corpus: Corpus) -> LogBilinear:
-    """The model, learnt from a first sample of whole rows and then from all training rows."""
+    """The model, learnt from a first sample of whole rows and then from all training rows (text, and what tells them apart)."""
     model = LogBilinear(corpus.units)
-    model.begin(corpus.unit_counts())
-    texts = [(r.text or "").encode() for r in bounded_sample(training, FIRST_ROWS, F.col("text"), seed=13).collect()]
+    model.begin(corpus.unit_counts(), corpus.head.endings)
+    texts = [(r.text or "").encode() for r in bounded_sample(training.select("text"), FIRST_ROWS, F.col("text"), seed=13).collect()]
     learner = Learner(model, 31)
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     for i, j in cut_blocks(offsets, 4 << 20):
         tokens = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], corpus.head, corpus.units)
         learner.learn(tokens.before, tokens.units)
-    return averaged(model, learn_everywhere(training, corpus.head, learner)) if texts else model
+    return averaged(model, learn_everywhere(training, corpus, learner)) if texts else model
 
 
-def learn_everywhere(training: DataFrame, head: Head, learner: Learner) -> DataFrame:
-    """(part, sums): the parts of the copies that the tasks have learnt, weighted and added up."""
-    shared = training.sparkSession.sparkContext.broadcast((head, learner))
+def learn_everywhere(training: DataFrame, corpus: Corpus, learner: Learner) -> DataFrame:
+    """(piece, sums): the pieces of the copies that the parts have learnt, weighted and added up."""
+    parts = max(1, -(-(corpus.words + corpus.ends) // PART_TOKENS))
+    fans = math.isqrt(parts - 1) + 1
+    shared = training.sparkSession.sparkContext.broadcast((corpus.head, learner))
 
-    def run(batches):
+    def numbered(batch):
         head, learner = shared.value
-        own = copy.deepcopy(learner)
-        own.touched[:], own.tokens = 0, 0
+        data, offsets = utf8(batch.column("text"))
+        for i, j in cut_blocks(offsets):
+            tokens = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], head, learner.model.units)
+            units = tokens.units.astype(np.uint16)
+            ids = [units[a:b].tobytes() for a, b in zip(np.concatenate([[0], tokens.ends[:-1] + 1]), tokens.ends + 1, strict=True)]
+            yield {"part": batch.column("part")[i:j], "key": batch.column("key")[i:j], "ids": ids}
+
+    def run(key, table):
+        own, part = copy.deepcopy(shared.value[1]), key[0].as_py()
+        own.touched[:], own.tokens, own.rng = 0, 0, np.random.default_rng([31, part])
+        rows = sorted(zip(table.column("key").to_pylist(), table.column("ids").to_pylist(), strict=True))
         held, size = [], 0
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for i, j in cut_blocks(offsets):
-                tokens = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], head, own.model.units)
-                at = np.flatnonzero(np.random.default_rng([41, int(offsets[j] - offsets[i]), len(tokens.units)]).random(len(tokens.units)) < TRAIN_SHARE)
-                held.append((tokens.before[at], tokens.units[at]))
-                size += len(at)
-                if size >= LEARN_TOKENS:
-                    own.learn(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held, size = [], 0
-        if size:
-            own.learn(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        if own.tokens:
-            sums = [x.tobytes() for x in np.array_split(weighted(own), PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(sums, pa.binary())], names=["part", "sums"])
+        for n, (_, ids) in enumerate(rows):
+            held.append(np.frombuffer(ids, np.uint16))
+            size += len(held[-1])
+            if size >= LEARN_TOKENS or n == len(rows) - 1:
+                units = np.concatenate(held).astype(np.int64)
+                own.learn(contexts(units, np.array([len(x) for x in held]), own.model.units - 1), units)
+                held, size = [], 0
+        sums = [x.tobytes() for x in np.array_split(weighted(own), PIECES)]
+        return pa.table({"piece": pa.array(range(PIECES), pa.int32()), "fan": pa.array([part % fans] * PIECES, pa.int32()), "sums": pa.array(sums, pa.binary())})
 
     def add(batches):
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                total[part] = total.get(part, 0) + np.frombuffer(sums, np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "sums"])
+            for piece, fan, sums in zip(*(batch.column(c).to_pylist() for c in ("piece", "fan", "sums")), strict=True):
+                total[piece, fan] = total.get((piece, fan), 0) + np.frombuffer(sums, np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "fan", "sums"])
+
+    def added(copies, *by):
+        return copies.repartition(*map(F.col, by)).sortWithinPartitions("piece", "fan", F.xxhash64("sums")).mapInArrow(add, "piece int, fan int, sums binary")
 
-    copies = training.select("text").mapInArrow(run, "part int, sums binary")
-    return copies.repartition(F.col("part")).sortWithinPartitions("part", F.xxhash64("sums")).mapInArrow(add, "part int, sums binary")
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in training.columns])
+    dealt = training.select(F.pmod(key, F.lit(parts)).cast("int").alias("part"), key.alias("key"), "text")
+    copies = map_batches(dealt, numbered, "part int, key long, ids binary").groupBy("part").applyInArrow(run, "piece int, fan int, sums binary")
+    return added(added(copies, "piece", "fan").withColumn("fan", F.lit(0)), "piece").select("piece", "sums")
 
 
 def weights_of(learner: Learner) -> list[np.ndarray]:
@@ -356,7 +413,7 @@ def weighted(learner: Learner) -> np.ndarray:
 
 def averaged(model: LogBilinear, parts: DataFrame) -> LogBilinear:
     """The model with the weighted mean of its copies; what none of them has moved stays."""
-    rows = {r.part: np.frombuffer(r.sums, np.float64) for r in parts.collect()}  # PARTS rows, the model's size in all
+    rows = {r.piece: np.frombuffer(r.sums, np.float64) for r in parts.collect()}  # PIECES rows, the model's size in all
     if not rows:
         return model
     flat, at = np.concatenate([rows[k] for k in sorted(rows)]), 0
@@ -390,51 +447,50 @@ def rare_sums(docs: DataFrame, head: Head) -> DataFrame:
     return counted.groupBy("key").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
 
 
-def scored(docs: DataFrame, head: Head, model: LogBilinear, counts: np.ndarray, ends: int) -> DataFrame:
+def scored(docs: DataFrame, corpus: Corpus, model: LogBilinear) -> DataFrame:
     """doc_id, held_out, key and what the head and the model give for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((head, model, np.log10(counts + 1.0), counts > 0, float(np.log10(ends + 1.0)), ends > 0))
+    below = np.log10(corpus.ending_n + corpus.ending_kinds + 1.0)  # of the share of a word in its ending
+    shared = docs.sparkSession.sparkContext.broadcast((corpus.head, model, np.log10(corpus.counts + 1.0), corpus.counts > 0, float(np.log10(corpus.ends + 1.0)), corpus.ends > 0, below))
 
     def each(batch):
-        head, model, logs, seen, end_log, end_seen = shared.value
+        head, model, logs, seen, end_log, end_seen, below = shared.value
         data, offsets = utf8(batch.column("text"))
-        out = {k: [] for k in ("n_tokens", "head_known", "head_log", "other_log", "n_other", "model_log")}
+        out = {k: [] for k in ("n_tokens", "head_known", "head_log", "other_log", "model_log")}
         for i, j in cut_blocks(offsets):
             tokens = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], head, model.units)
             inside = tokens.ids >= 0
             log_c = np.where(inside, logs[tokens.ids] if len(logs) else 0.0, 0.0)
-            other = tokens.ids + 1 >= model.units - 1
             out["n_tokens"].append(tokens.counts + 1)
             out["head_known"].append(tokens.per_text(inside & (seen[tokens.ids] if len(seen) else False)) + int(end_seen))
             out["head_log"].append(tokens.per_text(log_c) + end_log)
-            out["other_log"].append(tokens.per_text(np.where(other, log_c, 0.0)))
-            out["n_other"].append(tokens.per_text(other | ~inside))
-            probs = np.concatenate([[0.0], np.cumsum(model.log_probs(tokens.before, tokens.units).astype(np.float64))]) / np.log(10)
+            out["other_log"].append(tokens.per_text(np.where(tokens.other, log_c - below[np.minimum(tokens.word_units, len(below) - 1)], 0.0)))
+            before, after, inverse, _ = distinct_tokens(tokens.before, tokens.units)
+            probs = np.concatenate([[0.0], np.cumsum(model.log_probs(before, after).astype(np.float64)[inverse])]) / np.log(10)
             out["model_log"].append(np.diff(probs[np.concatenate([[0], tokens.ends + 1])]))
         yield {c: batch.column(c) for c in ("doc_id", "held_out", "key")} | {k: np.concatenate(v) if v else [] for k, v in out.items()}
 
-    return map_batches(docs, each, "doc_id long, held_out boolean, key long, n_tokens long, head_known long, head_log double, other_log double, n_other long, model_log double")
+    return map_batches(docs, each, "doc_id long, held_out boolean, key long, n_tokens long, head_known long, head_log double, other_log double, model_log double")
 
 
 def score_corpus(docs: DataFrame, held_out) -> DataFrame:
     """Scores of every row of docs (doc_id, text), learning from the rows that aren't held out."""
     rows = docs.select("doc_id", held_out.alias("held_out"), "text", F.xxhash64("doc_id", "text").alias("key"))
-    training = rows.where("not held_out").select("text")
+    training = rows.where("not held_out").select("doc_id", "text")
     corpus = Corpus(training)
     model = fit(training, corpus)
-    counts, own = corpus.counts, corpus.units - 2  # words that are units
     rare = rare_sums(rows, corpus.head)
     total, kinds = corpus.words + corpus.ends, corpus.kinds + int(corpus.ends > 0)
-    other_n, other_kinds = corpus.words - int(counts[:own].sum()), corpus.kinds - own
-    joined = scored(rows, corpus.head, model, counts, corpus.ends).join(rare, "key", "left").withColumn("copies", F.count("*").over(Window.partitionBy("key")))
+    joined = scored(rows, corpus, model).join(rare, "key", "left").withColumn("copies", F.count("*").over(Window.partitionBy("key")))
     part = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("copies")
     base = F.col("head_log") + part("rare_log") - F.col("n_tokens") * float(np.log10(total + kinds + 1.0))
-    within = F.col("other_log") + part("rare_log") - F.col("n_other") * float(np.log10(other_n + other_kinds + 1.0))
+    within = F.col("other_log") + part("rare_log")
     return joined.select("doc_id", "held_out", "n_tokens", (F.col("head_known") + part("rare_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model_log") + within).alias("score"))
 
 
 def op8_log_bilinear_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability by the model) of all documents.
 
-    A null or empty text is one end; repeated rows give repeated rows; an empty table gives no rows.
+    A null or empty text is one end; a very long text is whole, in blocks; repeated rows give repeated rows;
+    an empty table gives no rows.
     """
     return score_corpus(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), crc_remainder("doc_id", 7) == 2)

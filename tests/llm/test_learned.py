@@ -171,10 +171,16 @@ def test_language_model_scores_by_brute_force(spark, monkeypatch):
     model = lm.fit(docs.where(~held).select("text"), corpus)
     assert corpus.units == 40
     counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.split())
-    unit = {w: int(lm.Tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), corpus.head, 40).units[0]) for w in {*words, "unseen"}}
-    others = [w for w in counts if unit[w] == 0]
-    share = {w: (counts[w] + 1) / (sum(counts[x] for x in others) + len(others) + 1) for w in [*others, "unseen"]}
-    assert sum(share.values()) == pytest.approx(1)
+    own = lambda w: int(lm.Tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), corpus.head, 40).units[0])
+    unit = {w: own(w) for w in {*words, "unseen"}}
+    endings = corpus.head.endings
+    assert endings == 5 and len([w for w in counts if unit[w] >= endings]) == 34
+    share = {}
+    for e in range(endings):
+        others = [w for w in counts if unit[w] == e]
+        for w in [*others, None]:
+            share[e, w] = (counts.get(w, 0) + 1) / (sum(counts[x] for x in others) + len(others) + 1)
+        assert sum(v for (k, _), v in share.items() if k == e) == pytest.approx(1)
 
     def probability(before, u):
         r = sum(model.context[b] * model.place[k] for k, b in enumerate(before))
@@ -188,11 +194,42 @@ def test_language_model_scores_by_brute_force(spark, monkeypatch):
         seen, total = [39, 39], 0.0
         for w in [*t.split(), None]:
             u = 39 if w is None else unit[w]
-            total += math.log10(probability(seen[::-1][:2], u)) + (math.log10(share.get(w, share["unseen"])) if u == 0 else 0)
+            total += math.log10(probability(seen[::-1][:2], u)) + (math.log10(share.get((u, w), share.get((u, None)))) if u < endings else 0)
             seen.append(u)
         assert found[i] == pytest.approx(total, abs=1e-3 * max(1, len(t.split())) ** 0.5)
 
 
+def test_language_model_is_the_same_however_rows_are_split(spark, monkeypatch):
+    """Reruns with 1, 2 and 8 partitions, several parts and a tree of sums; every training token is learnt from."""
+    rng = np.random.default_rng(8)
+    words = [f"w{int(k)}" for k in rng.zipf(1.4, 9000) % 500]
+    rows = [(i, " ".join(words[i * 60 : i * 60 + int(rng.integers(0, 60))])) for i in range(150)] + [(7, "w1 w2 w3")] * 3
+    monkeypatch.setattr(lm, "UNITS", 80)
+    monkeypatch.setattr(lm, "PART_TOKENS", 700)
+    monkeypatch.setattr(lm, "FIRST_ROWS", 10)
+    seen, held = [], crc_remainder("doc_id", 7) == 2
+    for n in (1, 2, 8):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        seen.append(sorted((r.doc_id, r.score, r.base_score) for r in lm.score_corpus(docs, held).collect()))
+    for other in seen[1:]:
+        assert [x[0] for x in other] == [x[0] for x in seen[0]]
+        assert np.allclose([x[1:] for x in other], [x[1:] for x in seen[0]], rtol=1e-5)
+    training = docs.where(~held).select("doc_id", "text")
+    corpus, learner = lm.Corpus(training), None
+    learner = lm.Learner(lm.LogBilinear(corpus.units), 1)
+    sums = {r.piece: np.frombuffer(r.sums, np.float64) for r in lm.learn_everywhere(training, corpus, learner).collect()}
+    flat, model = np.concatenate([sums[k] for k in sorted(sums)]), learner.model
+    assert flat[-lm.CONTEXT :] == pytest.approx(corpus.words + corpus.ends)  # the last weights are of all tokens that were learnt from
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    long = " ".join(f"w{i % 700}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, long), (2, "w1 w2"), (3, long)], "doc_id long, text string")
+    found = {r.doc_id: r for r in lm.score_corpus(docs, F.col("doc_id") == 3).collect()}
+    assert found[3].n_tokens == found[1].n_tokens == 400_001 and found[3].n_known == 400_001
+    assert found[3].score == pytest.approx(found[1].score, rel=1e-6) and found[3].score > found[3].base_score
+
+
 def test_language_model_gains_over_the_unigram_model(spark):
     """Words that follow each other are learnt: held-out texts are likelier than by their counts."""
     rng = np.random.default_rng(2)
