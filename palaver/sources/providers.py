@@ -46,16 +46,21 @@ class ModelError(Exception):
 
 
 class RateLimiter:
-    """Spaces calls so that a partition keeps its share of a number a minute."""
+    """A partition's share of a number of calls a minute: the n-th call since it began is due n gaps after that.
+
+    A partition that has waited long for its answers may catch up by BURST calls, and no further.
+    """
+
+    BURST = 2
 
     def __init__(self, per_minute: float):
-        self.gap, self.next = 60.0 / per_minute, 0.0
+        self.gap, self.began, self.calls = 60.0 / per_minute, time.monotonic(), 0
 
     def acquire(self) -> None:
-        now = time.monotonic()
-        if now < self.next:
-            time.sleep(self.next - now)
-        self.next = max(now, self.next) + self.gap
+        due = int((time.monotonic() - self.began) / self.gap) if self.gap else 0
+        self.calls = max(self.calls, due - self.BURST)
+        time.sleep(max(0.0, self.began + self.calls * self.gap - time.monotonic()))
+        self.calls += 1
 
 
 def backoff(attempt: int, draw: float, base: float = 1.5, most: float = 20.0) -> float:
@@ -97,17 +102,21 @@ def with_keys(requests: DataFrame, namespace: str) -> DataFrame:
     return requests.withColumn("namespace", F.lit(namespace)).withColumn("request_sha256", request_key(body=F.col("body"), namespace=F.lit(namespace)))
 
 
-def call(requests: DataFrame, namespace: str, recorded: DataFrame, make: Callable[[], ModelProvider] = NoProvider, strict: bool = True, policy: Policy = Policy()) -> DataFrame:
+def call(requests: DataFrame, namespace: str, recorded: DataFrame | Callable[[DataFrame], DataFrame], make: Callable[[], ModelProvider] = NoProvider, strict: bool = True, policy: Policy = Policy()) -> DataFrame:
     """Responses to requests (body): recorded ones first, the provider for distinct ones that are left.
 
-    A recorded body that is not JSON counts as missing. What is left is dealt to the policy's number of
+    recorded is a table (namespace, request_sha256, body), or makes one of the keyed requests, as a look-up in a
+    store does. A recorded body that is not JSON, or a model's response that was blocked, cut short or
+    empty, counts as missing. What is left is dealt to the policy's number of
     partitions, each with a provider of its own and its share of the calls a minute (those of the policy,
     unless the provider has a per_minute itself). A failed request
     has a null response and its error in _error, and in strict mode any error raises one summary of all.
     Each request is made once: the responses are kept in the shared folder before they are used.
     """
     keyed = with_keys(requests, namespace)
-    valid = recorded.where(F.col("namespace") == namespace).where(F.try_parse_json("body").isNotNull()).select("request_sha256", F.col("body").alias("response"))
+    recorded = recorded(keyed) if callable(recorded) else recorded
+    text, refused = said(F.col("body"))
+    valid = recorded.where(F.col("namespace") == namespace).where(F.try_parse_json("body").isNotNull()).where(refused.isNull()).select("request_sha256", text.alias("response"))
     missing = keyed.select("request_sha256", "body").distinct().join(valid, "request_sha256", "left_anti")
 
     def run(batches):
@@ -124,7 +133,9 @@ def call(requests: DataFrame, namespace: str, recorded: DataFrame, make: Callabl
                     out.append((key, None, policy.shown(error)))
             yield pd.DataFrame(out, columns=["request_sha256", "response", "_error"])
 
-    fresh = cut(missing.repartition(policy.partitions, "request_sha256").mapInPandas(run, "request_sha256 string, response string, _error string"))
+    fresh = missing.repartition(policy.partitions, "request_sha256").mapInPandas(run, "request_sha256 string, response string, _error string")
+    text, refused = said(F.col("response"))
+    fresh = cut(fresh.select("request_sha256", text.alias("response"), F.coalesce("_error", refused).alias("_error")))
     every = valid.withColumn("_error", F.lit(None).cast("string")).unionByName(fresh)
     joined = keyed.join(every, "request_sha256", "left")
     if strict:
@@ -134,6 +145,13 @@ def call(requests: DataFrame, namespace: str, recorded: DataFrame, make: Callabl
     return joined
 
 
+def said(body: Column) -> tuple[Column, Column]:
+    """The text of a response and why there is none: that of a model's JSON response, and any other body as it is."""
+    text, error = response_text(body)
+    whole = F.coalesce(F.from_json(body, RESPONSE)["candidates"].isNotNull() | F.from_json(body, RESPONSE)["promptFeedback"].isNotNull(), F.lit(False))
+    return F.when(whole, text).otherwise(body), F.when(whole, error)
+
+
 def parsed(response: Column, schema: str) -> Column:
     """A response body under its declared schema, null where it doesn't parse."""
     return F.from_json(strip_fence(response), schema)

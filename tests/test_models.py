@@ -1,6 +1,7 @@
 """The model steps against scripted providers: batches, checks, splits and fallbacks."""
 
 import functools
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,36 @@ from palaver.functions import text as tx
 from palaver.operators import graph as gr
 from palaver.operators import models as md
 from palaver.operators import segments as sg
-from palaver.plans.models import Scripted, announce, nothing_recorded, scripted, see
+
+
+class Scripted:
+    """A provider whose responses are a function of the request; nothing paces it."""
+
+    per_minute = float("inf")
+
+    def __init__(self, rule):
+        self.rule = rule
+
+    def respond(self, namespace, body):
+        return json.dumps(self.rule(json.loads(body)))
+
+
+def scripted(rule):
+    return functools.partial(Scripted, rule)
+
+
+def nothing_recorded(spark):
+    return spark.createDataFrame([], "namespace string, request_sha256 string, body string")
+
+
+def see(body):
+    return {"frames": [{"frame_index": i, "setting": " hall ", "onscreen_text": None, "chyron_name": p if i % 2 == 0 else "", "chyron_role": "", "person_standing": i % 3 == 0, "standing_description": ""} for i, p in reversed(list(enumerate(body["images"])))]}
+
+
+def announce(body):
+    ids = [line[1 : line.index("]")] for line in body["lines"]]
+    found = [{"segment_id": s, "announced_name": f"N{s}", "announced_role": "", "quote": "q"} for s in ids[::3]]
+    return {"introductions": [*found, {"segment_id": ids[0], "announced_name": "again", "announced_role": "", "quote": ""}, {"segment_id": "S0", "announced_name": "x", "announced_role": "", "quote": ""}]}
 
 
 def drop_one(body):
@@ -123,3 +153,35 @@ def test_small_functions(spark):
     assert tuple(row) == ("C1", "x_y_z", "key=***", "key=abc", "frame_000032.jpg", 3.75, 6.0, {"a": 1, "b": 2}, True, False, None)
     members = spark.createDataFrame([(1, "A", "அ", "P", ["MLA"]), (2, "B", None, "P", ["Minister"]), (3, "C", None, "P", [])], "ord long, name string, tamil_name string, party_code string, current_roles array<string>")
     assert [r.line for r in sg.names_hint(members, 2).collect()] == ["-  (B, P, Minister)", "- அ (A, P, MLA)"]
+
+
+def test_table_functions_batch_and_answer(spark):
+    """Batches keep order and columns of any type; two failing calls leave the other rows; a provider answers what is not recorded."""
+    from palaver.operators import calls
+
+    rows = spark.createDataFrame([(f"v{i % 2}", i, [f"t{i}"]) for i in range(95)], "video_id string, id long, texts array<string>").repartition(4)
+    sent = calls.in_batches(rows, ["video_id"], [F.col("id").asc()], 15)
+    assert sent.schema.simpleString() == "struct<video_id:string,batch:bigint,items:array<struct<id:bigint,texts:array<string>>>>"
+    got = {(r.video_id, r.batch): [x.id for x in r["items"]] for r in sent.collect()}
+    for v in (0, 1):
+        ids = [i for i in range(95) if i % 2 == v]
+        assert [got[f"v{v}", b] for b in range(4)] == [ids[b * 15 : b * 15 + 15] for b in range(4)]
+    requests = sent.select("video_id", "batch", F.concat_ws("-", "video_id", F.col("batch").cast("string")).alias("body"))
+    from palaver.functions.text import request_key
+
+    say = lambda t, reason="STOP": json.dumps({"candidates": [{"finishReason": reason, "content": {"parts": [{"text": t}]}}]})
+    bodies = {"v0-0": '{"n": 1}', "v0-1": "{broken", "v0-2": say('```json\n{"n": 3}\n```'), "v0-3": say("", "SAFETY")}
+    known = spark.createDataFrame(list(bodies.items()), "asked string, body string")
+    recorded = known.select(F.lit("ns").alias("namespace"), request_key(body=F.col("asked"), namespace=F.lit("ns")).alias("request_sha256"), "body")
+    done = {r.body: (r.answer and r.answer.n, r._error) for r in calls.answers(requests, "ns", "n int", recorded).collect()}
+    none = "no model provider is configured for ns; give one, or a table of recorded responses"
+    assert done == {"v0-0": (1, None), "v0-1": (None, "parse"), "v0-2": (3, None), "v0-3": (None, "blocked"), **{f"v1-{b}": (None, none) for b in range(4)}}
+    live = calls.answers(requests, "ns", "n int", recorded, Seven)
+    assert {r.answer and r.answer.n for r in live.where("video_id = 'v1'").collect()} == {7}
+
+
+class Seven:
+    per_minute = float("inf")
+
+    def respond(self, namespace, body):
+        return '{"n": 7}'
