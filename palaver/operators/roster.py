@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.text import normalise_name
 from palaver.session import bounded
 
-#: Aliases of a roster that names are matched by similarity with, at most; a larger roster is refused.
-ROSTER_ROWS = 100_000
-
-
 def alias_index(aliases: DataFrame) -> DataFrame:
     """alias and member_id for aliases (member_id, alias) that only one member has."""
     named = aliases.select("member_id", normalise_name(F.col("alias")).alias("alias")).where("alias <> ''")
@@ -23,37 +20,49 @@ def resolve_exact(names: DataFrame, index: DataFrame) -> DataFrame:
     return names.withColumn("alias", normalise_name(F.col("name"))).join(index, "alias", "left")
 
 
+def similar_pairs(names: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
+    """name and alias of every pair of names (name) and known (alias) that can have a similarity of ``cutoff`` or more.
+
+    A similarity of c leaves at most (1 - c) of both texts' characters, say k, out of the common
+    blocks. So of k + 1 equal parts of the alias one at least stands whole in the name, k places away at
+    most. Aliases are found by their parts and both lengths, an equi-join; no pair of other texts is made.
+    """
+    share = 1 - cutoff
+    slack = lambda a, b: F.floor((a + b) * share + 1e-9).cast("int")
+    # the other text is at least so long, as no more than the shorter one can be common
+    low, high = (lambda n: F.ceil(n * cutoff / (2 - cutoff) - 1e-9).cast("int")), (lambda n: F.floor(n * (2 - cutoff) / cutoff + 1e-9).cast("int"))
+    part = lambda i, n, parts: F.expr(f"{i} * {n} div {parts}").cast("int")
+    a = known.select("alias", F.length("alias").alias("la")).where("la > 0")
+    a = a.withColumn("lb", F.explode(F.sequence(low(F.col("la")), high(F.col("la"))))).withColumn("k", slack(F.col("la"), F.col("lb")))
+    a = a.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("at", part("i", "la", "(k + 1)")).withColumn("size", part("(i + 1)", "la", "(k + 1)") - F.col("at"))
+    a = a.select("alias", "la", "lb", "i", F.expr("substring(alias, at + 1, size)").alias("piece"))
+    b = names.select("name", F.length("name").alias("lb")).where("lb > 0")
+    b = b.withColumn("la", F.explode(F.sequence(low(F.col("lb")), high(F.col("lb"))))).withColumn("k", slack(F.col("la"), F.col("lb")))
+    b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("at", part("i", "la", "(k + 1)")).withColumn("size", part("(i + 1)", "la", "(k + 1)") - F.col("at"))
+    b = b.withColumn("p", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("k")), F.greatest(F.lit(0), F.least(F.col("lb") - F.col("size"), F.col("at") + F.col("k"))))))
+    b = b.select("name", "la", "lb", "i", F.expr("substring(name, p + 1, size)").alias("piece")).distinct()
+    return a.join(b, ["la", "lb", "i", "piece"]).select("name", "alias").distinct()
+
+
 def resolve(names: DataFrame, index: DataFrame, cutoff: float = 0.88) -> DataFrame:
-    """Exact aliases first; only distinct names that are left are compared by similarity.
+    """Exact aliases first; only distinct names that are left are compared by similarity, with the aliases that can have it.
 
-    The similarity is the Ratcliff-Obershelp ratio; equal ratios go to the larger alias. The index is
-    a closed roster: it is counted, and one above ROSTER_ROWS is refused rather than broadcast.
+    The similarity is the Ratcliff-Obershelp ratio of a pair, which tasks compute for pairs that the join
+    has made; the best pair of a name is an aggregate, and of equal ratios that of the larger alias.
     """
     found = resolve_exact(names, index)
-    rows = index.limit(ROSTER_ROWS + 1).collect()
-    if len(rows) > ROSTER_ROWS:
-        raise ValueError(f"a roster of more than {ROSTER_ROWS} aliases can't be matched by similarity")
-    known = sorted(((r.alias, r.member_id) for r in rows), reverse=True)
-
-    def match(batches):
-        import difflib
-
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for alias in pdf["alias"]:
-                best = (cutoff, None)
-                for text, member in known:
-                    ruler = difflib.SequenceMatcher(None, text, alias)
-                    if ruler.real_quick_ratio() >= best[0] and ruler.quick_ratio() >= best[0] and (ratio := ruler.ratio()) >= best[0] and (best[1] is None or ratio > best[0]):
-                        best = (ratio, member)
-                out.append(best[1])
-            yield pd.DataFrame({"alias": pdf["alias"], "fuzzy_id": pd.array(out, dtype="object")})
-
-    kind = index.schema["member_id"].dataType.simpleString()
-    rest = found.where("member_id is null").select("alias").distinct()
-    fuzzy = rest.mapInPandas(match, f"alias string, fuzzy_id {kind}")
+    rest = found.where("member_id is null and alias <> ''").select(F.col("alias").alias("name")).distinct()
+
+    def rate(batches):
+        from difflib import SequenceMatcher
+
+        for batch in batches:
+            ratios = [SequenceMatcher(None, known, name).ratio() for name, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ratios, pa.float64())], names=["name", "alias", "ratio"])
+
+    rated = similar_pairs(rest, index.select("alias"), cutoff).mapInArrow(rate, "name string, alias string, ratio double").where(F.col("ratio") >= cutoff)
+    best = rated.groupBy("name").agg(F.max(F.struct("ratio", "alias")).alias("b")).select("name", F.col("b.alias").alias("alias"))
+    fuzzy = best.join(index, "alias").select(F.col("name").alias("alias"), F.col("member_id").alias("fuzzy_id"))
     return found.join(fuzzy, "alias", "left").withColumn("member_id", F.coalesce("member_id", "fuzzy_id")).drop("fuzzy_id")
 
 
@@ -98,12 +107,13 @@ OFFICES = {
 }
 
 
-def resolve_office(texts: DataFrame, members: DataFrame, longest_first: bool = True) -> DataFrame:
+def resolve_office(texts: DataFrame, members: DataFrame, longest_first: bool = True, word_start: bool = False) -> DataFrame:
     """text and member_id of the one holder of the office that a text names, null where none is.
 
     Portfolios come before offices, each in its order, and a term whose office has several holders is
     passed over. longest_first lets a longer office term hide a shorter one inside it, so "Deputy
-    Speaker" is not read as "Speaker"; without it, terms are tried in order alone.
+    Speaker" is not read as "Speaker"; without it, terms are tried in order alone. With ``word_start`` a term counts only
+    where a word begins, so that a short one is not read inside another word.
     """
     spark = texts.sparkSession
     terms = [(i, term, keyword, True) for i, (term, keyword) in enumerate(PORTFOLIOS.items())]
@@ -114,7 +124,10 @@ def resolve_office(texts: DataFrame, members: DataFrame, longest_first: bool = T
     ministers = members.where(F.contains(role, F.lit("minister"))).join(F.broadcast(keywords), F.contains(role, F.lower("office")))
     ministers = ministers.groupBy("office").agg(F.count_distinct("member_id").alias("n"), F.min("member_id").alias("member_id")).where("n = 1").select(F.col("office").alias("wanted"), "member_id", F.lit(True).alias("portfolio"))
     offices = unique_holders(members, spark.createDataFrame([(o,) for o in OFFICES], "office string")).select(F.col("office").alias("wanted"), "member_id", F.lit(False).alias("portfolio"))
-    named = texts.select("text").distinct().join(F.broadcast(vocabulary), F.contains(F.lower("text"), F.lower("term")))
+    there = F.contains(F.lower("text"), F.lower("term"))
+    if word_start:
+        there = F.rlike(F.lower("text"), F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])\Q"), F.lower("term"), F.lit(r"\E")))
+    named = texts.select("text").distinct().join(F.broadcast(vocabulary), there)
     if longest_first:
         longer = named.select("text", F.col("term").alias("over"), F.col("portfolio").alias("over_portfolio"))
         hidden = named.join(longer, "text").where((F.col("term") != F.col("over")) & ~F.col("portfolio") & ~F.col("over_portfolio") & F.contains(F.lower("over"), F.lower("term"))).select("text", "term").distinct()

@@ -175,3 +175,30 @@ def test_names_by_blocks_and_slices(spark, monkeypatch):
     assert {tuple(r) for r in made.collect()} == expected and made.count() == len(expected)
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_similar_names_equal_all_pairs(spark):
+    """The best alias of each name by comparing all pairs, against the join by parts."""
+    import difflib
+    import random
+
+    rng = random.Random(5)
+    known = sorted({"".join(rng.choice("abcde ") for _ in range(rng.randint(1, 24))).strip().upper() for _ in range(150)} - {""})
+    spoilt = lambda t: "".join(c for c in t if rng.random() > 0.07) + rng.choice(["", "A", "BC"])
+    names = sorted({spoilt(rng.choice(known)).strip() for _ in range(200)} - {""})
+    index = rs.alias_index(spark.createDataFrame([(str(i), a) for i, a in enumerate(known)], "member_id string, alias string"))
+    rows = {r.alias: r.member_id for r in index.collect()}
+    expected = {}
+    for n in names:
+        bare = " ".join(n.split())
+        close = difflib.get_close_matches(bare, sorted(rows), n=1, cutoff=0.88)
+        expected[n] = rows.get(bare) or (rows[close[0]] if close else None)
+    found = {r.name: r.member_id for r in rs.resolve(spark.createDataFrame([(n,) for n in names], "name string"), index).collect()}
+    assert found == expected and sum(v is not None for v in expected.values()) > 100
+
+
+def test_office_terms_at_word_starts(spark):
+    members = spark.createDataFrame([(3, "Minister — Finance")], "member_id long, role string")
+    texts = spark.createDataFrame([("நிதி அமைச்சர்",), ("அநிதி",)], "text string")
+    found = lambda **k: {r.text: r.member_id for r in rs.resolve_office(texts, members, **k).collect()}
+    assert found() == {"நிதி அமைச்சர்": 3, "அநிதி": 3} and found(word_start=True) == {"நிதி அமைச்சர்": 3, "அநிதி": None}
