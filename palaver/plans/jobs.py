@@ -84,17 +84,77 @@ def job_machine(spark, folder):
     return found
 
 
-@query(f"""WITH {TALK}, t AS (SELECT {sql_video('o_orderkey')} AS video_id, {sql_ordinal('o_orderkey')} AS n, epoch_us(o_orderdate) / 1000000.0 AS t FROM orders)
+EXPORTED = f"""WITH {TALK}, t AS (SELECT {sql_video('o_orderkey')} AS video_id, {sql_ordinal('o_orderkey')} AS n, epoch_us(o_orderdate) / 1000000.0 AS t FROM orders)
 SELECT 'node' AS side, me.video_id, me.key, NULL AS target, NULL AS rel_type, CAST(arg_min(coalesce(t, 0), me.n) AS BIGINT) AS first_seen_s FROM me LEFT JOIN t ON t.video_id = me.video_id AND t.n = me.n GROUP BY me.video_id, me.key
-UNION ALL SELECT DISTINCT 'edge', video_id, source, target, 'DISCUSSED', NULL FROM di""")
+UNION ALL SELECT DISTINCT 'edge', video_id, source, target, 'DISCUSSED', NULL FROM di"""
+
+
+@query(EXPORTED)
 def graph_export(spark, folder):
+    return exported(*graph(spark, folder))
+
+
+def graph(spark, folder):
+    """Nodes with first_seen_s and typed edges of each recording."""
     from palaver.plans.base import millis
     from palaver.sources.artifacts import export_graph
 
     nodes = assembled(spark, folder)
     segments = placed(table(spark, folder, "orders"), "o_orderkey").select("video_id", "ordinal", (millis("o_orderdate") / 1000).alias("t_start"))
     edges = gr.discussed_edges(nodes, spoken(spark, folder), KEYS)
-    out, typed = export_graph(nodes, edges, segments)
+    return export_graph(nodes, edges, segments)
+
+
+def exported(out, typed):
     none = F.lit(None).cast("string")
     rows = out.select(F.lit("node").alias("side"), "video_id", "key", none.alias("target"), none.alias("rel_type"), F.col("first_seen_s").cast("long").alias("first_seen_s"))
     return rows.unionByName(typed.select(F.lit("edge").alias("side"), "video_id", F.col("source").alias("key"), "target", "rel_type", F.lit(None).cast("long").alias("first_seen_s")))
+
+
+@query(EXPORTED)
+def graph_store(spark, folder):
+    """The same from a graph store: all recordings written with a false first second, half of them deleted, and all written again."""
+    import uuid
+
+    from palaver.sources import datasources as ds
+
+    ds.register(spark)
+    root, (nodes, edges) = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}", graph(spark, folder)
+    rows = cut(exported(nodes, edges))
+    put = lambda df: df.write.format(ds.STORE).mode("append").option("path", root).save()
+    put(rows.withColumn("first_seen_s", F.lit(-1).cast("long")))
+    ds.delete(root, [f"V{i}" for i in range(0, 40, 2)])
+    put(rows)
+    half = [f"V{i}" for i in range(20)]
+    found = ds.read(spark, ds.STORE, root, half).unionByName(ds.read(spark, ds.STORE, root).where(~F.col("video_id").isin(half)))
+    found = cut(found)
+    remove_folder(spark, root)
+    return found
+
+
+LOGS = 60
+
+
+@query(f"""WITH {EVENTS}, b AS (SELECT min(t) AS t0 FROM ev), l AS (SELECT 'V' || CAST(user_id % {LOGS} AS VARCHAR) AS video_id, row_number() OVER (PARTITION BY user_id % {LOGS} ORDER BY t, event_id) - 1 AS seq, CASE event_type WHEN 'error' THEN 'silence_start' WHEN 'click' THEN 'silence_end' WHEN 'view' THEN 'cut' END AS kind, t - t0 AS t FROM ev, b)
+SELECT video_id, seq, kind, t FROM l WHERE kind IS NOT NULL""")
+def tool_log_events(spark, folder):
+    """Events as the lines of media tools, a file a recording, read back by the source of such logs, half of the recordings at a time."""
+    import uuid
+
+    from palaver.sources import datasources as ds
+
+    ds.register(spark)
+    e = events(spark, folder)
+    begin = e.agg(F.min("t").alias("t0"))  # one row
+    at = F.format_string("%.3f", (F.col("t") - F.col("t0")) / 1000)
+    kind = F.col("event_type")
+    line = F.when(kind == "error", F.concat(F.lit("[silencedetect] silence_start: "), at)).when(kind == "click", F.concat(F.lit("[silencedetect] silence_end: "), at, F.lit(" | silence_duration: 1")))
+    line = line.when(kind == "view", F.concat(F.lit("frame: pts_time:"), at, F.lit(" score"))).otherwise("size=N/A")
+    name = F.concat(F.lit("V"), (F.col("user_id") % LOGS).cast("string"))
+    rows = e.crossJoin(F.broadcast(begin)).select(name.alias("video_id"), "t", "event_id", line.alias("value"))
+    root = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    rows.repartition("video_id").sortWithinPartitions("video_id", "t", "event_id").select("video_id", "value").write.partitionBy("video_id").text(root)
+    names = [f"V{i}" for i in range(LOGS)]
+    found = cut(ds.read(spark, ds.TOOL_LOG, root, names[::2]).unionByName(ds.read(spark, ds.TOOL_LOG, root, names[1::2])))
+    remove_folder(spark, root)
+    return found
