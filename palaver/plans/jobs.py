@@ -158,3 +158,45 @@ def tool_log_events(spark, folder):
     found = cut(ds.read(spark, ds.TOOL_LOG, root, names[::2]).unionByName(ds.read(spark, ds.TOOL_LOG, root, names[1::2])))
     remove_folder(spark, root)
     return found
+
+
+@query("SELECT 'V' || CAST(conv_id % 25 AS VARCHAR) AS video_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS n_chars, conv_id % 25 IN (0, 3, 7) AS remade FROM conversations GROUP BY conv_id % 25")
+def phase_refresh(spark, folder):
+    """A phase made from conversations of which two recordings were others and one was missing, then refreshed from those that are."""
+    import uuid
+
+    from palaver.sources import phases as ph
+
+    number = F.col("conv_id") % 25
+    conv = table(spark, folder, "conversations").select(F.concat(F.lit("V"), number.cast("string")).alias("video_id"), "conv_id", "turn", "text")
+    before = conv.where(number != 7).withColumn("text", F.when(number.isin(0, 3), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    make = lambda turns: turns.groupBy("video_id").agg(F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("n_chars"))
+    root = f"{shared_folder(spark)}/phases-{uuid.uuid4().hex}"
+    ph.refresh(spark, root, "turns", {"turns": before}, make)
+    remade = ph.refresh(spark, root, "turns", {"turns": conv}, make).withColumn("remade", F.lit(True))
+    found = spark.read.parquet(f"{root}/turns").select("video_id", "n_turns", "n_chars").join(remade, "video_id", "left")
+    found = cut(found.withColumn("remade", F.coalesce("remade", F.lit(False))))
+    remove_folder(spark, root)
+    return found
+
+
+@query("SELECT 'V' || CAST(conv_id AS VARCHAR) AS video_id, count(*) AS n, CAST(max(t_end) AS BIGINT) AS duration FROM (SELECT conv_id, sum(greatest(1000, length(text) * 60)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t_end FROM conversations) GROUP BY conv_id")
+def checked_write(spark, folder):
+    """Segments written by one job that checks that they are a partition of each recording's time and cover half of its speech, and counts them."""
+    import uuid
+
+    from pyspark.sql import Window as W
+
+    from palaver.plans.base import segments
+    from palaver.sources import checks as ck
+
+    keys = ["video_id"]
+    rows = segments(spark, folder).select(F.concat(F.lit("V"), F.col("conv_id").cast("string")).alias("video_id"), (F.col("t_start") / 1000).alias("t_start"), (F.col("t_end") / 1000).alias("t_end"))
+    rows = rows.withColumn("duration", F.max("t_end").over(W.partitionBy("video_id")))
+    speech = rows.groupBy("video_id").agg(F.max("duration").alias("duration")).withColumn("ratio", F.lit(1.0))
+    path = f"{shared_folder(spark)}/checked-{uuid.uuid4().hex}"
+    checked = ck.partitions_of_time(ck.covering(rows, keys, speech), keys)
+    ck.write_observed(checked, path, {"n": F.count("*"), "negative": F.count_if(F.col("t_start") < 0)}, lambda m: f"{m['negative']} of {m['n']} segments begin before 0" if m["negative"] else None)
+    found = cut(spark.read.parquet(path).groupBy("video_id").agg(F.count("*").alias("n"), F.round(F.max("t_end") * 1000).cast("long").alias("duration")))
+    remove_folder(spark, path)
+    return found
