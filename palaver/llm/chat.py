@@ -59,7 +59,11 @@ def render(conversations: DataFrame) -> DataFrame:
 
 
 def op10_snapshot_collapse_chat(spark: SparkSession, folder: str) -> DataFrame:
-    """conv_id, n_turns, n_copies, n_chars and the SHA-256 of each rendered conversation."""
+    """conv_id, n_turns, n_copies, n_chars and the SHA-256 of each rendered conversation.
+
+    Null roles are ``unknown`` and null texts empty; rows of a null conv_id are one conversation; repeated rows are
+    turns; of equal conversations the smallest id stays; an empty table gives no rows.
+    """
     done = render(spark.read.parquet(f"{folder}/conversations.parquet"))
     return done.select("conv_id", "n_turns", "n_copies", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
 

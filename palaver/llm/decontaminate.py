@@ -13,7 +13,9 @@ so its size does not depend on either table. With several blocks, the scan is re
 each pass adds its spans and items to the row, with no shuffle and no join.
 
 Null and word-less texts have no words and no hits. Repeated rows give repeated rows. A null item id
-counts as the empty string; repeated item ids count once.
+counts as the empty string; repeated item ids count once. Windows that tie in rarity are looked up by their first
+shingle; which one does not change what is found. A very long text is a block of its own. Columns of the input named
+_words, _spans or _items are replaced, others kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -215,7 +217,7 @@ def merged(spans: list[tuple[int, int]]) -> bytes:
 
 def mark(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """docs (with a text column) with _words, _spans and _items for items (item_id, text)."""
-    made = None
+    docs, made = docs.drop("_words", "_spans", "_items"), None
     for index in item_blocks(items, width):
         index.order(shingle_counts(docs, index))
         made = scan(docs if made is None else cut(made), index)

@@ -18,8 +18,10 @@ shuffle, where adaptive execution splits the partitions of common keys.
 Everything is DataFrame functions: no Python runs on the executors.
 
 Null texts have no lines and stay null. A null source is a site of its own. Repeated rows (same id
-and text) are treated alike: the copy of a line that stays, stays in each of them. Columns of the
-input whose names clash with the operator's own are kept as they are.
+and text) are treated alike: the copy of a line that stays, stays in each of them. Ties between documents
+that hold a line go by id, then text hash, then place, so none is left open. A very long text is one row of the
+scans, split into its lines there. Columns of the input whose names clash with the operator's own are kept
+as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -112,7 +114,11 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def op4_site_spread_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, n_lines, n_removed and the SHA-256 of the text that is left, for every document."""
+    """doc_id, n_lines, n_removed and the SHA-256 of the text that is left, for every document.
+
+    A null text has no lines and the hash of the empty text; repeated rows are treated alike; a null source is a
+    site; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source")
     return dedup_lines(docs).select("doc_id", F.col("line_count").alias("n_lines"), F.col("lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

@@ -22,7 +22,9 @@ The driver holds a row for each source and shard, PLAN_ROWS at most, which is ch
 than MAX_SOURCES sources is refused.
 
 Null and word-less texts have size 0 and nothing is taken of them. Repeated rows are rows of their
-own. Reruns agree; rows that tie in every column are interchangeable.
+own. Reruns agree; rows that tie in every column are interchangeable. A very long text is cut at block edges as
+any other. Columns whose names clash with the operator's own (mix_...) are replaced in mix_sources and not looked at
+elsewhere. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -206,6 +208,10 @@ def joined_spans(text: Column, spans: Column, words: Column, part: Column) -> Co
 
 
 def op5_sainte_lague_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document; texts are not shuffled."""
+    """doc_id, size, source_size, target and taken of every document; texts are not shuffled.
+
+    Null and word-less texts have size 0 and nothing taken; a null source is a source; repeated rows are rows of
+    their own; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     return mix(sizes_of(docs)).select("doc_id", "size", "source_size", "target", "taken")

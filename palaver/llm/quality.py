@@ -140,6 +140,7 @@ def judge(docs: DataFrame) -> DataFrame:
 def op7_weak_supervision_quality(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior and votes of all documents.
 
-    Null and empty texts have no words and fail; repeated rows are judged alike; an empty table gives no rows.
+    Null and empty texts have no words and fail; a very long text is counted whole, in its row's own arrays; repeated
+    rows are judged alike; an empty table gives no rows.
     """
     return judge(spark.read.parquet(f"{folder}/documents.parquet"))
