@@ -108,8 +108,10 @@ def cache_antijoin(spark, folder):
 
 @query("SELECT source, batch, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 15 AS batch FROM documents) x GROUP BY source, batch")
 def batch_membership(spark, folder):
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    rows = table(spark, folder, "documents").select("doc_id", "source", F.floor(place / 15).alias("batch"))
+    from palaver.operators.ranks import ranked_rows
+
+    placed = ranked_rows(table(spark, folder, "documents").select("doc_id", "source"), ["source"], [F.col("doc_id").asc()])
+    rows = placed.select("doc_id", "source", F.expr("(rank - 1) div 15").alias("batch"))
     return rows.groupBy("source", "batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
