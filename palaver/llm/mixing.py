@@ -23,8 +23,8 @@ than MAX_SOURCES sources is refused.
 
 Null and word-less texts have size 0 and nothing is taken of them. Repeated rows are rows of their
 own. Reruns agree; rows that tie in every column are interchangeable. A very long text is cut at block edges as
-any other. Columns whose names clash with the operator's own (mix_...) are replaced in mix_sources and not looked at
-elsewhere. An empty table gives no rows.
+any other. Columns of the input are kept as they are, whatever their names; the operator's own come after them. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
