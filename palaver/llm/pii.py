@@ -10,8 +10,10 @@ stands makes its lexical patterns:
 
 Spark scores the graph of patterns and distinct instances round by round. A pattern's confidence in a
 kind is the sum of its instances' scores in that kind over the number of its instances: seeds count 1
-for their kind; what the rules found and refused, and what has no identifier's form, count against;
-an instance that is not yet known counts UNKNOWN_WEIGHT against. A pattern is trusted from LEAST_SUPPORT and
+for their kind; an instance that is not yet known counts UNKNOWN_WEIGHT against. A pattern with a shape is judged
+by the instances whose form allows the kind (a number that fails a card's checksum says nothing of those that
+pass it); one of words alone by all of them, so that what the rules found and refused, and what has no
+identifier's form, count against it. A pattern is trusted from LEAST_SUPPORT and
 LEAST_CONFIDENCE on. An unknown instance gets the confidence of its best trusted pattern whose kind
 its form allows, and so takes part in the next round. After the last round each unknown string with a
 trusted pattern is a span. So a phone that runs into the next number, which the base rule refuses as
@@ -228,10 +230,13 @@ def pattern_scores(edges: DataFrame, scores: DataFrame) -> DataFrame:
     """pattern, kind and confidence of the trusted patterns, from edges (pattern, value, known, forms) and scores (value, kind, score)."""
     rows = edges.join(scores, "value", "left")
     weight = F.when(F.col("known") | F.col("score").isNotNull(), 1.0).otherwise(UNKNOWN_WEIGHT)
-    sums = [F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(f"s{k}") for k in range(len(KINDS))]
-    totals = rows.groupBy("pattern").agg(F.sum(weight).alias("n"), *sums)
-    best = F.array_max(F.array(*[F.struct(F.col(f"s{k}").alias("s"), F.lit(k).alias("kind")) for k in range(len(KINDS))]))
-    scored = totals.select("pattern", best.alias("b"), "n").select("pattern", "b.kind", F.col("b.s").alias("support"), (F.col("b.s") / F.col("n")).alias("confidence"))
+    any_form = F.substring("pattern", 1, 1).isin("W", "V")
+    kinds = range(len(KINDS))
+    sums = [F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(f"s{k}") for k in kinds]
+    counts = [F.sum(F.when(any_form | F.array_contains("forms", k), weight).otherwise(0.0)).alias(f"n{k}") for k in kinds]
+    totals = rows.groupBy("pattern").agg(*sums, *counts)
+    best = F.array_max(F.array(*[F.struct(F.col(f"s{k}").alias("s"), F.lit(k).alias("kind"), F.col(f"n{k}").alias("n")) for k in kinds]))
+    scored = totals.select("pattern", best.alias("b")).select("pattern", "b.kind", F.col("b.s").alias("support"), (F.col("b.s") / F.col("b.n")).alias("confidence")).where("support > 0")
     return scored.where((F.col("support") >= LEAST_SUPPORT) & (F.col("confidence") >= LEAST_CONFIDENCE))
 
 
@@ -244,7 +249,7 @@ def trusted(found: DataFrame) -> DataFrame:
     seeds = edges.where("best >= 0").select("value", F.col("best").alias("kind"), F.lit(1.0).alias("score")).distinct()
     scores, before = seeds, -1
     for _ in range(ROUNDS):
-        good = cut(pattern_scores(edges.select("pattern", "value", "known"), scores))
+        good = cut(pattern_scores(edges.select("pattern", "value", "known", "forms"), scores))
         fits = edges.where("not known").join(bounded(good), "pattern").where(F.array_contains("forms", F.col("kind")))
         new = cut(fits.groupBy("value").agg(F.max(F.struct(F.col("confidence").alias("score"), "kind")).alias("b")).select("value", "b.kind", "b.score"))
         many = new.count()

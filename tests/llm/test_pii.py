@@ -57,6 +57,8 @@ def corpus():
         rows.append((100 + i, f"kelo {i % 9}b mora+ phone: +1 ({200 + i}) 555-{1000 + i} tesu, w{i}a", "en", "a", 0))
         rows.append((1000 + i, f"oro card {card(i)} linu", "en", "a", 0))
         rows.append((2000 + i, f"ip 10.{i}.3.4 and user{i}@mail.example.com.", "en", "a", 0))
+    for i in range(90):  # numbers as long as cards that are none
+        rows.append((3000 + i, f"oro w{i} {card(i)[:-1]}{(int(card(i)[-1]) + 1) % 10} linu", "en", "a", 0))
     rows.append((5000, f"kelo +1 (999) 555-1234 {card(777)} tesu", "en", "b", 0))  # both are refused by the base rules
     rows.append((5001, "kelo phone: 555 0147 29 tesu", "en", "b", 0))  # a form of its own, behind words that stand before phones
     rows.append((5002, "clean: 4111 1111 1111 1112 of 300.1.1.1, 12 and 555 0147 29 and Version 2.0.", "en", "b", 0))
