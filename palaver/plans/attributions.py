@@ -140,3 +140,25 @@ def role_unique_holder(spark, folder):
 SELECT a.s_suppkey AS member_id, p.place, b.s_suppkey AS decoy FROM r a JOIN (SELECT unnest(range(1, 5)) AS place) p ON p.place < a.n JOIN r b ON b.s_nationkey = a.s_nationkey AND b.at = (a.at + p.place) % a.n""")
 def lineup_sample(spark, folder):
     return at.decoys(table(spark, folder, "supplier").select(F.col("s_suppkey").alias("member_id"), "s_nationkey"), ["s_nationkey"])
+
+
+@query("SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'A' WHEN 'system' THEN 'M0' END AS member, CAST(CASE role WHEN 'assistant' THEN 0.85 WHEN 'system' THEN 0.7 END AS DOUBLE) AS confidence, role = 'system' AS procedure FROM conversations")
+def presiding_turns(spark, folder):
+    """Turns that announce are the presiding member's, where no one else is named."""
+    named = F.col("role") == "assistant"
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", F.when(named, "A").alias("member"), (F.col("role") == "system").alias("announced"), F.when(named, F.lit(0.85)).alias("confidence"))
+    return at.presiding(turns, "M0").select("conv_id", "turn", "member", "confidence", F.col("kinds_procedure").alias("procedure"))
+
+
+@query("""WITH k AS (SELECT * FROM (VALUES (0, 'Finance', 'நிதி'), (1, 'Health', 'சுகாதார'), (2, 'Law', 'சட்டத்துறை'), (3, 'Industries', 'தொழில்')) v(i, word, term)),
+m AS (SELECT i, count(DISTINCT s_suppkey) AS n, min(s_suppkey) AS member_id FROM k LEFT JOIN supplier ON s_suppkey IN (3, 4, 7) AND s_suppkey % 4 = i GROUP BY i)
+SELECT doc_id, CASE WHEN m.n = 1 THEN m.member_id END AS member_id FROM documents JOIN k ON k.i = doc_id % 4 JOIN m ON m.i = k.i""")
+def office_named(spark, folder):
+    """Announcements of portfolios in Tamil: suppliers 3, 4 and 7 are ministers, 3 and 7 of one portfolio, which is then no one's."""
+    number = lambda c: F.when(F.col(c) % 4 == 0, "Finance").when(F.col(c) % 4 == 1, "Health").when(F.col(c) % 4 == 2, "Law").otherwise("Industries")
+    held = table(spark, folder, "supplier").where(F.col("s_suppkey").isin(3, 4, 7)).select(F.col("s_suppkey").alias("member_id"), F.concat(F.lit("Minister — "), number("s_suppkey")).alias("role"))
+    place = F.col("doc_id") % 4
+    term = F.when(place == 0, "நிதி").when(place == 1, "சுகாதார").when(place == 2, "சட்டத்துறை").otherwise("தொழில்")
+    texts = table(spark, folder, "documents").select("doc_id", F.concat(term, F.lit(" அமைச்சர்")).alias("text"))
+    found = rs.resolve_office(texts.select("text").distinct(), held, word_start=True)
+    return texts.join(found, "text").select("doc_id", "member_id")

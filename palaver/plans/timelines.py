@@ -213,7 +213,7 @@ def job_state_stream(spark, folder):
     import uuid
 
     from palaver.plans.base import millis
-    from palaver.session import is_folder, shared_folder
+    from palaver.session import cut, is_folder, remove_folder, shared_folder
     from palaver.streaming.jobs import stream_counts, to_table
 
     schema = table(spark, folder, "events").schema
@@ -226,4 +226,6 @@ def job_state_stream(spark, folder):
     spark.createDataFrame([], kept).write.parquet(f"{root}/rows")  # a stream without a row writes none
     # update mode gives a row for each key of a micro-batch; the last one holds the key's total
     to_table(stream_counts(lines), f"{root}/rows", f"{root}/checkpoint").awaitTermination()
-    return spark.read.schema(kept).parquet(f"{root}/rows").groupBy("job", "ns").agg(F.max("calls").alias("calls"))
+    found = cut(spark.read.schema(kept).parquet(f"{root}/rows").groupBy("job", "ns").agg(F.max("calls").alias("calls")))
+    remove_folder(spark, root)
+    return found

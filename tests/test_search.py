@@ -83,3 +83,15 @@ def test_stored_index_reads_the_buckets_of_its_terms(spark, tmp_path):
     ix.compact(spark, path, f"{tmp_path}/small", KEYS)
     assert rows(ix.search(spark, f"{tmp_path}/small", asked, KEYS)) == rows(rt.bm25(now, asked, KEYS))
     assert spark.read.parquet(f"{tmp_path}/small/postings").count() < spark.read.parquet(f"{path}/postings").count()
+
+
+def test_a_scan_of_one_small_file_is_dealt_out(spark, tmp_path):
+    from palaver.session import spread
+
+    spark.range(10).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.range(100).repartition(9).write.option("maxRecordsPerFile", 1).parquet(f"{tmp_path}/many")
+    one, many = spark.read.parquet(f"{tmp_path}/one"), spark.read.option("openCostInBytes", "1g").parquet(f"{tmp_path}/many")
+    assert spread(one).count() == 10 and "Exchange" in spread(one)._jdf.queryExecution().executedPlan().toString()
+    parts = many.rdd.getNumPartitions()
+    moved = "Exchange" in spread(many)._jdf.queryExecution().executedPlan().toString()
+    assert moved == (parts < spark.sparkContext.defaultParallelism)
