@@ -27,7 +27,8 @@ the whole string and are counted, not sorted. So no group above GROUP_ROWS is so
 no repeat is lost. Equal neighbourhoods are told by two 64-bit hashes, texts by two of them.
 
 Words. The same job over words in place of bytes, each word a symbol of 32 bits of its hash, finds the
-passages of over 50 words that occur again. They are counted, not removed: a passage of short words has
+passages of over 50 words that occur again. As these symbols are hashes already, members of a group are told apart by
+64-bit hashes of their runs at each of the 26 offsets, and are not sorted. They are counted, not removed: a passage of short words has
 fewer bytes than a string that goes.
 
 Null texts are empty and lose nothing. Repeated rows and equal texts are repeats of each other. An
@@ -56,6 +57,8 @@ class Scale:
     length: int
     core: int
     step: int = 1
+    #: whether members of a group are sorted by their symbols; symbols that are hashes themselves are told apart by hashes of their runs
+    in_order: bool = True
 
     @property
     def reach(self) -> int:
@@ -64,7 +67,7 @@ class Scale:
 
 BYTES = Scale(400, 200)
 #: Passages of over 50 words, a word being four bytes of its hash.
-WORDS = Scale(51, 26, 4)
+WORDS = Scale(51, 26, 4, in_order=False)
 #: Bytes of a text whose anchors are chosen at once.
 PIECE = 4 << 20
 #: Members of a group that are sorted in one task at most; a larger group is split by content.
@@ -244,30 +247,48 @@ def split_groups(rows: DataFrame, most: int, scale: Scale) -> tuple[DataFrame, D
     return done, spans if spans is not None else done.select("ta", "tb", F.col("place").alias("start"), F.col("place").alias("end")).limit(0)
 
 
-def group_repeats(keys, low, high, copies, before, after, scale: Scale) -> tuple[np.ndarray, np.ndarray]:
-    """For members of whole groups: the largest and smallest offset of a repeat, or -1."""
-    n, step, wide, reach = len(keys), scale.step, scale.core, scale.reach
-    tags = [int(k).to_bytes(8, "big", signed=True) for k in keys]
-    size = {"r": np.array([len(x) // step - wide for x in after]), "l": np.array([len(x) // step for x in before])}
-    ranks = {}
-    for side, strings, shared in (("r", [t + s for t, s in zip(tags, after, strict=True)], 8 + wide * step), ("l", [t + s for t, s in zip(tags, before, strict=True)], 8)):
+def ordered_classes(keys, before, after, scale: Scale):
+    """Numbers of the members that agree in so many symbols after the core (r) or before it (l), from both deep-shallow orders."""
+    tags, ranks = [int(k).to_bytes(8, "big", signed=True) for k in keys], {}
+    for side, strings, shared in (("r", [t + s for t, s in zip(tags, after, strict=True)], 8 + scale.core * scale.step), ("l", [t + s for t, s in zip(tags, before, strict=True)], 8)):
         order, lcp = deep_shallow(strings)
-        ranks[side] = (order, np.where(lcp >= shared, (lcp - shared) // step, -1))
-    _, group = np.unique(np.array(keys), return_inverse=True)
+        ranks[side] = (order, np.where(lcp >= shared, (lcp - shared) // scale.step, -1))
 
     def classes(side: str, depth: int) -> np.ndarray:
         order, lcp = ranks[side]
-        own = np.empty(n, np.int64)
+        own = np.empty(len(keys), np.int64)
         own[order] = np.cumsum(lcp < depth)
         return own
 
+    return classes
+
+
+def hashed_classes(before, after, scale: Scale):
+    """Hashes of each member's first symbols after the core (r) or before it (l), for every depth up to the reach; from columns."""
+    whole, sums = scale.reach * scale.step, {}
+    for side, column, skip in (("r", after, scale.core * scale.step), ("l", before, 0)):
+        data, offsets = utf8(column)
+        at = offsets[:-1, None] + skip + np.arange(whole)
+        rows = np.where(at < offsets[1:, None], np.append(data, np.uint8(0))[np.minimum(at, len(data))], 0).astype(np.uint8)
+        codes = mix(rows.view(np.uint32).astype(np.uint64) + np.uint64(1)) * powers(scale.reach)
+        sums[side] = np.concatenate([np.zeros((len(rows), 1), np.uint64), np.cumsum(codes, axis=1, dtype=np.uint64)], axis=1)
+    return lambda side, depth: sums[side][:, depth]
+
+
+def group_repeats(keys, low, high, copies, before, after, scale: Scale) -> tuple[np.ndarray, np.ndarray]:
+    """For members of whole groups (before and after are columns): the largest and smallest offset of a repeat, or -1."""
+    n, step, wide, reach = len(keys), scale.step, scale.core, scale.reach
+    size = {"r": np.diff(utf8(after)[1]) // step - wide, "l": np.diff(utf8(before)[1]) // step}
+    _, group = np.unique(np.array(keys), return_inverse=True)
+    classes = ordered_classes(keys, before.to_pylist(), after.to_pylist(), scale) if scale.in_order else hashed_classes(before, after, scale)
+
     top, bottom = np.full(n, -1), np.full(n, -1)
     for o in range(int(low.min()), int(high.max()) + 1):
         able = np.flatnonzero((size["l"] >= o) & (size["r"] >= reach - o) & (low <= o) & (o <= high))
         if not len(able):
             continue
-        pair = classes("r", reach - o)[able] * (n + 1)
-        pair += classes("l", o)[able] if o else group[able]
+        right, left = classes("r", reach - o)[able], classes("l", o)[able] if o else group[able]
+        pair = right * (n + 1) + left if scale.in_order else mix(mix(right.astype(np.uint64)) + left.astype(np.uint64)) + group[able].astype(np.uint64)
         _, inverse = np.unique(pair, return_inverse=True)
         hit = able[np.bincount(inverse, weights=copies[able])[inverse] >= 2]
         top[hit] = o
@@ -288,7 +309,7 @@ def sorted_repeats(rows: DataFrame, scale: Scale) -> DataFrame:
         def solve(table):
             keys = np.asarray(table.column("key"), np.int64)
             low, high, copies, place = (np.asarray(table.column(c), np.int64) for c in ("low", "high", "copies", "place"))
-            top, bottom = group_repeats(keys.tolist(), low, high, copies, table.column("before").to_pylist(), table.column("after").to_pylist(), scale)
+            top, bottom = group_repeats(keys.tolist(), low, high, copies, table.column("before"), table.column("after"), scale)
             at = np.flatnonzero((top >= 0) & (copies < 2))
             ids = [np.asarray(table.column(c), np.int64)[at] for c in ("ta", "tb")]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*ids, place[at] - top[at], place[at] - bottom[at] + scale.length)], names=["ta", "tb", "start", "end"])
