@@ -127,14 +127,19 @@ class LogBilinear:
         """Normalised natural log-probability of each unit after its context (rows of CONTEXT units)."""
         found = np.empty(len(after))
         for i in range(0, len(after), 16384):
-            r, own = self.predicted(before[i : i + 16384]), after[i : i + 16384]
+            old, own = before[i : i + 16384], after[i : i + 16384]
+            # normalisers are made once for a context, and once for a context and class
+            _, first, context = np.unique(old[:, 0] << 16 | old[:, 1], return_index=True, return_inverse=True)
+            r, group = self.predicted(old[first]), own // self.size
             z = r @ self.group.T + self.group_bias
-            found[i : i + 16384] = z[np.arange(len(own)), own // self.size] - log_sums(z)
-            order, parts = self.segments(own)
+            logs = (z - log_sums(z)[:, None])[context, group]
+            _, first, pair = np.unique(context * self.classes + group, return_index=True, return_inverse=True)
+            sums, vectors = np.empty(len(first), np.float32), r[context[first]]
+            order, parts = self.segments(own[first])
             for c, a, b in parts:
                 at, of = order[a:b], self.members(c)
-                z = r[at] @ self.target[of].T + self.bias[of]
-                found[i + at] += z[np.arange(len(at)), own[at] - of.start] - log_sums(z)
+                sums[at] = log_sums(vectors[at] @ self.target[of].T + self.bias[of])
+            found[i : i + 16384] = logs + np.einsum("nd,nd->n", r[context], self.target[own]) + self.bias[own] - sums[pair]
         return found
 
 
@@ -192,13 +197,16 @@ class Learner:
         low = np.where(there > 0, self.edges[np.maximum(there * m.size - 1, 0)], 0.0)
         high = self.edges[np.minimum((there + 1) * m.size, m.units) - 1]
         drawn = np.minimum(np.searchsorted(self.edges, low[:, None] + rng.random((len(there), NOISE)) * (high - low)[:, None]), m.units - 1)
-        mine = np.repeat(np.arange(len(there)), many)
-        vectors = m.target[drawn]
         true = weight * (sigmoid(np.einsum("nd,nd->n", r, m.target[after]) + m.bias[after] - self.shift[after]) - 1)
-        false = weight[:, None] * sigmoid(np.matmul(vectors[mine], r[:, :, None])[..., 0] + (m.bias - self.shift)[drawn][mine])
-        back += true[:, None] * m.target[after] + np.matmul(false[:, None, :], vectors[mine])[:, 0]
-        noise = np.add.reduceat(false[:, :, None] * with_ones(r)[:, None, :], begin, axis=0).reshape(-1, DIM + 1)
-        rows, sums = row_sums(np.concatenate([after, drawn.ravel()]), np.concatenate([with_ones(r) * true[:, None], noise]))
+        back += true[:, None] * m.target[after]
+        ones, noise = with_ones(r), np.empty((len(there), NOISE, DIM + 1), np.float32)
+        vectors, shifts = m.target[drawn], (m.bias - self.shift)[drawn]
+        for c, (i, j) in enumerate(zip(begin.tolist(), (begin + many).tolist(), strict=True)):  # small products, a class at a time
+            false = weight[i:j, None] * sigmoid(r[i:j] @ vectors[c].T + shifts[c])
+            back[i:j] += false @ vectors[c]
+            noise[c] = false.T @ ones[i:j]
+        noise = noise.reshape(-1, DIM + 1)
+        rows, sums = row_sums(np.concatenate([after, drawn.ravel()]), np.concatenate([ones * true[:, None], noise]))
         self.move(1, rows, sums[:, :-1])
         self.move(2, rows, sums[:, -1])
         self.touched[1, rows] += 1
