@@ -33,6 +33,5 @@ def oracle_sql() -> dict:
         "op6_parity_sketch_join": jaccard.ORACLE,
         "op10_snapshot_collapse_chat": chat.ORACLE,
         "op11_merkle_traversal_manifest": merkle.ORACLE,
-        "op12_bootstrapped_pii": pii.op12_bootstrapped_pii,
         "op13_trie_importance_resampling": resampling.ORACLE,
     }

@@ -109,3 +109,9 @@ def test_few_seeds_teach_nothing_and_empty_tables_give_none(spark):
     few = [(1, "tel +1 (999) 555-1234 and", "en", "a", 0), (2, "tel +1 (998) 555-1234 4111 and", "en", "a", 0)]
     assert all(r.spans == r.base for r in pii.find_spans(spark.createDataFrame(few, DOCS)).collect())
     assert pii.find_spans(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_every_stated_result_is_sql():
+    from palaver.llm import registry
+
+    assert all(isinstance(x, str) for x in registry.oracle_sql().values()) and set(registry.oracle_sql()) < set(registry.queries())
