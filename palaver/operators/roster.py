@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.text import normalise_name
-from palaver.session import bounded
+from palaver.session import bounded, cut
+
+#: Shares of what a similarity may lack that are looked at in turn: names that are nearly an alias never meet those that are merely alike.
+STEPS = (0.25, 0.5, 1.0)
+
 
 def alias_index(aliases: DataFrame) -> DataFrame:
     """alias and member_id for aliases (member_id, alias) that only one member has."""
@@ -48,10 +54,13 @@ def resolve(names: DataFrame, index: DataFrame, cutoff: float = 0.88) -> DataFra
     """Exact aliases first; only distinct names that are left are compared by similarity, with the aliases that can have it.
 
     The similarity is the Ratcliff-Obershelp ratio of a pair, which tasks compute for pairs that the join
-    has made; the best pair of a name is an aggregate, and of equal ratios that of the larger alias.
+    has made; the best pair of a name is an aggregate, and of equal ratios that of the larger alias. Cutoffs come in
+    falling order down to ``cutoff``: a pair at or above one of them is made there, so a name that has one has its best
+    pair among them, and only names without one go on to the next.
     """
     found = resolve_exact(names, index)
-    rest = found.where("member_id is null and alias <> ''").select(F.col("alias").alias("name")).distinct()
+    rest = cut(found.where("member_id is null and alias <> ''").select(F.col("alias").alias("name")).distinct())
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def rate(batches):
         from difflib import SequenceMatcher
@@ -60,8 +69,17 @@ def resolve(names: DataFrame, index: DataFrame, cutoff: float = 0.88) -> DataFra
             ratios = [SequenceMatcher(None, known, name).ratio() for name, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ratios, pa.float64())], names=["name", "alias", "ratio"])
 
-    rated = similar_pairs(rest, index.select("alias"), cutoff).mapInArrow(rate, "name string, alias string, ratio double").where(F.col("ratio") >= cutoff)
-    best = rated.groupBy("name").agg(F.max(F.struct("ratio", "alias")).alias("b")).select("name", F.col("b.alias").alias("alias"))
+    closest = []
+    for step in STEPS:
+        least = 1 - (1 - cutoff) * step if step < 1 else cutoff
+        # a pair is few bytes and much work, so it is dealt out by number
+        pairs = similar_pairs(rest, index.select("alias"), least).repartition(tasks, "name", "alias")
+        rated = pairs.mapInArrow(rate, "name string, alias string, ratio double").where(F.col("ratio") >= least)
+        closest.append(cut(rated.groupBy("name").agg(F.max(F.struct("ratio", "alias")).alias("b")).select("name", F.col("b.alias").alias("alias"))))
+        rest = rest.join(closest[-1], "name", "left_anti")
+        if rest.isEmpty():
+            break
+    best = reduce(DataFrame.unionAll, closest)
     fuzzy = best.join(index, "alias").select(F.col("name").alias("alias"), F.col("member_id").alias("fuzzy_id"))
     return found.join(fuzzy, "alias", "left").withColumn("member_id", F.coalesce("member_id", "fuzzy_id")).drop("fuzzy_id")
 

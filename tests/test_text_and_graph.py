@@ -197,6 +197,22 @@ def test_similar_names_equal_all_pairs(spark):
     assert found == expected and sum(v is not None for v in expected.values()) > 100
 
 
+def test_names_near_an_alias_do_not_meet_all_that_are_alike(spark, monkeypatch):
+    """Every second name lacks a letter, one is further off: only that one meets aliases that are merely alike."""
+    made, similar = [], rs.similar_pairs
+
+    def counted(names, known, cutoff):
+        pairs = similar(names, known, cutoff)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(rs, "similar_pairs", counted)
+    index = rs.alias_index(spark.createDataFrame([(i, f"Supplier#{i:09d}") for i in range(80)], "member_id int, alias string"))
+    names = {f"Suplier#{i:09d}" if i % 2 else f"Supplier#{i:09d}": i for i in range(80)} | {"Spplr#000000042": 42, "Customer 7": None}
+    found = {r.name: r.member_id for r in rs.resolve(spark.createDataFrame([(n,) for n in names], "name string"), index).collect()}
+    assert found == names and sum(made) < 400
+
+
 def test_office_terms_at_word_starts(spark):
     members = spark.createDataFrame([(3, "Minister — Finance")], "member_id long, role string")
     texts = spark.createDataFrame([("நிதி அமைச்சர்",), ("அநிதி",)], "text string")
