@@ -24,6 +24,9 @@ class ModelProvider(Protocol):
 
 
 class NoProvider:
+    #: nothing is called, so nothing is paced
+    per_minute = float("inf")
+
     def respond(self, namespace: str, body: str) -> str:
         raise RuntimeError(f"no model provider is configured for {namespace}; give one, or a table of recorded responses")
 

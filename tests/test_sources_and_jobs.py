@@ -105,6 +105,19 @@ def test_rate_and_backoff():
     assert [pv.backoff(n, 1.0) for n in (1, 2, 9)] == [1.5, 3.0, 20.0]
 
 
+def test_calls_without_a_provider_are_not_paced(spark):
+    import time
+
+    from palaver.operators import calls
+
+    requests = spark.range(120).select("id", F.col("id").cast("string").alias("body"))
+    recorded = spark.createDataFrame([], "namespace string, request_sha256 string, body string")
+    begin = time.monotonic()
+    rows = calls.answers(requests, "ns", "n int", recorded).collect()
+    assert len(rows) == 120 and all("no model provider" in r._error for r in rows)
+    assert time.monotonic() - begin < 20  # paced, 120 calls of 240 a minute take 30 seconds
+
+
 def test_job_state_stream_reads_a_file_and_a_folder(spark, tmp_path):
     """A table of one file, beside another table, and the same table as a folder of part files."""
     import datetime as dt
