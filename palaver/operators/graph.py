@@ -49,16 +49,21 @@ def assemble_nodes(mentions: DataFrame, roster: DataFrame, keys: list[str]) -> D
     that mentions of one ord have one outcome. A mention without provenance (null) makes a node only.
     roster (member_id, name, tamil_name, party_code, roles, portrait).
     """
-    known = roster.select("member_id", F.col("name").alias("_name"), F.col("tamil_name").alias("_tamil"), "party_code", "roles", "portrait")
-    rows = mentions.join(bounded(known), "member_id", "left")
-    member = F.col("_name").isNotNull()
-    rows = rows.withColumn("type", F.when(member, "PERSON").otherwise(F.col("kind"))).withColumn("label", F.coalesce("_name", "name")).withColumn("tamil", F.when(member, F.col("_tamil")).otherwise(F.nullif(F.col("tamil"), F.lit(""))))
-    rows = rows.withColumn("key", node_key(F.col("type"), F.col("label")))
-    first = F.struct("ord", "label", "type", "tamil", F.when(member, F.col("party_code")).alias("party"), "roles", "portrait", F.when(member, F.col("member_id")).alias("member_id"))
+    attributes = ("label", "type", "tamil", "party", "roles", "portrait", "member_id")
+    known = roster.select(F.col("name").alias("label"), F.lit("PERSON").alias("type"), F.col("tamil_name").alias("tamil"), F.col("party_code").alias("party"), "roles", "portrait", "member_id").where("label is not null")
+    known = known.withColumn("_key", node_key(F.lit("PERSON"), F.col("label"))).withColumn("place", F.row_number().over(Window.partitionBy("_key").orderBy(*attributes)))
+    rows = mentions.join(bounded(known.select("member_id", "_key", "place")), "member_id", "left")
+    member = F.col("_key").isNotNull()
+    rows = rows.withColumn("key", F.coalesce("_key", node_key(F.col("kind"), F.col("name"))))
+    # a member's mention takes its place among the members of one key along, and the roster's attributes come to whole nodes only
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in known.schema if f.name in attributes}
+    other = F.struct("ord", F.col("name").alias("label"), F.col("kind").alias("type"), F.nullif(F.col("tamil"), F.lit("")).alias("tamil"), *[none[c] for c in attributes[3:]])
     by = [*keys, "key"]
-    parts = pv.merged(rows, by, F.min(first).alias("f"))
-    whole = parts.groupBy(*by).agg(F.min("f").alias("f"), pv.packed().alias("words"))
-    return whole.select(*by, "f.type", "f.label", "f.tamil", "f.party", "f.roles", "f.portrait", "f.member_id", F.col("f.ord").alias("first"), "words")
+    parts = pv.merged(rows, by, F.min(F.when(member, F.struct("ord", "place"))).alias("m"), F.min(F.when(~member, other)).alias("o"))
+    whole = parts.groupBy(*by).agg(F.min("m").alias("m"), F.min("o").alias("o"), pv.packed().alias("words")).withColumn("place", F.col("m.place"))
+    whole = whole.join(bounded(known.withColumnRenamed("_key", "key")), ["key", "place"], "left")
+    f = F.least(F.when(F.col("m").isNotNull(), F.struct(F.col("m.ord").alias("ord"), *attributes)), F.col("o"))
+    return whole.select(*by, f.alias("f"), "words").select(*by, "f.type", "f.label", "f.tamil", "f.party", "f.roles", "f.portrait", "f.member_id", F.col("f.ord").alias("first"), "words")
 
 
 def resolve_endpoints(relations: DataFrame, nodes: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:

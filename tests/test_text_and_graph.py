@@ -7,6 +7,7 @@ from palaver.functions import text as tx
 from palaver.operators import answer as an
 from palaver.operators import attribution as at
 from palaver.operators import graph as gr
+from palaver.operators import provenance as pv
 from palaver.operators import retrieval as rt
 from palaver.operators import roster as rs
 
@@ -213,6 +214,32 @@ def test_names_near_an_alias_do_not_meet_all_that_are_alike(spark, monkeypatch):
     assert found == names and sum(made) < 400
 
 
+def test_nodes_of_members_of_one_name_and_of_others(spark):
+    """Members that share a key are one node, with the attributes of the first mention in the whole order, whoever is mentioned."""
+    schema = "member_id string, name string, tamil_name string, party_code string, roles array<string>, portrait string"
+    roster = spark.createDataFrame([("m1", "A", "z", "P", ["r"], None), ("m2", "a", None, "Q", None, "p"), ("m3", "A", "y", "P", ["r"], None), ("m4", "B", None, None, None, None)], schema)
+    rows = [("v", "m1", "", 1, 5), ("v", "m2", "", 61, 5), ("v", "m3", "", 2, 5), ("w", "m2", "", 1, 3), ("w", "m1", "", 1, 4), ("x", None, "A ", 1, 2), ("x", "m1", "", 2, 2), ("y", None, "b", 1, 1), ("y", "m4", "", 1, 1), ("z", "m4", "", None, 1)]
+    mentions = spark.createDataFrame(rows, "video_id string, member_id string, name string, ordinal long, ord long").withColumn("kind", F.lit("PERSON")).withColumn("tamil", F.lit(""))
+    nodes = gr.assemble_nodes(mentions, roster, ["video_id"])
+    got = sorted((r.video_id, r.key, r.label, r.tamil, r.party, r.member_id, r["first"], r.ids) for r in nodes.withColumn("ids", pv.ordinals(F.col("words"))).collect())
+    assert got == [
+        ("v", "PERSON:a", "A", "y", "P", "m3", 5, [1, 2, 61]),
+        ("w", "PERSON:a", "a", None, "Q", "m2", 3, [1]),
+        ("x", "PERSON:a", "A", "z", "P", "m1", 2, [1, 2]),
+        ("y", "PERSON:b", "B", None, None, "m4", 1, [1]),
+        ("z", "PERSON:b", "B", None, None, "m4", 1, []),
+    ]
+
+
+def test_nodes_are_made_without_the_roster_in_their_shuffle(spark):
+    from palaver.plans import graphs
+
+    folder = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x for x in plan(graphs.assembled(spark, folder)).splitlines() if "Aggregate" in x and "word" in x]
+    assert lines and not any("roles#" in x or "party_code#" in x for x in lines)
+
+
 def test_office_terms_at_word_starts(spark):
     members = spark.createDataFrame([(3, "Minister — Finance")], "member_id long, role string")
     texts = spark.createDataFrame([("நிதி அமைச்சர்",), ("அநிதி",)], "text string")
