@@ -161,7 +161,8 @@ def spoken(spark, folder):
 
 
 def discussed(spark, folder):
-    return gr.discussed_edges(assembled(spark, folder), spoken(spark, folder), KEYS)
+    nodes = cut(assembled(spark, folder).select(*KEYS, "key", "type", "member_id", "words"))  # read for topics and for people
+    return gr.discussed_edges(nodes, spoken(spark, folder), KEYS)
 
 
 @query(f"WITH {TALK} SELECT video_id, source, target, {sql_segment('min(n)')} AS first_id, string_agg({sql_segment('n')}, ',' ORDER BY n) AS ids FROM di GROUP BY video_id, source, target")
@@ -185,7 +186,7 @@ UNION ALL SELECT nm.video_id, nm.query_id, nm.ord, nm.key, nb.rn, pos, n FROM nm
 f AS (SELECT *, row_number() OVER (PARTITION BY video_id, query_id, n ORDER BY ord, key, rn, pos) AS k FROM h), z AS (SELECT *, row_number() OVER (PARTITION BY video_id, query_id ORDER BY ord, key, rn, pos, n) AS rank FROM f WHERE k = 1)
 SELECT video_id, query_id, {sql_segment('n')} AS id, rank FROM z WHERE rank <= 6""")
 def graph_expand(spark, folder):
-    nodes = cut(assembled(spark, folder))  # read for names, links and provenance
+    nodes = cut(assembled(spark, folder).drop("party", "roles", "portrait"))  # read for names, links and provenance
     recordings = nodes.select("video_id").distinct()
     part = table(spark, folder, "part").where(F.col("p_partkey") % EVERY == 0).select("p_partkey", "p_name")
     named = part.join(table(spark, folder, "supplier").select("s_suppkey", "s_name"), F.col("s_suppkey") == F.col("p_partkey"), "left")

@@ -99,7 +99,7 @@ def graph(spark, folder):
     from palaver.plans.base import millis
     from palaver.sources.artifacts import export_graph
 
-    nodes = assembled(spark, folder)
+    nodes = cut(assembled(spark, folder).select(*KEYS, "key", "type", "member_id", "words"))  # read for nodes, for topics and for people
     segments = placed(table(spark, folder, "orders"), "o_orderkey").select("video_id", "ordinal", (millis("o_orderdate") / 1000).alias("t_start"))
     edges = gr.discussed_edges(nodes, spoken(spark, folder), KEYS)
     return export_graph(nodes, edges, segments)

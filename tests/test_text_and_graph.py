@@ -231,11 +231,13 @@ def test_nodes_of_members_of_one_name_and_of_others(spark):
     ]
 
 
-def test_nodes_are_made_without_the_roster_in_their_shuffle(spark):
-    from palaver.plans import graphs
+def test_nodes_are_made_once_and_without_the_roster_in_their_shuffle(spark):
+    from palaver.plans import graphs, jobs
 
     folder = "/root/testdata/sf0.001"
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for df in (graphs.discussed_edges(spark, folder), jobs.graph_export(spark, folder)):
+        assert "l_orderkey" not in plan(df)
     lines = [x for x in plan(graphs.assembled(spark, folder)).splitlines() if "Aggregate" in x and "word" in x]
     assert lines and not any("roles#" in x or "party_code#" in x for x in lines)
 
