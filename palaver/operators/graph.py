@@ -130,7 +130,8 @@ def expand(questions: DataFrame, nodes: DataFrame, edges: DataFrame, keys: list[
     in_tamil = occurrences(questions, shown, keys, F.col("text"), F.when(F.col("label") != "", F.col("tamil")), word_start).join(shown.where("label <> ''").select(*keys, F.col("tamil").alias("name"), "key"), [*keys, "name"])
     hit = cut(in_english.unionByName(in_tamil).select(*keys, "query_id", "key").distinct())
     named = hit.join(shown.select(*keys, "key", "node_ord", "ids"), [*keys, "key"])
-    both = edges.select(*keys, F.col("source").alias("key"), F.col("target").alias("other"), "ord", F.lit(0).alias("side")).unionAll(edges.select(*keys, F.col("target").alias("key"), F.col("source").alias("other"), "ord", F.lit(1).alias("side")))
+    end = lambda key, other, side: F.struct(F.col(key).alias("key"), F.col(other).alias("other"), "ord", F.lit(side).alias("side"))
+    both = edges.select(*keys, F.explode(F.array(end("source", "target", 0), end("target", "source", 1))).alias("e")).select(*keys, "e.*")  # one pass over the edges
     near = both.join(hit.select(*keys, "key").distinct(), [*keys, "key"], "left_semi")
     near = near.withColumn("rn", F.row_number().over(Window.partitionBy(*keys, "key").orderBy("ord", "side", "other"))).where(F.col("rn") <= neighbours)
     around = near.join(shown.select(*keys, F.col("key").alias("other"), F.slice("ids", 1, own).alias("near_ids")), [*keys, "other"])

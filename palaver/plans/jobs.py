@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palaver.operators import graph as gr
 from palaver.plans.base import EVENTS, events, millis, query
-from palaver.plans.graphs import KEYS, TALK, assembled, placed, spoken, sql_ordinal, sql_video
+from palaver.plans.graphs import KEYS, RECORDINGS, TALK, assembled, placed, spoken, sql_ordinal, sql_video
 from palaver.session import cut, remove_folder, shared_folder, table
 from palaver.streaming import jobs as jb
 
@@ -125,8 +125,8 @@ def graph_store(spark, folder):
     put(rows.withColumn("first_seen_s", F.lit(-1).cast("long")))
     ds.delete(root, [f"V{i}" for i in range(0, 40, 2)])
     put(rows)
-    half = [f"V{i}" for i in range(20)]
-    found = ds.read(spark, ds.STORE, root, half).unionByName(ds.read(spark, ds.STORE, root).where(~F.col("video_id").isin(half)))
+    names = [f"V{i}" for i in range(RECORDINGS)]
+    found = ds.read(spark, ds.STORE, root, names[:20]).unionByName(ds.read(spark, ds.STORE, root, names[20:]))  # each row is read once
     found = cut(found)
     remove_folder(spark, root)
     return found

@@ -242,6 +242,16 @@ def test_nodes_are_made_once_and_without_the_roster_in_their_shuffle(spark):
     assert lines and not any("roles#" in x or "party_code#" in x for x in lines)
 
 
+def test_expansion_reads_its_edges_once(spark):
+    words = [(0, 2)]
+    nodes = spark.createDataFrame([("v", k, k, None, i, words) for i, k in enumerate(("budget", "water"))], "video_id string, key string, label string, tamil string, first long, words array<struct<word:bigint,bits:bigint>>")
+    asked = spark.createDataFrame([("v", 1, "the budget")], "video_id string, query_id int, text string")
+    edges = spark.range(5, 6).select(F.lit("v").alias("video_id"), F.lit("water").alias("source"), F.lit("budget").alias("target"), F.col("id").alias("ord"))
+    found = gr.expand(asked, nodes, edges, ["video_id"])
+    assert [r.id for r in found.collect()] == ["S001"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (5, 6") == 1
+
+
 def test_office_terms_at_word_starts(spark):
     members = spark.createDataFrame([(3, "Minister — Finance")], "member_id long, role string")
     texts = spark.createDataFrame([("நிதி அமைச்சர்",), ("அநிதி",)], "text string")
