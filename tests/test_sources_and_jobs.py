@@ -105,6 +105,20 @@ def test_rate_and_backoff():
     assert [pv.backoff(n, 1.0) for n in (1, 2, 9)] == [1.5, 3.0, 20.0]
 
 
+def test_a_job_is_one_state_of_the_counters(spark, tmp_path):
+    """Three jobs of two namespaces, in two runs from one checkpoint: a later lower count adds nothing."""
+    line = lambda job, seq, ns, k: {"job": job, "seq": seq, "line": f"10:00:00 INFO x {ns} {k}/9 (1%)"}
+    first = [line(j, s, ns, k) for j in "abc" for s, ns, k in ((1, "vision", 3), (2, "kg-extract", 2), (3, "vision", 1))]
+    (tmp_path / "in").mkdir()
+    for n, rows in enumerate([first, [line("a", 4, "vision", 2), line("a", 5, "vision", 5), line("b", 4, "faceverify", 1)]]):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+        stream = jobs.stream_counts(jobs.parse(jobs.read_log_stream(spark, str(tmp_path / "in"))))
+        jobs.to_table(stream, str(tmp_path / "rows"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "rows")).groupBy("job", "ns").agg(F.max("calls")).collect()
+    assert {tuple(r) for r in got} == {(j, "kg-extract", 2) for j in "abc"} | {("a", "vision", 5), ("b", "vision", 3), ("c", "vision", 3), ("b", "faceverify", 1)}
+    assert spark.read.format("statestore").load(str(tmp_path / "checkpoint")).count() == 3
+
+
 def test_calls_without_a_provider_are_not_paced(spark):
     import time
 
