@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -49,50 +49,54 @@ class JobMachine(StatefulProcessor):
         self.tail = handle.getListState("tail", "seq long, line string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        current, last, code = self.head.get() if self.head.exists() else (None, -1, None)
-        stages = {k[0]: tuple(v) for k, v in self.stages.iterator()} if self.stages.exists() else {}
-        counts = {k[0]: v[0] for k, v in self.counts.iterator()} if self.counts.exists() else {}
-        tail = [tuple(x) for x in self.tail.get()] if self.tail.exists() else []
-        batch = pd.concat(list(rows)).sort_values("seq", na_position="last")
-        for r in batch.itertuples():
-            if pd.notna(r.code):
-                code = int(r.code)
-                continue
-            last = max(last, int(r.seq))
-            tail = sorted([*tail, (int(r.seq), r.line)])[-TAIL:]
-            if isinstance(r.stage, str):
+        # each question to the state store is a call to another process: none is asked twice, and only what changed is put
+        head, stages, counts, tail = self.head.get(), {}, {}, []
+        current, last, code = head or (None, -1, None)
+        if head:
+            stages = {k[0]: tuple(v) for k, v in self.stages.iterator()}
+            counts = {k[0]: v[0] for k, v in self.counts.iterator()}
+            tail = [tuple(x) for x in self.tail.get()]
+        had_stages, had_counts, lines = dict(stages), dict(counts), []
+        for r in rows:
+            if r.code is not None:
+                code = r.code
+            else:
+                lines.append(r)
+        for r in sorted(lines, key=lambda r: r.seq):
+            last = max(last, r.seq)
+            if r.stage is not None:
                 moved(stages, current, "left")
                 moved(stages, r.stage, "skipped" if r.skipped else "entered")
                 current = r.stage
-            elif isinstance(r.ns, str):
-                counts[r.ns] = max(int(r.k), counts.get(r.ns, 0))
+            elif r.ns is not None:
+                counts[r.ns] = max(r.k, counts.get(r.ns, 0))
                 of = STAGE_OF.get(r.ns)
                 if of and r.n > 0:
                     status = stages.get(of, ("wait", 0.0))[0]
                     stages[of] = (status, 100.0 if status == "done" else round(100.0 * r.k / r.n, 1))
         self.head.update((current, last, code))
         for stage, value in stages.items():
-            self.stages.updateValue((stage,), value)
+            if had_stages.get(stage) != value:
+                self.stages.updateValue((stage,), value)
         for ns, n in counts.items():
-            self.counts.updateValue((ns,), (n,))
-        self.tail.put(tail)
+            if had_counts.get(ns) != n:
+                self.counts.updateValue((ns,), (n,))
+        if lines:
+            tail = sorted([*tail, *((r.seq, r.line) for r in lines)])[-TAIL:]
+            self.tail.put(tail)
         yield self.row(key[0], last, code, stages, counts, tail)
 
     @staticmethod
-    def row(job: str, last: int, code: int | None, stages: dict, counts: dict, tail: list):
-        import pandas as pd
-
+    def row(job: str, last: int, code: int | None, stages: dict, counts: dict, tail: list) -> Row:
         final = dict(stages)
         if code is not None:
             for stage in STAGES:
                 moved(final, stage, "failed" if code else "succeeded")
         state = "running" if code is None else "failed" if code else "done"
         error = ("\n".join(x for _, x in tail) or f"exit code {code}") if code else None
-        listed = [{"stage": s, "status": final.get(s, ("wait", 0.0))[0], "pct": final.get(s, ("wait", 0.0))[1]} for s in STAGES]
+        listed = [Row(stage=s, status=final.get(s, ("wait", 0.0))[0], pct=final.get(s, ("wait", 0.0))[1]) for s in STAGES]
         cost = round(sum(n * CALL_COST.get(ns, OTHER_COST) for ns, n in counts.items()), 4)
-        return pd.DataFrame({"job": [job], "seq": [last], "state": [state], "error": [error], "stages": [listed], "calls": [sum(counts.values())], "est_cost": [cost]})
+        return Row(job=job, seq=last, state=state, error=error, stages=listed, calls=sum(counts.values()), est_cost=float(cost))
 
     def close(self) -> None:
         pass
@@ -116,7 +120,7 @@ def job_stream(lines: DataFrame, exits: DataFrame | None = None) -> DataFrame:
     if exits is not None:
         none = lambda c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
         rows = rows.unionByName(exits.select("job", *[none(c) for c in rows.columns[1:-1]], F.col("code").cast("long").alias("code")))
-    return rows.groupBy("job").transformWithStateInPandas(statefulProcessor=JobMachine(), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+    return rows.groupBy("job").transformWithState(statefulProcessor=JobMachine(), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
 
 
 def stage_snapshot(spark: SparkSession, checkpoint: str) -> DataFrame:

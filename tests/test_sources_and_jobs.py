@@ -119,6 +119,41 @@ def test_a_job_is_one_state_of_the_counters(spark, tmp_path):
     assert spark.read.format("statestore").load(str(tmp_path / "checkpoint")).count() == 3
 
 
+def test_the_machine_puts_only_what_changed():
+    """A job of two batches over a state that counts what is asked of it."""
+    from types import SimpleNamespace as Line
+
+    from palaver.streaming.machine import JobMachine
+
+    asked, kept = [], {"stages": {}, "counts": {}, "head": None, "tail": []}
+
+    class Held:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            def do(*a):
+                asked.append((self.name, call))
+                if call == "updateValue":
+                    kept[self.name][a[0]] = a[1]
+                elif call in ("update", "put"):
+                    kept[self.name] = a[0]
+                return {"exists": bool(kept[self.name]), "get": kept[self.name], "iterator": list(kept[self.name].items()) if isinstance(kept[self.name], dict) else None}.get(call)
+
+            return do
+
+    m = JobMachine()
+    m.head, m.stages, m.counts, m.tail = map(Held, ("head", "stages", "counts", "tail"))
+    line = lambda seq, **k: Line(**{"seq": seq, "line": f"l{seq}", "stage": None, "skipped": False, "ns": None, "k": None, "n": None, "code": None, **k})
+    (first,) = m.handleInputRows(("j",), iter([line(2, ns="vision", k=4, n=8), line(1, stage="frames")]), None)
+    assert asked == [("head", "get"), ("head", "update"), ("stages", "updateValue"), ("counts", "updateValue"), ("tail", "put")]
+    assert (first.state, first.seq, first.calls) == ("running", 2, 4) and ("frames", "run", 50.0) in [tuple(x) for x in first.stages]
+    asked.clear()
+    (second,) = m.handleInputRows(("j",), iter([line(None, code=3), line(3, ns="vision", k=1, n=0)]), None)
+    assert asked == [("head", "get"), ("stages", "iterator"), ("counts", "iterator"), ("tail", "get"), ("head", "update"), ("tail", "put")]
+    assert (second.state, second.error, second.calls) == ("failed", "l1\nl2\nl3", 4)
+
+
 def test_calls_without_a_provider_are_not_paced(spark):
     import time
 
