@@ -2,7 +2,7 @@
 
 An index is a folder of two tables. ``recordings`` has a row for each build of a recording: its
 number of documents, their mean length, the mean idf of its vocabulary. ``postings`` has the postings of every
-build, in folders by bucket. Both are only appended to, postings first, so a job that dies leaves no
+build, in folders by bucket, and rows without a term that have the documents of a recording (palaver.operators.counting). Both are only appended to, postings first, so a job that dies leaves no
 half-built recording: what counts is the last build that ``recordings`` names. To update recordings is to
 append a build of them; ``compact`` drops what no build refers to.
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.operators import retrieval as rt
+from palaver.operators.counting import counted
 from palaver.session import bounded, cut, exists
 
 #: Folders of postings, and files of a folder that a build writes at most.
@@ -35,10 +36,13 @@ def append(docs: DataFrame, keys: list[str], path: str) -> int:
     """Appends a build of the recordings of docs (keys, doc_id, text) to the index at path; returns its number."""
     spark = docs.sparkSession
     build = (spark.read.parquet(f"{path}/recordings").agg(F.max("build")).first()[0] or 0) + 1 if exists(spark, f"{path}/recordings") else 1
-    postings = rt.postings_of(docs, keys).withColumn("build", F.lit(build)).withColumn("bucket", bucket_of(F.col("term")))
-    spread = postings.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))  # a hot term is dealt out too
-    spread.sortWithinPartitions("bucket", *keys, "term").write.partitionBy("bucket").mode("append").parquet(f"{path}/postings")
-    headed = rt.headers(cut(rt.statistics(docs, keys)), keys).withColumn("build", F.lit(build))
+    rows = counted(docs, keys).withColumn("build", F.lit(build)).withColumn("bucket", bucket_of(F.col("term")))
+    # a hot term is dealt out too; the writer sorts by bucket, in which each task's postings stand as it made them
+    rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).write.partitionBy("bucket").mode("append").parquet(f"{path}/postings")
+    written = spark.read.parquet(f"{path}/postings").where(F.col("build") == build)
+    count = F.when(F.col("term").isNotNull(), 1).otherwise(F.col("df"))  # the texts are not read again for what their postings say
+    terms = written.groupBy(*keys, "term").agg(F.sum(count).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("tf"))).alias("tf"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
+    headed = rt.headers(cut(rt.summary(terms, keys)), keys).withColumn("build", F.lit(build))
     headed.write.mode("append").parquet(f"{path}/recordings")
     return build
 

@@ -95,3 +95,25 @@ def test_a_scan_of_one_small_file_is_dealt_out(spark, tmp_path):
     parts = many.rdd.getNumPartitions()
     moved = "Exchange" in spread(many)._jdf.queryExecution().executedPlan().toString()
     assert moved == (parts < spark.sparkContext.defaultParallelism)
+
+
+def test_words_are_counted_as_the_tokenizer_has_them(spark, monkeypatch):
+    """Parts of a few bytes, Tamil beside ASCII, other scripts, empty and missing texts; the index's build moves postings once."""
+    from palaver.functions.text import tokenize
+    from palaver.operators import counting
+
+    monkeypatch.setattr(counting, "TEXT", 40)
+    monkeypatch.setattr(counting, "ROWS", 3)
+    texts = ["Alpha beta alpha", "", None, "அவை12அவை x", "ஆ", "a୿b ఀc é-E0 àb", "İK K9", "...", "beta " * 30, "a", "a"]
+    docs = spark.createDataFrame([("v" if i % 3 else None, i, t) for i, t in enumerate(texts)], "video_id string, doc_id long, text string").coalesce(1)
+    tokens = {r.doc_id: r.t for r in docs.select("doc_id", tokenize(F.col("text")).alias("t")).collect()}
+    found = counting.counted(docs, KEYS)
+    assert sorted((r.doc_id, r.term, r.tf, r.dl) for r in found.where("term is not null").collect()) == sorted((d, w, t.count(w), len(t)) for d, t in tokens.items() for w in set(t or []))
+    whole = {r.video_id: tuple(r)[1:] for r in found.where("term is null").groupBy("video_id").agg(F.sum("df"), F.sum("tf"), F.sum("dl")).collect()}
+    own = lambda v: [tokens[i] for i in range(len(texts)) if (i % 3 > 0) == (v is not None)]
+    assert whole == {v: (len(own(v)), sum(t is not None for t in own(v)), sum(len(t or []) for t in own(v))) for v in ("v", None)}
+    some = counting.counted(docs, KEYS, terms=["alpha", "12"]).where("term is not null")
+    assert sorted((r.doc_id, r.term, r.tf) for r in some.collect()) == [(0, "alpha", 2), (3, "12", 1)]
+    counts = counting.counted(docs, KEYS, postings=False).where("term is not null").groupBy("video_id", "term").agg(F.sum("df").alias("n"))
+    assert {(r.video_id, r.term): r.n for r in counts.collect()} == {(v, w): sum(w in (t or []) for t in own(v)) for v in ("v", None) for w in {x for t in own(v) for x in t or []}}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
