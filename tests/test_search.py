@@ -117,3 +117,20 @@ def test_words_are_counted_as_the_tokenizer_has_them(spark, monkeypatch):
     counts = counting.counted(docs, KEYS, postings=False).where("term is not null").groupBy("video_id", "term").agg(F.sum("df").alias("n"))
     assert {(r.video_id, r.term): r.n for r in counts.collect()} == {(v, w): sum(w in (t or []) for t in own(v)) for v in ("v", None) for w in {x for t in own(v) for x in t or []}}
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_document_without_a_text_is_a_document(spark, tmp_path, monkeypatch):
+    """It counts for the idf and not for the mean length, as in the SQL; and the idfs of words no one asks for are in the mean."""
+    texts = ["a b", None, "b c c", "", "d b", None]
+    docs = spark.createDataFrame([("v", i, t) for i, t in enumerate(texts)], "video_id string, doc_id long, text string")
+    asked = spark.createDataFrame([("v", 1, "b c")], "video_id string, query_id long, text string")
+    tokens = [t.split() for t in texts if t is not None]
+    idf = {w: np.log(len(texts) - n + 0.5) - np.log(n + 0.5) for w, n in (("a", 1), ("b", 3), ("c", 1), ("d", 1))}
+    idf = {w: x if x >= 0 else 0.25 * np.mean(list(idf.values())) for w, x in idf.items()}
+    mean = sum(map(len, tokens)) / len(tokens)
+    expected = {i: sum(idf[w] * t.split().count(w) * 2.5 / (t.split().count(w) + 1.5 * (0.25 + 0.75 * len(t.split()) / mean)) for w in "bc") for i, t in enumerate(texts) if t}
+    ix.append(docs, KEYS, f"{tmp_path}/index")
+    for few in (100_000, 1):  # more query terms than are sent to the tasks
+        monkeypatch.setattr(rt, "BROADCAST_ROWS", few)
+        for found in (rt.bm25(docs, asked, KEYS), ix.search(spark, f"{tmp_path}/index", asked, KEYS)):
+            assert {r.doc_id: round(r.score, 9) for r in found.collect()} == {i: round(float(s), 9) for i, s in expected.items()}
