@@ -9,7 +9,7 @@ from palaver.functions import text as tx
 from palaver.operators import graph as gr
 from palaver.operators import provenance as pv
 from palaver.plans.base import query
-from palaver.session import cut, table
+from palaver.session import cut, sized, table
 
 #: Recordings that orders are dealt to; the segments of each are numbered from 1, so their ids overlap.
 RECORDINGS = 40
@@ -56,12 +56,18 @@ def mentions(spark, folder):
 
 
 def edges(spark, folder):
-    who = people(spark, folder)
+    """Edges of both predicates. Joins and sets are made in partitions by the rows of lineitem and orders, which the files' footers have."""
+    lineitem, orders = (table(spark, folder, t) for t in ("lineitem", "orders"))
+    n_lines, n_orders = lineitem.count(), orders.count()
+    customer, part = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey"), table(spark, folder, "part").select("p_partkey", "p_name")
+    who = sized(orders.select("o_orderkey", "o_custkey"), n_orders, "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey"))
     person = tx.node_key(F.lit("PERSON"), F.col("c_name"))
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, folder, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-    talk = lines.join(who, F.col("l_orderkey") == F.col("o_orderkey")).select(person.alias("source"), tx.node_key(F.lit("TOPIC"), F.col("p_name")).alias("target"), "o_orderkey")
+    lines = sized(lineitem.select("l_orderkey", "l_partkey"), n_lines, "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    talk = sized(lines.select("l_orderkey", "p_name"), n_lines, "l_orderkey").join(who, F.col("l_orderkey") == F.col("o_orderkey")).select(person.alias("source"), tx.node_key(F.lit("TOPIC"), F.col("p_name")).alias("target"), "o_orderkey")
     member = who.join(F.broadcast(table(spark, folder, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(person.alias("source"), tx.node_key(F.lit("PARTY"), F.col("n_name")).alias("target"), "o_orderkey")
-    named = [gr.first_edges(placed(e, "o_orderkey"), KEYS).withColumn("predicate", F.lit(p)) for p, e in (("discussed", talk), ("member of", member))]
+    # dealt by the edge, which both groupings of its set keep: no second shuffle
+    apart = [sized(placed(e, "o_orderkey"), n, *KEYS, "source", "target") for e, n in ((talk, n_lines), (member, n_orders))]
+    named = [gr.first_edges(e, KEYS).withColumn("predicate", F.lit(p)) for p, e in zip(("discussed", "member of"), apart, strict=True)]
     return named[0].unionByName(named[1])
 
 

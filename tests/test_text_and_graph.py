@@ -257,3 +257,17 @@ def test_office_terms_at_word_starts(spark):
     texts = spark.createDataFrame([("நிதி அமைச்சர்",), ("அநிதி",)], "text string")
     found = lambda **k: {r.text: r.member_id for r in rs.resolve_office(texts, members, **k).collect()}
     assert found() == {"நிதி அமைச்சர்": 3, "அநிதி": 3} and found(word_start=True) == {"நிதி அமைச்சர்": 3, "அநிதி": None}
+
+
+def test_edges_are_made_in_partitions_by_the_tables_rows(spark, monkeypatch):
+    """Ten times the rows a partition takes are ten times the partitions, with the same edges."""
+    from palaver import session
+    from palaver.plans import graphs
+
+    folder = "/root/testdata/sf0.001"
+    rows = lambda: sorted(map(tuple, graphs.graph_edges(spark, folder).collect()))
+    plain = rows()
+    monkeypatch.setattr(session, "PARTITION_ROWS", 500)
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    plan = graphs.edges(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-lines // 500)})" in plan and rows() == plain
