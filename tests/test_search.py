@@ -134,3 +134,25 @@ def test_a_document_without_a_text_is_a_document(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(rt, "BROADCAST_ROWS", few)
         for found in (rt.bm25(docs, asked, KEYS), ix.search(spark, f"{tmp_path}/index", asked, KEYS)):
             assert {r.doc_id: round(r.score, 9) for r in found.collect()} == {i: round(float(s), 9) for i, s in expected.items()}
+
+
+def watched(spark, texts):
+    """Documents of two recordings, and the number of times that one of them was read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(row):
+        seen.add(1)
+        return row
+
+    rows = [(f"v{i % 2}", i // 2, t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(read), "video_id string, doc_id long, text string"), seen
+
+
+def test_ranks_count_the_scores_of_a_question_once(spark):
+    """A side whose sizes are known is not counted again when it is dealt."""
+    docs, seen = watched(spark, ["x"] * 40)
+    sizes = spark.createDataFrame([("v0", 20), ("v1", 20)], "video_id string, n long")
+    asked = spark.createDataFrame([("v0", 1), ("v1", 2)], "video_id string, query_id long")
+    left, _, by = dealt(docs, asked, KEYS, F.col("doc_id"), F.col("query_id"), 5, 5, sizes)
+    assert seen.value == 0
+    assert left.groupBy(*by).count().agg(F.sum("count")).first()[0] == 40 and seen.value == 40
