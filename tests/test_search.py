@@ -148,6 +148,13 @@ def watched(spark, texts):
     return spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(read), "video_id string, doc_id long, text string"), seen
 
 
+def test_bm25_reads_each_text_once(spark):
+    docs, seen = watched(spark, [f"alpha w{i % 7} beta{i % 3} beta{i % 3}" for i in range(60)])
+    asked = spark.createDataFrame([("v0", 1, "alpha beta1 nowhere"), ("v1", 2, "w4 w4")], "video_id string, query_id long, text string")
+    assert rt.bm25(docs, asked, KEYS).count() > 0
+    assert seen.value == 60
+
+
 def test_ranks_count_the_scores_of_a_question_once(spark):
     """A side whose sizes are known is not counted again when it is dealt."""
     docs, seen = watched(spark, ["x"] * 40)
@@ -156,3 +163,36 @@ def test_ranks_count_the_scores_of_a_question_once(spark):
     left, _, by = dealt(docs, asked, KEYS, F.col("doc_id"), F.col("query_id"), 5, 5, sizes)
     assert seen.value == 0
     assert left.groupBy(*by).count().agg(F.sum("count")).first()[0] == 40 and seen.value == 40
+
+
+def test_bundles_of_words_give_the_counts_of_the_vocabulary(spark, monkeypatch):
+    """Parts of a few bytes, two keys with nulls, few buckets: the df of each word asked for, and how many others have the same; at most a bundle for each bucket leaves a part."""
+    from palaver.functions.text import tokenize
+    from palaver.operators import counting
+
+    monkeypatch.setattr(counting, "TEXT", 90)
+    monkeypatch.setattr(counting, "BUCKETS", 5)
+    texts = ["Alpha beta alpha", "", None, "அவை12அவை x", "beta " * 9, "a b c d e f g h", "a b c", "a", "...", "İK K9 beta", "alpha z" + "y" * 90]
+    rows = [("v" if i % 3 else None, i % 2, i, texts[i % len(texts)]) for i in range(44)]
+    docs = spark.createDataFrame(rows, "video_id string, part long, doc_id long, text string").repartition(3)
+    keys, terms = ["video_id", "part"], ["a", "beta", "nowhere"]
+    tokens = {r.doc_id: r.t for r in docs.select("doc_id", tokenize(F.col("text")).alias("t")).collect()}
+    found = counting.surveyed(docs, keys, terms).persist()
+    own = found.where("bucket is null").collect()
+    assert sorted((r.doc_id, r.dl, r.numbers, r.tf) for r in own if r.dl is not None) == sorted((d, len(t), [i for i, w in enumerate(terms) if w in t], [t.count(w) for w in terms if w in t]) for d, t in tokens.items() if t is not None)
+    assert sorted(r.doc_id for r in own if r.dl is None) == [d for d, t in sorted(tokens.items()) if t is None]
+    df = {}
+    for v, p, d, _ in rows:
+        for w in set(tokens[d] or []):
+            df[v, p, w] = df.get((v, p, w), 0) + 1
+    for groups in (1, 4):
+        tally, others = counting.tallied(found.where("bucket is not null"), keys, terms, groups).collect(), {}
+        assert sorted((str(r.video_id), r.part, terms[r.term], r.df, r.times) for r in tally if r.term is not None) == sorted((str(v), p, w, n, 1) for (v, p, w), n in df.items() if w in terms)
+        for r in tally:
+            if r.term is None:
+                others[r.video_id, r.part, r.df] = others.get((r.video_id, r.part, r.df), 0) + r.times
+        expected = [(v, p, n) for (v, p, w), n in df.items() if w not in terms]
+        assert others == {x: expected.count(x) for x in expected}
+    bundles = found.where("bucket is not null")
+    assert bundles.agg(F.max("bucket")).first()[0] < 5 and bundles.where("size(owners) > 1").count() > 0
+    found.unpersist()
