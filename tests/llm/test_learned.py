@@ -222,6 +222,50 @@ def test_language_model_is_the_same_however_rows_are_split(spark, monkeypatch):
     assert flat[-lm.CONTEXT :] == pytest.approx(corpus.words + corpus.ends)  # the last weights are of all tokens that were learnt from
 
 
+def test_a_learning_step_is_the_plain_one_in_few_calls(monkeypatch):
+    """A step's gradients are those of single tokens and noise, and its logits are made at once, however many classes there are."""
+    monkeypatch.setattr(lm, "BATCH", 1 << 20)
+    model, rng = lm.LogBilinear(400), np.random.default_rng(5)
+    model.begin(rng.integers(1, 50, 400))
+    learner, calls, drawn = lm.Learner(model, 3), [], []
+    old = [p.copy() for p in model.parameters()]
+    before, after = rng.integers(0, 400, (300, 2)), np.sort(rng.integers(0, 400, 300))
+    weight = rng.integers(1, 4, 300).astype(np.float32)
+    monkeypatch.setattr(lm, "sigmoid", lambda x, f=lm.sigmoid: (calls.append(x.shape), f(x))[1])
+    monkeypatch.setattr(np, "searchsorted", lambda *a, f=np.searchsorted: (drawn.append(f(*a)), drawn[-1])[1])
+    learner.step(before, after, weight)
+    assert len(calls) <= 3  # not one for each of 20 classes
+    context, target, bias, group, group_bias, place = (p.astype(np.float64) for p in old)
+    sums, there = [np.zeros_like(p) for p in (context, target, bias, group, group_bias, place)], np.unique(after // model.size)
+
+    def hold(r, w, back, vectors, biases, share, k, row, true):
+        e = w * (1 / (1 + math.exp(-(vectors[row] @ r + biases[row] - math.log(lm.NOISE * share[row])))) - true)
+        sums[k][row] += e * r
+        sums[k + 1][row] += e
+        back += e * vectors[row]
+
+    for b, a, w in zip(before, after, weight, strict=True):
+        r, back, own = (context[b] * place).sum(axis=0), np.zeros(lm.DIM), a // model.size
+        for row, true in [(own, 1), *((c, 0) for c in drawn[0])]:
+            hold(r, w, back, group, group_bias, model.group_share, 3, row, true)
+        for row, true in [(a, 1), *((u, 0) for u in drawn[1][list(there).index(own)])]:
+            hold(r, w, back, target, bias, model.share, 1, row, true)
+        for k, unit in enumerate(b):
+            sums[0][unit] += back * place[k]
+            sums[5][k] += back * context[unit]
+    for p, q, g in zip(old, model.parameters(), sums, strict=True):
+        assert np.allclose(q, p - lm.RATE * g / np.sqrt(0.1 + g * g), atol=2e-5)
+
+
+def test_logits_far_from_nought_are_normalised():
+    model = lm.LogBilinear(30)
+    model.bias[::7], model.bias[3], model.group_bias[:] = 400, -700, [900, -900, 20, 0, 5]
+    every = model.log_probs(np.array([[1, 2]] * 30), np.arange(30))
+    assert np.isfinite(every).all() and np.exp(every).sum() == pytest.approx(1, abs=1e-5)
+    turned = model.log_probs(np.array([[1, 2]] * 30), np.arange(30)[::-1])
+    assert np.allclose(turned[::-1], every)
+
+
 def test_a_very_long_text_is_scored_whole(spark):
     long = " ".join(f"w{i % 700}" for i in range(400_000))
     docs = spark.createDataFrame([(1, long), (2, "w1 w2"), (3, long)], "doc_id long, text string")
