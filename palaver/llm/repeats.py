@@ -68,18 +68,22 @@ class Scale:
 BYTES = Scale(400, 200)
 #: Passages of over 50 words, a word being four bytes of its hash.
 WORDS = Scale(51, 26, 4, in_order=False)
-#: Bytes of a text whose anchors are chosen at once.
-PIECE = 4 << 20
+#: Symbols whose anchors are chosen at once, so that they stay in a cache, and anchors that are hashed at once.
+PIECE, HASH_ROWS = 1 << 16, 1 << 10
 #: Members of a group that are sorted in one task at most; a larger group is split by content.
 GROUP_ROWS = 20_000
 #: Members that are sorted together.
 SORT_ROWS = 30_000
+#: Members of a group that are held against each other.
+NEAR = 8
 #: Anchors that are looked at together for hot cores, and those of one core that are left together.
 FLUSH, HOT = 100_000, 1
 
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _inverse_powers = np.ones(1, np.uint64)
 _LOW = np.uint64((1 << 24) - 1)
+#: Of n places of a piece, the last n of these: the smaller the later a place is.
+_places = np.arange(PIECE + 1024, dtype=np.uint64)[::-1].copy()
 
 
 def inverse_powers(n: int) -> np.ndarray:
@@ -115,41 +119,57 @@ class Piece:
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray, scale: Scale):
-    """The symbols of each text of a batch: its bytes, or 32-bit hashes of its words."""
+    """Blocks of texts of a batch: the first text's number, the symbols (bytes, or 32-bit hashes of words) and the bounds of the texts in them."""
     for i, j in cut_blocks(offsets):
+        own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         if scale.step == 1:
-            for k in range(i, j):
-                yield data[offsets[k] : offsets[k + 1]]
+            yield i, *own
         else:
-            words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], NOT_SPACE, lower=False)
-            codes = (words.hashes >> np.uint64(32)).astype(np.uint32)
-            for k in range(j - i):
-                yield codes[words.bounds[k] : words.bounds[k + 1]]
-
-
-def anchors(text: np.ndarray, scale: Scale) -> tuple[np.ndarray, ...]:
-    """Place, core hash, neighbourhood hash, and symbols to the left and right of each anchor of a text."""
-    n, found, wide, reach = len(text), [], scale.core, scale.reach
-    if n < scale.length:
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    for a in range(0, n - scale.length + 1, PIECE):
-        b = min(n, a + PIECE + scale.length - 1)
-        piece = Piece(text[a:b])
-        at = np.arange(b - a - wide + 1)
-        core = mix((piece.sums[wide:] - piece.sums[:-wide]) * inverse_powers(len(piece.sums))[: len(at)])
-        low = lowest((core & ~_LOW) | (_LOW - at.astype(np.uint64)), reach + 1)
-        chosen = (_LOW - (low & _LOW)).astype(np.int64)
-        found.append(a + np.unique(chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])]))
-    place = np.unique(np.concatenate(found))
-    left, right = np.minimum(place, reach), np.minimum(n - place - wide, reach)
-    core, whole = np.empty(len(place), np.uint64), np.empty(len(place), np.uint64)
-    for k in range(0, len(place), PIECE // 256):
-        of = slice(k, k + PIECE // 256)
-        a, b = int(place[of][0] - left[of][0]), int((place[of] + wide + right[of]).max())
-        piece = Piece(text[a:b])
-        core[of] = mix(piece.hashes(place[of] - a, place[of] + wide - a))
-        whole[of] = mix(mix(piece.hashes(place[of] - left[of] - a, place[of] + wide + right[of] - a)) + (left[of] * 1000 + right[of]).astype(np.uint64))
-    return place, core, whole, left, right
+            words = Words(*own, NOT_SPACE, lower=False)
+            yield i, (words.hashes >> np.uint64(32)).astype(np.uint32), words.bounds
+
+
+def chosen_places(data: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, scale: Scale) -> np.ndarray:
+    """The anchors of the wanted texts of a block, in order.
+
+    In each window of a text's places the one whose core has the smallest hash is chosen. The windows of a piece are
+    looked at together, and those that are not within a wanted text are left out.
+    """
+    begins = np.zeros(len(data) + 1, np.int8)  # 1 where a text's windows begin, -1 where they have ended
+    own = np.flatnonzero(wanted & (np.diff(bounds) >= scale.length))
+    begins[bounds[own]] = 1
+    begins[bounds[own + 1] - scale.length + 1] = -1
+    windows, found = np.cumsum(begins, dtype=np.int8).view(bool), [np.zeros(0, np.int64)]
+    for a in range(0, len(data) - scale.length + 1, PIECE):
+        b = min(len(data), a + PIECE + scale.length - 1)
+        n = b - a - scale.core + 1
+        piece = Piece(data[a:b])
+        keys = piece.sums[scale.core :] - piece.sums[: -scale.core]
+        keys *= inverse_powers(len(piece.sums))[:n]
+        keys &= ~_LOW
+        keys |= _places[-n:]
+        low = lowest(keys, scale.reach + 1)
+        low = low[windows[a : a + len(low)]]
+        low = low[np.concatenate([[True], low[1:] != low[:-1]])[: len(low)]]
+        found.append(a + n - 1 - (low & _LOW).astype(np.int64))
+    place = np.concatenate(found)
+    return place[np.concatenate([[True], place[1:] != place[:-1]])[: len(place)]]
+
+
+def anchors(data: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, scale: Scale) -> tuple[np.ndarray, ...]:
+    """Text, place, core hash, neighbourhood hash, and symbols to the left and right of each anchor of the wanted texts of a block."""
+    wide, reach = scale.core, scale.reach
+    at = chosen_places(data, bounds, wanted, scale)
+    text = np.searchsorted(bounds, at, "right") - 1
+    left, right = np.minimum(at - bounds[text], reach), np.minimum(bounds[text + 1] - at - wide, reach)
+    core, whole = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+    for k in range(0, len(at), HASH_ROWS):
+        of = slice(k, k + HASH_ROWS)
+        a, b = int((at[of] - left[of]).min()), int((at[of] + wide + right[of]).max())
+        piece = Piece(data[a:b])
+        core[of] = mix(piece.hashes(at[of] - a, at[of] + wide - a))
+        whole[of] = mix(mix(piece.hashes(at[of] - left[of] - a, at[of] + wide + right[of] - a)) + (left[of] * 1000 + right[of]).astype(np.uint64))
+    return text, at - bounds[text], core, whole, left, right
 
 
 def anchor_rows(docs: DataFrame, scale: Scale) -> DataFrame:
@@ -162,17 +182,17 @@ def anchor_rows(docs: DataFrame, scale: Scale) -> DataFrame:
     def each(batch):
         data, offsets = utf8(batch.column("text"))
         a, b = (np.asarray(batch.column(c), np.int64) for c in ("ta", "tb"))
-        _, first, times = np.unique(np.stack([a, b]), axis=1, return_index=True, return_counts=True) if len(a) else (None, [], [])
-        copies = dict(zip(first.tolist(), times.tolist(), strict=True)) if len(a) else {}
-        out, size, last = [], 0, max(copies, default=-1)
-        for i, text in enumerate(symbols(data, offsets, scale)):
-            if i not in copies:
-                continue
-            n = copies[i]
-            place, core, whole, left, right = anchors(text, scale)
-            out.append((core, whole, np.full(len(place), a[i]), np.full(len(place), b[i]), place, left, right, np.full(len(place), n)))
+        times = np.zeros(len(a), np.int64)  # of a text's first copy
+        if len(a):
+            _, first, many = np.unique(np.stack([a, b]), axis=1, return_index=True, return_counts=True)
+            times[first] = many
+        out, size = [], 0
+        for i, block, bounds in symbols(data, offsets, scale):
+            j = i + len(bounds) - 1
+            text, place, core, whole, left, right = anchors(block, bounds, times[i:j] > 0, scale)
+            out.append((core, whole, a[i + text], b[i + text], place, left, right, times[i + text]))
             size += len(place)
-            if size > FLUSH or i == last:
+            if size > FLUSH or j == len(a):
                 columns = dict(zip(("core", "whole", "ta", "tb", "place", "left", "right", "times"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))
                 yield columns | {"salt": salts(columns["core"], columns["whole"] ^ columns["place"].astype(np.uint64), HOT)}
                 out, size = [], 0
@@ -200,7 +220,8 @@ def neighbourhoods(docs: DataFrame, needed: DataFrame, scale: Scale) -> DataFram
         data, offsets = utf8(batch.column("text"))
         a, b = (batch.column(c).to_pylist() for c in ("ta", "tb"))
         step, wide = scale.step, scale.core
-        for i, (own, text) in enumerate(zip(batch.column("anchors").to_pylist(), symbols(data, offsets, scale), strict=True)):
+        texts = (block[x:y] for _, block, bounds in symbols(data, offsets, scale) for x, y in zip(bounds[:-1], bounds[1:], strict=True))
+        for i, (own, text) in enumerate(zip(batch.column("anchors").to_pylist(), texts, strict=True)):
             text = text.tobytes()
             yield {"core": [r["core"] for r in own], "ta": [a[i]] * len(own), "tb": [b[i]] * len(own), "place": [r["place"] for r in own], "copies": [r["copies"] for r in own], "before": [text[step * (r["place"] - r["left"]) : step * r["place"]][::-1] for r in own], "after": [text[step * r["place"] : step * (r["place"] + wide + r["right"])] for r in own]}
 
@@ -247,16 +268,23 @@ def split_groups(rows: DataFrame, most: int, scale: Scale) -> tuple[DataFrame, D
     return done, spans if spans is not None else done.select("ta", "tb", F.col("place").alias("start"), F.col("place").alias("end")).limit(0)
 
 
-def ordered_classes(keys, before, after, scale: Scale):
+def same_cores(group: np.ndarray, after, scale: Scale) -> bool:
+    """Whether the members of each group have the bytes of their core in common, which only equal hashes of other bytes can deny."""
+    data, offsets = utf8(after)
+    cores = data[offsets[:-1, None] + np.arange(scale.core * scale.step)]
+    return bool((cores[1:] == cores[:-1])[group[1:] == group[:-1]].all())
+
+
+def ordered_classes(group: np.ndarray, before, after, scale: Scale):
     """Numbers of the members that agree in so many symbols after the core (r) or before it (l), from both deep-shallow orders."""
-    tags, ranks = [int(k).to_bytes(8, "big", signed=True) for k in keys], {}
-    for side, strings, shared in (("r", [t + s for t, s in zip(tags, after, strict=True)], 8 + scale.core * scale.step), ("l", [t + s for t, s in zip(tags, before, strict=True)], 8)):
+    tags, ranks, known = [int(k).to_bytes(8, "big") for k in group], {}, scale.core * scale.step * same_cores(group, after, scale)
+    for side, strings, shared in (("r", [t + s[known:] for t, s in zip(tags, after.to_pylist(), strict=True)], 8 + scale.core * scale.step - known), ("l", [t + s for t, s in zip(tags, before.to_pylist(), strict=True)], 8)):
         order, lcp = deep_shallow(strings)
         ranks[side] = (order, np.where(lcp >= shared, (lcp - shared) // scale.step, -1))
 
     def classes(side: str, depth: int) -> np.ndarray:
         order, lcp = ranks[side]
-        own = np.empty(len(keys), np.int64)
+        own = np.empty(len(order), np.int64)
         own[order] = np.cumsum(lcp < depth)
         return own
 
@@ -265,34 +293,57 @@ def ordered_classes(keys, before, after, scale: Scale):
 
 def hashed_classes(before, after, scale: Scale):
     """Hashes of each member's first symbols after the core (r) or before it (l), for every depth up to the reach; from columns."""
-    whole, sums = scale.reach * scale.step, {}
-    for side, column, skip in (("r", after, scale.core * scale.step), ("l", before, 0)):
+    sums = {}
+    for side, column, skip in (("r", after, scale.core), ("l", before, 0)):
         data, offsets = utf8(column)
-        at = offsets[:-1, None] + skip + np.arange(whole)
-        rows = np.where(at < offsets[1:, None], np.append(data, np.uint8(0))[np.minimum(at, len(data))], 0).astype(np.uint8)
-        codes = mix(rows.view(np.uint32).astype(np.uint64) + np.uint64(1)) * powers(scale.reach)
-        sums[side] = np.concatenate([np.zeros((len(rows), 1), np.uint64), np.cumsum(codes, axis=1, dtype=np.uint64)], axis=1)
-    return lambda side, depth: sums[side][:, depth]
+        data, offsets = np.append(data.view(np.uint32), np.uint32(0)), offsets // scale.step
+        at = offsets[:-1] + skip + np.arange(scale.reach)[:, None]  # a row for each depth
+        rows = np.where(at < offsets[1:], data[np.minimum(at, len(data) - 1)], np.uint32(0))
+        sums[side] = np.zeros((scale.reach + 1, len(column)), np.uint64)
+        np.cumsum(mix(rows.astype(np.uint64) + np.uint64(1)) * powers(scale.reach)[:, None], axis=0, out=sums[side][1:])
+    return lambda side, depth: sums[side][depth]
+
 
+def group_repeats(keys: np.ndarray, low, high, copies, before, after, scale: Scale) -> tuple[np.ndarray, np.ndarray]:
+    """For members of whole groups, in the order of their keys (before and after are columns): the largest and smallest offset of a repeat, or -1.
 
-def group_repeats(keys, low, high, copies, before, after, scale: Scale) -> tuple[np.ndarray, np.ndarray]:
-    """For members of whole groups (before and after are columns): the largest and smallest offset of a repeat, or -1."""
+    Where members have hashes, each is held against the next ones in groups of NEAR members or fewer; others are told apart by a sort.
+    """
     n, step, wide, reach = len(keys), scale.step, scale.core, scale.reach
     size = {"r": np.diff(utf8(after)[1]) // step - wide, "l": np.diff(utf8(before)[1]) // step}
-    _, group = np.unique(np.array(keys), return_inverse=True)
-    classes = ordered_classes(keys, before.to_pylist(), after.to_pylist(), scale) if scale.in_order else hashed_classes(before, after, scale)
+    group = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
+    classes = ordered_classes(group, before, after, scale) if scale.in_order else hashed_classes(before, after, scale)
+    few, bits = (np.bincount(group)[group] <= NEAR) & (not scale.in_order), n.bit_length()  # three numbers of a member fit in 63 bits
+    pairs = []  # of members of a small group, for each distance
+    for d in range(1, NEAR):
+        first = np.flatnonzero(few[:-d] & (group[d:] == group[:-d]))
+        if not len(first):
+            break
+        pairs.append((first, first + d))
 
     top, bottom = np.full(n, -1), np.full(n, -1)
     for o in range(int(low.min()), int(high.max()) + 1):
-        able = np.flatnonzero((size["l"] >= o) & (size["r"] >= reach - o) & (low <= o) & (o <= high))
-        if not len(able):
+        able = (size["l"] >= o) & (size["r"] >= reach - o) & (low <= o) & (o <= high)
+        if not able.any():
             continue
-        right, left = classes("r", reach - o)[able], classes("l", o)[able] if o else group[able]
-        pair = right * (n + 1) + left if scale.in_order else mix(mix(right.astype(np.uint64)) + left.astype(np.uint64)) + group[able].astype(np.uint64)
-        _, inverse = np.unique(pair, return_inverse=True)
-        hit = able[np.bincount(inverse, weights=copies[able])[inverse] >= 2]
+        right, left = classes("r", reach - o), classes("l", o) if o else group
+        hit = able & (copies >= 2)
+        for a, b in pairs:
+            same = able[a] & able[b] & (right[a] == right[b]) & (left[a] == left[b])
+            hit[a[same]] = hit[b[same]] = True
+        many = np.flatnonzero(able & ~few)
+        if len(many):
+            if scale.in_order and 3 * bits < 63:
+                own = np.sort((right[many] << bits | left[many]) << bits | many)
+                same = np.flatnonzero(own[1:] >> bits == own[:-1] >> bits)
+                for k in (same, same + 1):
+                    hit[own[k] & ((1 << bits) - 1)] = True
+            else:
+                own = mix(mix(right[many].astype(np.uint64)) + left[many].astype(np.uint64)) + group[many].astype(np.uint64)
+                _, inverse, times = np.unique(own, return_inverse=True, return_counts=True)
+                hit[many] |= times[inverse] >= 2
         top[hit] = o
-        bottom[hit] = np.where(bottom[hit] < 0, o, bottom[hit])
+        bottom[hit & (bottom < 0)] = o
     return top, bottom
 
 
@@ -309,7 +360,7 @@ def sorted_repeats(rows: DataFrame, scale: Scale) -> DataFrame:
         def solve(table):
             keys = np.asarray(table.column("key"), np.int64)
             low, high, copies, place = (np.asarray(table.column(c), np.int64) for c in ("low", "high", "copies", "place"))
-            top, bottom = group_repeats(keys.tolist(), low, high, copies, table.column("before"), table.column("after"), scale)
+            top, bottom = group_repeats(keys, low, high, copies, table.column("before"), table.column("after"), scale)
             at = np.flatnonzero((top >= 0) & (copies < 2))
             ids = [np.asarray(table.column(c), np.int64)[at] for c in ("ta", "tb")]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*ids, place[at] - top[at], place[at] - bottom[at] + scale.length)], names=["ta", "tb", "start", "end"])

@@ -106,19 +106,41 @@ def quicksort(strings: list[bytes], depth: int = SHALLOW) -> tuple[np.ndarray, n
         segment = np.cumsum(np.concatenate([[0], (mark[1:] != mark[:-1]).astype(np.int64)]))
 
 
+def ordered_group(strings: list[bytes], group: list[int]) -> tuple[list[int], list[int]]:
+    """The order of different strings by a blind trie, and common prefixes; that of two is their comparison."""
+    if len(group) < 3:
+        group.sort(key=strings.__getitem__)
+        return group, [0, common(*map(strings.__getitem__, group))] if len(group) > 1 else [0]
+    trie = BlindTrie(strings)
+    for i in group:
+        trie.add(i)
+    return trie.ordered()
+
+
 def deep_shallow(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The sorted order of the strings and the common prefix of each with the one before it."""
     if not strings:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order, segment = quicksort(strings)
-    lcp = np.zeros(len(order), np.int64)
     begin = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-    for a, b in zip(begin, np.concatenate([begin[1:], [len(order)]]), strict=True):
-        if b - a > 1:
-            trie = BlindTrie(strings)
-            for i in order[a:b].tolist():
-                trie.add(i)
-            order[a:b], lcp[a:b] = trie.ordered()
-    for a in begin[1:].tolist():  # of neighbours in two segments
-        lcp[a] = common(strings[order[a - 1]][:SHALLOW], strings[order[a]][:SHALLOW])
+    ends, before, ranked, shared = [*begin[1:].tolist(), len(order)], order.tolist(), [], []
+    for a, b in zip(begin.tolist(), ends, strict=True):
+        if b - a == 1:
+            ranked.append(before[a])
+            shared.append(0)
+            continue
+        equal: dict[bytes, list[int]] = {}
+        for i in before[a:b]:
+            equal.setdefault(strings[i], []).append(i)
+        for i, n in zip(*ordered_group(strings, [x[0] for x in equal.values()]), strict=True):
+            own = equal[strings[i]]
+            ranked += own
+            shared += [n, *[len(strings[i])] * (len(own) - 1)]
+    order, lcp = np.array(ranked, np.int64), np.array(shared, np.int64)
+    # of neighbours in two segments
+    heads = np.frombuffer(b"".join(s[:SHALLOW].ljust(SHALLOW, b"\0") for s in strings), np.uint8).reshape(len(strings), -1)
+    last, next_ = order[begin[1:] - 1], order[begin[1:]]
+    other = np.concatenate([heads[last] != heads[next_], np.ones((len(last), 1), bool)], axis=1)
+    sizes = np.array([len(s) for s in strings], np.int64)
+    lcp[begin[1:]] = np.minimum(other.argmax(axis=1), np.minimum(sizes[last], sizes[next_]))
     return order, lcp

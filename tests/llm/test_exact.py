@@ -309,6 +309,38 @@ def test_deep_shallow_order():
         assert [len(os.path.commonprefix(x)) for x in zip(ranked, ranked[1:], strict=False)] == lcp[1:].tolist()
 
 
+def test_only_groups_of_three_different_strings_get_a_trie(monkeypatch):
+    """Pairs and equal strings are ordered without one; order and common prefixes are those of a plain sort."""
+    rng, made = np.random.default_rng(4), []
+    monkeypatch.setattr(sorting.BlindTrie, "__init__", lambda self, strings, f=sorting.BlindTrie.__init__: (made.append(1), f(self, strings))[1])
+    strings = []
+    for k in range(300):
+        head = k.to_bytes(8, "big") + b"x" * 30
+        strings += [head + bytes(rng.integers(97, 99, 6).tolist())] * int(rng.integers(1, 6)) + [head] * int(k % 2)
+    strings += [b"\0" * 40 + t for t in (b"a", b"b", b"", b"b", b"\0")] + [b"\0\0", b"\0", b""]
+    order, lcp = sorting.deep_shallow(strings)
+    assert [strings[i] for i in order] == sorted(strings) and sorted(order) == list(range(len(strings)))
+    assert lcp[0] == 0 and all(n == len(os.path.commonprefix([strings[i], strings[j]])) for n, i, j in zip(lcp[1:], order, order[1:]))
+    assert len(made) == 1
+
+
+@pytest.mark.parametrize("piece", [1 << 16, 700])
+def test_anchors_of_a_block_are_those_of_its_texts(monkeypatch, piece):
+    """Texts of a block are looked at together, and each has the anchors and hashes that it has alone."""
+    monkeypatch.setattr(rp, "PIECE", piece)
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(97, 101, n, dtype=np.uint8) for n in (0, 399, 400, 401, 3000, 5, 1200, 0)] + [np.full(900, 97, np.uint8)]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    wanted = np.array([True] * 6 + [False] + [True] * 2)
+    text, place, core, whole, left, right = rp.anchors(np.concatenate(texts), bounds, wanted, rp.BYTES)
+    for k, t in enumerate(texts):
+        at = place[text == k]
+        assert all(any(i <= p <= i + 200 for p in at) for i in range(len(t) - 399)) == (bool(wanted[k]) or len(t) < 400)
+        alone = rp.anchors(t, np.array([0, len(t)]), np.array([wanted[k]]), rp.BYTES)
+        assert all((x[text == k] == y).all() for x, y in zip((place, core, whole, left, right), alone[1:], strict=True))
+        assert (np.diff(at) > 0).all() and (left[text == k] == np.minimum(at, 200)).all() and (right[text == k] == np.minimum(len(t) - at - 200, 200)).all()
+
+
 @pytest.mark.parametrize("most", [20_000, 3])
 def test_repeats(spark, odd, empty, monkeypatch, most):
     monkeypatch.setattr(rp, "GROUP_ROWS", most)
