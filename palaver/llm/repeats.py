@@ -82,8 +82,6 @@ FLUSH, HOT = 100_000, 1
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _inverse_powers = np.ones(1, np.uint64)
 _LOW = np.uint64((1 << 24) - 1)
-#: Of n places of a piece, the last n of these: the smaller the later a place is.
-_places = np.arange(PIECE + 1024, dtype=np.uint64)[::-1].copy()
 
 
 def inverse_powers(n: int) -> np.ndarray:
@@ -147,7 +145,7 @@ def chosen_places(data: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, scal
         keys = piece.sums[scale.core :] - piece.sums[: -scale.core]
         keys *= inverse_powers(len(piece.sums))[:n]
         keys &= ~_LOW
-        keys |= _places[-n:]
+        keys |= np.arange(n - 1, -1, -1, dtype=np.int64).view(np.uint64)  # of equals the last is the smallest
         low = lowest(keys, scale.reach + 1)
         low = low[windows[a : a + len(low)]]
         low = low[np.concatenate([[True], low[1:] != low[:-1]])[: len(low)]]
@@ -339,7 +337,7 @@ def group_repeats(keys: np.ndarray, low, high, copies, before, after, scale: Sca
                 for k in (same, same + 1):
                     hit[own[k] & ((1 << bits) - 1)] = True
             else:
-                own = mix(mix(right[many].astype(np.uint64)) + left[many].astype(np.uint64)) + group[many].astype(np.uint64)
+                own = right[many] * (n + 1) + left[many] if scale.in_order else mix(mix(right[many].astype(np.uint64)) + left[many].astype(np.uint64)) + group[many].astype(np.uint64)
                 _, inverse, times = np.unique(own, return_inverse=True, return_counts=True)
                 hit[many] |= times[inverse] >= 2
         top[hit] = o
