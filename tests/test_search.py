@@ -196,3 +196,30 @@ def test_bundles_of_words_give_the_counts_of_the_vocabulary(spark, monkeypatch):
     bundles = found.where("bucket is not null")
     assert bundles.agg(F.max("bucket")).first()[0] < 5 and bundles.where("size(owners) > 1").count() > 0
     found.unpersist()
+
+
+def test_every_question_of_the_table_is_asked(spark):
+    from palaver.plans import searches
+
+    folder = "/root/testdata/sf0.001"
+    items = sorted(r.item_id for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect())
+    asked = searches.questions(spark, folder).collect()
+    assert sorted((r.video_id, r.query_id) for r in asked) == sorted((f"V{i}", q) for i in range(searches.RECORDINGS) for q in items)
+    assert {r.query_id for r in searches.bm25_topk(spark, folder).select("query_id").distinct().collect()} == set(items)
+
+
+def test_the_best_documents_are_those_of_all_scores(spark, monkeypatch):
+    """Blocks of a few documents, equal scores, idfs below zero and of zero, documents without a text, two keys with nulls; more terms than are sent to the tasks."""
+    monkeypatch.setattr(rt, "DOCUMENTS", 9)
+    monkeypatch.setattr(rt, "CELLS", 12)
+    rows = [("v" if i % 3 else "w", i % 2, i, None if i % 11 == 5 else f"alpha w{i % 7} w{i % 7} " + "beta " * (i % 4) + "even " * (i % 4 // 2)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "video_id string, part long, doc_id long, text string").repartition(2)
+    asked = [(v, p, q, t) for v in "vwx" for p in (0, 1) for q, t in enumerate(("alpha", "beta w1 w1 w3", "even even", "w0 w1 w2 w3 w4 w5 w6 alpha", "nowhere", ""))]
+    asked = spark.createDataFrame(asked, "video_id string, part long, query_id int, text string")
+    keys = ["video_id", "part"]
+    listed = lambda df: sorted((r.video_id, r.part, r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in df.collect())
+    expected = listed(rt.best(rt.bm25(docs, asked, keys), [*keys, "query_id"], rt.by_score(), 4))
+    assert expected and listed(rt.bm25_top(docs, asked, keys, 4)) == expected
+    for name in ("RATED", "BROADCAST_ROWS"):
+        monkeypatch.setattr(rt, name, 1)
+        assert listed(rt.bm25_top(docs, asked, keys, 4)) == expected
