@@ -11,11 +11,14 @@ A question reads the buckets of its terms and no others.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from palaver.operators import retrieval as rt
-from palaver.operators.counting import counted
+from palaver.operators.counting import counted, owners_of
 from palaver.session import bounded, cut, exists
 
 #: Folders of postings, and files of a folder that a build writes at most.
@@ -62,6 +65,47 @@ def search(spark: SparkSession, path: str, queries: DataFrame, keys: list[str])
     return rt.scored(found, frequencies, current(spark, path, keys).drop("build"), wanted, keys)
 
 
+#: Postings of a group of documents whose scores are made at once.
+POSTINGS = 1_000_000
+
+
+def search_top(spark: SparkSession, path: str, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k best of ``search``, ranked: a posting moves once, to its document's, and only the best of a group of documents move on.
+
+    The postings of the wanted terms are read twice, for the terms' frequencies first, and not kept. Where
+    questions have more terms than are sent to the tasks, the postings meet them in joins.
+    """
+    wanted = cut(rt.wanted_terms(queries, keys))
+    by = [*keys, "query_id"]
+    terms = sorted(r.term for r in wanted.select("term").distinct().limit(rt.BROADCAST_ROWS + 1).collect())
+    if len(terms) > rt.BROADCAST_ROWS:
+        return rt.best(search(spark, path, queries, keys), by, rt.by_score(), k)
+    buckets = sorted(r.bucket for r in wanted.select(bucket_of(F.col("term")).alias("bucket")).distinct().collect())
+    rows = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets))
+    now = current(spark, path, keys)
+    found = rt.numbered(rows.join(bounded(now.select(*keys, "build")), [*keys, "build"]), terms)
+    frequencies = cut(found.groupBy(*keys, "term").agg(F.count("*").alias("df")))
+    asked = rt.Asked.of(rt.rated(rt.numbered(wanted, terms), frequencies, now.drop("build"), keys), keys)
+    if asked is None:
+        return rt.best(search(spark, path, queries, keys), by, rt.by_score(), k)
+    groups = -(-(frequencies.agg(F.sum("df")).first()[0] or 1) // POSTINGS)
+    schema = f"{rt.types_of(rows, keys)}, {rt.types_of(wanted, ['query_id'])}, {rt.types_of(rows, ['doc_id'])}, score double"
+
+    typed = to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+    def top(part):
+        owner, _ = owners_of([part.column(c).combine_chunks() for c in keys])
+        ids = part.column("doc_id").combine_chunks().dictionary_encode()
+        _, first, doc = np.unique(owner * max(len(ids.dictionary), 1) + ids.indices.to_numpy(), return_index=True, return_inverse=True)
+        order = np.argsort(doc, kind="stable")
+        docs = part.select([*keys, "doc_id", "dl"]).take(pa.array(first)).combine_chunks().to_batches()[0]
+        term, tf = (part.column(c).combine_chunks().take(pa.array(order)) for c in ("term", "tf"))
+        return pa.Table.from_batches(asked.best(docs, term, tf, doc[order], k), typed)
+
+    met = found.select(*keys, "doc_id", "term", "tf", "dl", F.pmod(F.xxhash64(*keys, "doc_id"), F.lit(groups)).alias("met")).groupBy("met")
+    return rt.best(met.applyInArrow(top, schema), by, rt.by_score(), k)
+
+
 def compact(spark: SparkSession, path: str, to: str, keys: list[str]) -> None:
     """Writes the current builds of an index to another folder."""
     now = current(spark, path, keys)

@@ -223,3 +223,23 @@ def test_the_best_documents_are_those_of_all_scores(spark, monkeypatch):
     for name in ("RATED", "BROADCAST_ROWS"):
         monkeypatch.setattr(rt, name, 1)
         assert listed(rt.bm25_top(docs, asked, keys, 4)) == expected
+
+
+def test_a_stored_index_is_asked_every_question(spark, tmp_path, monkeypatch):
+    """All questions of the table; the best of groups of a few postings, after an update, are those of all scores."""
+    from palaver.plans import searches
+
+    items = {r.item_id for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()}
+    assert {r.query_id for r in searches.stored_index_topk(spark, "/root/testdata/sf0.001").select("query_id").distinct().collect()} == items
+    monkeypatch.setattr(ix, "POSTINGS", 20)
+    rows = [("v" if i % 3 else "w", i, None if i % 11 == 5 else f"alpha w{i % 7} w{i % 7} " + "beta " * (i % 4)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "video_id string, doc_id long, text string")
+    asked = [(v, q, t) for v in "vwx" for q, t in enumerate(("alpha", "beta w1 w1 w3", "w0 w1 w2 w3 w4 w5 w6 alpha", "nowhere", ""))]
+    asked = spark.createDataFrame(asked, "video_id string, query_id long, text string")
+    ix.append(docs.withColumn("text", F.when(F.col("video_id") == "w", "beta").otherwise(F.col("text"))), KEYS, f"{tmp_path}/index")
+    ix.append(docs.where("video_id = 'w'"), KEYS, f"{tmp_path}/index")
+    listed = lambda df: sorted((r.video_id, r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in df.collect())
+    expected = listed(rt.best(rt.bm25(docs, asked, KEYS), [*KEYS, "query_id"], rt.by_score(), 4))
+    assert expected and listed(ix.search_top(spark, f"{tmp_path}/index", asked, KEYS, 4)) == expected
+    monkeypatch.setattr(rt, "RATED", 1)
+    assert listed(ix.search_top(spark, f"{tmp_path}/index", asked, KEYS, 4)) == expected
