@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from palaver.functions.text import node_key
 from palaver.operators import provenance as pv
 from palaver.operators.automaton import occurrences
-from palaver.session import bounded, cut
+from palaver.session import BROADCAST_ROWS, bounded, cut
 
+#: Members that are sent to the tasks: a roster has few columns.
+ROSTER = 500_000
 # The types that a name is looked for under, in order.
 NAME_TYPES = ("PARTY", "SCHEME", "PLACE", "AMOUNT", "LAW", "DATE", "TOPIC", "PERSON_EXTERNAL")
 
@@ -52,7 +54,9 @@ def assemble_nodes(mentions: DataFrame, roster: DataFrame, keys: list[str]) -> D
     attributes = ("label", "type", "tamil", "party", "roles", "portrait", "member_id")
     known = roster.select(F.col("name").alias("label"), F.lit("PERSON").alias("type"), F.col("tamil_name").alias("tamil"), F.col("party_code").alias("party"), "roles", "portrait", "member_id").where("label is not null")
     known = known.withColumn("_key", node_key(F.lit("PERSON"), F.col("label"))).withColumn("place", F.row_number().over(Window.partitionBy("_key").orderBy(*attributes)))
-    rows = mentions.join(bounded(known.select("member_id", "_key", "place")), "member_id", "left")
+    # mentions of no member stay out of the join: in a shuffle all of them would meet in one partition
+    alone = mentions.where("member_id is null").select("*", F.lit(None).cast("string").alias("_key"), F.lit(None).cast("int").alias("place"))
+    rows = mentions.where("member_id is not null").join(bounded(known.select("member_id", "_key", "place"), ROSTER), "member_id", "left").unionByName(alone)
     member = F.col("_key").isNotNull()
     rows = rows.withColumn("key", F.coalesce("_key", node_key(F.col("kind"), F.col("name"))))
     # a member's mention takes its place among the members of one key along, and the roster's attributes come to whole nodes only
@@ -61,7 +65,7 @@ def assemble_nodes(mentions: DataFrame, roster: DataFrame, keys: list[str]) -> D
     by = [*keys, "key"]
     parts = pv.merged(rows, by, F.min(F.when(member, F.struct("ord", "place"))).alias("m"), F.min(F.when(~member, other)).alias("o"))
     whole = parts.groupBy(*by).agg(F.min("m").alias("m"), F.min("o").alias("o"), pv.packed().alias("words")).withColumn("place", F.col("m.place"))
-    whole = whole.join(bounded(known.withColumnRenamed("_key", "key")), ["key", "place"], "left")
+    whole = whole.join(bounded(known.withColumnRenamed("_key", "key"), ROSTER), ["key", "place"], "left")
     f = F.least(F.when(F.col("m").isNotNull(), F.struct(F.col("m.ord").alias("ord"), *attributes)), F.col("o"))
     return whole.select(*by, f.alias("f"), "words").select(*by, "f.type", "f.label", "f.tamil", "f.party", "f.roles", "f.portrait", "f.member_id", F.col("f.ord").alias("first"), "words")
 
@@ -90,19 +94,30 @@ def roster_edges(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.col("key").alias("source"), node_key(F.lit("PARTY"), F.col("party")).alias("target"), F.lit("member of").alias("predicate"), F.array().cast("array<struct<word:bigint,bits:bigint>>").alias("words"), F.lit("roster").alias("origin"))
 
 
-def discussed_edges(nodes: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
-    """A "discussed" edge from each speaker to each topic of a segment (keys, member_id, ordinal), with the words of all such segments.
+def discussions(nodes: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, source, target, word and bits of the segments (keys, member_id, ordinal) of which a topic is named and a member the speaker.
 
-    A speaker's and a topic's sets meet word by word: what both have is the bits' conjunction.
+    A speaker's and a topic's sets meet word by word: what both have is the bits' conjunction. Speakers
+    get their nodes before that, while a segment is there once and not for each of its topics.
     """
     topics = nodes.where("type = 'TOPIC'").select(*keys, F.col("key").alias("target"), F.explode("words").alias("w")).select(*keys, "target", "w.word", F.col("w.bits").alias("_topic"))
-    said = pv.merged(segments.where("member_id is not null"), [*keys, "member_id"])
     people = nodes.where("member_id is not null").select(*keys, F.col("key").alias("source"), "member_id")
-    shared = topics.join(said, [*keys, "word"]).withColumn("bits", F.col("bits").bitwiseAND(F.col("_topic"))).where("bits <> 0")
-    edges = shared.groupBy(*keys, "member_id", "target").agg(pv.packed().alias("words")).join(people, [*keys, "member_id"])
+    said = pv.merged(segments.where("member_id is not null").join(people, [*keys, "member_id"]).select(*keys, "source", "ordinal"), [*keys, "source"])
+    shared = topics.join(said, [*keys, "word"]).withColumn("bits", F.col("bits").bitwiseAND(F.col("_topic")))
+    return shared.where("bits <> 0").select(*keys, "source", "target", "word", "bits")
+
+
+def discussed_edges(nodes: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """A "discussed" edge from each speaker to each topic of a segment (keys, member_id, ordinal), with the words of all such segments."""
+    edges = discussions(nodes, segments, keys).groupBy(*keys, "source", "target").agg(pv.packed().alias("words"))
     return edges.select(*keys, "source", "target", F.lit("discussed").alias("predicate"), "words", F.lit("derived").alias("origin"))
 
 
+def discussed_first(nodes: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, source, target and ord, the first segment, of each "discussed" edge: no words are gathered for it."""
+    return discussions(nodes, segments, keys).groupBy(*keys, "source", "target").agg(F.min(pv.lowest(F.col("word"), F.col("bits"))).alias("ord"))
+
+
 def first_edges(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """One edge for each (keys, source, target) of pairs (keys, source, target, ordinal), with the words of its provenance."""
     by = [*keys, "source", "target"]
@@ -120,23 +135,30 @@ def expand(questions: DataFrame, nodes: DataFrame, edges: DataFrame, keys: list[
 
     A named node gives its provenance (ids in order) and the first ``own`` of each of its first
     ``neighbours`` neighbours; first seen counts, up to ``limit`` ids for a question, so no more of any set
-    is read. nodes has keys, key, label, tamil, first (their order) and words; edges has keys, source,
+    is read. That list of ``limit`` ids is made once for a node; a question joins those of its nodes and moves no row
+    for each id. nodes, which are read for names, for hits and for neighbours, has keys, key, label, tamil, first (their order) and words; edges has keys, source,
     target and ord. Labels of three characters or more are looked for in the lower-cased question, Tamil names in
     the question as it is; with ``word_start`` only where a word begins.
     """
-    shown = cut(nodes.select(*keys, "key", "label", "tamil", F.col("first").alias("node_ord"), pv.ordinals(F.col("words"), limit).alias("ids")))  # read for names, for hits and for neighbours
+    shown = nodes.select(*keys, "key", "label", "tamil", F.col("first").alias("node_ord"), "words")
     label = F.when(F.length("label") > 2, F.lower("label"))
     in_english = occurrences(questions, shown, keys, F.lower("text"), label, word_start).join(shown.select(*keys, label.alias("name"), "key"), [*keys, "name"])
     in_tamil = occurrences(questions, shown, keys, F.col("text"), F.when(F.col("label") != "", F.col("tamil")), word_start).join(shown.where("label <> ''").select(*keys, F.col("tamil").alias("name"), "key"), [*keys, "name"])
     hit = cut(in_english.unionByName(in_tamil).select(*keys, "query_id", "key").distinct())
-    named = hit.join(shown.select(*keys, "key", "node_ord", "ids"), [*keys, "key"])
+    wanted = hit.select(*keys, "key").distinct()
+    # what hangs on few nodes is sent to the tasks without being counted, as that would make the edges again
+    small = F.broadcast if wanted.limit(BROADCAST_ROWS // neighbours + 1).count() <= BROADCAST_ROWS // neighbours else lambda df: df
     end = lambda key, other, side: F.struct(F.col(key).alias("key"), F.col(other).alias("other"), "ord", F.lit(side).alias("side"))
     both = edges.select(*keys, F.explode(F.array(end("source", "target", 0), end("target", "source", 1))).alias("e")).select(*keys, "e.*")  # one pass over the edges
-    near = both.join(hit.select(*keys, "key").distinct(), [*keys, "key"], "left_semi")
+    near = both.join(small(wanted), [*keys, "key"], "left_semi")
     near = near.withColumn("rn", F.row_number().over(Window.partitionBy(*keys, "key").orderBy("ord", "side", "other"))).where(F.col("rn") <= neighbours)
-    around = near.join(shown.select(*keys, F.col("key").alias("other"), F.slice("ids", 1, own).alias("near_ids")), [*keys, "other"])
-    hits = named.select(*keys, "query_id", "node_ord", "key", F.posexplode("ids").alias("pos", "ordinal")).withColumn("rn", F.lit(0))
-    hits = hits.unionByName(named.select(*keys, "query_id", "node_ord", "key").join(around.select(*keys, "key", "rn", F.posexplode("near_ids").alias("pos", "ordinal")), [*keys, "key"]))
-    first = hits.groupBy(*keys, "query_id", "ordinal").agg(F.min(F.struct("node_ord", "key", "rn", "pos")).alias("at"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "query_id").orderBy("at", "ordinal")).cast("long")
-    return first.withColumn("rank", rank).where(F.col("rank") <= limit).select(*keys, "query_id", pv.segment_name(F.col("ordinal")).alias("id"), "rank")
+    around = shown.select(*keys, F.col("key").alias("other"), pv.ordinals(F.col("words"), own).alias("ids")).join(small(near.select(*keys, "key", "other", "rn")), [*keys, "other"])
+    around = around.groupBy(*keys, "key").agg(F.sort_array(F.collect_list(F.struct("rn", "ids"))).alias("near"))
+    flat = lambda c: F.flatten(F.transform(c, lambda x: x["ids"]))
+    some = lambda c: F.slice(F.array_distinct(c), 1, limit)
+    # the limit ids that a node gives first are all that a question can take of it
+    given = shown.join(small(wanted), [*keys, "key"], "left_semi").join(small(around), [*keys, "key"], "left")
+    given = given.select(*keys, "key", "node_ord", some(F.concat(pv.ordinals(F.col("words"), limit), F.coalesce(flat(F.col("near")), F.array().cast("array<long>")))).alias("ids"))
+    first = hit.join(small(given), [*keys, "key"]).groupBy(*keys, "query_id").agg(F.sort_array(F.collect_list(F.struct("node_ord", "key", "ids"))).alias("at"))
+    ranked = first.select(*keys, "query_id", F.posexplode(some(flat(F.col("at")))).alias("pos", "ordinal"))
+    return ranked.select(*keys, "query_id", pv.segment_name(F.col("ordinal")).alias("id"), (F.col("pos") + 1).cast("long").alias("rank"))

@@ -198,8 +198,7 @@ def graph_expand(spark, folder):
     named = part.join(table(spark, folder, "supplier").select("s_suppkey", "s_name"), F.col("s_suppkey") == F.col("p_partkey"), "left")
     text = F.concat(F.lit("What of "), "p_name", F.lit(" , ப"), (F.col("p_partkey") + 1).cast("string"), F.lit(" and "), F.coalesce("s_name", F.lit("?")), F.lit("?"))
     asked = named.select(F.col("p_partkey").alias("query_id"), text.alias("text")).crossJoin(F.broadcast(recordings))  # the questions of every recording
-    links = gr.discussed_edges(nodes, spoken(spark, folder), KEYS).select("video_id", "source", "target", pv.first_of(F.col("words")).alias("ord"))
-    return gr.expand(asked, nodes, links, KEYS)
+    return gr.expand(asked, nodes, gr.discussed_first(nodes, spoken(spark, folder), KEYS), KEYS)
 
 
 ENDS = f"""nd AS (SELECT CASE WHEN s_suppkey % 2 = 1 THEN 'PERSON:' ELSE 'AMOUNT:' END || lower(s_name) AS key, s_suppkey AS k FROM supplier UNION ALL SELECT CASE p_partkey % 3 WHEN 0 THEN 'TOPIC:' WHEN 1 THEN 'SCHEME:' ELSE 'LAW:' END || lower(p_name), p_partkey FROM part UNION ALL SELECT 'PLACE:' || lower(n_name), n_nationkey FROM nation UNION ALL SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'PARTY:' ELSE 'DATE:' END || lower(n_name), n_nationkey FROM nation),

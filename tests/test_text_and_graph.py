@@ -271,3 +271,41 @@ def test_edges_are_made_in_partitions_by_the_tables_rows(spark, monkeypatch):
     lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
     plan = graphs.edges(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert f", {-(-lines // 500)})" in plan and rows() == plain
+
+
+def test_many_names_are_found_by_pieces_as_by_an_automaton(spark, monkeypatch):
+    """Texts are not dealt to blocks of names: none moves; lengths of one byte and more, Tamil, word starts."""
+    from palaver.operators import automaton
+
+    names = ["n1", "1x", "x", "நி", "நிதி", "n1x and", "ab", "ப1", "ப12"] + [f"other{i}" for i in range(30)]
+    listed = spark.createDataFrame([(v, n) for v in "vw" for n in names if v == "v" or len(n) > 2], "video_id string, name string")
+    rows = [("v", 1, "n1x and நிதி"), ("v", 2, "ப123 other7 cab"), ("w", 3, "n1x and நிதி"), ("w", 4, ""), ("u", 5, "n1x"), ("v", 6, None)]
+    texts = spark.createDataFrame(rows, "video_id string, query_id long, text string")
+    there = lambda t, n, w: any(t.startswith(n, i) and not (w and i and t[i - 1].isalnum()) for i in range(len(t)))
+    for most in (1000, 5):
+        monkeypatch.setattr(automaton, "NAMES", most)
+        for starts in (False, True):
+            made = automaton.occurrences(texts, listed, ["video_id"], F.col("text"), F.col("name"), starts)
+            expected = sorted((v, q, n) for v, q, t in rows if t for n in names if (v == "v" or v == "w" and len(n) > 2) and there(t, n, starts))
+            assert sorted(tuple(r) for r in made.collect()) == expected
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "CoGroup" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_expansion_moves_one_row_for_a_node_of_a_question(spark):
+    """Ids are listed in order where a node's list is made: no window by question, and mentions without a member meet no roster."""
+    words = lambda *n: [(0, sum(1 << x for x in n))]
+    nodes = [("v", "a", "alpha", None, 1, words(1, 2, 3)), ("v", "b", "beta", None, 0, words(2, 5)), ("v", "c", "gamma", None, 2, words(*range(7, 20))), ("v", "d", "delta", None, 3, [])]
+    nodes = spark.createDataFrame(nodes, "video_id string, key string, label string, tamil string, first long, words array<struct<word:bigint,bits:bigint>>")
+    edges = spark.createDataFrame([("v", "b", "c", 4), ("v", "a", "d", 1), ("v", "d", "b", 1)], "video_id string, source string, target string, ord long")
+    asked = spark.createDataFrame([("v", 1, "alpha beta"), ("v", 2, "delta"), ("v", 3, "gamma alpha"), ("v", 4, "none")], "video_id string, query_id long, text string")
+    found = gr.expand(asked, nodes, edges, ["video_id"])
+    got = sorted((r.query_id, r["rank"], r.id) for r in found.collect())
+    assert got == [(q, i + 1, f"S{n:03}") for q, ids in ((1, (2, 5, 7, 8, 1, 3)), (2, (2, 5, 1)), (3, (1, 2, 3, 7, 8, 9))) for i, n in enumerate(ids)]
+    assert not any("Window" in x and "query_id" in x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    schema = "video_id string, kind string, name string, tamil string, member_id string, ordinal long, ord long"
+    said = spark.createDataFrame([("v", "TOPIC", "Water", "", None, 1, 1), ("v", "PERSON", "", None, "m1", 1, 3), ("v", "PERSON", "X", None, "m2", 1, 4)], schema)
+    roster = spark.createDataFrame([("m1", "A", None, "P", None, None)], "member_id string, name string, tamil_name string, party_code string, roles array<string>, portrait string")
+    made = gr.assemble_nodes(said, roster, ["video_id"])
+    assert sorted(r.key for r in made.collect()) == ["PERSON:a", "PERSON:x", "TOPIC:water"]
+    assert "Union" in made._jdf.queryExecution().optimizedPlan().toString()
